@@ -45,11 +45,12 @@ def points_of(severity) -> Column:
 def shared_records(keyed: DataFrame, key="value", hot_rows=None, also=None) -> DataFrame:
     """Rows of ``keyed`` (unique_id, key, ...) whose key belongs to more than one record, with
     ``duplicate_count``. ``also`` keeps rows of further keys, given as a condition on the key."""
-    grouped = keyed.groupBy(key).agg(F.count_distinct("unique_id").alias("duplicate_count"),
+    keys = [key] if isinstance(key, str) else list(key)
+    grouped = keyed.groupBy(*keys).agg(F.count_distinct("unique_id").alias("duplicate_count"),
                                      F.count(F.lit(1)).alias("n"))
     wanted = F.col("duplicate_count") > 1
     shared = grouped.where(wanted if also is None else wanted | also)
-    return hot_split_join(keyed, shared.drop("n"), key, counts=shared.select(key, "n"), hot_rows=hot_rows)
+    return hot_split_join(keyed, shared.drop("n"), key, counts=shared.select(*keys, "n"), hot_rows=hot_rows)
 
 
 def by_count(count="duplicate_count") -> Column:

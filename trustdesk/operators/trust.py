@@ -59,8 +59,10 @@ def summary(fs: DataFrame) -> DataFrame:
         "contradiction_count"), F.round(F.avg("score") * 100).cast("int").alias("avg_score"))
 
 
-def _constants(df, rows, schema):
-    return df.sparkSession.createDataFrame(rows, schema)
+def constant_rows(df: DataFrame, rows, names) -> DataFrame:
+    """A fixed handful of rows as an inline relation, known to the optimizer with its size."""
+    values = ", ".join("(" + ", ".join(repr(v) for v in row) + ")" for row in rows)
+    return df.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
 
 
 def histogram(fs: DataFrame, points=None) -> DataFrame:
@@ -73,8 +75,8 @@ def histogram(fs: DataFrame, points=None) -> DataFrame:
                       enumerate(SCORE_BUCKETS[1:], 2), F.when(points.between(*SCORE_BUCKETS[0][1:3]), 1))
     counts = (fs.select(position.alias("position")).where(F.col("position").isNotNull())
               .groupBy("position").agg(_n().alias("count")))
-    buckets = _constants(fs, [(i, label, tier) for i, (label, _, _, tier) in enumerate(SCORE_BUCKETS, 1)],
-                         "position int, label string, tier string")
+    buckets = constant_rows(fs, [(i, label, tier) for i, (label, _, _, tier) in enumerate(SCORE_BUCKETS, 1)],
+                            ["position", "label", "tier"])
     return buckets.join(counts, "position", "left").select(
         "position", "label", F.coalesce("count", F.lit(0)).alias("count"), "tier")
 
@@ -90,7 +92,7 @@ def dimension_means(signals: DataFrame) -> DataFrame:
     """Whole-number mean per dimension; all dimensions are listed, unanswered ones with NULL."""
     means = (signals.where(F.col("trust_score").isNotNull()).groupBy(F.col("dimension").alias("dim"))
              .agg(F.round(F.round(F.avg("trust_score"), 9) * 100).cast("int").alias("avg")))
-    names = _constants(signals, [(i, d) for i, d in enumerate(DIMENSIONS, 1)], "position int, dim string")
+    names = constant_rows(signals, list(enumerate(DIMENSIONS, 1)), ["position", "dim"])
     return names.join(means, "dim", "left").select("position", "dim", "avg")
 
 
@@ -154,7 +156,7 @@ def signal_dashboard(records: DataFrame, signals: DataFrame):
     totals = rows.agg(_n().alias("total"), _n(F.col("has_contradiction") == 1).alias("contradiction_count"),
                       *(_n(tier == t).alias(f"{t}_count") for t in ("high", "med", "low", "insuff")))
     dims = usable.groupBy(F.col("dimension").alias("dim")).agg(F.round(F.avg("points")).cast("int").alias("avg"))
-    names = _constants(signals, [(i, d) for i, d in enumerate(DIMENSIONS, 1)], "position int, dim string")
+    names = constant_rows(signals, list(enumerate(DIMENSIONS, 1)), ["position", "dim"])
     scored = rows.where(F.col("points").isNotNull())
     return {
         "summary": totals.withColumn("_one", F.lit(1)).join(mean, "_one").drop("_one"),

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from trustdesk.operators.curate import latest_by
+from trustdesk.operators.trust import constant_rows
 from trustdesk.schemas import ACTION_TYPES, REVIEW_STATUSES, UUID_PATTERN
 
 ACTION_KEY = ("facility_id", "analyst_id", "action_type", "dimension")
@@ -121,8 +122,7 @@ def board_counts(gold: DataFrame, review: DataFrame) -> DataFrame:
     waiting = (gold.join(review.select(F.col("facility_id").alias("unique_id")), "unique_id", "left_anti")
                .agg(F.count(F.lit(1)).alias("n")).select(F.lit("not_started").alias("status"), "n"))
     counts = moved.unionByName(waiting).groupBy("status").agg(F.sum("n").alias("cards"))
-    names = gold.sparkSession.createDataFrame(
-        [(i, s) for i, s in enumerate(REVIEW_STATUSES, 1)], "position int, status string")
+    names = constant_rows(gold, list(enumerate(REVIEW_STATUSES, 1)), ["position", "status"])
     return names.join(counts, "status", "left").select("position", "status", F.coalesce("cards", F.lit(0)).alias("cards"))
 
 

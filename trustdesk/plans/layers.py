@@ -4,6 +4,8 @@ Each layer is written once and read back by the next, so a lost executor recompu
 no layer is evaluated twice.
 """
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -26,6 +28,41 @@ class Layout:
         return f"{self.root}/{name}"
 
 
+def shared_folder(spark: SparkSession):
+    """Folder for tables that cut a plan: ``spark.checkpoint.dir``, or a temporary folder in local mode.
+
+    None on a cluster that names no folder, because executors could not all see a local one.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="trustdesk-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+        return folder
+    return None
+
+
+_KEPT = {}
+
+
+def stored_once(spark: SparkSession, key, build, partition_by=()) -> DataFrame:
+    """The table for ``key``, written on first use in this application and read from then on.
+
+    Without a shared folder the plan stays lazy and is evaluated by each query.
+    """
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _KEPT:
+        folder, df = shared_folder(spark), build()
+        if folder is None:
+            return df
+        path = f"{folder}/trustdesk/{uuid.uuid4().hex}/{key[-1]}"
+        sinks.overwrite(df, path, partition_by)
+        _KEPT[key] = (path, df.schema)
+    path, schema = _KEPT[key]
+    return spark.read.schema(schema).parquet(path)
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     sinks.overwrite(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1 +1,460 @@
+"""The registered queries as DuckDB SQL over the same tables, written independently of the operators."""
+
+from trustdesk.sources import driver_views as v
+
+UUID = "'^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$'"
+EMAIL = r"'^[^@\s]+@[^@\s]+\.[^@\s]+$'"
+CONTROL = r"'[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{FFFD}]'"
+WORDS = "('', 'null', 'na', 'n/a', 'unknown', 'none')"
+TYPES = "('hospital', 'clinic', 'dentist', 'pharmacy', 'farmacy', 'doctor', 'nursing_home')"
+TODAY = "DATE '2024-06-30'"
+
+
+def select(expressions, rows):
+    return "SELECT " + ", ".join(f"{e} AS {n}" for n, e in expressions.items()) + f" FROM {rows}"
+
+
+# --- named building blocks; a query lists those it reads and gets their WITH clause -------------------
+
+PARTS = {}
+
+
+def part(name, sql, *needs):
+    PARTS[name] = (needs, sql)
+
+
+def with_parts(sql, *needs, recursive=False):
+    order = []
+
+    def visit(name):
+        for dep in PARTS[name][0]:
+            visit(dep)
+        if name not in order:
+            order.append(name)
+
+    for n in needs:
+        visit(n)
+    if not order:
+        return sql
+    ctes = ", ".join(f"{n} AS MATERIALIZED ({PARTS[n][1]})" for n in order)
+    # a query that opens with a comma goes on with parts of its own
+    return f"WITH {'RECURSIVE ' if recursive else ''}{ctes} {sql}"
+
+
 ORACLES = {}
+
+
+def oracle(name, sql, *needs):
+    ORACLES[name] = with_parts(sql, *needs)
+
+
+part("entities", """
+SELECT c_custkey AS k, c_nationkey AS nation_key, n_name AS state_name, r_name AS region_name,
+       c_mktsegment AS segment, c_acctbal AS balance, d.text AS doc_text
+FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
+LEFT JOIN documents d ON d.doc_id = c_custkey""")
+part("src", select(v.SOURCE_EXPRESSIONS, "entities"), "entities")
+part("assessed", f"SELECT *, record_key AS k FROM src WHERE {v.SIGNALS_FROM}", "src")
+part("signals", select(v.SIGNAL_EXPRESSIONS, "assessed CROSS JOIN (VALUES " + ", ".join(
+    str(r) for r in v.DIMENSION_ROWS) + ") dims(d, dim)"), "assessed")
+part("responses", select(v.RESPONSE_EXPRESSIONS, "assessed"), "assessed")
+part("overrides", select(v.OVERRIDE_EXPRESSIONS, "orders"))
+part("actions", select(v.ACTION_EXPRESSIONS, "events"))
+part("review_log", select(v.REVIEW_EXPRESSIONS, f"orders WHERE {v.REVIEW_FROM}"))
+part("suggestions", select(v.SUGGESTION_EXPRESSIONS, f"lineitem WHERE {v.SUGGESTIONS_FROM}"))
+part("postal", select(v.POSTAL_EXPRESSIONS, "part"))
+part("indicators", select(v.INDICATOR_EXPRESSIONS,
+                          "(SELECT s_suppkey % 50 AS g, count(*) AS suppliers FROM supplier GROUP BY 1)"))
+
+# --- cleaning -----------------------------------------------------------------------------------------
+
+
+def sane(c):
+    return f"regexp_replace({c}, {CONTROL}, '', 'g')"
+
+
+def cleaned(value, tested=None, fold=None):
+    out = f"trim({value})"
+    return f"CASE WHEN lower(trim({tested or value})) NOT IN {WORDS} THEN {fold}({out}) ELSE NULL END" if fold else \
+        f"CASE WHEN lower(trim({tested or value})) NOT IN {WORDS} THEN {out} ELSE NULL END"
+
+
+def as_int(c, kind="INTEGER"):
+    return f"CASE WHEN regexp_matches(trim({c}), '^[+-]?[0-9]+$') THEN TRY_CAST(trim({c}) AS {kind}) END"
+
+
+def as_double(c):
+    return rf"CASE WHEN regexp_matches(trim({c}), '^[+-]?[0-9]+(\.[0-9]+)?$') THEN TRY_CAST(trim({c}) AS DOUBLE) END"
+
+
+def as_bool(c):
+    return (f"CASE WHEN lower(trim({c})) IN ('t', 'true', 'y', 'yes', '1') THEN true "
+            f"WHEN lower(trim({c})) IN ('f', 'false', 'n', 'no', '0') THEN false END")
+
+
+def as_date(c):
+    return rf"""CASE WHEN regexp_matches(trim({c}), '^[0-9]{{4}}$') THEN TRY_CAST(trim({c}) || '-01-01' AS DATE)
+      WHEN regexp_matches(trim({c}), '^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}([ T].*)?$')
+      THEN TRY_CAST(regexp_extract(trim({c}), '^[0-9]+-[0-9]+-[0-9]+') AS DATE) END"""
+
+
+def past(c):
+    return f"CASE WHEN {as_date(c)} <= {TODAY} THEN {as_date(c)} END"
+
+
+def json_list(c):
+    return (f"CASE WHEN json_valid({c}) AND json_type(CASE WHEN json_valid({c}) THEN {c} END) = 'ARRAY' "
+            f"THEN from_json(CASE WHEN json_valid({c}) THEN {c} END, '[\"VARCHAR\"]') END")
+
+
+YEAR = as_int("yearEstablished")
+SILVER = {
+    "unique_id": "trim(unique_id)", "name": cleaned(sane("name")), "organization_type": cleaned("organization_type"),
+    "content_table_id": "trim(content_table_id)", "official_phone": cleaned("officialPhone"),
+    "email": f"CASE WHEN regexp_matches(lower(trim(email)), {EMAIL}) THEN lower(trim(email)) END",
+    "official_website": cleaned("officialWebsite", fold="lower"),
+    "year_established": f"CASE WHEN {YEAR} BETWEEN 1800 AND 2024 THEN {YEAR} END",
+    "accepts_volunteers": as_bool("acceptsVolunteers"), "facebook_link": cleaned("facebookLink"),
+    **{f"address_line{i}": cleaned(sane(f"address_line{i}"), f"address_line{i}") for i in (1, 2, 3)},
+    "address_city": cleaned("address_city"), "address_state_or_region": cleaned("address_stateOrRegion"),
+    "address_zip_or_postcode": cleaned("address_zipOrPostcode"), "address_country": cleaned("address_country"),
+    "address_country_code": cleaned("address_countryCode", fold="upper"), "countries": cleaned("countries"),
+    "facility_type_id": cleaned("facilityTypeId", fold="lower"),
+    "operator_type_id": cleaned("operatorTypeId", fold="lower"),
+    "affiliation_type_ids": "array_to_string(list_sort(list_distinct(list_filter("
+                            + json_list("affiliationTypeIds") + ", lambda x: x IS NOT NULL AND trim(x) <> ''))), '|')",
+    **{c: cleaned(sane(c)) for c in ("description", "capability", "procedure", "equipment")},
+    "area": as_int("area"), "number_doctors": as_int("numberDoctors"), "capacity": as_int("capacity"),
+    "recency_of_page_update": past("recency_of_page_update"),
+    "distinct_social_media_presence_count": as_int("distinct_social_media_presence_count"),
+    "affiliated_staff_presence": as_bool("affiliated_staff_presence"),
+    "custom_logo_presence": as_bool("custom_logo_presence"),
+    "number_of_facts_about_the_organization": as_int("number_of_facts_about_the_organization"),
+    "post_metrics_most_recent_social_media_post_date": past("post_metrics_most_recent_social_media_post_date"),
+    "post_metrics_post_count": as_int("post_metrics_post_count"),
+    **{f"engagement_metrics_n_{c}": as_int(f"engagement_metrics_n_{c}", "BIGINT")
+       for c in ("followers", "likes", "engagements")},
+    "source": cleaned("source"), "latitude": as_double("latitude"), "longitude": as_double("longitude"),
+}
+part("silver", select(SILVER, "src"), "src")
+
+POINTS = " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for c in [
+    *(f"{c} IS NOT NULL" for c in ("name", "official_phone", "email", "official_website", "address_city",
+                                   "address_state_or_region", "description", "capability", "procedure", "equipment")),
+    "address_country_code = 'IN'", f"facility_type_id IN {TYPES}"])
+part("latest_overrides", """
+SELECT * FROM overrides QUALIFY row_number() OVER (
+  PARTITION BY facility_id, field_name ORDER BY updated_at DESC, seq DESC) = 1""", "overrides")
+OVERRIDDEN = {"name": "VARCHAR", "capacity": "INTEGER", "official_phone": "VARCHAR", "latitude": "DOUBLE",
+              "address_city": "VARCHAR", "year_established": "INTEGER"}
+part("ov", "SELECT facility_id, string_agg(field_name, '|' ORDER BY field_name) AS overridden_fields, " + ", ".join(
+    f"max(CASE WHEN field_name = '{f}' THEN new_value END) AS {f}_ov" for f in OVERRIDDEN)
+     + " FROM latest_overrides GROUP BY 1", "latest_overrides")
+
+
+def corrected(f):
+    value = {"INTEGER": as_int, "DOUBLE": as_double}.get(OVERRIDDEN[f], lambda c: c)(f"{f}_ov")
+    return f"coalesce({value}, b.{f})"
+
+
+GOLD = {c: corrected(c) if c in OVERRIDDEN else f"b.{c}" for c in SILVER}
+part("best", f"""
+SELECT * FROM silver WHERE regexp_matches(unique_id, {UUID})
+QUALIFY row_number() OVER (PARTITION BY unique_id ORDER BY {POINTS} DESC, name ASC NULLS LAST,
+  official_phone ASC NULLS LAST, email ASC NULLS LAST, official_website ASC NULLS LAST,
+  address_line1 ASC NULLS LAST, description ASC NULLS LAST) = 1""", "silver")
+part("gold", select({**GOLD, "overridden_fields": "coalesce(overridden_fields, '')"},
+                    "best b LEFT JOIN ov ON b.unique_id = ov.facility_id"), "best", "ov")
+
+SOURCE_COLUMNS = [c for c in v.SOURCE_EXPRESSIONS
+                  if c not in ("record_key", "balance", "phone_numbers", "websites", "specialties")]
+oracle("bronze_landed", f"SELECT {', '.join(SOURCE_COLUMNS)} FROM src", "src")
+oracle("raw_subset", """
+SELECT unique_id AS facility_id, name AS facility_name, organization_type AS facility_type,
+  address_stateOrRegion AS state, address_city AS district, description, capability, procedure, equipment, capacity,
+  yearEstablished AS year_established, latitude, longitude, specialties FROM src""", "src")
+oracle("silver_clean", "SELECT * FROM silver", "silver")
+oracle("gold_merge", "SELECT * FROM gold", "gold")
+oracle("override_latest", "SELECT facility_id, field_name, new_value, seq FROM latest_overrides", "latest_overrides")
+VALID = f"regexp_matches(unique_id, {UUID})"
+oracle("issue_rows", f"""
+, counted AS (SELECT *, count(*) OVER (PARTITION BY unique_id) AS copies FROM silver)
+SELECT unique_id AS facility_id, 'unique_id' AS field_name, 'invalid_facility_id' AS issue_type,
+  'critical' AS severity, unique_id AS raw_value, CAST(NULL AS VARCHAR) AS suggested_value,
+  'unique_id_uuid_validation' AS rule_name FROM counted WHERE NOT {VALID}
+UNION ALL SELECT unique_id, 'unique_id', 'duplicate_facility_id', 'medium', unique_id,
+  'Deduped in facilities_gold by completeness score', 'unique_id_duplicate_detection'
+  FROM counted WHERE {VALID} AND copies > 1
+UNION ALL SELECT unique_id, 'name', 'missing_facility_name', 'high', name, NULL, 'name_required_for_identity'
+  FROM counted WHERE {VALID} AND name IS NULL
+UNION ALL SELECT unique_id, 'facility_type_id', 'invalid_facility_type', 'medium', facility_type_id, NULL,
+  'facility_type_allowlist' FROM counted
+  WHERE {VALID} AND (facility_type_id IS NULL OR facility_type_id NOT IN {TYPES})
+UNION ALL SELECT unique_id, 'address_country_code', 'unexpected_country_code', 'medium', address_country_code, 'IN',
+  'india_dataset_country_code_check' FROM counted WHERE {VALID} AND address_country_code <> 'IN'""", "silver")
+
+# --- quality checks -----------------------------------------------------------------------------------
+
+
+def missing(c, *extra):
+    return f"({c} IS NULL OR trim({c}) IN ({', '.join(repr(x) for x in ('', 'null', *extra))}))"
+
+
+part("phones", f"""
+SELECT * EXCLUDE (listed), regexp_replace(raw_phone, '[^0-9]', '', 'g') AS phone_normalized FROM (
+  SELECT unique_id, name, facilityTypeId, address_city, address_stateOrRegion, address_country, listed,
+    unnest(listed) AS raw_phone
+  FROM (SELECT *, {json_list('phone_numbers')} AS listed FROM src
+        WHERE phone_numbers IS NOT NULL AND phone_numbers <> 'null' AND phone_numbers <> '[]'))""", "src")
+part("dup_phones", """
+SELECT p.*, r.duplicate_count, r.pct_rank,
+  CASE WHEN pct_rank >= 0.90 THEN 'critical' WHEN pct_rank >= 0.60 THEN 'medium' ELSE 'low' END AS severity,
+  CASE WHEN pct_rank >= 0.90 THEN 50 WHEN pct_rank >= 0.60 THEN 30 ELSE 10 END AS penalty_points,
+  'Phone number shared with ' || r.duplicate_count || ' facilities' AS issue_summary
+FROM phones p JOIN (
+  SELECT phone_normalized, duplicate_count, percent_rank() OVER (ORDER BY duplicate_count) AS pct_rank FROM (
+    SELECT phone_normalized, count(DISTINCT unique_id) AS duplicate_count FROM phones
+    WHERE length(phone_normalized) >= 7 GROUP BY 1 HAVING count(DISTINCT unique_id) > 1)) r
+ON p.phone_normalized = r.phone_normalized""", "phones")
+oracle("dup_phones", "SELECT * EXCLUDE (pct_rank), round(pct_rank, 6) AS pct_rank FROM dup_phones", "dup_phones")
+
+MISSING = [
+    ("missing_name", missing("name"), 60, "Facility name is missing"),
+    ("missing_description", missing("description"), 30, "Description is missing"),
+    ("invalid_type", f"(facilityTypeId IS NULL OR facilityTypeId NOT IN {TYPES})", 20,
+     "Facility type is missing or invalid"),
+    ("missing_phone", missing("officialPhone") + " AND " + missing("phone_numbers", "[]"), 10,
+     "No phone number on record"),
+    ("missing_email", missing("email"), 10, "No email address on record"),
+    ("missing_website", missing("officialWebsite") + " AND " + missing("websites", "[]"), 5, "No website on record"),
+]
+
+
+def rule_rows(rules, rows, id_col="unique_id", severity=False):
+    grades = {50: "critical", 30: "high", 15: "medium", 5: "low"}
+    return " UNION ALL ".join(
+        f"SELECT {id_col} AS unique_id, '{name}' AS \"check\", {points} AS penalty_points, '{issue}' AS issue_summary"
+        + (f", '{grades[points]}' AS severity" if severity else "") + f" FROM {rows} WHERE {cond}"
+        for name, cond, points, issue in rules)
+
+
+part("missing_rows", rule_rows(MISSING, "src"), "src")
+oracle("missing_checks", "SELECT * FROM missing_rows", "missing_rows")
+
+
+def bad_place(c):
+    return f"({c} IS NULL OR trim({c}) = '' OR lower(trim({c})) IN ('na', 'n/a', 'unknown'))"
+
+
+LOCATION = [
+    ("bad_city", "City missing or invalid", 10, bad_place("address_city")),
+    ("bad_state_or_region", "State/region missing or invalid", 25, bad_place("address_stateOrRegion")),
+    ("unexpected_country", "Country is not India", 30, "lower(trim(address_country)) NOT IN ('india', 'in')"),
+    ("missing_coordinates", "Coordinates missing", 5, "(latitude IS NULL OR longitude IS NULL)"),
+    ("latitude_outside_india_range", "Latitude outside India", 35, "(lat < 6 OR lat > 38)"),
+    ("longitude_outside_india_range", "Longitude outside India", 35, "(lon < 68 OR lon > 98)"),
+]
+part("location", f"""
+SELECT unique_id, name, facilityTypeId, address_city, address_stateOrRegion, address_country, latitude, longitude,
+  concat_ws(', ', {', '.join(f"CASE WHEN {c} THEN '{code}' END" for code, _, _, c in LOCATION)}) AS location_issues,
+  {' + '.join(f"CASE WHEN {c} THEN {p} ELSE 0 END" for _, _, p, c in LOCATION)} AS penalty_points,
+  concat_ws('; ', {', '.join(f"CASE WHEN {c} THEN '{text}' END" for _, text, _, c in LOCATION)}) AS issue_summary
+FROM (SELECT *, {as_double('latitude')} AS lat, {as_double('longitude')} AS lon FROM src)
+WHERE {' OR '.join(c for *_, c in LOCATION)}""", "src")
+oracle("location_check", "SELECT * FROM location", "location")
+
+part("checks", """
+SELECT trim(unique_id) AS facility_id, "check", penalty_points, issue_summary FROM missing_rows WHERE unique_id IS NOT NULL
+UNION ALL SELECT trim(unique_id), 'location', penalty_points, issue_summary FROM location WHERE unique_id IS NOT NULL
+UNION ALL SELECT trim(unique_id), 'duplicate_phones', penalty_points, issue_summary FROM dup_phones
+  WHERE unique_id IS NOT NULL""", "missing_rows", "location", "dup_phones")
+part("totals", """
+SELECT facility_id, CAST(sum(worst) AS INTEGER) AS total_penalty_points FROM (
+  SELECT facility_id, "check", max(penalty_points) AS worst FROM checks GROUP BY 1, 2) GROUP BY 1""", "checks")
+part("scores", """
+SELECT t.facility_id, greatest(0, 100 - total_penalty_points) AS quality_score,
+  CASE WHEN 100 - total_penalty_points >= 85 THEN 'high_quality' WHEN 100 - total_penalty_points >= 65 THEN 'needs_review'
+       WHEN 100 - total_penalty_points >= 40 THEN 'low_quality' ELSE 'critical_issue' END AS quality_tier,
+  total_penalty_points, issues
+FROM totals t JOIN (SELECT facility_id, string_agg(issue_summary, '|' ORDER BY issue_summary) AS issues
+  FROM (SELECT DISTINCT facility_id, issue_summary FROM checks) GROUP BY 1) i ON i.facility_id = t.facility_id""",
+     "totals", "checks")
+oracle("quality_scores", "SELECT * FROM scores", "scores")
+oracle("worst_100", f"""
+, worst AS (SELECT * FROM scores ORDER BY quality_score, total_penalty_points DESC, facility_id LIMIT 100)
+SELECT w.*, {', '.join(f"(SELECT count(DISTINCT issue_summary) FROM checks c WHERE c.facility_id = w.facility_id AND {cond}) AS {n}_issues" for n, cond in (("critical", "penalty_points >= 40"), ("high", "penalty_points BETWEEN 20 AND 39"), ("medium", "penalty_points BETWEEN 10 AND 19"), ("low", "penalty_points < 10")))},
+  g.name AS facility_name, g.facility_type_id AS facility_type, g.address_city AS city,
+  g.address_state_or_region AS state
+FROM worst w LEFT JOIN gold g ON g.unique_id = w.facility_id""", "scores", "checks", "gold")
+
+# documented checks
+POINTS_OF = "CASE severity WHEN 'critical' THEN 50 WHEN 'high' THEN 30 WHEN 'medium' THEN 15 WHEN 'low' THEN 5 ELSE 0 END"
+BY_COUNT = "CASE WHEN duplicate_count >= 6 THEN 'critical' ELSE 'high' END"
+
+
+def graded(inner, columns):
+    return f"SELECT {columns}, severity, CAST({POINTS_OF} AS INTEGER) AS penalty_points FROM ({inner})"
+
+
+oracle("dup_emails", """
+, e AS (SELECT unique_id, lower(trim(email)) AS email FROM src WHERE regexp_matches(email, """ + EMAIL + """)),
+c AS (SELECT email, count(DISTINCT unique_id) AS duplicate_count, email IN ('test@example.com', 'abc@xyz.com') AS fake
+      FROM e GROUP BY 1)
+""" + graded(f"""SELECT unique_id, e.email, duplicate_count, 'duplicate_email' AS "check",
+  CASE WHEN fake THEN 'critical' ELSE {BY_COUNT} END AS severity,
+  CASE WHEN fake THEN 'Placeholder email address'
+       ELSE 'This email appears on ' || duplicate_count || ' facility records' END AS issue_summary
+  FROM e JOIN c ON e.email = c.email WHERE duplicate_count > 1 OR fake""",
+             'unique_id, email, duplicate_count, "check", issue_summary'), "src")
+NATIONAL = r"regexp_replace(regexp_replace(regexp_replace(trim(p), '^(\+91|0091)', ''), '[^0-9]', '', 'g'), '^0+', '')"
+oracle("dup_phones_by_count", f"""
+, n AS (SELECT unique_id, unnest(list_distinct(list_transform(list_concat(coalesce({json_list('phone_numbers')}, []), [officialPhone]),
+      lambda p: {NATIONAL}))) AS phone FROM (SELECT rowid_ AS r, * FROM (SELECT row_number() OVER () AS rowid_, * FROM src))),
+used AS (SELECT * FROM n WHERE phone <> ''),
+c AS (SELECT phone, count(DISTINCT unique_id) AS duplicate_count, length(phone) < 7 AS short FROM used GROUP BY 1)
+""" + graded(f"""SELECT unique_id, used.phone, duplicate_count, 'duplicate_phone_count' AS "check",
+  CASE WHEN short THEN 'high' ELSE {BY_COUNT} END AS severity,
+  CASE WHEN short THEN 'Phone number has too few digits'
+       ELSE 'This phone number appears on ' || duplicate_count || ' facility records' END AS issue_summary
+  FROM used JOIN c ON used.phone = c.phone WHERE duplicate_count > 1 OR short""",
+             'unique_id, phone, duplicate_count, "check", issue_summary'), "src")
+
+
+def key(c):
+    return rf"trim(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
+oracle("dup_identity", f"""
+, named AS (SELECT unique_id, {key('name')} AS n, {key('address_line1')} AS a, {key('address_city')} AS c,
+  {key('address_state_or_region')} AS s FROM silver),
+keyed AS (SELECT unique_id, 'address' AS match, n || '|' || a AS value FROM named WHERE n <> '' AND a <> ''
+  UNION ALL SELECT unique_id, 'place', n || '|' || c || '|' || s FROM named
+  WHERE n <> '' AND c IS NOT NULL AND s IS NOT NULL),
+counted AS (SELECT match, value, count(DISTINCT unique_id) AS duplicate_count FROM keyed GROUP BY 1, 2)
+""" + graded("""SELECT unique_id, k.match, k.value, duplicate_count, 'duplicate_identity' AS "check",
+  CASE WHEN k.match = 'address' THEN 'critical' ELSE 'high' END AS severity,
+  CASE WHEN k.match = 'address' THEN 'Same name and address as another record'
+       ELSE 'Same name, city and state as another record' END AS issue_summary
+  FROM keyed k JOIN counted c ON k.match = c.match AND k.value = c.value WHERE duplicate_count > 1""",
+             'unique_id, match, value, duplicate_count, "check", issue_summary'), "silver")
+oracle("fuzzy_identity", f"""
+, named AS (SELECT unique_id, {key('name')} AS norm, address_state_or_region AS place FROM silver),
+blocked AS (SELECT *, substr(norm, 1, 4) AS block FROM named WHERE length(norm) >= 4 AND place IS NOT NULL),
+names AS (SELECT DISTINCT place, block, norm FROM blocked),
+near AS (SELECT DISTINCT a.place, a.norm FROM names a JOIN names b ON a.place = b.place AND a.block = b.block
+  AND a.norm <> b.norm
+  AND levenshtein(a.norm, b.norm) * 100 <= 15 * greatest(length(a.norm), length(b.norm)))
+SELECT unique_id, 'similar_identity' AS "check", 'medium' AS severity, 15 AS penalty_points,
+  'Name is close to another record in the same area' AS issue_summary
+FROM blocked JOIN near ON blocked.place = near.place AND blocked.norm = near.norm""", "silver")
+oracle("missing_core", rule_rows([
+    ("core_name", missing("name"), 50, "Facility name is missing"),
+    ("core_state", missing("address_stateOrRegion"), 30, "State or region is missing"),
+    ("core_type", missing("facilityTypeId"), 15, "Facility type is missing"),
+    ("core_contact", " AND ".join(missing(c, "[]") for c in (
+        "officialPhone", "phone_numbers", "email", "officialWebsite", "websites")), 15, "No contact field is filled in"),
+    ("core_text", " AND ".join(missing(c, "[]") for c in ("description", "capability", "procedure", "equipment")), 30,
+     "No descriptive text is filled in")], "src", severity=True), "src")
+MAIL, PHONE = "lower(trim(email))", "regexp_replace(officialPhone, '[^0-9]', '', 'g')"
+ATS = f"(length({MAIL}) - length(replace({MAIL}, '@', '')))"
+oracle("contact_formats", rule_rows([
+    ("email_no_at", f"NOT {missing('email')} AND {ATS} = 0 AND {MAIL} NOT IN {WORDS}", 15, "Email has no @"),
+    ("email_no_domain", rf"NOT {missing('email')} AND {ATS} = 1 AND NOT regexp_matches({MAIL}, '@[^@\s]+\.[^@\s]+$')", 15,
+     "Email has no domain"),
+    ("email_several", f"NOT {missing('email')} AND {ATS} > 1", 15, "Several emails in one field"),
+    ("email_placeholder", f"NOT {missing('email')} AND ({MAIL} IN ('test@example.com', 'abc@xyz.com') OR {MAIL} IN {WORDS})",
+     30, "Placeholder email"),
+    ("phone_not_a_number", f"NOT {missing('officialPhone')} AND {PHONE} = ''", 15, "Phone is not a number"),
+    ("phone_short", f"NOT {missing('officialPhone')} AND length({PHONE}) BETWEEN 1 AND 6", 15,
+     "Phone number has too few digits"),
+    ("phone_repeated", f"NOT {missing('officialPhone')} AND length({PHONE}) >= 2 AND "
+                       f"replace({PHONE}, substr({PHONE}, 1, 1), '') = ''", 30, "Phone repeats one digit"),
+], "src", severity=True), "src")
+
+
+def has_word(words, *columns):
+    text = " || ' ' || ".join(f"coalesce({key(c)}, '')" for c in columns)
+    return "(" + " OR ".join(f"contains(' ' || {text} || ' ', ' {w} ')" for w in words) + ")"
+
+
+BEDS = as_int("capacity")
+oracle("field_conflicts", rule_rows([
+    ("hospital_without_beds", f"lower(trim(facilityTypeId)) = 'hospital' AND {BEDS} = 0", 15, "Hospital with capacity 0"),
+    ("year_in_future", f"{YEAR} > 2024", 30, "Year established is in the future"),
+    ("year_too_old", f"{YEAR} < 1800", 15, "Year established is implausibly old"),
+    ("inpatients_without_beds", has_word(["inpatient", "icu", "ward"], "description", "capability")
+     + f" AND coalesce({BEDS}, 0) = 0", 15, "Inpatient services claimed without bed capacity"),
+], "src", severity=True), "src")
+
+
+def low_cov(field, invalid, future):
+    return f"""SELECT unique_id, '{field}' AS field, CASE WHEN {missing(field)} THEN 'missing' WHEN {future} THEN 'future'
+      WHEN {invalid} THEN 'invalid' END AS state,
+      (SELECT avg(CASE WHEN trim({field}) <> '' THEN 1.0 ELSE 0.0 END) FROM src) < 0.5 AS low FROM src"""
+
+
+oracle("low_coverage", f"""
+, found AS ({low_cov('capacity', f'({BEDS} IS NULL OR {BEDS} <= 0)', 'false')}
+  UNION ALL {low_cov('yearEstablished', f'({YEAR} IS NULL OR {YEAR} < 1800)', f'{YEAR} > 2024')})
+""" + graded("""SELECT *, 'low_coverage' AS "check",
+  CASE WHEN state = 'future' THEN 'high' WHEN state = 'invalid' THEN 'medium' WHEN low THEN 'warning' ELSE 'low' END AS severity,
+  CASE WHEN state <> 'missing' THEN field || ' is present but not valid' WHEN low THEN
+    field || ' is missing (low dataset coverage)' ELSE field || ' is missing' END AS issue_summary
+  FROM found WHERE state IS NOT NULL""", 'unique_id, field, "check", issue_summary'), "src")
+ONLY_COUNTRY = "lower(trim(address_line1)) IN ('india', 'in')"
+FULL = "concat_ws('|', " + ", ".join(key(c) for c in (
+    "address_line1", "address_line2", "address_city", "address_state_or_region")) + ")"
+
+
+def shared_rows(rows, check, what, value="value", id_col="unique_id"):
+    return f"""SELECT s.unique_id, '{check}' AS "check", 15 AS penalty_points,
+      'This {what} appears on ' || duplicate_count || ' facility records' AS issue_summary, 'medium' AS severity
+      FROM {rows} s JOIN (SELECT {value}, count(DISTINCT unique_id) AS duplicate_count FROM {rows} GROUP BY ALL
+        HAVING count(DISTINCT unique_id) > 1) c USING ({value})"""
+
+
+oracle("weak_address", f", keyed AS (SELECT unique_id, {FULL} AS value FROM silver WHERE {key('address_line1')} <> '') "
+       + rule_rows([
+           ("address_missing", "(address_line1 IS NULL OR trim(address_line1) = '')", 5, "Address is missing"),
+           ("address_country_only", ONLY_COUNTRY, 15, "Address is only a country"),
+           ("address_short", f"length(trim(address_line1)) < 10 AND trim(address_line1) <> '' AND NOT {ONLY_COUNTRY}", 5,
+            "Address is very short")], "silver", severity=True)
+       + " UNION ALL " + shared_rows("keyed", "address_shared", "address"), "silver")
+oracle("same_coords", """
+, spots AS (SELECT unique_id, latitude, longitude FROM silver WHERE latitude IS NOT NULL AND longitude IS NOT NULL)
+SELECT s.unique_id, s.latitude, s.longitude, duplicate_count, 'same_coordinates' AS "check", 'medium' AS severity,
+  15 AS penalty_points, 'This point appears on ' || duplicate_count || ' facility records' AS issue_summary
+FROM spots s JOIN (SELECT latitude, longitude, count(DISTINCT unique_id) AS duplicate_count FROM spots GROUP BY 1, 2) c
+ON s.latitude = c.latitude AND s.longitude = c.longitude WHERE duplicate_count > 1""", "silver")
+TYPE_WORDS = {"hospital": ["hospital"], "clinic": ["clinic"], "dentist": ["dentist", "dental"],
+              "pharmacy": ["pharmacy", "pharmacist"], "nursing_home": ["nursing"]}
+TEXTS = ("description", "capability", "procedure", "equipment")
+oracle("type_vs_text", rule_rows([
+    (f"type_{a}_{b}", f"facility_type_id = '{a}' AND says_{b} AND NOT says_{a}", 15, f"Type is {a} but the text names {b}")
+    for a in TYPE_WORDS for b in TYPE_WORDS if a != b],
+    "(SELECT unique_id, facility_type_id, " + ", ".join(
+        f"{has_word(w, *TEXTS)} AS says_{t}" for t, w in TYPE_WORDS.items()) + " FROM silver)", severity=True), "silver")
+
+
+def text_rules(c, others):
+    length = f"length({c})"
+    punctuation = rf"length(regexp_replace({c}, '[\p{{L}}\p{{N}}\s]', '', 'g'))"
+    rules = [
+        ("text_short", f"{length} > 0 AND length(trim({c})) < 40", 5, "Text is too short to support a claim"),
+        ("text_garbled", f"{length} > 0 AND ({length} - length({sane(c)})) / {length} > 0.01", 15,
+         "Text holds unreadable characters"),
+        ("text_punctuation", f"{length} > 0 AND {punctuation} / {length} > 0.3", 5, "Text is mostly punctuation"),
+    ]
+    if others:
+        rules.append(("text_copied_field", f"{length} > 0 AND {key(c)} <> '' AND (" + " OR ".join(
+            f"{key(c)} = {key(o)}" for o in others) + ")", 15, "Text repeats another field"))
+    return rules
+
+
+oracle("text_quality", f", keyed AS (SELECT unique_id, {key('description')} AS value FROM silver WHERE {key('description')} <> '') "
+       + rule_rows(text_rules("description", ["capability", "procedure", "equipment"]), "silver", severity=True)
+       + " UNION ALL " + shared_rows("keyed", "text_boilerplate", "text"), "silver")
+ORACLES["document_text_quality"] = (
+    f"WITH keyed AS (SELECT doc_id AS unique_id, {key('text')} AS value FROM documents WHERE {key('text')} <> '') "
+    + rule_rows(text_rules("text", []), "documents", "doc_id", severity=True)
+    + " UNION ALL " + shared_rows("keyed", "text_boilerplate", "text"))

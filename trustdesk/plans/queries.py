@@ -8,6 +8,7 @@ from trustdesk.operators import (
 )
 from trustdesk.operators.outreach import outreach, outreach_draft
 from trustdesk.operators.similarity import fuzzy_identity
+from trustdesk.plans.layers import stored_once
 from trustdesk.schemas import SOURCE_COLUMNS
 from trustdesk.sources import driver_views as views
 from trustdesk.sources.readers import run_sql
@@ -31,18 +32,23 @@ class Data:
     def view(self, name):
         return getattr(views, name)(self.spark, self.dir)
 
-    source = property(lambda s: s.view("source"))
-    signals = property(lambda s: s.view("signals"))
+    def kept(self, name, build, partition_by=()):
+        """A stored layer: written by the first query that needs it, read by the others."""
+        return stored_once(self.spark, (self.dir, name), build, partition_by)
+
+    source = property(lambda s: s.kept("source", lambda: s.view("source").drop("balance", "record_key")))
+    signals = property(lambda s: s.kept("signals", lambda: s.view("signals"), ["dimension"]))
+    responses = property(lambda s: s.kept("responses", lambda: s.view("responses")))
     overrides = property(lambda s: s.view("overrides"))
     actions = property(lambda s: s.view("actions"))
     review_log = property(lambda s: s.view("review_log"))
     raw = property(lambda s: clean.to_raw(s.source).where(F.col("facility_id").isNotNull()))
     bronze = property(lambda s: clean.to_bronze(s.source, AT))
-    silver = property(lambda s: clean.to_silver(s.bronze, AS_OF))
-    gold = property(lambda s: curate.to_gold(s.silver, s.overrides))
+    silver = property(lambda s: s.kept("silver", lambda: clean.to_silver(s.bronze, AS_OF)))
+    gold = property(lambda s: s.kept("gold", lambda: curate.to_gold(s.silver, s.overrides)))
+    scores = property(lambda s: s.kept("quality_scores", s.build_scores))
 
-    @property
-    def scores(self):
+    def build_scores(self):
         checks, names, _ = quality.core_checks(self.source)
         return quality.quality_scores(checks, names)
 
@@ -79,13 +85,13 @@ add("raw_subset")(lambda d: clean.to_raw(d.source))
 
 @add("silver_clean")
 def _(d):
-    s = d.silver.drop("_silver_processed_at")
+    s = clean.to_silver(d.bronze, AS_OF).drop("_silver_processed_at")
     return s.select(*(listed(c) if c == "affiliation_type_ids" else c for c in s.columns))
 
 
 @add("gold_merge")
 def _(d):
-    g = d.gold.drop("_gold_built_at")
+    g = curate.to_gold(d.silver, d.overrides).drop("_gold_built_at")
     return g.select(*(listed(c) if c in ("affiliation_type_ids", "overridden_fields") else c for c in g.columns))
 
 
@@ -96,7 +102,7 @@ add("override_latest")(lambda d: curate.override_latest(d.overrides).select("fac
 add("dup_phones")(lambda d: quality.duplicate_phones(d.source).withColumn("pct_rank", F.round("pct_rank", 6)))
 add("missing_checks")(lambda d: quality.row_checks(d.source, quality.missing_rules()))
 add("location_check")(lambda d: quality.location_check(d.source))
-add("quality_scores")(lambda d: d.scores.withColumn("issues", F.array_join("issues", "|")))
+add("quality_scores")(lambda d: d.build_scores().withColumn("issues", F.array_join("issues", "|")))
 
 
 @add("worst_100")
@@ -132,8 +138,8 @@ def _(d):
     return good.drop("extracted_at")
 
 
-add("signals_parse")(lambda d: sig.valid_dimensions(sig.parse_signals(d.view("responses"))[0]).drop("extracted_at"))
-add("signals_errors")(lambda d: sig.parse_signals(d.view("responses"))[1].drop("failed_at"))
+add("signals_parse")(lambda d: sig.valid_dimensions(sig.parse_signals(d.responses)[0]).drop("extracted_at"))
+add("signals_errors")(lambda d: sig.parse_signals(d.responses)[1].drop("failed_at"))
 add("signals_latest")(lambda d: sig.latest_signals(d.signals).select(
     "facility_id", "dimension", "trust_score", "confidence_tier", "evidence_text"))
 add("coverage")(lambda d: sig.coverage(d.silver, COVERED))
@@ -148,7 +154,7 @@ add("score_bands")(lambda d: sig.score_bands(d.signals))
 add("field_profile")(lambda d: sig.field_profile(d.gold, d.signals))
 add("lowest_tier")(lambda d: sig.lowest_tier(d.signals))
 add("extraction_report")(lambda d: sig.extraction_report(
-    d.raw, d.signals, sig.parse_signals(d.view("responses"))[1]))
+    d.raw, d.signals, sig.parse_signals(d.responses)[1]))
 add("report_dimensions")(lambda d: sig.report_dimensions(d.signals))
 add("contradiction_sample")(lambda d: sig.contradiction_sample(d.signals))
 add("missing_signals")(lambda d: sig.missing_signals(d.raw, d.signals))
