@@ -297,7 +297,7 @@ def graded(inner, columns):
 
 
 oracle("dup_emails", """
-, e AS (SELECT unique_id, lower(trim(email)) AS email FROM src WHERE regexp_matches(email, """ + EMAIL + """)),
+, e AS (SELECT unique_id, lower(trim(email)) AS email FROM src WHERE regexp_matches(lower(trim(email)), """ + EMAIL + """)),
 c AS (SELECT email, count(DISTINCT unique_id) AS duplicate_count, email IN ('test@example.com', 'abc@xyz.com') AS fake
       FROM e GROUP BY 1)
 """ + graded(f"""SELECT unique_id, e.email, duplicate_count, 'duplicate_email' AS "check",
@@ -458,3 +458,439 @@ ORACLES["document_text_quality"] = (
     f"WITH keyed AS (SELECT doc_id AS unique_id, {key('text')} AS value FROM documents WHERE {key('text')} <> '') "
     + rule_rows(text_rules("text", []), "documents", "doc_id", severity=True)
     + " UNION ALL " + shared_rows("keyed", "text_boilerplate", "text"))
+
+# --- trust score --------------------------------------------------------------------------------------
+
+EMPTY = " + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in (
+    "official_phone", "email", "official_website", "year_established", "capacity", "number_doctors", "description"))
+
+
+def blended(gold):
+    """Score rows of a gold relation: the fan-out join, grouped by record."""
+    return f"""
+SELECT unique_id AS facility_id, g.name AS facility_name, g.address_state_or_region AS state,
+  g.facility_type_id AS facility_type,
+  round(CASE WHEN count(t.trust_score) = 0 THEN NULL ELSE least(greatest(0, least(1,
+    avg(t.trust_score) - greatest(0, 3 - count(t.trust_score)) * 0.10 - max({EMPTY}) * 0.03
+    - (100 - coalesce(max(q.quality_score), 100)) / 400.0)), 0.90) END, 6) AS score,
+  max(CASE WHEN t.contradiction THEN 1 ELSE 0 END) AS has_contradiction, CAST(count(t.dimension) AS INTEGER) AS signal_count
+FROM {gold} g LEFT JOIN signals t ON g.unique_id = t.facility_id LEFT JOIN scores q ON q.facility_id = g.unique_id
+GROUP BY 1, 2, 3, 4"""
+
+
+part("fs", blended("gold"), "gold", "signals", "scores")
+oracle("facility_scores", "SELECT * FROM fs", "fs")
+oracle("trust_quality_matrix", """
+SELECT f.facility_id, score, coalesce(q.quality_score, 100) AS quality_score, CASE WHEN score IS NULL THEN 'no_trust_score'
+  WHEN score >= 0.7 THEN CASE WHEN coalesce(q.quality_score, 100) >= 65 THEN 'reliable' ELSE 'manual_review' END
+  WHEN coalesce(q.quality_score, 100) >= 65 THEN 'claims_unproven' ELSE 'risky' END AS verdict
+FROM fs f LEFT JOIN scores q ON q.facility_id = f.facility_id""", "fs", "scores")
+oracle("dash_summary", """SELECT CAST(count(*) AS INTEGER) AS total, CAST(coalesce(sum(has_contradiction), 0) AS INTEGER)
+  AS contradiction_count, CAST(round(avg(score) * 100) AS INTEGER) AS avg_score FROM fs""", "fs")
+BUCKETS = """(VALUES (1, '0-29', 0, 29, 'low'), (2, '30-39', 30, 39, 'low'), (3, '40-49', 40, 49, 'med'),
+  (4, '50-59', 50, 59, 'med'), (5, '60-69', 60, 69, 'med'), (6, '70-79', 70, 79, 'high'), (7, '80-89', 80, 89, 'high'),
+  (8, '90-100', 90, 100, 'high')) b(position, label, low, high, tier)"""
+oracle("dash_histogram", f"""SELECT position, label, CAST(count(f.facility_id) AS INTEGER) AS count, tier FROM {BUCKETS}
+  LEFT JOIN fs f ON score IS NOT NULL AND CAST(round(score * 100) AS INTEGER) BETWEEN low AND high
+  GROUP BY position, label, tier""", "fs")
+TIER_COUNTS = ", ".join(f"CAST(count(CASE WHEN {c} THEN 1 END) AS INTEGER) AS {n}_count" for n, c in (
+    ("high", "score >= 0.7"), ("med", "score >= 0.4 AND score < 0.7"), ("low", "score < 0.4"), ("insuff", "score IS NULL")))
+oracle("dash_tiers", f"SELECT {TIER_COUNTS}, CAST(count(*) AS INTEGER) AS total FROM fs", "fs")
+oracle("dash_dims", """SELECT position, d.dim, avg FROM (VALUES (1, 'capability'), (2, 'equipment'), (3, 'procedure'),
+  (4, 'completeness')) d(position, dim) LEFT JOIN (SELECT dimension AS dim, CAST(round(round(avg(trust_score), 9) * 100) AS INTEGER) AS avg
+  FROM signals WHERE trust_score IS NOT NULL GROUP BY 1) m ON m.dim = d.dim""", "signals")
+oracle("dash_types", """SELECT facility_type AS type, CAST(count(*) AS INTEGER) AS count,
+  CAST(sum(has_contradiction) AS INTEGER) AS contradictions FROM fs WHERE facility_type IS NOT NULL GROUP BY 1
+  ORDER BY count DESC, type LIMIT 8""", "fs")
+oracle("dash_top_bottom", """
+, top AS (SELECT *, 'top' AS "end" FROM fs WHERE score IS NOT NULL
+    ORDER BY score DESC, facility_name NULLS FIRST, facility_id LIMIT 3),
+bottom AS (SELECT *, 'bottom' AS "end" FROM fs WHERE score IS NOT NULL
+    ORDER BY score, facility_name NULLS FIRST, facility_id LIMIT 3)
+SELECT *, CAST(round(score * 100) AS INTEGER) AS points FROM (SELECT * FROM top UNION ALL SELECT * FROM bottom)""", "fs")
+
+INT_SCORE = "CAST(round(CASE WHEN trust_score <= 1 THEN trust_score * 100 ELSE trust_score END) AS INTEGER)"
+part("usable", f"""SELECT *, {INT_SCORE} AS points FROM signals
+  WHERE confidence_tier <> 'insufficient_data' AND trust_score IS NOT NULL""", "signals")
+part("simple", "SELECT facility_id, CAST(round(avg(points)) AS INTEGER) AS score FROM usable GROUP BY 1", "usable")
+part("plain_rows", """SELECT f.facility_id, facility_name, facility_type, has_contradiction, s.score AS points
+  FROM fs f LEFT JOIN simple s ON s.facility_id = f.facility_id""", "fs", "simple")
+oracle("simple_scores", "SELECT * FROM simple", "simple")
+oracle("dash_signal_summary", """SELECT CAST(count(*) AS INTEGER) AS total,
+  CAST(count(CASE WHEN has_contradiction = 1 THEN 1 END) AS INTEGER) AS contradiction_count,
+  CAST(count(CASE WHEN points >= 70 THEN 1 END) AS INTEGER) AS high_count,
+  CAST(count(CASE WHEN points >= 40 AND points < 70 THEN 1 END) AS INTEGER) AS med_count,
+  CAST(count(CASE WHEN points < 40 THEN 1 END) AS INTEGER) AS low_count,
+  CAST(count(CASE WHEN points IS NULL THEN 1 END) AS INTEGER) AS insuff_count,
+  (SELECT CAST(round(avg(points)) AS INTEGER) FROM usable) AS avg_score FROM plain_rows""", "plain_rows", "usable")
+oracle("dash_signal_histogram", f"""SELECT position, label, CAST(count(f.facility_id) AS INTEGER) AS count, tier
+  FROM {BUCKETS} LEFT JOIN plain_rows f ON points BETWEEN low AND high GROUP BY position, label, tier""", "plain_rows")
+oracle("dash_signal_dims", """SELECT position, d.dim, avg FROM (VALUES (1, 'capability'), (2, 'equipment'), (3, 'procedure'),
+  (4, 'completeness')) d(position, dim) LEFT JOIN (SELECT dimension AS dim, CAST(round(avg(points)) AS INTEGER) AS avg
+  FROM usable GROUP BY 1) m ON m.dim = d.dim""", "usable")
+oracle("dash_signal_types", """SELECT facility_type AS type, CAST(count(*) AS INTEGER) AS count,
+  CAST(count(CASE WHEN has_contradiction = 1 THEN 1 END) AS INTEGER) AS contradictions FROM plain_rows
+  WHERE facility_type IS NOT NULL GROUP BY 1""", "plain_rows")
+oracle("dash_signal_top", """SELECT * FROM plain_rows WHERE points IS NOT NULL ORDER BY points DESC, facility_id LIMIT 3""",
+       "plain_rows")
+oracle("dash_signal_bottom", """SELECT * FROM plain_rows WHERE points IS NOT NULL ORDER BY points, facility_id DESC LIMIT 3""",
+       "plain_rows")
+oracle("stats_totals", """SELECT CAST(count(DISTINCT g.unique_id) AS INTEGER) AS total_facilities,
+  CAST(count(DISTINCT CASE WHEN t.contradiction THEN g.unique_id END) AS INTEGER) AS contradiction_count
+  FROM gold g LEFT JOIN signals t ON g.unique_id = t.facility_id""", "gold", "signals")
+oracle("stats_tiers", f"""SELECT {', '.join(f"CAST(round({n}_count * 100.0 / greatest(total, 1)) AS INTEGER) AS {a}" for n, a in (
+    ('high', 'high_trust_pct'), ('med', 'med_trust_pct'), ('low', 'low_trust_pct'), ('insuff', 'insuff_pct')))}
+  FROM (SELECT {TIER_COUNTS}, count(*) AS total FROM fs)""", "fs")
+part("dim_means", """SELECT dimension, round(round(avg(trust_score), 9) * 100, 1) AS avg_score FROM signals
+  WHERE trust_score IS NOT NULL GROUP BY 1""", "signals")
+oracle("stats_dims", "SELECT * FROM dim_means", "dim_means")
+oracle("stats_dim_range", """SELECT (SELECT dimension FROM dim_means ORDER BY avg_score DESC, dimension LIMIT 1) AS top_dimension,
+  (SELECT dimension FROM dim_means ORDER BY avg_score, dimension DESC LIMIT 1) AS bottom_dimension""", "dim_means")
+oracle("stats_top_type", """SELECT facility_type_id AS facility_type, CAST(count(DISTINCT unique_id) AS INTEGER) AS total,
+  CAST(count(DISTINCT CASE WHEN t.contradiction THEN unique_id END) AS INTEGER) AS contradictions
+  FROM gold g LEFT JOIN signals t ON g.unique_id = t.facility_id WHERE facility_type_id IS NOT NULL GROUP BY 1
+  HAVING count(DISTINCT unique_id) > 2 ORDER BY contradictions / total DESC, facility_type LIMIT 1""", "gold", "signals")
+
+# --- search -------------------------------------------------------------------------------------------
+oracle("filter_options", """SELECT DISTINCT 'state' AS kind, address_state_or_region AS value FROM gold
+  WHERE address_state_or_region IS NOT NULL
+  UNION ALL SELECT DISTINCT 'type', facility_type_id FROM gold WHERE facility_type_id IS NOT NULL""", "gold")
+FOUND = "facility_id, facility_name, state, facility_type, score AS overall_trust_score, has_contradiction, signal_count"
+oracle("search", f"SELECT {FOUND} FROM fs ORDER BY score DESC NULLS LAST, facility_id LIMIT 25", "fs")
+oracle("search_filtered", f"""SELECT {FOUND} FROM fs JOIN gold ON unique_id = facility_id
+  WHERE (lower(facility_name) LIKE '%care%' OR lower(description) LIKE '%care%' OR lower(state) LIKE '%care%'
+         OR lower(capability) LIKE '%care%')
+  AND facility_type = 'clinic' AND coalesce(score, 0) >= 0.05 ORDER BY facility_name NULLS LAST, facility_id LIMIT 50""",
+       "fs", "gold")
+oracle("search_contradictions", f"""SELECT {FOUND}, {POINTS} AS completeness FROM fs JOIN gold ON unique_id = facility_id
+  WHERE state = 'NATION_1' AND has_contradiction = 1 AND score < 0.4
+  ORDER BY completeness DESC, facility_id LIMIT 25""", "fs", "gold")
+oracle("search_bound_sql", "SELECT unique_id, name FROM gold WHERE address_state_or_region = 'NATION_3'", "gold")
+SAMPLE_ID = "'c4ca4238-a0b9-2382-0dcc-509a6f75849b'"
+oracle("detail", f"""SELECT {FOUND}, address_city AS district, description, capability, procedure, equipment, capacity,
+  year_established, number_doctors, official_phone, email, official_website, address_line1, overridden_fields
+  FROM fs JOIN gold ON unique_id = facility_id WHERE facility_id = {SAMPLE_ID}""", "fs", "gold")
+oracle("detail_signals", f"SELECT * EXCLUDE (extracted_day) FROM signals WHERE facility_id = {SAMPLE_ID}", "signals")
+
+# --- signals ------------------------------------------------------------------------------------------
+part("raw", """SELECT unique_id AS facility_id, name AS facility_name, organization_type AS facility_type,
+  address_stateOrRegion AS state, description, capability, procedure, equipment, capacity,
+  yearEstablished AS year_established FROM src WHERE unique_id IS NOT NULL""", "src")
+oracle("worklist", """SELECT facility_id, facility_name FROM raw
+  WHERE facility_id NOT IN (SELECT DISTINCT facility_id FROM signals)
+  ORDER BY (CASE WHEN description IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN capability IS NOT NULL THEN 1 ELSE 0 END) DESC,
+    facility_id LIMIT 10000""", "raw", "signals")
+oracle("prompt", """SELECT facility_id, 'Judge how well the texts of this record support what it claims, for the dimensions '
+  || 'capability, equipment, procedure, completeness. Quote evidence word for word. Answer with one JSON object '
+  || '{"dimensions": [...]} whose items have the keys dimension, trust_score, confidence_tier, evidence_text, '
+  || 'source_field, contradiction, contradiction_detail.' || """ + " || ".join(
+    [f"chr(10) || '{c}: ' || coalesce({c}, 'N/A')" for c in ("facility_id", "facility_type", "state")]
+    + [f"chr(10) || '{c}: ' || coalesce({c}, 'NOT PROVIDED')" for c in ("capacity", "year_established")]
+    + [f"chr(10) || '{c}: ' || coalesce(substr({c}, 1, {n}), '')" for c, n in (
+        ("description", 1500), ("capability", 800), ("procedure", 800), ("equipment", 800))]) + " AS prompt FROM raw", "raw")
+
+
+def ruled(c):
+    clash = f"(contains(lower({c}), 'surgery') AND coalesce(facility_type, '') = 'NGO')"
+    return f"""SELECT facility_id, '{c}' AS dimension, CASE WHEN {c} IS NOT NULL THEN CAST(least(length({c}), 100) AS DOUBLE) / 100 END AS trust_score,
+      CASE WHEN {c} IS NULL THEN 'insufficient_data' WHEN length({c}) >= 70 THEN 'high' WHEN length({c}) >= 40 THEN 'medium'
+        ELSE 'low' END AS confidence_tier, {c} AS evidence_text,
+      CASE WHEN {c} IS NOT NULL THEN '{c}' END AS source_field, coalesce({clash}, false) AS contradiction,
+      CASE WHEN {clash} THEN 'surgery is not expected here' END AS contradiction_detail, 'primary' AS extraction_model
+      FROM raw"""
+
+
+oracle("model_score", " UNION ALL ".join(ruled(c) for c in ("capability", "equipment", "procedure"))
+       + """ UNION ALL SELECT facility_id, 'completeness', NULL, 'insufficient_data', NULL, NULL, false, NULL, 'primary'
+       FROM raw""", "raw")
+part("judged", """SELECT *, CASE WHEN raw_response IS NULL THEN 'no response'
+    WHEN items IS NULL THEN 'response has no dimensions'
+    WHEN len(list_filter(items, lambda i: i->>'dimension' IS NULL OR i->>'confidence_tier' IS NULL)) > 0
+      THEN 'dimension or confidence_tier is missing'
+    WHEN len(list_filter(items, lambda i: i->>'trust_score' IS NOT NULL AND TRY_CAST(i->>'trust_score' AS DOUBLE) IS NULL)) > 0
+      THEN 'trust_score is not a number' END AS problem
+  FROM (SELECT *, CASE WHEN json_valid(raw_response) AND json_exists(CASE WHEN json_valid(raw_response) THEN raw_response END, '$.dimensions')
+    THEN CAST(json_extract(CASE WHEN json_valid(raw_response) THEN raw_response END, '$.dimensions') AS JSON[]) END AS items
+  FROM responses)""", "responses")
+oracle("signals_errors", """SELECT facility_id, problem AS error_message, coalesce(raw_response, '') AS raw_response
+  FROM judged WHERE problem IS NOT NULL""", "judged")
+oracle("signals_parse", """SELECT facility_id, i->>'dimension' AS dimension, CAST(i->>'trust_score' AS DOUBLE) AS trust_score,
+  i->>'confidence_tier' AS confidence_tier, i->>'evidence_text' AS evidence_text, i->>'source_field' AS source_field,
+  coalesce(i->>'contradiction' = 'true', false) AS contradiction, i->>'contradiction_detail' AS contradiction_detail,
+  extraction_model
+  FROM (SELECT facility_id, extraction_model, unnest(items) AS i FROM judged WHERE problem IS NULL)
+  WHERE i->>'dimension' IN ('capability', 'equipment', 'procedure', 'completeness')""", "judged")
+part("latest", """SELECT * FROM signals QUALIFY row_number() OVER (PARTITION BY facility_id, dimension
+  ORDER BY extracted_day DESC, trust_score DESC NULLS LAST, evidence_text ASC NULLS LAST) = 1""", "signals")
+oracle("signals_latest", "SELECT facility_id, dimension, trust_score, confidence_tier, evidence_text FROM latest", "latest")
+COVERED = ["description", "capability", "procedure", "equipment", "year_established", "capacity", "number_doctors", "email"]
+part("cover", " UNION ALL ".join(
+    f"SELECT '{c}' AS field, round(avg(CASE WHEN trim(CAST({c} AS VARCHAR)) <> '' THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM silver"
+    for c in COVERED), "silver")
+oracle("coverage", "SELECT * FROM cover", "cover")
+oracle("coverage_guard", """SELECT facility_id, dimension, CASE WHEN field IS NULL THEN trust_score END AS trust_score,
+  CASE WHEN field IS NULL THEN confidence_tier ELSE 'insufficient_data' END AS confidence_tier,
+  CASE WHEN field IS NULL THEN evidence_text ELSE 'Field ''' || field || ''' has ' || CAST(round(coverage * 100) AS INTEGER)
+    || '% dataset coverage — not reliable as evidence' END AS evidence_text,
+  source_field, contradiction, contradiction_detail, extraction_model
+  FROM signals LEFT JOIN cover ON field = source_field AND coverage < 0.5""", "signals", "cover")
+NAMED_FIELD = "CASE source_field " + " ".join(f"WHEN '{c}' THEN CAST({c} AS VARCHAR)" for c in (
+    "description", "capability", "procedure", "equipment", "capacity", "year_established")) + " END"
+part("grounding", f"""SELECT *, grounding = 'grounded' AS grounded FROM (SELECT facility_id, dimension, source_field, evidence_text,
+    contradiction, contradiction_detail, CASE WHEN evidence_text IS NULL THEN 'no_evidence' WHEN source_field IS NULL
+    THEN 'no_field' WHEN {NAMED_FIELD} IS NULL THEN 'field_empty' WHEN contains({NAMED_FIELD}, evidence_text) THEN 'grounded'
+    ELSE 'not_in_field' END AS grounding FROM signals JOIN gold ON unique_id = facility_id)""", "signals", "gold")
+oracle("evidence_grounding", """SELECT facility_id, dimension, source_field, evidence_text, grounding, grounded
+  FROM grounding""", "grounding")
+oracle("contradiction_severity", """SELECT facility_id, dimension, contradiction_detail, CASE WHEN contradiction_detail IS NULL
+  THEN 'LOW' WHEN grounded THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM grounding WHERE contradiction""", "grounding")
+part("newest", """SELECT * FROM signals QUALIFY row_number() OVER (PARTITION BY facility_id, dimension
+  ORDER BY extracted_day DESC, coalesce(trust_score, -1) DESC, trust_score DESC NULLS LAST, confidence_tier DESC) = 1""", "signals")
+DIMS = "(VALUES ('capability'), ('equipment'), ('procedure'), ('completeness'))"
+oracle("score_bands", f"""SELECT r.facility_id, d.dimension, {INT_SCORE} AS score,
+  coalesce(confidence_tier, 'insufficient_data') AS confidence_tier
+  FROM (SELECT DISTINCT facility_id FROM signals) r CROSS JOIN {DIMS} d(dimension)
+  LEFT JOIN newest n ON n.facility_id = r.facility_id AND n.dimension = d.dimension""", "newest", "signals")
+part("quotes", """SELECT facility_id, max(CASE WHEN dimension = 'capability' THEN evidence_text END) AS capability_quote,
+  max(CASE WHEN dimension = 'equipment' THEN evidence_text END) AS equipment_quote,
+  max(CASE WHEN dimension = 'procedure' THEN evidence_text END) AS procedure_quote
+  FROM (SELECT * FROM signals QUALIFY row_number() OVER (PARTITION BY facility_id, dimension ORDER BY extracted_day DESC,
+    coalesce(trust_score, -1) DESC, evidence_text DESC NULLS LAST) = 1) GROUP BY 1""", "signals")
+
+
+def shown(c):
+    items = f"list_filter(list_transform({json_list(c)}, lambda x: coalesce(x, 'null')), lambda x: x <> '')"
+    return f"""coalesce(CASE WHEN starts_with(ltrim({c}), '[') AND json_valid({c}) THEN
+      CASE WHEN len({items}) > 0 THEN array_to_string({items}, ', ') END WHEN {c} <> '' THEN {c} END, {c}_quote)"""
+
+
+part("shown", f"""SELECT g.* EXCLUDE (capability, equipment, procedure, capacity), g.unique_id AS facility_id,
+  {shown('capability')} AS capability, {shown('equipment')} AS equipment, {shown('procedure')} AS procedure, g.capacity
+  FROM gold g LEFT JOIN quotes q ON q.facility_id = g.unique_id""", "gold", "quotes")
+PROFILE = [
+    ("Facility Name", "name", "Identity"), ("City", "address_city", "Identity"),
+    ("State", "address_state_or_region", "Identity"), ("Facility Type", "facility_type_id", "Identity"),
+    ("Phone", "official_phone", "Identity"), ("Email", "email", "Identity"), ("Website", "official_website", "Identity"),
+    ("Address", "address_line1", "Identity"), ("Description", "description", "Identity"),
+    ("Capability", "capability", "Clinical"), ("Equipment", "equipment", "Clinical"),
+    ("Procedure", "procedure", "Clinical"), ("Bed Capacity", "capacity", "Capacity"),
+    ("Doctors", "number_doctors", "Capacity"), ("Year Established", "year_established", "Capacity")]
+oracle("field_profile", " UNION ALL ".join(
+    f"SELECT facility_id, {n} AS position, '{label}' AS label, '{c}' AS field_name, '{category}' AS category, "
+    f"CAST({c} AS VARCHAR) AS value, {c + ' IS NULL' if category == 'Capacity' else 'false'} AS missing FROM shown"
+    for n, (label, c, category) in enumerate(PROFILE, 1)), "shown")
+part("marks", f"""
+SELECT facility_id, dimension, source_field AS field_name,
+  CASE WHEN confidence_tier = 'insufficient_data' THEN 'insufficient' WHEN contradiction THEN 'contradiction' ELSE 'evidence' END AS type,
+  value AS text, CASE WHEN contains(value, quote) THEN quote ELSE value END AS match,
+  CASE WHEN confidence_tier <> 'insufficient_data' AND contradiction THEN coalesce(contradiction_detail, quote) ELSE quote END AS bubble,
+  CASE WHEN confidence_tier <> 'insufficient_data' AND NOT contradiction THEN {INT_SCORE} END AS score
+FROM (SELECT s.*, v.value, coalesce(evidence_text, v.value) AS quote FROM signals s JOIN (
+    SELECT facility_id, 'capability' AS field, capability AS value FROM shown UNION ALL
+    SELECT facility_id, 'equipment', equipment FROM shown UNION ALL SELECT facility_id, 'procedure', procedure FROM shown
+    UNION ALL SELECT facility_id, 'capacity', CAST(capacity AS VARCHAR) FROM shown) v
+  ON v.facility_id = s.facility_id AND v.field = s.source_field WHERE v.value <> '')
+UNION ALL
+SELECT facility_id, dimension, 'description', 'contradiction', description,
+  CASE WHEN contains(description, quote) THEN quote ELSE description END, contradiction_detail, NULL
+FROM (SELECT s.*, description, CASE WHEN regexp_extract(contradiction_detail, '"([^"]+)"', 1) <> ''
+    THEN regexp_extract(contradiction_detail, '"([^"]+)"', 1)
+    WHEN regexp_extract(contradiction_detail, '''([^'']+)''', 1) <> ''
+    THEN regexp_extract(contradiction_detail, '''([^'']+)''', 1) END AS quote
+  FROM signals s JOIN gold ON unique_id = facility_id
+  WHERE contradiction AND contradiction_detail <> '' AND description <> '')""", "signals", "shown", "gold")
+oracle("highlights", "SELECT * FROM marks", "marks")
+# walk the matches of a field from left to right; the end of the last kept match decides what is skipped
+ORACLES["segments"] = with_parts("""
+, spots AS (SELECT facility_id, field_name, text, instr(text, match) AS pos, length(match) AS size,
+    row_number() OVER (PARTITION BY facility_id, field_name ORDER BY instr(text, match), length(match) DESC) AS n
+  FROM (SELECT DISTINCT facility_id, field_name, text, match FROM marks WHERE match <> '') WHERE instr(text, match) > 0),
+walk AS (
+  SELECT facility_id, field_name, text, n, pos, size, true AS kept, pos + size AS reach, 1 AS before FROM spots WHERE n = 1
+  UNION ALL
+  SELECT s.facility_id, s.field_name, s.text, s.n, s.pos, s.size, s.pos >= w.reach,
+    CASE WHEN s.pos >= w.reach THEN s.pos + s.size ELSE w.reach END, w.reach
+  FROM walk w JOIN spots s ON s.facility_id = w.facility_id AND s.field_name = w.field_name AND s.n = w.n + 1),
+pieces AS (
+  SELECT facility_id, field_name, before AS pos, 'plain' AS kind, substr(text, before, pos - before) AS text
+    FROM walk WHERE kept AND pos > before
+  UNION ALL SELECT facility_id, field_name, pos, 'highlight', substr(text, pos, size) FROM walk WHERE kept
+  UNION ALL SELECT facility_id, field_name, max(reach), 'plain', substr(any_value(text), max(reach)) FROM walk
+    GROUP BY 1, 2 HAVING max(reach) <= length(any_value(text)))
+SELECT facility_id, field_name, CAST(row_number() OVER (PARTITION BY facility_id, field_name ORDER BY pos) AS INTEGER)
+  AS position, kind, text FROM pieces""", "marks", recursive=True)
+oracle("lowest_tier", """SELECT facility_id, ['high', 'medium', 'low', 'insufficient_data'][CAST(max(CASE confidence_tier WHEN 'high' THEN 1
+  WHEN 'medium' THEN 2 WHEN 'low' THEN 3 WHEN 'insufficient_data' THEN 4 END) AS INTEGER)] AS lowest_tier FROM signals GROUP BY 1""",
+       "signals")
+oracle("extraction_report", """SELECT records, covered, round(covered * 100.0 / greatest(records, 1), 1) AS coverage_pct,
+  signal_rows, errors, contradictions, insufficient, covered > records * 0.95 AS passed
+  FROM (SELECT (SELECT count(*) FROM raw) AS records, (SELECT count(DISTINCT facility_id) FROM signals) AS covered,
+    (SELECT count(*) FROM signals) AS signal_rows, (SELECT count(*) FROM judged WHERE problem IS NOT NULL) AS errors,
+    (SELECT count(*) FROM signals WHERE contradiction) AS contradictions,
+    (SELECT count(*) FROM signals WHERE confidence_tier = 'insufficient_data') AS insufficient)""", "raw", "signals", "judged")
+oracle("report_dimensions", """SELECT dimension, round(avg(round(trust_score * 100)), 6) AS avg_score FROM signals
+  WHERE trust_score IS NOT NULL GROUP BY 1""", "signals")
+oracle("contradiction_sample", """SELECT facility_id, dimension, contradiction_detail FROM signals WHERE contradiction
+  ORDER BY facility_id, dimension, contradiction_detail NULLS FIRST LIMIT 5""", "signals")
+oracle("missing_signals", """SELECT facility_id FROM raw r WHERE NOT EXISTS (
+  SELECT 1 FROM signals s WHERE s.facility_id = r.facility_id)""", "raw", "signals")
+
+# --- analyst state ------------------------------------------------------------------------------------
+
+
+def newest_actions(keys, rows="actions"):
+    return f"""SELECT * FROM (SELECT * REPLACE (coalesce(dimension, '') AS dimension) FROM {rows})
+      QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY updated_at DESC, seq DESC) = 1"""
+
+
+part("acted", newest_actions("facility_id, analyst_id, action_type, dimension"), "actions")
+oracle("latest_actions", "SELECT facility_id, analyst_id, action_type, dimension, content, override_score, seq FROM acted",
+       "acted")
+for _name, _flag in (("action_counts", "content = 'flagged'"), ("action_counts_any_reason", "trim(content) <> ''")):
+    oracle(_name, f"""SELECT CAST(count(DISTINCT CASE WHEN action_type = 'shortlist' AND content = 'added' THEN facility_id END)
+        AS INTEGER) AS shortlisted_count,
+      CAST(count(DISTINCT CASE WHEN action_type = 'flag' AND {_flag} THEN facility_id END) AS INTEGER) AS flagged_count
+      FROM ({newest_actions("facility_id, action_type, dimension")})""", "actions")
+part("state", """SELECT facility_id, analyst_id,
+  coalesce(bool_or(action_type = 'shortlist' AND content = 'added'), false) AS shortlisted,
+  coalesce(bool_or(action_type = 'flag' AND content = 'flagged'), false) AS flagged,
+  max(CASE WHEN action_type = 'note' THEN content END) AS note FROM acted GROUP BY 1, 2""", "acted")
+oracle("review_queue", """SELECT analyst_id, list, s.facility_id, facility_name, state, facility_type, score, note, has_contradiction
+  FROM (SELECT *, 'flagged' AS list FROM state WHERE flagged UNION ALL SELECT *, 'shortlisted' FROM state WHERE shortlisted) s
+  JOIN fs ON fs.facility_id = s.facility_id""", "state", "fs")
+oracle("search_state", """SELECT fs.facility_id, coalesce(bool_or(shortlisted), false) AS shortlisted,
+  coalesce(bool_or(flagged), false) AS flagged, coalesce(bool_or(note IS NOT NULL), false) AS has_note
+  FROM fs LEFT JOIN state s ON s.facility_id = fs.facility_id GROUP BY 1""", "fs", "state")
+STATUSES = "('not_started', 'in_progress', 'email_sent', 'called', 'parked', 'validation_complete')"
+MOVE_ERROR = f"""CASE WHEN status IS NULL OR status NOT IN {STATUSES} THEN 'unknown status'
+  WHEN status = 'parked' AND trim(coalesce(parked_reason, '')) = '' THEN 'parked needs a reason' END"""
+oracle("move_validation", f"SELECT seq, status, parked_reason, {MOVE_ERROR} AS error FROM review_log", "review_log")
+part("review", f"""SELECT * FROM review_log WHERE ({MOVE_ERROR}) IS NULL
+  QUALIFY row_number() OVER (PARTITION BY facility_id ORDER BY updated_at DESC, seq DESC) = 1""", "review_log")
+part("cards", """SELECT r.facility_id, coalesce(g.name, r.facility_id) AS facility_name, facility_type_id AS facility_type,
+  address_state_or_region AS state, status, parked_reason, assigned_to, notes, updated_by
+  FROM review r LEFT JOIN gold g ON g.unique_id = r.facility_id""", "review", "gold")
+part("waiting", "SELECT * FROM gold WHERE unique_id NOT IN (SELECT facility_id FROM review)", "gold", "review")
+oracle("board_columns", """SELECT * FROM cards UNION ALL SELECT * FROM (SELECT unique_id, name, facility_type_id, address_state_or_region,
+  'not_started', NULL, NULL, NULL, NULL FROM waiting ORDER BY name NULLS FIRST, unique_id LIMIT 2000)""", "cards", "waiting")
+oracle("board_unstarted_all", """SELECT unique_id AS facility_id, name AS facility_name, 'not_started' AS status FROM gold
+  ORDER BY name NULLS FIRST, unique_id LIMIT 500""", "gold")
+oracle("board_assignee", "SELECT * FROM cards WHERE status = 'parked' AND assigned_to = 'analyst-2'", "cards")
+oracle("board_counts", """SELECT position, s.status, CASE WHEN s.status = 'not_started' THEN (SELECT count(*) FROM waiting)
+    + (SELECT count(*) FROM review r WHERE r.status = s.status)
+    ELSE (SELECT count(*) FROM review r WHERE r.status = s.status) END AS cards
+  FROM (VALUES (1, 'not_started'), (2, 'in_progress'), (3, 'email_sent'), (4, 'called'), (5, 'parked'),
+    (6, 'validation_complete')) s(position, status)""", "review", "waiting")
+ACTION_ERROR = """CASE WHEN action_type IS NULL OR action_type NOT IN ('note', 'override', 'shortlist', 'flag') THEN 'unknown action type'
+  WHEN action_type = 'override' AND trim(coalesce(content, '')) = '' THEN 'override needs a reason'
+  WHEN action_type = 'override' AND (override_score IS NULL OR override_score < 0 OR override_score > 100)
+    THEN 'override score must be 0 to 100'
+  WHEN action_type = 'flag' AND trim(coalesce(content, '')) = '' THEN 'flag needs a reason' END"""
+oracle("action_validation", f"SELECT action_id, action_type, content, override_score, {ACTION_ERROR} AS error FROM actions",
+       "actions")
+oracle("suggestions_apply", """SELECT facility_id, field_name, suggested_value AS new_value, 'analyst-1' AS analyst_id,
+  'LLM cleanup from bronze: ' || reason AS reason FROM suggestions""", "suggestions")
+oracle("changed_ids", "SELECT DISTINCT facility_id FROM overrides WHERE updated_at > TIMESTAMP '2001-01-01'", "overrides")
+# recomputing the changed records from the full log gives the scores over the full log
+oracle("rescore", "SELECT * FROM fs", "fs")
+oracle("score_overrides", f"""
+, fixes AS ({newest_actions("facility_id, dimension", f"(SELECT * FROM actions WHERE action_type = 'override' AND ({ACTION_ERROR}) IS NULL)")})
+SELECT s.facility_id, s.dimension, coalesce(f.override_score / 100, s.trust_score) AS trust_score,
+  f.override_score IS NOT NULL AS overridden, confidence_tier, evidence_text
+FROM signals s LEFT JOIN fixes f ON f.facility_id = s.facility_id AND f.dimension = s.dimension""", "signals", "actions")
+
+# --- outreach -----------------------------------------------------------------------------------------
+part("reachable", f"""SELECT b.*, q.quality_score, q.issues FROM (SELECT unique_id, name, address_city, address_stateOrRegion,
+    lower(trim(email)) AS email FROM src WHERE NOT {missing('email')} AND regexp_matches(lower(trim(email)), {EMAIL})) b
+  LEFT JOIN scores q ON q.facility_id = trim(b.unique_id)""", "src", "scores")
+
+
+def joined_set(c, rows="reachable"):
+    return f"coalesce(string_agg(DISTINCT {c}, '|' ORDER BY {c}), '')"
+
+
+part("rollup", f"""SELECT r.email, CAST(0 AS BIGINT) AS list_part, count(DISTINCT unique_id) AS facility_count,
+  {joined_set('unique_id')} AS facility_ids, {joined_set('name')} AS facility_names,
+  {joined_set('address_stateOrRegion')} AS states, {joined_set('address_city')} AS cities,
+  count(DISTINCT unique_id) > 1 AS is_shared, min(quality_score) AS min_quality_score,
+  CAST(round(avg(quality_score)) AS INTEGER) AS avg_quality_score, coalesce(any_value(i.issues), '') AS issues
+  FROM reachable r LEFT JOIN (SELECT email, string_agg(DISTINCT issue, '|' ORDER BY issue) AS issues
+    FROM (SELECT email, unnest(string_split(issues, '|')) AS issue FROM reachable) GROUP BY 1) i ON i.email = r.email
+  GROUP BY 1""", "reachable")
+oracle("outreach_rollup", "SELECT * FROM rollup", "rollup")
+oracle("outreach_draft", """
+, lists AS (SELECT email, list_part, CASE WHEN facility_names = '' THEN [] ELSE string_split(facility_names, '|') END AS names,
+  list_filter(string_split(states, '|'), lambda s: s <> '') AS states, issues FROM rollup)
+SELECT email, list_part, 'Hello,' || chr(10) || chr(10) || 'my name is Maya and I help the directory team keep its directory of health facilities correct.'
+  || chr(10) || chr(10) || 'This address is listed for ' || CASE WHEN len(names) = 0 THEN 'your facility' WHEN len(names) = 1 THEN names[1]
+    ELSE len(names) || ' facilities including ' || names[1] END || CASE WHEN len(states) > 0 THEN ' in ' || states[1] ELSE '' END
+  || '. Could you confirm or correct a few details?' || CASE WHEN issues = '' THEN '' ELSE chr(10) || chr(10)
+    || 'These points need a look:' || chr(10) || '  - ' || replace(issues, '|', chr(10) || '  - ') END
+  || chr(10) || chr(10) || 'A short reply is enough. Thank you for your help.' || chr(10) || chr(10) || 'Kind regards,' || chr(10)
+  || 'Maya' || chr(10) || 'the directory team' AS draft FROM lists""", "rollup")
+
+# --- geography ----------------------------------------------------------------------------------------
+oracle("pin_enrich", f"""
+, pins AS (SELECT pincode, count(*) AS office_count, count(DISTINCT district || '/' || statename) AS places, min(district) AS d,
+  min(statename) AS s, round(avg({as_double('latitude')}), 6) AS pin_latitude,
+  round(avg({as_double('longitude')}), 6) AS pin_longitude FROM postal GROUP BY 1)
+SELECT unique_id, address_zip_or_postcode, office_count, places > 1 AS is_ambiguous, CASE WHEN places = 1 THEN d END AS pin_district,
+  CASE WHEN places = 1 THEN s END AS pin_state, pin_latitude, pin_longitude
+FROM gold LEFT JOIN pins ON pincode = address_zip_or_postcode""", "gold", "postal")
+part("figures", f"""SELECT {key('district_name')} AS district_key, CAST(nullif(regexp_replace(trim(burden), '[()]', '', 'g'), '*') AS DOUBLE) AS burden,
+  starts_with(trim(burden), '(') AS burden_low_sample, suppliers FROM indicators""", "indicators")
+oracle("indicator_join", f"""SELECT unique_id, address_city, {key('address_city')} AS district_key, burden, burden_low_sample, suppliers
+  FROM gold LEFT JOIN figures f ON f.district_key = {key('address_city')}""", "gold", "figures")
+oracle("unmatched_districts", f"""SELECT {key('address_city')} AS district_key, count(*) AS records FROM gold
+  WHERE address_city IS NOT NULL AND {key('address_city')} NOT IN (SELECT district_key FROM figures) GROUP BY 1""",
+       "gold", "figures")
+oracle("district_rank", f"""
+, counted AS (SELECT {key('address_city')} AS k, count(*) AS n FROM gold GROUP BY 1)
+SELECT district_key, burden, burden_low_sample, coalesce(n, 0) AS facilities,
+  CAST(rank() OVER (ORDER BY burden DESC NULLS LAST, coalesce(n, 0)) AS INTEGER) AS rank
+FROM figures LEFT JOIN counted ON k = district_key""", "figures", "gold")
+EDGES = " UNION ALL ".join(
+    "SELECT n_name AS district, {0} AS x1, {1} AS y1, {2} AS x2, {3} AS y2 FROM nation".format(*v.corner(i), *v.corner(i + 1))
+    for i in range(len(v.CORNERS)))
+oracle("point_in_polygon", f"""
+, edges AS ({EDGES}), points AS (SELECT DISTINCT latitude, longitude FROM gold),
+hits AS (SELECT p.latitude, p.longitude, district FROM points p, edges
+  WHERE (y1 > p.latitude) <> (y2 > p.latitude) AND p.longitude < (x2 - x1) * (p.latitude - y1) / (y2 - y1) + x1
+  GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1)
+SELECT unique_id, g.latitude, g.longitude, district FROM gold g JOIN hits h ON h.latitude = g.latitude AND h.longitude = g.longitude""",
+       "gold")
+
+# --- operators of the starter texts -------------------------------------------------------------------
+part("history", """SELECT user_id, ts, event_id, value, CASE event_type WHEN 'signup' THEN 'insert' WHEN 'error' THEN 'delete'
+  ELSE 'update' END AS op FROM events""")
+oracle("cdc_current", """SELECT user_id, event_id, value, op FROM (SELECT * FROM history QUALIFY row_number() OVER (
+  PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) WHERE op <> 'delete'""", "history")
+oracle("scd2", """SELECT user_id, event_id, CAST(ts AS VARCHAR) AS valid_from,
+  CAST(lead(ts) OVER w AS VARCHAR) AS valid_to, lead(ts) OVER w IS NULL AS is_current FROM history
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""", "history")
+oracle("cosine_topk", """
+SELECT query_id, match_id, round(similarity, 5) AS similarity, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT q.vec_id AS query_id, e.vec_id AS match_id,
+    round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) AS similarity,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY
+      round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) DESC, e.vec_id) AS rank
+  FROM (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) q, embeddings e)
+WHERE rank <= 5""")
+oracle("chunk_paragraphs", """
+SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS chunk, unnest(parts) AS paragraph FROM (
+  SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n+'), lambda p: trim(p)), lambda p: p <> '') AS parts
+  FROM documents)""".replace("\\\\", "\\"))
+part("daily", """SELECT l_suppkey, CAST(l_shipdate AS DATE) AS day, sum(l_quantity) AS units FROM lineitem GROUP BY 1, 2""")
+part("speed", """SELECT l_suppkey, day, sum(units) OVER (PARTITION BY l_suppkey ORDER BY day
+  RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW) / 30 AS velocity FROM daily""", "daily")
+oracle("velocity", "SELECT l_suppkey, CAST(day AS VARCHAR) AS day, round(velocity, 6) AS velocity FROM speed", "speed")
+oracle("moving_avg", """SELECT l_suppkey, CAST(day AS VARCHAR) AS day, round((units * 0.5 + coalesce(b * 0.3, 0) + coalesce(c * 0.2, 0))
+  / (0.5 + CASE WHEN b IS NULL THEN 0 ELSE 0.3 END + CASE WHEN c IS NULL THEN 0 ELSE 0.2 END), 6) AS forecast
+  FROM (SELECT *, lag(units, 1) OVER w AS b, lag(units, 2) OVER w AS c FROM daily WINDOW w AS (PARTITION BY l_suppkey ORDER BY day))""",
+       "daily")
+oracle("low_stock", """
+, now AS (SELECT * FROM speed QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY day DESC) = 1)
+SELECT l_suppkey, round(s_acctbal / 100, 6) AS on_hand, round(s_acctbal / 100 / nullif(velocity, 0), 4) AS days_left
+FROM supplier JOIN now ON l_suppkey = s_suppkey WHERE s_acctbal / 100 / nullif(velocity, 0) < 14""", "speed")
+oracle("moderation_metrics", """SELECT source, count(*) AS submissions, round(avg(CASE WHEN toxic = 0 THEN 1.0 ELSE 0.0 END), 6) AS approval_rate,
+  round(avg(quality), 6) AS avg_score FROM documents JOIN labels ON labels.doc_id = documents.doc_id GROUP BY 1""")
