@@ -12,7 +12,7 @@ from trustdesk.functions.text import (
     digits, email_key, is_email, is_missing, json_strings, matching_key, national_number, sanitize,
 )
 from trustdesk.operators.quality import Rule, row_checks
-from trustdesk.operators.skew import hot_split_join
+from trustdesk.operators.skew import salted_join
 from trustdesk.schemas import PLACEHOLDERS, SEVERITY_POINTS
 
 # --- fixed values: contacts nobody can be reached at, and country names used as a whole address ---
@@ -43,14 +43,19 @@ def points_of(severity) -> Column:
 
 
 def shared_records(keyed: DataFrame, key="value", hot_rows=None, also=None) -> DataFrame:
-    """Rows of ``keyed`` (unique_id, key, ...) whose key belongs to more than one record, with
-    ``duplicate_count``. ``also`` keeps rows of further keys, given as a condition on the key."""
+    """(unique_id, key, duplicate_count) for every record whose key belongs to more than one record.
+
+    ``also`` keeps further keys, given as a condition on the key. Copies collapse to one row per (key, record)
+    before anything else, and that one shuffle feeds both the counts and the join.
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    grouped = keyed.groupBy(*keys).agg(F.count_distinct("unique_id").alias("duplicate_count"),
-                                     F.count(F.lit(1)).alias("n"))
+    per_record = keyed.dropna(subset=keys).select("unique_id", *keys).distinct()
+    counts = per_record.groupBy(*keys).agg(F.count("unique_id").alias("duplicate_count"),
+                                           F.count(F.lit(1)).alias("n"))
     wanted = F.col("duplicate_count") > 1
-    shared = grouped.where(wanted if also is None else wanted | also)
-    return hot_split_join(keyed, shared.drop("n"), key, counts=shared.select(*keys, "n"), hot_rows=hot_rows)
+    shared = counts.where(wanted if also is None else wanted | also)
+    return salted_join(per_record, shared.drop("n"), keys, "unique_id", counts=shared.select(*keys, "n"),
+                       hot_rows=hot_rows)
 
 
 def by_count(count="duplicate_count") -> Column:
@@ -239,22 +244,28 @@ def type_against_text(silver: DataFrame) -> DataFrame:
 def text_quality(df: DataFrame, text="description", id_col="unique_id", others=(), min_chars=40,
                  garbled_share=0.01, punctuation_share=0.3, hot_rows=None) -> DataFrame:
     """Thin, garbled, repeated or copied text. Works on any table with an id and a text column."""
-    value = F.col(text)
-    length = F.length(value)
-    key = matching_key(text)
+    value, length = F.col(text), F.col("_length")
+    # the normalised text is needed several times, so it is a column of its own rather than an expression
+    prepared = df.withColumn("_length", F.length(value))
+    if others:
+        prepared = prepared.withColumn("_key", matching_key(text))
     garbled = (length - F.length(sanitize(value))) / length
-    punctuation = F.length(F.regexp_replace(value, r"[\p{L}\p{N}\s]", "")) / length
-    same = reduce(lambda a, b: a | b, ((key == matching_key(o)) for o in others), F.lit(False))
+    punctuation = F.length(F.regexp_replace(value, r"[\p{L}\p{N}\s]+", "")) / length
     present = length > 0
-    rules = row_checks(df, [
+    rules = [
         rule("text_short", present & (F.length(F.trim(value)) < min_chars), "low", "Text is too short to support a claim"),
         rule("text_garbled", present & (garbled > garbled_share), "medium", "Text holds unreadable characters"),
         rule("text_punctuation", present & (punctuation > punctuation_share), "low", "Text is mostly punctuation"),
-        rule("text_copied_field", present & (key != "") & same, "medium", "Text repeats another field"),
-    ], id_col)
-    keyed = df.where(key != "").select(F.col(id_col).alias("unique_id"), F.sha2(key, 256).alias("value"))
+    ]
+    if others:
+        same = F.col("_key").isin([matching_key(o) for o in others])
+        rules.append(rule("text_copied_field", present & (F.col("_key") != "") & same, "medium",
+                          "Text repeats another field"))
+    rows = row_checks(prepared, rules, id_col)
+    keyed = df.where(value.rlike(r"[\p{L}\p{N}]")).select(
+        F.col(id_col).alias("unique_id"), F.sha2(matching_key(text), 256).alias("value"))
     shared = _finish(shared_records(keyed, "value", hot_rows), "text_boilerplate", F.lit("medium"), _used_by("text"))
-    return rules.unionByName(shared.select(rules.columns))
+    return rows.unionByName(shared.select(rows.columns))
 
 
 def trust_quality_matrix(facility_scores: DataFrame, scores: DataFrame, trust_cut=0.7, quality_cut=65) -> DataFrame:

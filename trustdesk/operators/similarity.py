@@ -3,10 +3,12 @@
 Two names match when they share state and first letters and their edit distance is at most
 (1 - threshold) of the longer name. Candidates are found exactly: with E edits allowed, a name and its
 match must share one of the (2E + 1) rarest of their letter pairs, so each name is looked up only under
-those, together with the length of the partner. Only surviving candidates have their distance computed,
+those. Only surviving candidates have their distance computed,
 and a semi-join stops at the first match of a name.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from trustdesk.functions.text import matching_key
@@ -40,10 +42,13 @@ def near_names(names: DataFrame, threshold=0.85, hot_rows=None) -> DataFrame:
     sized = names.select("place", "block", "norm", length.alias("size"), longest.alias("longest"),
                          _edits(longest, threshold).alias("edits")).where(F.col("edits") > 0)
 
-    pairs = F.transform(F.sequence(F.lit(1), F.col("size") - 1), lambda i: F.substring(F.col("norm"), i, F.lit(2)))
-    numbered = sized.withColumn("pairs", pairs).withColumn("tokens", F.transform("pairs", lambda p, i: F.concat(
-        p, F.size(F.filter(F.slice("pairs", F.lit(1), i + 1), lambda q: q == p)).cast("string"))))
-    tokens = numbered.select("place", "block", "norm", "size", "longest", "edits", F.explode("tokens").alias("token"))
+    # letter pairs in sorted order; a repeated pair is numbered by its distance from the first equal one
+    pairs = F.array_sort(F.transform(
+        F.sequence(F.lit(1), F.col("size") - 1), lambda i: F.substring(F.col("norm"), i, F.lit(2))))
+    name = ["place", "block", "norm", "size", "longest", "edits"]
+    tokens = (sized.withColumn("pairs", pairs).select(*name, "pairs", F.posexplode("pairs").alias("i", "pair"))
+              .select(*name, F.concat("pair", (F.col("i") + 2 - F.array_position("pairs", F.col("pair"))).cast("string"))
+                      .alias("token")))
     # how common each letter pair is within the block decides which ones a name is filed under
     frequency = tokens.groupBy("place", "block", "token").agg(F.count(F.lit(1)).alias("n"))
     weighted = salted_join(tokens, frequency.withColumnRenamed("n", "common"), ["place", "block", "token"], ["norm"],
@@ -54,17 +59,16 @@ def near_names(names: DataFrame, threshold=0.85, hot_rows=None) -> DataFrame:
         F.explode(F.slice("t", F.lit(1), F.col("edits") * 2 + 1)).alias("t"),
     ).select("place", "block", "norm", "size", "longest", F.col("t.token").alias("token"))
 
-    shortest = F.ceil(F.col("size") * (100 - percent) / 100).cast("int")
-    left = filed.withColumn("other_size", F.explode(F.sequence(shortest, F.col("longest")))).drop("longest")
-    right = filed.select("place", "block", "token", F.col("size").alias("other_size"), F.col("norm").alias("other"))
-    budget = _edits(F.greatest(F.col("l.size"), F.col("r.other_size")), threshold)
-    near = (F.col("l.norm") != F.col("r.other")) & (F.levenshtein(F.col("l.norm"), F.col("r.other")) <= budget)
-    keys = ["place", "block", "token", "other_size"]
-    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
-    condition = near
-    for s in same:
-        condition = s & condition
-    return left.alias("l").join(right.alias("r"), condition, "left_semi").select("place", "block", "norm").distinct()
+    left = filed.drop("longest").alias("l")
+    right = filed.select("place", "block", "token", F.col("size").alias("other_size"),
+                         F.col("norm").alias("other")).alias("r")
+    budget = _edits(F.greatest("size", "other_size"), threshold)
+    near = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("place", "block", "token")]
+    # cheap tests first: only names of fitting length have their distance computed, and only up to the budget
+    near += [F.abs(F.col("size") - F.col("other_size")) <= budget, F.col("norm") != F.col("other"),
+             F.call_function("levenshtein", F.col("norm"), F.col("other"), budget) >= 0]
+    return (left.join(right, reduce(lambda a, b: a & b, near), "left_semi")
+            .select("place", "block", "norm").distinct())
 
 
 def fuzzy_identity(df: DataFrame, threshold=0.85, hot_rows=None, **columns) -> DataFrame:

@@ -297,7 +297,7 @@ def graded(inner, columns):
 
 
 oracle("dup_emails", """
-, e AS (SELECT unique_id, lower(trim(email)) AS email FROM src WHERE regexp_matches(lower(trim(email)), """ + EMAIL + """)),
+, e AS (SELECT DISTINCT unique_id, lower(trim(email)) AS email FROM src WHERE regexp_matches(lower(trim(email)), """ + EMAIL + """)),
 c AS (SELECT email, count(DISTINCT unique_id) AS duplicate_count, email IN ('test@example.com', 'abc@xyz.com') AS fake
       FROM e GROUP BY 1)
 """ + graded(f"""SELECT unique_id, e.email, duplicate_count, 'duplicate_email' AS "check",
@@ -310,7 +310,7 @@ NATIONAL = r"regexp_replace(regexp_replace(regexp_replace(trim(p), '^(\+91|0091)
 oracle("dup_phones_by_count", f"""
 , n AS (SELECT unique_id, unnest(list_distinct(list_transform(list_concat(coalesce({json_list('phone_numbers')}, []), [officialPhone]),
       lambda p: {NATIONAL}))) AS phone FROM (SELECT rowid_ AS r, * FROM (SELECT row_number() OVER () AS rowid_, * FROM src))),
-used AS (SELECT * FROM n WHERE phone <> ''),
+used AS (SELECT DISTINCT unique_id, phone FROM n WHERE phone <> ''),
 c AS (SELECT phone, count(DISTINCT unique_id) AS duplicate_count, length(phone) < 7 AS short FROM used GROUP BY 1)
 """ + graded(f"""SELECT unique_id, used.phone, duplicate_count, 'duplicate_phone_count' AS "check",
   CASE WHEN short THEN 'high' ELSE {BY_COUNT} END AS severity,
@@ -327,8 +327,8 @@ def key(c):
 oracle("dup_identity", f"""
 , named AS (SELECT unique_id, {key('name')} AS n, {key('address_line1')} AS a, {key('address_city')} AS c,
   {key('address_state_or_region')} AS s FROM silver),
-keyed AS (SELECT unique_id, 'address' AS match, n || '|' || a AS value FROM named WHERE n <> '' AND a <> ''
-  UNION ALL SELECT unique_id, 'place', n || '|' || c || '|' || s FROM named
+keyed AS (SELECT DISTINCT unique_id, 'address' AS match, n || '|' || a AS value FROM named WHERE n <> '' AND a <> ''
+  UNION SELECT unique_id, 'place', n || '|' || c || '|' || s FROM named
   WHERE n <> '' AND c IS NOT NULL AND s IS NOT NULL),
 counted AS (SELECT match, value, count(DISTINCT unique_id) AS duplicate_count FROM keyed GROUP BY 1, 2)
 """ + graded("""SELECT unique_id, k.match, k.value, duplicate_count, 'duplicate_identity' AS "check",
@@ -413,7 +413,7 @@ def shared_rows(rows, check, what, value="value", id_col="unique_id"):
         HAVING count(DISTINCT unique_id) > 1) c USING ({value})"""
 
 
-oracle("weak_address", f", keyed AS (SELECT unique_id, {FULL} AS value FROM silver WHERE {key('address_line1')} <> '') "
+oracle("weak_address", f", keyed AS (SELECT DISTINCT unique_id, {FULL} AS value FROM silver WHERE {key('address_line1')} <> '') "
        + rule_rows([
            ("address_missing", "(address_line1 IS NULL OR trim(address_line1) = '')", 5, "Address is missing"),
            ("address_country_only", ONLY_COUNTRY, 15, "Address is only a country"),
@@ -421,7 +421,7 @@ oracle("weak_address", f", keyed AS (SELECT unique_id, {FULL} AS value FROM silv
             "Address is very short")], "silver", severity=True)
        + " UNION ALL " + shared_rows("keyed", "address_shared", "address"), "silver")
 oracle("same_coords", """
-, spots AS (SELECT unique_id, latitude, longitude FROM silver WHERE latitude IS NOT NULL AND longitude IS NOT NULL)
+, spots AS (SELECT DISTINCT unique_id, latitude, longitude FROM silver WHERE latitude IS NOT NULL AND longitude IS NOT NULL)
 SELECT s.unique_id, s.latitude, s.longitude, duplicate_count, 'same_coordinates' AS "check", 'medium' AS severity,
   15 AS penalty_points, 'This point appears on ' || duplicate_count || ' facility records' AS issue_summary
 FROM spots s JOIN (SELECT latitude, longitude, count(DISTINCT unique_id) AS duplicate_count FROM spots GROUP BY 1, 2) c
@@ -451,11 +451,11 @@ def text_rules(c, others):
     return rules
 
 
-oracle("text_quality", f", keyed AS (SELECT unique_id, {key('description')} AS value FROM silver WHERE {key('description')} <> '') "
+oracle("text_quality", f", keyed AS (SELECT DISTINCT unique_id, {key('description')} AS value FROM silver WHERE {key('description')} <> '') "
        + rule_rows(text_rules("description", ["capability", "procedure", "equipment"]), "silver", severity=True)
        + " UNION ALL " + shared_rows("keyed", "text_boilerplate", "text"), "silver")
 ORACLES["document_text_quality"] = (
-    f"WITH keyed AS (SELECT doc_id AS unique_id, {key('text')} AS value FROM documents WHERE {key('text')} <> '') "
+    f"WITH keyed AS (SELECT DISTINCT doc_id AS unique_id, {key('text')} AS value FROM documents WHERE {key('text')} <> '') "
     + rule_rows(text_rules("text", []), "documents", "doc_id", severity=True)
     + " UNION ALL " + shared_rows("keyed", "text_boilerplate", "text"))
 

@@ -52,9 +52,11 @@ def quoted(words):
     return [f"'{w}'" for w in words]
 
 
+# some records repeat the name, street and city of the record before them under another id
+PLACE_KEY = "(CASE WHEN k % 50 = 7 THEN k - 1 ELSE k END)"
 BASE_NAME = (
-    f"({cycle('k', *quoted(NAME_FIRST))}) || ' ' || ({cycle('(k * 3 + nation_key)', *quoted(NAME_SECOND))})"
-    f" || ' ' || ({cycle('(k * 7)', *quoted(NAME_LAST))}) || ' ' || {text('k % 977')}"
+    f"({cycle(PLACE_KEY, *quoted(NAME_FIRST))}) || ' ' || ({cycle(f'({PLACE_KEY} * 3)', *quoted(NAME_SECOND))})"
+    f" || ' ' || ({cycle(f'({PLACE_KEY} * 7)', *quoted(NAME_LAST))}) || ' ' || {text(f'{PLACE_KEY} % 977')}"
 )
 LANDLINE = f"'0' || {text('2200000 + k % 997')}"
 MOBILE = f"'+91 ' || {text('9800000 + ' + SKEWED)}"
@@ -80,11 +82,11 @@ SOURCE_EXPRESSIONS = {
     "acceptsVolunteers": cycle("k", "'true'", "'YES'", "'1'", "'on'", "''", "' False '"),
     "facebookLink": pick("k", (5, 0, "'NA'"), default=f"' fb.com/' || {text('k')}"),
     "address_line1": pick("k", (37, 0, "chr(7) || chr(7)"), (37, 1, "'India'"), (37, 2, "'NA'"), (37, 3, "NULL"),
-                          default=f"{text('k % 211')} || ' Market Road' || chr(7)"),
+                          default=f"{text(f'{PLACE_KEY} % 211')} || ' Market Road' || chr(7)"),
     "address_line2": pick("k", (4, 0, "NULL"), default=f"'Block ' || {text('k % 12')}"),
     "address_line3": pick("k", (2, 0, "'Unknown'"), default=f"'Near gate ' || {text('k % 5')}"),
     "address_city": pick("k", (31, 0, "NULL"), (31, 1, "' '"), (31, 2, "'n/a'"), (31, 3, "' none '"),
-                         default=f"'City ' || {text('k % 60')}"),
+                         default=f"'City ' || {text(f'{PLACE_KEY} % 60')}"),
     "address_stateOrRegion": pick("k", (41, 0, "NULL"), (41, 1, "'NA'"), default="state_name"),
     "address_zipOrPostcode": pick("k", (43, 0, "'unknown'"), default=text("560000 + k % 120")),
     "address_country": "CASE WHEN k % 47 = 0 THEN NULL WHEN region_name = 'EUROPE' THEN 'Nepal' "
