@@ -46,7 +46,7 @@ class Data:
     bronze = property(lambda s: clean.to_bronze(s.source, AT))
     silver = property(lambda s: s.kept("silver", lambda: clean.to_silver(s.bronze, AS_OF)))
     gold = property(lambda s: s.kept("gold", lambda: curate.to_gold(s.silver, s.overrides)))
-    scores = property(lambda s: s.kept("quality_scores", s.build_scores))
+    quality_scores = property(lambda s: s.kept("quality_scores", s.build_scores))
 
     def build_scores(self):
         checks, names, _ = quality.core_checks(self.source)
@@ -54,7 +54,7 @@ class Data:
 
     @property
     def fs(self):
-        return trust.facility_scores(self.gold, self.signals, self.scores)
+        return trust.facility_scores(self.gold, self.signals, self.quality_scores)
 
     @property
     def review(self):
@@ -125,7 +125,7 @@ add("same_coords")(lambda d: extra.same_coordinates(d.silver))
 add("type_vs_text")(lambda d: extra.type_against_text(d.silver))
 add("text_quality")(lambda d: extra.text_quality(d.silver, others=["capability", "procedure", "equipment"]))
 add("document_text_quality")(lambda d: extra.text_quality(d.table("documents"), "text", "doc_id"))
-add("trust_quality_matrix")(lambda d: extra.trust_quality_matrix(d.fs, d.scores))
+add("trust_quality_matrix")(lambda d: extra.trust_quality_matrix(d.fs, d.quality_scores))
 
 # --- signals ------------------------------------------------------------------------------------------
 add("worklist")(lambda d: sig.worklist(d.raw, d.signals, 10_000).select("facility_id", "facility_name"))
@@ -194,19 +194,19 @@ def _(d):
                                                           F.col("facility_type").alias("value"))))
 
 
-add("search")(lambda d: find.search(d.gold, d.signals, d.scores))
+add("search")(lambda d: find.search(d.gold, d.signals, d.quality_scores))
 add("search_filtered")(lambda d: find.search(
-    d.gold, d.signals, d.scores, q="Care", facility_type="clinic", min_score=5, page=1, limit=50, sort="name",
+    d.gold, d.signals, d.quality_scores, q="Care", facility_type="clinic", min_score=5, page=1, limit=50, sort="name",
     columns=find.WIDER_SEARCH_COLUMNS))
 add("search_contradictions")(lambda d: find.search(
-    d.gold, d.signals, d.scores, state="NATION_1", contradictions_only=True, tier="low", sort="completeness"))
+    d.gold, d.signals, d.quality_scores, state="NATION_1", contradictions_only=True, tier="low", sort="completeness"))
 add("search_bound_sql")(lambda d: (d.gold.createOrReplaceTempView("trustdesk_gold"), run_sql(
     d.spark, "SELECT unique_id, name FROM trustdesk_gold WHERE (:state = '' OR address_state_or_region = :state)",
     state="NATION_3"))[1])
 SAMPLE_ID = "c4ca4238-a0b9-2382-0dcc-509a6f75849b"
-add("detail")(lambda d: find.detail(SAMPLE_ID, d.gold, d.signals, d.scores)["facility"].withColumn(
+add("detail")(lambda d: find.detail(SAMPLE_ID, d.gold, d.signals, d.quality_scores)["facility"].withColumn(
     "overridden_fields", F.array_join("overridden_fields", "|")))
-add("detail_signals")(lambda d: find.detail(SAMPLE_ID, d.gold, d.signals, d.scores)["trust_signals"].drop("extracted_at"))
+add("detail_signals")(lambda d: find.detail(SAMPLE_ID, d.gold, d.signals, d.quality_scores)["trust_signals"].drop("extracted_at"))
 
 # --- analyst state ------------------------------------------------------------------------------------
 add("latest_actions")(lambda d: desk.latest_actions(d.actions).select(
@@ -231,7 +231,7 @@ add("changed_ids")(lambda d: desk.changed_since(d.overrides, "2001-01-01 00:00:0
 @add("rescore")
 def _(d):
     before = d.overrides.where("updated_at <= '2001-01-01'")
-    score = lambda gold: trust.facility_scores(gold, d.signals, d.scores)
+    score = lambda gold: trust.facility_scores(gold, d.signals, d.quality_scores)
     previous = score(curate.to_gold(d.silver, before))
     return desk.rescore(previous, d.gold, desk.changed_since(d.overrides, "2001-01-01 00:00:00"), score)
 
@@ -245,11 +245,11 @@ add("score_overrides")(lambda d: desk.apply_score_overrides(d.signals, d.actions
 @add("outreach_rollup")
 def _(d):
     lists = ["facility_ids", "facility_names", "states", "cities", "issues"]
-    rollup = outreach(d.source, d.scores)
+    rollup = outreach(d.source, d.quality_scores)
     return rollup.select(*(F.array_join(c, "|").alias(c) if c in lists else c for c in rollup.columns))
 
 
-add("outreach_draft")(lambda d: outreach_draft(outreach(d.source, d.scores), "Maya"))
+add("outreach_draft")(lambda d: outreach_draft(outreach(d.source, d.quality_scores), "Maya"))
 
 # --- geography ----------------------------------------------------------------------------------------
 add("pin_enrich")(lambda d: enrich.enrich_postal(
