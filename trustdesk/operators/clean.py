@@ -39,8 +39,9 @@ def to_silver(bronze: DataFrame, as_of, processed_at=None) -> DataFrame:
     number = lambda c, kind="int": trimmed(c).try_cast(kind)
     flag = lambda c: F.lower(trimmed(c)).try_cast("boolean")
 
-    def free_text(c):
-        return clean_text(sanitize(c))
+    # sanitised first as columns of their own, so that each long text is scanned once
+    texts = ("name", "description", "capability", "procedure", "equipment")
+    bronze = bronze.withColumns({c: sanitize(c) for c in texts})
 
     def address(c):
         # the placeholder test sees the raw text, so a line of control characters becomes ''
@@ -53,7 +54,7 @@ def to_silver(bronze: DataFrame, as_of, processed_at=None) -> DataFrame:
     year = number("yearEstablished")
     columns = {
         "unique_id": trimmed("unique_id"),
-        "name": free_text("name"),
+        "name": clean_text("name"),
         "organization_type": clean_text("organization_type"),
         "content_table_id": trimmed("content_table_id"),
         "official_phone": clean_text("officialPhone"),
@@ -74,10 +75,10 @@ def to_silver(bronze: DataFrame, as_of, processed_at=None) -> DataFrame:
         "facility_type_id": clean_text("facilityTypeId", fold=F.lower),
         "operator_type_id": clean_text("operatorTypeId", fold=F.lower),
         "affiliation_type_ids": json_list("affiliationTypeIds"),
-        "description": free_text("description"),
-        "capability": free_text("capability"),
-        "procedure": free_text("procedure"),
-        "equipment": free_text("equipment"),
+        "description": clean_text("description"),
+        "capability": clean_text("capability"),
+        "procedure": clean_text("procedure"),
+        "equipment": clean_text("equipment"),
         "area": number("area"),
         "number_doctors": number("numberDoctors"),
         "capacity": number("capacity"),
