@@ -53,7 +53,8 @@ def shared_records(keyed: DataFrame, key="value", hot_rows=None, also=None) -> D
     counts = per_record.groupBy(*keys).agg(F.count("unique_id").alias("duplicate_count"),
                                            F.count(F.lit(1)).alias("n"))
     wanted = F.col("duplicate_count") > 1
-    shared = counts.where(wanted if also is None else wanted | also)
+    # the test on n is always true and keeps the column, hence the shuffle, the same for both uses
+    shared = counts.where((wanted if also is None else wanted | also) & (F.col("n") > 0))
     return salted_join(per_record, shared.drop("n"), keys, "unique_id", counts=shared.select(*keys, "n"),
                        hot_rows=hot_rows)
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from trustdesk.functions.score import quality_tier
 from trustdesk.functions.text import digits, is_missing, json_strings
-from trustdesk.operators.skew import hot_split_join
+from trustdesk.operators.skew import hot_split_join, salted_join
 from trustdesk.schemas import RECORD_TYPES
 
 CONTRACT = ["unique_id", "check", "penalty_points", "issue_summary"]
@@ -126,10 +126,14 @@ def location_check(src: DataFrame, **options) -> DataFrame:
 
 
 def shared_values(df: DataFrame, value, id_col="unique_id") -> DataFrame:
-    """Values used by more than one record: (value, duplicate_count, n rows)."""
+    """Values used by more than one record: (value, duplicate_count, n rows).
+
+    The test on ``n`` is always true; it keeps the column alive in every use of this frame, so that all of
+    them read the same shuffle.
+    """
     return (df.groupBy(value)
             .agg(F.count_distinct(id_col).alias("duplicate_count"), F.count(F.lit(1)).alias("n"))
-            .where(F.col("duplicate_count") > 1))
+            .where((F.col("duplicate_count") > 1) & (F.col("n") > 0)))
 
 
 def with_percent_rank(df: DataFrame, column) -> DataFrame:
@@ -157,18 +161,39 @@ def phone_rows(src: DataFrame) -> DataFrame:
             .withColumn("phone_normalized", digits("raw_phone")))
 
 
-def duplicate_phones(src: DataFrame, min_digits=7, hot_rows=None) -> DataFrame:
-    """Numbers shared between records, graded by the percentile of how widely they are shared."""
-    phones = phone_rows(src)
-    dupes = shared_values(phones.where(F.length("phone_normalized") >= min_digits), "phone_normalized")
+def _graded_phones(dupes: DataFrame) -> DataFrame:
+    """Severity, points and text of each shared number."""
     rank = F.col("pct_rank")
-    graded = with_percent_rank(dupes, "duplicate_count").select(
+    return with_percent_rank(dupes, "duplicate_count").select(
         "phone_normalized", "duplicate_count", "pct_rank",
         F.when(rank >= 0.90, "critical").when(rank >= 0.60, "medium").otherwise("low").alias("severity"),
-        F.when(rank >= 0.90, 50).when(rank >= 0.60, 30).otherwise(10).alias("penalty_points"))
-    return hot_split_join(
-        phones, graded, "phone_normalized", counts=dupes.select("phone_normalized", "n"), hot_rows=hot_rows).withColumn("issue_summary", F.concat(
-        F.lit("Phone number shared with "), F.col("duplicate_count").cast("string"), F.lit(" facilities")))
+        F.when(rank >= 0.90, 50).when(rank >= 0.60, 30).otherwise(10).alias("penalty_points"),
+        F.concat(F.lit("Phone number shared with "), F.col("duplicate_count").cast("string"),
+                 F.lit(" facilities")).alias("issue_summary"))
+
+
+def duplicate_phones(src: DataFrame, min_digits=7, hot_rows=None) -> DataFrame:
+    """Numbers shared between records, one row per listing, graded by the percentile of their spread."""
+    phones = phone_rows(src)
+    dupes = shared_values(phones.where(F.length("phone_normalized") >= min_digits), "phone_normalized")
+    return hot_split_join(phones, _graded_phones(dupes), "phone_normalized",
+                          counts=dupes.select("phone_normalized", "n"), hot_rows=hot_rows)
+
+
+def duplicate_phone_penalties(src: DataFrame, min_digits=7, hot_rows=None) -> DataFrame:
+    """The same finding in the check contract, one row per (record, number): what scoring needs.
+
+    Listings collapse to distinct pairs first; that one shuffle feeds the counts and the join. Rows without a
+    record id count for nothing here and are left out.
+    """
+    pairs = (phone_rows(src).where((F.length("phone_normalized") >= min_digits) & F.col("unique_id").isNotNull())
+             .select("unique_id", "phone_normalized").distinct())
+    counts = pairs.groupBy("phone_normalized").agg(
+        F.count("unique_id").alias("duplicate_count"), F.count(F.lit(1)).alias("n"))
+    dupes = counts.where((F.col("duplicate_count") > 1) & (F.col("n") > 0))
+    return salted_join(pairs, _graded_phones(dupes), "phone_normalized", "unique_id",
+                       counts=dupes.select("phone_normalized", "n"), hot_rows=hot_rows).select(
+        "unique_id", F.lit("duplicate_phones").alias("check"), "penalty_points", "issue_summary")
 
 
 def core_checks(src: DataFrame):
@@ -177,7 +202,7 @@ def core_checks(src: DataFrame):
     frames = [row_checks(src, rules)]
     names = [r.check for r in rules]
     try:
-        frames.append(duplicate_phones(src).withColumn("check", F.lit("duplicate_phones")).select(CONTRACT))
+        frames.append(duplicate_phone_penalties(src))
         names.append("duplicate_phones")
     except AnalysisException:
         skipped.append("duplicate_phones")

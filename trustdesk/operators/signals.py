@@ -6,19 +6,25 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
-from trustdesk.functions.score import score_to_int
+from trustdesk.functions.score import confidence_rank, score_to_int
 from trustdesk.functions.text import display_text
 from trustdesk.operators.curate import first_by
-from trustdesk.schemas import DIMENSIONS, MODEL_ANSWER
+from trustdesk.schemas import CONFIDENCE_TIERS, DIMENSIONS, MODEL_ANSWER
 
 # --- work list and prompt ---------------------------------------------------------------------------
 
 
 def worklist(raw: DataFrame, signals: DataFrame, n=10_000) -> DataFrame:
-    """Records without signals, those with most text first. Stays a DataFrame."""
+    """Records without signals, those with most text first. Stays a DataFrame.
+
+    ``n=None`` takes all of them without sorting; a sorted limit passes its rows through one task, so large
+    runs should use that.
+    """
+    todo = raw.join(signals.select("facility_id"), "facility_id", "left_anti")
+    if n is None:
+        return todo
     points = sum(F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in ("description", "capability"))
-    return (raw.join(signals.select("facility_id"), "facility_id", "left_anti")
-            .orderBy(points.desc(), "facility_id").limit(n))
+    return todo.orderBy(points.desc(), "facility_id").limit(n)
 
 
 # --- fixed values: fields shown to the model, and how much of each text it reads --------------------
@@ -236,8 +242,6 @@ def contradiction_severity(grounded: DataFrame) -> DataFrame:
 
 def lowest_tier(signals: DataFrame) -> DataFrame:
     """Worst confidence tier per record, by rank rather than by spelling."""
-    from trustdesk.functions.score import confidence_rank
-    from trustdesk.schemas import CONFIDENCE_TIERS
     worst = F.max(confidence_rank("confidence_tier"))
     names = F.array(*(F.lit(t) for t in CONFIDENCE_TIERS))
     return signals.groupBy("facility_id").agg(worst.alias("_rank")).select(

@@ -46,26 +46,28 @@ def shared_folder(spark: SparkSession):
 _KEPT = {}
 
 
+def stored_path(spark: SparkSession, key, build, partition_by=()):
+    """Path of the table for ``key``, written on first use in this application; None without a shared folder."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key in _KEPT and sinks.path_exists(spark, f"{_KEPT[key][0]}/_SUCCESS"):
+        return _KEPT[key]
+    folder = shared_folder(spark)
+    if folder is None:
+        return None, None
+    df = build()
+    path = f"{folder}/trustdesk/{uuid.uuid4().hex}/{key[-1]}"
+    sinks.overwrite(df, path, partition_by)
+    _KEPT[key] = (path, df.schema)
+    return _KEPT[key]
+
+
 def stored_once(spark: SparkSession, key, build, partition_by=()) -> DataFrame:
-    """The table for ``key``, written on first use in this application and read from then on.
+    """The table for ``key``, read from its stored copy.
 
     Without a shared folder the plan stays lazy and is evaluated by each query.
     """
-    key = (spark.sparkContext.applicationId, *key)
-    if key not in _KEPT:
-        folder, df = shared_folder(spark), build()
-        if folder is None:
-            return df
-        path = f"{folder}/trustdesk/{uuid.uuid4().hex}/{key[-1]}"
-        sinks.overwrite(df, path, partition_by)
-        _KEPT[key] = (path, df.schema)
-    path, schema = _KEPT[key]
-    return spark.read.schema(schema).parquet(path)
-
-
-def stored(df: DataFrame, path: str) -> DataFrame:
-    sinks.overwrite(df, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    path, schema = stored_path(spark, key, build, partition_by)
+    return build() if path is None else spark.read.schema(schema).parquet(path)
 
 
 def build_layers(spark: SparkSession, src: DataFrame, overrides: DataFrame, layout: Layout, at, as_of,
@@ -89,12 +91,15 @@ def extract_signals(spark: SparkSession, raw: DataFrame, layout: Layout, scorer,
 
     Answers are stored before they are parsed, so the scorer runs once per record even though signals and
     errors are written separately. Records already answered leave the work list, so a restarted run goes on
-    where the last one stopped and repeats one chunk at most.
+    where the last one stopped and repeats one chunk at most. ``chunk=None`` takes the whole work list.
     """
     sinks.ensure_table(spark, layout.signals, TRUST_SIGNALS)
     sinks.ensure_table(spark, layout.errors, EXTRACTION_ERRORS)
     done = sinks.read_pinned(spark, layout.signals, TRUST_SIGNALS)
     todo = sig.render_prompt(sig.worklist(raw, done, chunk))
+    if chunk is not None:
+        # a limit leaves one partition; the scorer should run on every core
+        todo = todo.repartition(spark.sparkContext.defaultParallelism, "facility_id")
     answers = sig.score(todo, scorer, fallback).withColumn("responded_at", F.lit(at).cast("timestamp"))
     path = f"{layout.responses}/{run}"
     sinks.overwrite(sinks.conform(answers, RAW_RESPONSES), path)

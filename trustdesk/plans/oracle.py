@@ -746,6 +746,8 @@ def newest_actions(keys, rows="actions"):
 part("acted", newest_actions("facility_id, analyst_id, action_type, dimension"), "actions")
 oracle("latest_actions", "SELECT facility_id, analyst_id, action_type, dimension, content, override_score, seq FROM acted",
        "acted")
+oracle("stream_latest", """SELECT facility_id, analyst_id, action_type, content, seq FROM actions
+  QUALIFY row_number() OVER (PARTITION BY facility_id, analyst_id, action_type ORDER BY updated_at DESC, seq DESC) = 1""", "actions")
 for _name, _flag in (("action_counts", "content = 'flagged'"), ("action_counts_any_reason", "trim(content) <> ''")):
     oracle(_name, f"""SELECT CAST(count(DISTINCT CASE WHEN action_type = 'shortlist' AND content = 'added' THEN facility_id END)
         AS INTEGER) AS shortlisted_count,

@@ -1,5 +1,7 @@
 """Registered queries: every operator over whole driver tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from trustdesk.operators import (
@@ -8,10 +10,11 @@ from trustdesk.operators import (
 )
 from trustdesk.operators.outreach import outreach, outreach_draft
 from trustdesk.operators.similarity import fuzzy_identity
-from trustdesk.plans.layers import stored_once
+from trustdesk.plans.layers import shared_folder, stored_once, stored_path
 from trustdesk.schemas import SOURCE_COLUMNS
 from trustdesk.sources import driver_views as views
 from trustdesk.sources.readers import run_sql
+from trustdesk.streaming import latest
 
 AS_OF = "2024-06-30"
 AT = "2024-06-30 12:00:00"
@@ -211,6 +214,21 @@ add("detail_signals")(lambda d: find.detail(SAMPLE_ID, d.gold, d.signals, d.qual
 # --- analyst state ------------------------------------------------------------------------------------
 add("latest_actions")(lambda d: desk.latest_actions(d.actions).select(
     "facility_id", "analyst_id", "action_type", "dimension", "content", "override_score", "seq"))
+
+
+@add("stream_latest")
+def _(d):
+    """The action log folded into its latest state by a file stream."""
+    path, schema = stored_path(d.spark, (d.dir, "actions_log"), lambda: d.actions)
+    columns = ["facility_id", "analyst_id", "action_type", "content", "seq"]
+    keys = ["facility_id", "analyst_id", "action_type"]
+    if path is None:
+        return curate.latest_by(d.actions, keys).select(columns)
+    state = f"{shared_folder(d.spark)}/trustdesk/{uuid.uuid4().hex}"
+    latest.stream_latest(d.spark, path, schema, keys, f"{state}/state", f"{state}/checkpoint").awaitTermination()
+    return latest.read_latest(d.spark, f"{state}/state", schema).select(columns)
+
+
 add("action_counts")(lambda d: desk.action_counts(d.actions))
 add("action_counts_any_reason")(lambda d: desk.action_counts(d.actions, flag_rule="any_nonblank"))
 add("review_queue")(lambda d: desk.review_queue(d.actions, d.fs))

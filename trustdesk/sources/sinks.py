@@ -14,7 +14,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def ensure_table(spark: SparkSession, path: str, schema: StructType, partition_by=()) -> None:
+def ensure_table(spark: SparkSession, path: str, schema: StructType) -> None:
     """Create an empty table once; later calls leave it alone."""
     if not path_exists(spark, path):
         # an unpartitioned empty write leaves a file that carries the schema
