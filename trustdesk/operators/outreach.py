@@ -8,13 +8,14 @@ from trustdesk.operators.skew import hot_split_join
 LIST_LIMIT = 100_000
 
 
-def contacts(src: DataFrame, scores: DataFrame) -> DataFrame:
+def contacts(src: DataFrame, scores: DataFrame, hot_rows=None) -> DataFrame:
     """Source records with a valid address, with their quality score and issues if flagged."""
     base = (src.where(~is_missing("email"))
             .select("unique_id", "name", "address_city", "address_stateOrRegion", email_key("email").alias("email"),
                     F.trim("unique_id").alias("facility_id"))
             .where(is_email("email")))
-    return base.join(scores.select("facility_id", "quality_score", "issues"), "facility_id", "left")
+    return hot_split_join(base, scores.select("facility_id", "quality_score", "issues"), "facility_id", how="left",
+                          hot_rows=hot_rows)
 
 
 def outreach(src: DataFrame, scores: DataFrame, computed_at=None, list_limit=LIST_LIMIT, hot_rows=None) -> DataFrame:
@@ -24,16 +25,14 @@ def outreach(src: DataFrame, scores: DataFrame, computed_at=None, list_limit=LIS
     ``list_limit`` records spreads its lists by hash over several rows, numbered ``list_part`` and repeating
     the address figures. Ordinary addresses have the single part 0.
     """
-    rows = contacts(src, scores)
+    rows = contacts(src, scores, hot_rows)
     figures = rows.groupBy("email").agg(
         F.count_distinct("unique_id").alias("facility_count"), F.min("quality_score").alias("min_quality_score"),
-        F.avg("quality_score").alias("_avg"), F.count(F.lit(1)).alias("n"))
-    parts = F.ceil(F.greatest("facility_count", F.lit(1)) / list_limit)
-    big = figures.where(F.col("facility_count") > list_limit).select("email", parts.alias("_parts"), "n")
-    # at most rows / list_limit addresses are that big, and hot_split_join only broadcasts those of them
-    # that are hot
-    spread = hot_split_join(rows, big.drop("n"), "email", how="left", counts=big.select("email", "n"),
-                            hot_rows=hot_rows)
+        F.avg("quality_score").alias("_avg"))
+    # N rows hold at most N / list_limit addresses that are this big: 10^6 for 10^11 rows, which bounds the broadcast
+    big = rows.groupBy("email").agg(F.count_distinct("unique_id").alias("c")).where(F.col("c") > list_limit).select(
+        "email", F.ceil(F.col("c") / list_limit).alias("_parts"))
+    spread = rows.join(F.broadcast(big), "email", "left")
 
     kinds = {"facility_ids": "unique_id", "facility_names": "name", "states": "address_stateOrRegion",
              "cities": "address_city"}

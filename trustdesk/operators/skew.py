@@ -5,6 +5,8 @@ bounded by construction, since N rows hold at most N / hot_rows such keys (100,0
 the default), whatever the data looks like. Keys below the limit join by an ordinary shuffle.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 HOT_ROWS = 1_000_000
@@ -30,9 +32,14 @@ def hot_split_join(rows: DataFrame, lookup: DataFrame, on, how="inner", counts:
     """
     on, hot_rows = _names(on), hot_rows or HOT_ROWS
     keys = _hot_keys(rows, on, counts, hot_rows).select(*on)
-    hot = rows.join(F.broadcast(keys.join(lookup, on, how)), on)
-    cold = rows.join(F.broadcast(keys), on, "left_anti").join(lookup, on, how)
-    return cold.unionByName(hot)
+    no_key = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in on))
+    keyed = rows.where(~no_key)
+    hot = keyed.join(F.broadcast(keys.join(lookup, on, how)), on)
+    out = keyed.join(F.broadcast(keys), on, "left_anti").join(lookup, on, how).unionByName(hot)
+    if how == "left":
+        # rows without a key match nothing; they are passed on instead of meeting in one task
+        out = out.unionByName(rows.where(no_key), allowMissingColumns=True)
+    return out
 
 
 def salted_join(rows: DataFrame, lookup: DataFrame, on, spread_on, how="inner", counts: DataFrame = None,

@@ -28,6 +28,12 @@ class Layout:
         return f"{self.root}/{name}"
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Write a layer and go on from its stored form."""
+    sinks.overwrite(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession):
     """Folder for tables that cut a plan: ``spark.checkpoint.dir``, or a temporary folder in local mode.
 

@@ -226,7 +226,7 @@ def _(d):
         return curate.latest_by(d.actions, keys).select(columns)
     state = f"{shared_folder(d.spark)}/trustdesk/{uuid.uuid4().hex}"
     latest.stream_latest(d.spark, path, schema, keys, f"{state}/state", f"{state}/checkpoint").awaitTermination()
-    return latest.read_latest(d.spark, f"{state}/state", schema).select(columns)
+    return latest.read_latest(d.spark, f"{state}/state", schema, keys).select(columns)
 
 
 add("action_counts")(lambda d: desk.action_counts(d.actions))

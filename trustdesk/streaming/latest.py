@@ -3,46 +3,26 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from trustdesk.operators.curate import latest_by
-from trustdesk.sources.sinks import path_exists
 
 
-def merge_latest(spark: SparkSession, batch: DataFrame, batch_id: int, keys, target: str, order="updated_at",
-                 tiebreak="seq") -> None:
-    """Fold one batch of log rows into the state under ``target``.
+def fold_batch(batch: DataFrame, batch_id: int, keys, target: str, order="updated_at", tiebreak="seq") -> None:
+    """Store the latest rows of one batch under its id.
 
-    State versions are folders named by batch id. A replayed batch starts again from the version before it
-    and rewrites its own, and latest-wins does not depend on arrival order, so replays and late rows are safe.
+    A batch costs what its own rows cost, whatever has been stored before. A replayed batch rewrites its own
+    folder, and latest-wins does not depend on arrival order, so replays and late rows are safe.
     """
-    rows = batch
-    previous = current_version(spark, target, before=batch_id)
-    if previous is not None:
-        rows = spark.read.schema(batch.schema).parquet(version_path(target, previous)).unionByName(batch)
-    latest_by(rows, list(keys), order, tiebreak).write.mode("overwrite").parquet(version_path(target, batch_id))
+    latest_by(batch, list(keys), order, tiebreak).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
 
-def version_path(target, batch_id):
-    return f"{target}/version={batch_id}"
+def read_latest(spark: SparkSession, target: str, schema, keys, order="updated_at", tiebreak="seq") -> DataFrame:
+    """Current state: the latest row per key over all stored batches."""
+    stored = spark.read.schema(schema).parquet(f"{target}/batch=*")
+    return latest_by(stored, list(keys), order, tiebreak)
 
 
-def current_version(spark: SparkSession, target: str, before: int = None):
-    """Highest finished version, optionally below ``before``; None when there is none."""
-    if not path_exists(spark, target):
-        return None
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = []
-    for status in fs.listStatus(jvm_path):
-        name = status.getPath().getName()
-        if name.startswith("version=") and path_exists(spark, f"{target}/{name}/_SUCCESS"):
-            done.append(int(name.split("=")[1]))
-    done = [v for v in done if before is None or v < before]
-    return max(done) if done else None
-
-
-def read_latest(spark: SparkSession, target: str, schema=None) -> DataFrame:
-    """The state after the last finished batch."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(version_path(target, current_version(spark, target)))
+def compact(spark: SparkSession, target: str, schema, keys, new_target: str, order="updated_at", tiebreak="seq") -> None:
+    """Write the current state as the only batch of a new target, for reading after many batches."""
+    read_latest(spark, target, schema, keys, order, tiebreak).write.mode("overwrite").parquet(f"{new_target}/batch=0")
 
 
 def stream_latest(spark: SparkSession, source: str, schema, keys, target: str, checkpoint: str, order="updated_at",
@@ -55,6 +35,5 @@ def stream_latest(spark: SparkSession, source: str, schema, keys, target: str, c
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return (reader.parquet(source).writeStream
-            .foreachBatch(lambda batch, batch_id: merge_latest(
-                batch.sparkSession, batch, batch_id, keys, target, order, tiebreak))
+            .foreachBatch(lambda batch, batch_id: fold_batch(batch, batch_id, keys, target, order, tiebreak))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
