@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from trustdesk.llm import langid, spm_bpe, token_file, url_rules
+from trustdesk.llm import decontam, langid, simhash, spm_bpe, token_file, url_rules
 from trustdesk.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -18,6 +18,12 @@ def query(name, sql=None):
     return wrap
 
 
+@query("op1_simhash")
+def op1(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query("op2_language_id")
 def op2(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -36,6 +42,15 @@ def op4(spark, sf_dir):
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op5_decontamination", decontam.ORACLE)
+def op5(spark, sf_dir):
+    found = decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.size("spans") > 0).alias("contaminated"))
+
+
 @query("op7_token_shards")
 def op7(spark, sf_dir):
     found = token_file.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
