@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructField, StructType
 
 
+#: Input bytes that a task works on at a time.
+PART_BYTES = 4 << 20
+
+
 def column(name):
     """A column by its exact name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -34,10 +38,12 @@ def map_arrow(df: DataFrame, inputs, outputs: StructType, start, keep=None) -> D
     def run(batches):
         step = None
         for batch in batches:
-            if batch.num_rows:
+            rows = max(1, batch.num_rows * PART_BYTES // max(1, batch.nbytes))
+            for begin in range(0, batch.num_rows, rows):
+                part = batch.slice(begin, rows)
                 step = step or start()
-                made = step(*[batch.column(i + 1) for i in range(n)])
-                yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=names)
+                made = step(*[part.column(i + 1) for i in range(n)])
+                yield pa.RecordBatch.from_arrays([part.column(0), *made], names=names)
 
     done = source.mapInArrow(run, schema)
     return done.select(*[F.col("row").getField(c).alias(c) for c in stay],

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from trustdesk.llm import decontam, langid, simhash, spm_bpe, token_file, url_rules
+from trustdesk.llm import decontam, imatch, langid, simhash, spm_bpe, suffix_dedup, token_file, url_rules, warc
 from trustdesk.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -32,11 +32,20 @@ def op2(spark, sf_dir):
     return found.select("doc_id", (langid.fold() == 0).alias("held_out"), "lang_pred", "score")
 
 
+@query("op3_warc_derivatives")
+def op3(spark, sf_dir):
+    made = warc.derive(warc.responses(table(spark, sf_dir, "pages"), "2024-06-30T12:00:00Z"))
+    return made.select("record_id", "record_type", F.col("headers")[warc.REFERS].alias("refers_to"), "target_uri", "date",
+                       "content_type", F.length("block").cast("long").alias("content_length"),
+                       F.col("headers")[warc.BLOCK_DIGEST].alias("block_digest"),
+                       F.col("headers")["WARC-Source-Payload-Digest"].alias("source_digest"),
+                       F.col("block").cast("string").alias("block"))
+
+
 @query("op4_byte_bpe")
 def op4(spark, sf_dir):
     ranks = spm_bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    ids = spm_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, keep=["doc_id"])
-    back = spm_bpe.decode(ids, ranks)
+    back = spm_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, keep=["doc_id"], back=True)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -51,6 +60,15 @@ def op5(spark, sf_dir):
                         (F.size("spans") > 0).alias("contaminated"))
 
 
+@query("op6_suffix_dedup")
+def op6(spark, sf_dir):
+    found = suffix_dedup.find(table(spark, sf_dir, "documents"), keep=["doc_id", "text"])
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return suffix_dedup.cut(found).select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op7_token_shards")
 def op7(spark, sf_dir):
     found = token_file.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
@@ -58,6 +76,13 @@ def op7(spark, sf_dir):
                         F.crc32("ids").alias("ids_crc32"))
 
 
+@query("op8_imatch")
+def op8(spark, sf_dir):
+    found = imatch.against_edits(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
+                        "edited_fingerprint", "near_edited", "near_next")
+
+
 @query("op9_url_rules", url_rules.oracle())
 def op9(spark, sf_dir):
     return url_rules.judge(table(spark, sf_dir, "pages"), keep=["page_id"])

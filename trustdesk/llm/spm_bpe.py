@@ -21,7 +21,7 @@ from trustdesk.llm.common import column, lists, map_arrow, utf8
 #: Character of byte b is chr(BASE + b): letters without case or width rules, none of them white space.
 BASE = 0x100
 #: Entries that a task keeps of each of its two caches; full caches start anew, results do not depend on it.
-CACHE = 300_000
+CACHE = 100_000
 #: White space beyond ASCII: texts that hold it are cut by the pattern alone.
 OTHER_SPACE = "[\x1c-\x1f\x85\xa0  -     　]"
 #: Field numbers and kinds of the public model format.
@@ -121,35 +121,44 @@ class Encoder:
         return [np.frombuffer(b"".join([self.stretches[p] for p in found]), "<i4") for found in parts]
 
 
-def groups(texts, size=1 << 22):
-    """Slices of a batch of about ``size`` characters."""
-    begin, total = 0, 0
-    for i, t in enumerate(texts):
-        total += len(t)
-        if total >= size:
-            yield texts[begin:i + 1]
-            begin, total = i + 1, 0
-    if begin < len(texts):
-        yield texts[begin:]
+class Decoder:
+    """Bytes of ids, from the pieces of the model."""
+
+    def __init__(self, model: bytes):
+        import sentencepiece
+
+        pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
+        size = pieces.get_piece_size() - 1
+        self.bytes_of = [bytes(ord(c) - BASE for c in pieces.id_to_piece(i)) for i in range(size)]
+
+    def decode(self, ids) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
+
+
+IDS = StructField("ids", ArrayType(IntegerType()))
+DECODED = StructField("decoded", BinaryType())
 
 
-def encode(docs: DataFrame, ranks: dict, pattern: str, text="text", keep=None) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict, pattern: str, text="text", keep=None, back=False) -> DataFrame:
     """``docs`` with ``ids``, the token ids of the whole text; a null text has none.
 
-    A column of that name is replaced. One pass without a shuffle; the model, a few hundred kilobytes whatever the
-    input, goes to every task.
+    With ``back`` the ids are decoded again in the same pass, as ``decoded``. Columns of these names are replaced. No
+    shuffle; the model, a few hundred kilobytes whatever the input, goes to every task.
     """
     model = docs.sparkSession.sparkContext.broadcast((model_bytes(ranks), ranks))
 
     def start():
         encoder = Encoder(model.value[0], pattern, model.value[1])
+        decoder = Decoder(model.value[0]) if back else None
 
         def step(texts):
-            return [lists([x for g in groups([t or "" for t in texts.to_pylist()]) for x in encoder.encode(g)], np.int32)]
+            ids = encoder.encode([t or "" for t in texts.to_pylist()])
+            decoded = [pa.array([decoder.decode(x.tolist()) for x in ids], pa.binary())] if back else []
+            return [lists(ids, np.int32), *decoded]
 
         return step
 
-    return map_arrow(docs, [column(text)], StructType([StructField("ids", ArrayType(IntegerType()))]), start, keep)
+    return map_arrow(docs, [column(text)], StructType([IDS, DECODED] if back else [IDS]), start, keep)
 
 
 def decode(encoded: DataFrame, ranks: dict, ids="ids", keep=None) -> DataFrame:
@@ -157,16 +166,7 @@ def decode(encoded: DataFrame, ranks: dict, ids="ids", keep=None) -> DataFrame:
     model = encoded.sparkSession.sparkContext.broadcast(model_bytes(ranks))
 
     def start():
-        import sentencepiece
-
-        pieces = sentencepiece.SentencePieceProcessor(model_proto=model.value)
-        size = pieces.get_piece_size() - 1
-        bytes_of = [bytes(ord(c) - BASE for c in pieces.id_to_piece(i)) for i in range(size)]
-
-        def step(arrays):
-            return [pa.array([b"".join([bytes_of[i] for i in x or ()]) for x in
-                              (arrays[k].as_py() for k in range(len(arrays)))], pa.binary())]
-
-        return step
+        decoder = Decoder(model.value)
+        return lambda arrays: [pa.array([decoder.decode(x.as_py() or ()) for x in arrays], pa.binary())]
 
-    return map_arrow(encoded, [column(ids)], StructType([StructField("decoded", BinaryType())]), start, keep)
+    return map_arrow(encoded, [column(ids)], StructType([DECODED]), start, keep)
