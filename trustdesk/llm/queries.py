@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from trustdesk.llm import decontam, imatch, langid, simhash, spm_bpe, suffix_dedup, token_file, url_rules, warc
+from trustdesk.llm import crf_extract, decontam, imatch, langid, simhash, spm_bpe, suffix_dedup, token_file, url_rules, warc
 from trustdesk.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -86,3 +86,9 @@ def op8(spark, sf_dir):
 @query("op9_url_rules", url_rules.oracle())
 def op9(spark, sf_dir):
     return url_rules.judge(table(spark, sf_dir, "pages"), keep=["page_id"])
+
+
+@query("op10_crf_extract")
+def op10(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return crf_extract.extract(pages, crf_extract.fit(pages), keep=["page_id", "url"])
