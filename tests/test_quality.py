@@ -1,10 +1,11 @@
 import itertools
+import random
 
 import pytest
 from pyspark.sql import Window as W, functions as F
 
 from trustdesk.operators import curate, documented_checks as extra, quality, skew
-from trustdesk.operators.similarity import fuzzy_identity
+from trustdesk.operators.similarity import fuzzy_identity, near_names
 from trustdesk.plans.queries import AS_OF, Data
 
 
@@ -100,25 +101,44 @@ def distance(a, b):
 def test_similar_names_equal_brute_force(spark):
     names = ["lotus care clinic", "lotus care clinics", "lotus car clinic", "lotus heart centre", "lotus heart center",
              "lotus", "lotuz", "lotusa", "lotus aaaaaaaaaaaa", "lotus aaaaaaaaaaa", "lotu aaaaaaaaaaaa", "rose care clinic",
-             "lotus dental unit 12", "lotus dental unit 21", "lotus dental unit 99", "Lotus  Dental-Unit 12"]
+             "lotus dental unit 12", "lotus dental unit 21", "lotus dental unit 99", "Lotus  Dental-Unit 12", "kotus care clinic",
+             "abcdefg", "abcdefgh", "bcdefgh", "x", "y", "", "...", "harbour mission home", "arbour mission homee"]
     places = ["A", "B"]
     data = [(f"{p}{i}", n, p) for p in places for i, n in enumerate(names) if (i + len(p)) % 5 or p == "A"]
+    data += [("none", None, "A"), ("nowhere", "lotus care clinic", None)]
     df = spark.createDataFrame(data, "unique_id string, name string, address_state_or_region string")
 
     def norm(n):
-        return " ".join("".join(c if c.isalnum() else " " for c in n.lower()).split())
-
-    expected = set()
-    for (i, a, p), (j, b, q) in itertools.permutations(data, 2):
-        a, b = norm(a), norm(b)
-        if p == q and a[:4] == b[:4] and a != b and distance(a, b) * 100 <= 15 * max(len(a), len(b)):
-            expected.add(i)
-    for hot_rows in (None, 2):
-        assert {r.unique_id for r in fuzzy_identity(df, hot_rows=hot_rows).collect()} == expected
+        return " ".join("".join(c if c.isalnum() else " " for c in (n or "").lower()).split())
+
+    for threshold, percent in ((0.85, 15), (0.7, 30), (1.0, 0)):
+        expected = set()
+        for (i, a, p), (j, b, q) in itertools.permutations(data, 2):
+            a, b = norm(a), norm(b)
+            if p is not None and p == q and a and b and a != b and distance(a, b) * 100 <= percent * max(len(a), len(b)):
+                expected.add(i)
+        assert {r.unique_id for r in fuzzy_identity(df, threshold).collect()} == expected
     with pytest.raises(ValueError):
         fuzzy_identity(df, threshold=0.5)
 
 
+def test_random_names_equal_brute_force(spark):
+    rng = random.Random(5)
+    names = {"".join(rng.choice("ab c") for _ in range(rng.randint(4, 26))).strip() for _ in range(150)}
+    names |= {n[:3] + "x" + n[4:] for n in list(names)[:40] if len(n) > 6} | {"x" + n for n in list(names)[:20]}
+    df = spark.createDataFrame([("P", n) for n in names if n], "place string, norm string")
+    got = {r.norm for r in near_names(df, 0.85).collect()}
+    assert got == {a for a in names for b in names if a and b and a != b and distance(a, b) * 100 <= 15 * max(len(a), len(b))}
+
+
+def test_checks_from_outside(spark, sf_dir):
+    d = Data(spark, sf_dir)
+    bad = ("no_frame", lambda src: src.select(F.col("missing")))
+    checks, names, skipped = quality.core_checks(d.source, [
+        quality.Rule("short", F.length("name") < 24, 7, "Name is short"), ("bare", lambda src: src.select("unique_id")), bad])
+    assert "short" in names and skipped == ["bare", "no_frame"] and checks.where("check = 'short'").count() > 0
+
+
 def test_gold_takes_the_best_copy_and_the_latest_correction(spark, sf_dir):
     d = Data(spark, sf_dir)
     one = d.silver.where("unique_id = 'c4ca4238-a0b9-2382-0dcc-509a6f75849b'").limit(1)

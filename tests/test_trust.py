@@ -68,7 +68,10 @@ def test_blend(spark, sf_dir):
 
 def test_search_guards(spark, sf_dir, fs):
     d = Data(spark, sf_dir)
-    assert search.page_bounds(0, 1000) == (100, 0) and search.page_bounds(3, 10) == (10, 20)
+    assert search.page_bounds(1, 1000) == (1000, 0) and search.page_bounds(3, 10) == (10, 20)
+    for page, limit in ((0, 10), (1, 0)):
+        with pytest.raises(ValueError):
+            search.page_bounds(page, limit)
     first = search.search(d.gold, d.signals, d.quality_scores, limit=10).collect()
     second = search.search(d.gold, d.signals, d.quality_scores, limit=10, page=2).collect()
     ids = [r.facility_id for r in first + second]
@@ -94,13 +97,14 @@ def test_parsing_routes_bad_answers(spark):
     good, errors = sig.parse_signals(answers(
         spark, wrap(item), wrap(less("contradiction", "trust_score")), wrap({**item, "trust_score": "0.25"}), wrap(),
         "not json", '{"dims": []}', wrap(item, less("dimension")), wrap(less("confidence_tier")),
-        wrap({**item, "trust_score": "high"}), wrap(item)[:40], wrap(item) + " and more", None, wrap({**item, "dimension": "staff"})))
+        wrap({**item, "trust_score": "high"}), wrap(item)[:40], wrap(item) + " and more", None, wrap({**item, "dimension": "staff"}),
+        wrap(item) + "\r\n \t"))
     got = {r.facility_id: r for r in good.collect()}
-    assert set(got) == {"r0", "r1", "r2", "r12"}
+    assert set(got) == {"r0", "r1", "r2", "r13"}
     assert got["r0"].contradiction and got["r1"].contradiction is False and got["r1"].trust_score is None
     assert got["r2"].trust_score == 0.25
-    assert {r.facility_id for r in errors.collect()} == {f"r{i}" for i in (4, 5, 6, 7, 8, 9, 10, 11)}
-    assert sig.valid_dimensions(good).count() == 3
+    assert {r.facility_id for r in errors.collect()} == {f"r{i}" for i in (3, 4, 5, 6, 7, 8, 9, 10, 11, 12)}
+    assert sig.valid_dimensions(good).count() == 4
 
 
 def test_fallback_scorer(spark, sf_dir):
@@ -172,8 +176,8 @@ def test_latest_action_breaks_ties(spark):
 
 def test_unstarted(spark, sf_dir):
     d = Data(spark, sf_dir)
-    assert desk.board_limit(5000) == 2000
-    waiting, all_cards = desk.unstarted(d.gold, d.review, 2000), desk.unstarted(d.gold, limit=2000)
+    waiting, all_cards = desk.unstarted(d.gold, d.review), desk.unstarted(d.gold)
+    assert desk.unstarted(d.gold, limit=3).count() == 3
     assert waiting.count() < all_cards.count() == d.gold.count()
     counts = {r.status: r.cards for r in desk.board_counts(d.gold, d.review).collect()}
     assert counts["not_started"] == waiting.count()

@@ -1,57 +1,58 @@
 """Contact-level rollup and outreach drafts."""
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 from trustdesk.functions.text import email_key, is_email, is_missing
-from trustdesk.operators.skew import hot_split_join
 
-LIST_LIMIT = 100_000
+# --- fixed values: lists of an address and the contact columns they come from ------------------------
+LISTS = {"facility_ids": "unique_id", "facility_names": "name", "states": "address_stateOrRegion", "cities": "address_city"}
+# ----------------------------------------------------------------------------------------------------
+
 
+def contacts(src: DataFrame, scores: DataFrame) -> DataFrame:
+    """Source records with a valid address, with their quality score and issues if flagged.
 
-def contacts(src: DataFrame, scores: DataFrame, hot_rows=None) -> DataFrame:
-    """Source records with a valid address, with their quality score and issues if flagged."""
+    Scores have one row per record, so the join is one to one; adaptive execution splits a skewed one.
+    """
     base = (src.where(~is_missing("email"))
             .select("unique_id", "name", "address_city", "address_stateOrRegion", email_key("email").alias("email"),
                     F.trim("unique_id").alias("facility_id"))
             .where(is_email("email")))
-    return hot_split_join(base, scores.select("facility_id", "quality_score", "issues"), "facility_id", how="left",
-                          hot_rows=hot_rows)
+    return base.join(scores.select("facility_id", "quality_score", "issues"), "facility_id", "left")
 
 
-def outreach(src: DataFrame, scores: DataFrame, computed_at=None, list_limit=LIST_LIMIT, hot_rows=None) -> DataFrame:
-    """Per address: record count, shared flag, scores, and sorted lists of ids, names, places and issues.
+def outreach(reached: DataFrame, computed_at=None) -> DataFrame:
+    """One row per address of ``contacts``: record count, shared flag, scores, first name and state, issue texts.
 
-    Unflagged records add nothing to the scores. Lists are kept whole but bounded: an address with more than
-    ``list_limit`` records spreads its lists by hash over several rows, numbered ``list_part`` and repeating
-    the address figures. Ordinary addresses have the single part 0.
+    Unflagged records add nothing to the scores. Every figure is a sum, a minimum or a distinct count with partial
+    results in each task, so an address of very many records is one row like any other. Issues are rule texts and few;
+    ids, names and places are values of ``outreach_lists``.
     """
-    rows = contacts(src, scores, hot_rows)
-    figures = rows.groupBy("email").agg(
-        F.count_distinct("unique_id").alias("facility_count"), F.min("quality_score").alias("min_quality_score"),
-        F.avg("quality_score").alias("_avg"))
-    # N rows hold at most N / list_limit addresses that are this big: 10^6 for 10^11 rows, which bounds the broadcast
-    big = rows.groupBy("email").agg(F.count_distinct("unique_id").alias("c")).where(F.col("c") > list_limit).select(
-        "email", F.ceil(F.col("c") / list_limit).alias("_parts"))
-    spread = rows.join(F.broadcast(big), "email", "left")
-
-    kinds = {"facility_ids": "unique_id", "facility_names": "name", "states": "address_stateOrRegion",
-             "cities": "address_city"}
+    records = (reached.groupBy("email", "unique_id")
+               .agg(F.sum("quality_score").alias("points"), F.count("quality_score").alias("scored"),
+                    F.min("quality_score").alias("least"), F.min("name").alias("name"),
+                    F.min(F.nullif("address_stateOrRegion", F.lit(""))).alias("state")))
+    figures = records.groupBy("email").agg(
+        F.count("unique_id").alias("facility_count"), F.min("name").alias("first_name"), F.min("state").alias("first_state"),
+        F.min("least").alias("min_quality_score"), (F.sum("points") / F.sum("scored")).alias("_avg"))
+    issues = (reached.select("email", F.explode("issues").alias("issue")).groupBy("email")
+              .agg(F.sort_array(F.collect_set("issue")).alias("issues")))
+    out = figures.join(issues, "email", "left").select(
+        "email", "facility_count", "first_name", "first_state", (F.col("facility_count") > 1).alias("is_shared"),
+        "min_quality_score", F.round("_avg").cast("int").alias("avg_quality_score"),
+        F.coalesce("issues", F.array().cast("array<string>")).alias("issues"))
+    return out if computed_at is None else out.withColumn("computed_at", F.lit(computed_at).cast("timestamp"))
+
+
+def outreach_lists(reached: DataFrame) -> DataFrame:
+    """(email, list, value): every distinct id, name, state, city and issue of an address, one row per value."""
     values = F.concat(
-        F.array(*(F.struct(F.lit(k).alias("list"), F.col(c).alias("value")) for k, c in kinds.items())),
+        F.array(*(F.struct(F.lit(k).alias("list"), F.col(c).alias("value")) for k, c in LISTS.items())),
         F.transform(F.coalesce("issues", F.array().cast("array<string>")),
                     lambda i: F.struct(F.lit("issues").alias("list"), i.alias("value"))))
-    part = F.coalesce(F.pmod(F.xxhash64("value"), F.col("_parts")), F.lit(0))
-    items = spread.select("email", "_parts", F.inline(values)).where(F.col("value").isNotNull())
-    lists = items.groupBy("email", part.alias("list_part")).agg(*(
-        F.sort_array(F.collect_set(F.when(F.col("list") == k, F.col("value")))).alias(k) for k in [*kinds, "issues"]))
-
-    out = figures.join(lists, "email", "left").select(
-        "email", F.coalesce("list_part", F.lit(0)).cast("long").alias("list_part"), "facility_count",
-        *(F.coalesce(k, F.array().cast("array<string>")).alias(k) for k in kinds),
-        (F.col("facility_count") > 1).alias("is_shared"), "min_quality_score",
-        F.round("_avg").cast("int").alias("avg_quality_score"),
-        F.coalesce("issues", F.array().cast("array<string>")).alias("issues"))
-    return out if computed_at is None else out.withColumn("computed_at", F.lit(computed_at).cast("timestamp"))
+    return reached.select("email", F.inline(values)).where(F.col("value").isNotNull()).distinct()
 
 
 # Letter wording. {user} {programme} {records} {place} {items} are filled in per row.
@@ -63,22 +64,19 @@ LETTER = {
 }
 
 
-def outreach_draft(rollup: DataFrame, user, programme="the directory team", letter=LETTER) -> DataFrame:
-    """Draft text per address: one name or a count with the first name, first known state, issue bullets."""
-    names, states = F.col("facility_names"), F.filter("states", lambda s: s != "")
-    first = F.get(names, F.lit(0))
-    records = (F.when(F.size(names) == 0, F.lit("your facility")).when(F.size(names) == 1, first)
-               .otherwise(F.concat(F.size(names).cast("string"), F.lit(" facilities including "), first)))
-    place = F.when(F.size(states) > 0, F.concat(F.lit(" in "), F.get(states, F.lit(0)))).otherwise("")
-    bullets = F.array_join(F.transform("issues", lambda i: F.concat(F.lit("  - "), i)), "\n")
+def filled(template: str, values: dict):
+    """The template with its placeholders replaced; braces inside a value stay what they are."""
+    pieces = re.split(r"\{(" + "|".join(values) + r")\}", template)
+    return F.concat(*(values[p] if i % 2 else F.lit(p) for i, p in enumerate(pieces)))
 
-    def fill(template):
-        text = F.lit(template)
-        for name, value in {"user": F.lit(user), "programme": F.lit(programme), "records": records, "place": place,
-                            "items": bullets}.items():
-            text = F.replace(text, F.lit("{" + name + "}"), value)
-        return text
 
-    listed = F.when(F.size("issues") > 0, fill(letter["items"])).otherwise("")
-    return rollup.select("email", "list_part",
-                         F.concat(fill(letter["opening"]), listed, fill(letter["closing"])).alias("draft"))
+def outreach_draft(rollup: DataFrame, user, programme="the directory team", letter=LETTER) -> DataFrame:
+    """One letter per address: its one name or a count with the first name, first known state, issue bullets."""
+    first = F.col("first_name")
+    records = (F.when(first.isNull(), F.lit("your facility")).when(F.col("facility_count") <= 1, first)
+               .otherwise(F.concat(F.col("facility_count").cast("string"), F.lit(" facilities including "), first)))
+    place = F.when(F.col("first_state").isNotNull(), F.concat(F.lit(" in "), F.col("first_state"))).otherwise("")
+    bullets = F.array_join(F.transform("issues", lambda i: F.concat(F.lit("  - "), i)), "\n")
+    values = {"user": F.lit(user), "programme": F.lit(programme), "records": records, "place": place, "items": bullets}
+    listed = F.when(F.size("issues") > 0, filled(letter["items"], values)).otherwise("")
+    return rollup.select("email", F.concat(filled(letter["opening"], values), listed, filled(letter["closing"], values)).alias("draft"))

@@ -196,11 +196,21 @@ def duplicate_phone_penalties(src: DataFrame, min_digits=7, hot_rows=None) -> Da
         "unique_id", F.lit("duplicate_phones").alias("check"), "penalty_points", "issue_summary")
 
 
-def core_checks(src: DataFrame):
-    """The implemented checks as (contract rows, check names, names of skipped checks)."""
-    rules, skipped = usable_rules(src, [*missing_rules(), location_rule()])
-    frames = [row_checks(src, rules)]
+def core_checks(src: DataFrame, extra=()):
+    """The implemented checks and further ones as (contract rows, check names, names of skipped checks).
+
+    ``extra`` holds rules, which join the one scan, and pairs of a name and a function from the records to rows with
+    the contract's columns. What does not fit the records or the contract is skipped and named, the rest goes on.
+    """
+    rules, skipped = usable_rules(src, [*missing_rules(), location_rule(), *(x for x in extra if isinstance(x, Rule))])
+    frames = [row_checks(src, rules).select(CONTRACT)]
     names = [r.check for r in rules]
+    for name, build in (x for x in extra if not isinstance(x, Rule)):
+        try:
+            frames.append(build(src).select(CONTRACT).where(F.col("check") == name))
+            names.append(name)
+        except AnalysisException:
+            skipped.append(name)
     try:
         frames.append(duplicate_phone_penalties(src))
         names.append("duplicate_phones")

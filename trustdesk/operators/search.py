@@ -23,9 +23,10 @@ def filter_options(gold: DataFrame):
 
 
 def page_bounds(page=1, limit=25):
-    """Page from 1, page size 1 to 100, as (limit, offset)."""
-    limit = min(100, max(1, int(limit)))
-    return limit, (max(1, int(page)) - 1) * limit
+    """Page from 1 and its size as (limit, offset); others are refused."""
+    if int(page) < 1 or int(limit) < 1:
+        raise ValueError("page and limit start at 1")
+    return int(limit), (int(page) - 1) * int(limit)
 
 
 def matching(gold: DataFrame, q="", state="", facility_type="", columns=SEARCH_COLUMNS) -> DataFrame:

@@ -14,23 +14,25 @@ from trustdesk.schemas import CONFIDENCE_TIERS, DIMENSIONS, MODEL_ANSWER
 # --- work list and prompt ---------------------------------------------------------------------------
 
 
-def worklist(raw: DataFrame, signals: DataFrame, n=10_000) -> DataFrame:
-    """Records without signals, those with most text first. Stays a DataFrame.
+def worklist(raw: DataFrame, signals: DataFrame, errors: DataFrame = None, attempts=3, n=None) -> DataFrame:
+    """Records without signals that have failed fewer than ``attempts`` times; all of them, unsorted, by default.
 
-    ``n=None`` takes all of them without sorting; a sorted limit passes its rows through one task, so large
-    runs should use that.
+    ``n`` asks for the first so many, those with most text first; such a top list passes through one task.
     """
     todo = raw.join(signals.select("facility_id"), "facility_id", "left_anti")
+    if errors is not None:
+        given_up = errors.groupBy("facility_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= attempts)
+        todo = todo.join(given_up.select("facility_id"), "facility_id", "left_anti")
     if n is None:
         return todo
     points = sum(F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in ("description", "capability"))
     return todo.orderBy(points.desc(), "facility_id").limit(n)
 
 
-# --- fixed values: fields shown to the model, and how much of each text it reads --------------------
+# --- fixed values: fields shown to the model ---------------------------------------------------------
 PROMPT_FIELDS = ["facility_id", "facility_type", "state"]
 PROMPT_WEAK_FIELDS = ["capacity", "year_established"]
-PROMPT_TEXT_LIMITS = {"description": 1500, "capability": 800, "procedure": 800, "equipment": 800}
+PROMPT_TEXTS = ["description", "capability", "procedure", "equipment"]
 ANSWER_KEYS = ["dimension", "trust_score", "confidence_tier", "evidence_text", "source_field", "contradiction",
                "contradiction_detail"]
 # ----------------------------------------------------------------------------------------------------
@@ -42,18 +44,15 @@ INSTRUCTIONS = (
 )
 
 
-def render_prompt(records: DataFrame, instructions=INSTRUCTIONS, limits=PROMPT_TEXT_LIMITS) -> DataFrame:
-    """Adds ``prompt``: instructions plus the record, each text up to the length a model call takes.
-
-    The records themselves keep their whole texts; a missing text renders as empty.
-    """
+def render_prompt(records: DataFrame, instructions=INSTRUCTIONS, texts=PROMPT_TEXTS) -> DataFrame:
+    """Adds ``prompt``: instructions plus the record with its whole texts; a missing text renders as empty."""
     def line(name, value, default=""):
         return F.concat(F.lit(f"{name}: "), F.coalesce(value.cast("string"), F.lit(default)))
 
     lines = [F.lit(instructions)]
     lines += [line(c, F.col(c), "N/A") for c in PROMPT_FIELDS]
     lines += [line(c, F.col(c), "NOT PROVIDED") for c in PROMPT_WEAK_FIELDS]
-    lines += [line(c, F.substring(F.col(c), 1, n)) for c, n in limits.items()]
+    lines += [line(c, F.col(c)) for c in texts]
     return records.withColumn("prompt", F.concat_ws("\n", *lines))
 
 
@@ -68,37 +67,43 @@ RESPONSE_SCHEMA = T.StructType([
 def _usable(answer):
     try:
         items = json.loads(answer)["dimensions"]
-        return all(i["dimension"] is not None and i["confidence_tier"] is not None for i in items)
+        return (all(i["dimension"] is not None and i["confidence_tier"] is not None for i in items)
+                and any(i["dimension"] in DIMENSIONS for i in items))
     except (TypeError, KeyError, ValueError):
         return False
 
 
 def _call(scorer, batch):
+    """(answer, error) of each record; a batch that fails is halved until the failing record stands alone."""
     try:
-        return list(scorer(batch)), None
-    except Exception as e:  # a scorer may fail in any way; the batch then goes to the fallback
-        return [None] * len(batch), f"{type(e).__name__}: {e}"
+        return [(answer, None) for answer in scorer(batch)]
+    except Exception as e:  # a scorer may fail in any way; the record then goes to the fallback
+        if len(batch) <= 1:
+            return [(None, f"{type(e).__name__}: {e}")] * len(batch)
+        middle = len(batch) // 2
+        parts = batch.iloc[:middle], batch.iloc[middle:]
+        return [x for part in parts for x in _call(scorer, part.reset_index(drop=True))]
 
 
 def score(records: DataFrame, scorer, fallback=None, names=("primary", "fallback")) -> DataFrame:
     """One JSON answer per record from ``scorer``, a callable from a pandas batch to a list of texts.
 
-    Records whose answer is unusable, or whose batch raised, go to ``fallback`` once. What still fails
+    Records whose answer is unusable, or for which the scorer raised, go to ``fallback`` once. What still fails
     keeps its last raw answer and an error message. Write the result before using it twice, so that the
     scorer runs once per record.
     """
     def run(batches):
         for batch in batches:
             batch = batch.reset_index(drop=True)
-            answers, error = _call(scorer, batch)
-            out = pd.DataFrame({"facility_id": batch["facility_id"], "raw_response": answers,
-                                "extraction_model": names[0], "error_message": error})
+            answers = _call(scorer, batch)
+            out = pd.DataFrame({"facility_id": batch["facility_id"], "raw_response": [a for a, _ in answers],
+                                "extraction_model": names[0], "error_message": [e for _, e in answers]}, dtype="object")
             bad = ~out["raw_response"].map(_usable)
             if fallback is not None and bad.any():
-                retried, error = _call(fallback, batch[bad].reset_index(drop=True))
-                out.loc[bad, "raw_response"] = retried
+                retried = _call(fallback, batch[bad].reset_index(drop=True))
+                out.loc[bad, "raw_response"] = [a for a, _ in retried]
                 out.loc[bad, "extraction_model"] = names[1]
-                out.loc[bad, "error_message"] = error
+                out.loc[bad, "error_message"] = [e for _, e in retried]
             yield out
 
     return records.mapInPandas(run, RESPONSE_SCHEMA)
@@ -136,12 +141,14 @@ def parsed_responses(responses: DataFrame) -> DataFrame:
     number = lambda i: i["trust_score"].try_cast("double")
     incomplete = F.exists(items, lambda i: i["dimension"].isNull() | i["confidence_tier"].isNull())
     not_a_number = F.exists(items, lambda i: i["trust_score"].isNotNull() & number(i).isNull())
-    closed = F.rtrim("raw_response").endswith("}")
+    closed = F.col("raw_response").rlike(r"\}\s*\z")
+    useless = ~F.exists(items, lambda i: F.coalesce(i["dimension"].isin(DIMENSIONS), F.lit(False)))
     error = (F.when(F.col("error_message").isNotNull(), F.col("error_message"))
              .when(F.col("raw_response").isNull(), "no response")
              .when(items.isNull() | ~closed, "response has no dimensions")
              .when(incomplete, "dimension or confidence_tier is missing")
-             .when(not_a_number, "trust_score is not a number"))
+             .when(not_a_number, "trust_score is not a number")
+             .when(useless, "no usable dimension"))
     return with_items.withColumn("_error", error)
 
 

@@ -1,81 +1,80 @@
-"""Names that are nearly the same within one place, without comparing all pairs of a block.
+"""Names that are nearly the same within one place, without comparing all pairs.
 
-Two names match when they share state and first letters and their edit distance is at most
-(1 - threshold) of the longer name. Candidates are found exactly: with E edits allowed, a name and its
-match must share one of the (2E + 1) rarest of their letter pairs, so each name is looked up only under
-those. Only surviving candidates have their distance computed,
-and a semi-join stops at the first match of a name.
+Two names match when they share the place and their edit distance is at most (1 - threshold) of the longer name. With
+E edits allowed, one of E + 1 even segments of the shorter name stands unchanged in the longer one, near where it stood:
+segment i moves by no more than the i - 1 edits before it, and the difference in length limits it from the other side.
+Segments and the fitting pieces of longer names meet by an ordinary join, two semi-joins verify the distance and stop
+at the first match of a name.
 """
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from trustdesk.functions.text import matching_key
-from trustdesk.operators.skew import hot_split_join, salted_join
 
 
-def _edits(longest, threshold):
+def _edits(longest: Column, percent: int) -> Column:
     """Edit budget of a pair whose longer name has ``longest`` letters; exact in integers."""
-    percent = 100 - round(threshold * 100)
     return F.floor(longest * percent / 100).cast("int")
 
 
-def distinct_names(df: DataFrame, name="name", place="address_state_or_region", id_col="unique_id", letters=4):
-    """(record rows, distinct names with the number of rows that carry them)."""
-    keyed = (df.select(F.col(id_col).alias("unique_id"), matching_key(name).alias("norm"),
-                       F.col(place).alias("place"))
-             .where((F.length("norm") >= letters) & F.col("place").isNotNull())
-             .withColumn("block", F.substring("norm", 1, letters)))
-    names = keyed.groupBy("place", "block", "norm").agg(F.count(F.lit(1)).alias("n"))
-    return keyed, names
+def _segment(size: Column, edits: Column, number: Column):
+    """Start, from 1, and length of a segment, from 0, of a name cut into ``edits`` + 1 even ones."""
+    parts = edits + 1
+    base = F.floor(size / parts).cast("int")
+    short = parts - size % parts
+    start = number * base + F.greatest(F.lit(0), number - short) + 1
+    return start, base + F.when(number >= short, 1).otherwise(0)
 
 
-def near_names(names: DataFrame, threshold=0.85, hot_rows=None) -> DataFrame:
-    """Those of the distinct ``names`` (place, block, norm) that have a near but different name in their block."""
-    if threshold < 0.8:
-        raise ValueError("below 0.8 short names may match without sharing a letter pair")
-    length = F.length("norm")
-    percent = 100 - round(threshold * 100)
-    # longest possible partner, hence the largest edit budget this name can meet
-    longest = F.floor(length * 100 / (100 - percent)).cast("int")
-    sized = names.select("place", "block", "norm", length.alias("size"), longest.alias("longest"),
-                         _edits(longest, threshold).alias("edits")).where(F.col("edits") > 0)
+def segments(names: DataFrame, percent: int) -> DataFrame:
+    """Segments of each name for every edit budget that a longer partner may bring."""
+    size = F.col("size")
+    longest = F.floor(size * 100 / (100 - percent)).cast("int")
+    budgets = names.select("place", "norm", "size", F.explode(F.sequence(_edits(size, percent), _edits(longest, percent))).alias("edits"))
+    numbered = (budgets.where((F.col("edits") > 0) & (F.col("edits") < size))
+                .select("*", F.explode(F.sequence(F.lit(0), F.col("edits"))).alias("number")))
+    start, length = _segment(size, F.col("edits"), F.col("number"))
+    return numbered.select("place", "size", "edits", "number", F.substring("norm", start, length).alias("piece"), F.col("norm").alias("shorter"))
 
-    # letter pairs in sorted order; a repeated pair is numbered by its distance from the first equal one
-    pairs = F.array_sort(F.transform(
-        F.sequence(F.lit(1), F.col("size") - 1), lambda i: F.substring(F.col("norm"), i, F.lit(2))))
-    name = ["place", "block", "norm", "size", "longest", "edits"]
-    tokens = (sized.withColumn("pairs", pairs).select(*name, "pairs", F.posexplode("pairs").alias("i", "pair"))
-              .select(*name, F.concat("pair", (F.col("i") + 2 - F.array_position("pairs", F.col("pair"))).cast("string"))
-                      .alias("token")))
-    # how common each letter pair is within the block decides which ones a name is filed under
-    frequency = tokens.groupBy("place", "block", "token").agg(F.count(F.lit(1)).alias("n"))
-    weighted = salted_join(tokens, frequency.withColumnRenamed("n", "common"), ["place", "block", "token"], ["norm"],
-                           counts=frequency, hot_rows=hot_rows)
-    filed = weighted.groupBy("place", "block", "norm", "size", "longest", "edits").agg(
-        F.sort_array(F.collect_list(F.struct("common", "token"))).alias("t")).select(
-        "place", "block", "norm", "size", "longest",
-        F.explode(F.slice("t", F.lit(1), F.col("edits") * 2 + 1)).alias("t"),
-    ).select("place", "block", "norm", "size", "longest", F.col("t.token").alias("token"))
 
-    left = filed.drop("longest").alias("l")
-    right = filed.select("place", "block", "token", F.col("size").alias("other_size"),
-                         F.col("norm").alias("other")).alias("r")
-    budget = _edits(F.greatest("size", "other_size"), threshold)
-    near = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("place", "block", "token")]
-    # cheap tests first: only names of fitting length have their distance computed, and only up to the budget
-    near += [F.abs(F.col("size") - F.col("other_size")) <= budget, F.col("norm") != F.col("other"),
-             F.call_function("levenshtein", F.col("norm"), F.col("other"), budget) >= 0]
-    return (left.join(right, reduce(lambda a, b: a & b, near), "left_semi")
-            .select("place", "block", "norm").distinct())
+def pieces(names: DataFrame, percent: int) -> DataFrame:
+    """Pieces of each name that may be a segment of a shorter or equally long partner."""
+    edits, less, number = F.col("edits"), F.col("less"), F.col("number")
+    sized = names.select("place", "norm", F.col("size").alias("own"), _edits(F.col("size"), percent).alias("edits")).where("edits > 0")
+    numbered = (sized.select("*", F.explode(F.sequence(F.lit(0), edits)).alias("less"))
+                .withColumn("size", F.col("own") - less).where(F.col("size") > edits)
+                .select("*", F.explode(F.sequence(F.lit(0), edits)).alias("number")))
+    start, length = _segment(F.col("size"), edits, number)
+    low = F.greatest(F.lit(1), start - number, start + less - (edits - number))
+    high = F.least(F.col("own") - length + 1, start + number, start + less + (edits - number))
+    placed = numbered.withColumns({"low": low, "high": high, "length": length}).where("low <= high")
+    return placed.select("place", "size", "edits", "number", "norm", "length", F.explode(F.sequence("low", "high")).alias("at")).select(
+        "place", "size", "edits", "number", F.substring("norm", F.col("at"), F.col("length")).alias("piece"),
+        F.col("norm").alias("longer")).distinct()
+
+
+def near_names(names: DataFrame, threshold=0.85) -> DataFrame:
+    """Those of the distinct ``names`` (place, norm) that have a near but different name in their place."""
+    percent = 100 - round(threshold * 100)
+    if not 0 <= percent < 50:
+        raise ValueError("threshold lies above 0.5 and up to 1")
+    sized = names.select("place", "norm", F.length("norm").alias("size"))
+    left, right = segments(sized, percent), pieces(sized, percent)
+    key = ["place", "size", "edits", "number", "piece"]
+    near = (F.col("shorter") != F.col("longer")) & (F.call_function("levenshtein", "shorter", "longer", "l.edits") >= 0)
+    on = near
+    for k in key:
+        on = on & (F.col(f"l.{k}") == F.col(f"r.{k}"))
+    first = left.alias("l").join(right.alias("r"), on, "left_semi").select("place", F.col("shorter").alias("norm"))
+    second = right.alias("l").join(left.alias("r"), on, "left_semi").select("place", F.col("longer").alias("norm"))
+    return first.unionByName(second).distinct()
 
 
-def fuzzy_identity(df: DataFrame, threshold=0.85, hot_rows=None, **columns) -> DataFrame:
+def fuzzy_identity(df: DataFrame, threshold=0.85, name="name", place="address_state_or_region", id_col="unique_id") -> DataFrame:
     """Records whose name is close to a different name in the same place, as quality-check rows."""
-    keyed, names = distinct_names(df, **columns)
-    near = near_names(names, threshold, hot_rows)
-    flagged = hot_split_join(keyed, near, ["place", "block", "norm"], hot_rows=hot_rows, counts=names)
-    return flagged.select(
+    keyed = (df.select(F.col(id_col).alias("unique_id"), matching_key(name).alias("norm"), F.col(place).alias("place"))
+             .where((F.col("norm") != "") & F.col("place").isNotNull()))
+    near = near_names(keyed.select("place", "norm").distinct(), threshold)
+    return keyed.join(near, ["place", "norm"], "left_semi").select(
         "unique_id", F.lit("similar_identity").alias("check"), F.lit("medium").alias("severity"),
         F.lit(15).alias("penalty_points"), F.lit("Name is close to another record in the same area").alias("issue_summary"))

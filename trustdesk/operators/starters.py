@@ -1,6 +1,8 @@
 """Operators described only in the starter texts: change history, validity ranges, sales and moderation
 figures, nearest vectors and paragraph cuts."""
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -14,23 +16,26 @@ def cdc_current(changes: DataFrame, keys, order, op="op", deleted="delete") -> D
 
 
 def scd2(changes: DataFrame, keys, order, tiebreak, bucket="day") -> DataFrame:
-    """Validity ranges of every version; the open one has no end.
+    """Validity ranges of every version; the last one is current and has no end.
 
     Versions are ordered within (key, ``bucket`` of time), so a key with very many versions is worked on by
     many tasks. The last version of a bucket ends where the key's next bucket starts; that second step sees
-    one row per key and bucket.
+    one row per key and bucket. A missing key is a key of its own, and versions without a time come first.
     """
     keys = list(keys)
     cut = changes.withColumn("_bucket", F.date_trunc(bucket, F.col(order)))
     within = W.partitionBy(*keys, "_bucket").orderBy(order, tiebreak)
     starts = cut.groupBy(*keys, "_bucket").agg(F.min(order).alias("_start"))
-    following = starts.select(*keys, "_bucket", F.lead("_start").over(
-        W.partitionBy(*keys).orderBy("_bucket")).alias("_next_start"))
-    ranges = (cut.withColumn("_next", F.lead(order).over(within))
-              .join(following, [*keys, "_bucket"]))
-    return (ranges.withColumn("valid_from", F.col(order)).withColumn("valid_to", F.coalesce("_next", "_next_start"))
-            .withColumn("is_current", F.col("valid_to").isNull())
-            .drop("_bucket", "_next", "_next_start"))
+    line = W.partitionBy(*keys).orderBy("_bucket")
+    following = starts.select(*(F.col(k).alias(f"_key_{k}") for k in keys), F.col("_bucket").alias("_of"),
+                              F.lead("_start").over(line).alias("_next_start"),
+                              F.lead(F.lit(True)).over(line).alias("_more"))
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys] + [F.col("_bucket").eqNullSafe(F.col("_of"))]
+    ranges = (cut.withColumn("_next", F.lead(order).over(within)).withColumn("_later", F.lead(F.lit(True)).over(within))
+              .join(following, reduce(lambda a, b: a & b, same)))
+    until = F.when(F.col("_later"), F.col("_next")).otherwise(F.col("_next_start"))
+    return ranges.select(*changes.columns, F.col(order).alias("valid_from"), until.alias("valid_to"),
+                         (F.col("_later").isNull() & F.col("_more").isNull()).alias("is_current"))
 
 
 def daily_units(sales: DataFrame, keys, ts, units) -> DataFrame:
@@ -66,45 +71,47 @@ def moderation_metrics(reviews: DataFrame, target, approved, score) -> DataFrame
         F.avg(score).alias("avg_score"))
 
 
-MAX_QUERY_VECTORS = 1_000
+#: Query vectors that are compared together.
+BLOCK = 1_000
 
 
 def query_vectors(df: DataFrame, id_col, vector):
-    """A small set of query vectors as a list; refuses more than ``MAX_QUERY_VECTORS``."""
-    rows = df.select(id_col, vector).limit(MAX_QUERY_VECTORS + 1).collect()
-    if len(rows) > MAX_QUERY_VECTORS:
-        raise ValueError(f"at most {MAX_QUERY_VECTORS} query vectors at a time")
-    return [(r[0], list(r[1])) for r in rows]
+    """Query vectors as a list, for ``cosine_topk``; they come to the driver, partition by partition."""
+    return [(r[0], r[1] and list(r[1])) for r in df.select(id_col, vector).toLocalIterator()]
 
 
-def cosine_topk(vectors: DataFrame, queries, k=5, id_col="vec_id", vector="embedding") -> DataFrame:
+def cosine_topk(vectors: DataFrame, queries, k=5, id_col="vec_id", vector="embedding", block=BLOCK) -> DataFrame:
     """The ``k`` most similar stored vectors of each query vector.
 
-    ``queries`` is a list of at most ``MAX_QUERY_VECTORS`` (query id, vector) pairs, small enough to travel
-    with the tasks. Each partition of stored vectors keeps its own best ``k`` per query before the shuffle.
+    ``queries`` is a list of (query id, vector) pairs that travels with the tasks. A task compares it with its stored
+    vectors in blocks of ``block`` and keeps its own best ``k`` per query before the shuffle. A vector of length zero,
+    or a missing one, is similar to nothing and has no row.
     """
-    if len(queries) > MAX_QUERY_VECTORS:
-        raise ValueError(f"at most {MAX_QUERY_VECTORS} query vectors at a time")
-    ids = np.array([q for q, _ in queries])
+    queries = [(q, v) for q, v in queries if v is not None and any(v)]
+    ids = np.array([q for q, _ in queries], dtype="int64")
     wanted = np.array([v for _, v in queries], dtype="float64")
-    wanted /= np.linalg.norm(wanted, axis=1, keepdims=True)
+    if len(ids):
+        wanted /= np.linalg.norm(wanted, axis=1, keepdims=True)
 
     def best(batches):
-        matches = np.empty((len(ids), 0), dtype="int64")
-        values = np.empty((len(ids), 0))
+        kept = {}
         for batch in batches:
-            if batch.empty:
+            batch = batch[batch[vector].map(lambda v: v is not None and any(v))]
+            if batch.empty or not len(ids):
                 continue
             stored = np.array(batch[vector].tolist(), dtype="float64")
             stored /= np.linalg.norm(stored, axis=1, keepdims=True)
-            new = np.broadcast_to(batch[id_col].to_numpy(), (len(ids), len(batch)))
-            matches = np.concatenate([matches, new], axis=1)
-            values = np.concatenate([values, np.round(wanted @ stored.T, 9)], axis=1)
-            order = np.lexsort((matches, -values), axis=1)[:, :k]
-            matches = np.take_along_axis(matches, order, axis=1)
-            values = np.take_along_axis(values, order, axis=1)
-        yield pd.DataFrame({"query_id": np.repeat(ids, values.shape[1]), "match_id": matches.ravel(),
-                            "similarity": values.ravel()})
+            for at in range(0, len(ids), block):
+                asked = wanted[at:at + block]
+                matches, values = kept.get(at, (np.empty((len(asked), 0), dtype="int64"), np.empty((len(asked), 0))))
+                new = np.broadcast_to(batch[id_col].to_numpy(), (len(asked), len(batch)))
+                matches = np.concatenate([matches, new], axis=1)
+                values = np.concatenate([values, np.round(asked @ stored.T, 9)], axis=1)
+                order = np.lexsort((matches, -values), axis=1)[:, :k]
+                kept[at] = np.take_along_axis(matches, order, axis=1), np.take_along_axis(values, order, axis=1)
+        for at, (matches, values) in kept.items():
+            yield pd.DataFrame({"query_id": np.repeat(ids[at:at + block], values.shape[1]), "match_id": matches.ravel(),
+                                "similarity": values.ravel()})
 
     partial = vectors.select(id_col, vector).mapInPandas(best, "query_id long, match_id long, similarity double")
     w = W.partitionBy("query_id").orderBy(F.desc("similarity"), "match_id")

@@ -78,10 +78,6 @@ def review_state(log: DataFrame, tiebreak="seq") -> DataFrame:
     return latest_by(log, ["facility_id"], tiebreak=tiebreak)
 
 
-def board_limit(limit=500):
-    return min(int(limit), 2000)
-
-
 def _card(df, **changed):
     fields = {"facility_id": None, "facility_name": None, "facility_type": None, "state": None, "status": None,
               "parked_reason": None, "assigned_to": None, "notes": None, "updated_by": None, "updated_at": None}
@@ -94,15 +90,15 @@ def _identity(gold):
                        F.col("address_state_or_region").alias("state"))
 
 
-def unstarted(gold: DataFrame, review: DataFrame = None, limit=500) -> DataFrame:
-    """Cards not yet started, by name. Without ``review`` every record counts as not started."""
+def unstarted(gold: DataFrame, review: DataFrame = None, limit=None) -> DataFrame:
+    """All cards not yet started, or the first ``limit`` by name. Without ``review`` every record counts as such."""
     cards = _identity(gold)
     if review is not None:
         cards = cards.join(review.select("facility_id"), "facility_id", "left_anti")
     none = F.lit(None).cast("string")
     cards = _card(cards, status=F.lit("not_started"), parked_reason=none, assigned_to=none, notes=none,
                   updated_by=none, updated_at=none)
-    return cards.orderBy(F.asc_nulls_first("facility_name"), "facility_id").limit(board_limit(limit))
+    return cards if limit is None else cards.orderBy(F.asc_nulls_first("facility_name"), "facility_id").limit(limit)
 
 
 def board(gold: DataFrame, review: DataFrame, status=None, assigned_to=None) -> DataFrame:

@@ -4,14 +4,13 @@ Each layer is written once and read back by the next, so a lost executor recompu
 no layer is evaluated twice.
 """
 
-import tempfile
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trustdesk.operators import clean, curate, quality, signals as sig
-from trustdesk.operators.outreach import outreach
+from trustdesk.operators.outreach import contacts, outreach, outreach_lists
 from trustdesk.schemas import EXTRACTION_ERRORS, RAW_RESPONSES, TRUST_SIGNALS
 from trustdesk.sources import sinks
 
@@ -34,46 +33,41 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def shared_folder(spark: SparkSession):
-    """Folder for tables that cut a plan: ``spark.checkpoint.dir``, or a temporary folder in local mode.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for tables that cut a plan: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
-    None on a cluster that names no folder, because executors could not all see a local one.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="trustdesk-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
-    return None
+
+def state_of(spark: SparkSession, path: str) -> tuple:
+    """Number, size and latest change of the files under a path, from the listing alone."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+             .agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime")).first())
+    return tuple(files)
 
 
 _KEPT = {}
 
 
 def stored_path(spark: SparkSession, key, build, partition_by=()):
-    """Path of the table for ``key``, written on first use in this application; None without a shared folder."""
-    key = (spark.sparkContext.applicationId, *key)
-    if key in _KEPT and sinks.path_exists(spark, f"{_KEPT[key][0]}/_SUCCESS"):
-        return _KEPT[key]
-    folder = shared_folder(spark)
-    if folder is None:
-        return None, None
-    df = build()
-    path = f"{folder}/trustdesk/{uuid.uuid4().hex}/{key[-1]}"
-    sinks.overwrite(df, path, partition_by)
-    _KEPT[key] = (path, df.schema)
-    return _KEPT[key]
+    """(path, schema) of the table for ``key``, (folder of inputs, name), written on first use in this application.
+
+    A table is written anew when the files of its inputs have changed.
+    """
+    folder, name = key
+    now = state_of(spark, folder)
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _KEPT or _KEPT[key][0] != now:
+        df = build()
+        path = f"{shared_folder(spark)}/trustdesk/{uuid.uuid4().hex}/{name}"
+        sinks.overwrite(df, path, partition_by)
+        _KEPT[key] = (now, path, df.schema)
+    return _KEPT[key][1:]
 
 
 def stored_once(spark: SparkSession, key, build, partition_by=()) -> DataFrame:
-    """The table for ``key``, read from its stored copy.
-
-    Without a shared folder the plan stays lazy and is evaluated by each query.
-    """
+    """The table for ``key``, read from its stored copy."""
     path, schema = stored_path(spark, key, build, partition_by)
-    return build() if path is None else spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def build_layers(spark: SparkSession, src: DataFrame, overrides: DataFrame, layout: Layout, at, as_of,
@@ -86,40 +80,51 @@ def build_layers(spark: SparkSession, src: DataFrame, overrides: DataFrame, layo
     issues = stored(curate.issue_rows(silver, detected_at=at), layout.issues)
     checks, names, skipped = quality.core_checks(src)
     scores = stored(quality.quality_scores(checks, names, at), layout.quality_scores)
-    contacts = stored(outreach(src, scores, at), layout.outreach)
+    reached = contacts(src, scores)
+    mails = stored(outreach(reached, at), layout.outreach)
+    lists = stored(outreach_lists(reached), layout.outreach_lists)
     return {"bronze": bronze, "silver": silver, "gold": gold, "issues": issues, "quality_scores": scores,
-            "outreach": contacts, "skipped_checks": skipped}
+            "outreach": mails, "outreach_lists": lists, "skipped_checks": skipped}
 
 
-def extract_signals(spark: SparkSession, raw: DataFrame, layout: Layout, scorer, at, fallback=None, chunk=10_000,
-                    run="run") -> dict:
-    """Score one chunk of records without signals and append the outcome.
+def extract_signals(spark: SparkSession, raw: DataFrame, layout: Layout, scorer, at, fallback=None, chunk=None,
+                    attempts=3) -> dict:
+    """Score records without signals, round by round, until all are answered or have failed ``attempts`` times.
 
-    Answers are stored before they are parsed, so the scorer runs once per record even though signals and
-    errors are written separately. Records already answered leave the work list, so a restarted run goes on
-    where the last one stopped and repeats one chunk at most. ``chunk=None`` takes the whole work list.
+    Each round has a run id of its own under the responses. Answers are stored before they are parsed, so the scorer
+    runs once per record and round. Records that are answered, or have failed too often, leave the work list, so a
+    restarted run goes on where the last one stopped and repeats one round at most. A round takes the whole list, or
+    the first ``chunk`` records of it.
     """
     sinks.ensure_table(spark, layout.signals, TRUST_SIGNALS)
     sinks.ensure_table(spark, layout.errors, EXTRACTION_ERRORS)
-    done = sinks.read_pinned(spark, layout.signals, TRUST_SIGNALS)
-    todo = sig.render_prompt(sig.worklist(raw, done, chunk))
-    if chunk is not None:
-        # a limit leaves one partition; the scorer should run on every core
-        todo = todo.repartition(spark.sparkContext.defaultParallelism, "facility_id")
-    answers = sig.score(todo, scorer, fallback).withColumn("responded_at", F.lit(at).cast("timestamp"))
-    path = f"{layout.responses}/{run}"
-    sinks.overwrite(sinks.conform(answers, RAW_RESPONSES), path)
-    good, errors = sig.parse_signals(sinks.read_pinned(spark, path, RAW_RESPONSES))
-    outcome = sinks.append_signals(good, layout.signals)
-    sinks.append_errors(errors, layout.errors)
-    return outcome
+    total = {"written": 0, "dropped": 0, "rounds": 0}
+    while True:
+        done = sinks.read_pinned(spark, layout.signals, TRUST_SIGNALS)
+        failed = sinks.read_pinned(spark, layout.errors, EXTRACTION_ERRORS)
+        todo = sig.render_prompt(sig.worklist(raw, done, failed, attempts, chunk))
+        if chunk is not None:
+            # a limit leaves one partition; the scorer should run on every core
+            todo = todo.repartition(spark.sparkContext.defaultParallelism, "facility_id")
+        answers = sig.score(todo, scorer, fallback).withColumn("responded_at", F.lit(at).cast("timestamp"))
+        path = f"{layout.responses}/run={uuid.uuid4().hex}"
+        sinks.overwrite(sinks.conform(answers, RAW_RESPONSES), path)
+        stored_answers = sinks.read_pinned(spark, path, RAW_RESPONSES)
+        if stored_answers.isEmpty():
+            return total
+        good, errors = sig.parse_signals(stored_answers)
+        outcome = sinks.append_signals(good, layout.signals)
+        sinks.append_errors(errors, layout.errors)
+        total = {"written": total["written"] + outcome["written"], "dropped": total["dropped"] + outcome["dropped"],
+                 "rounds": total["rounds"] + 1}
 
 
 def publish(layers: dict, signals: DataFrame, target: Layout) -> list:
-    """Snapshots of the four served tables with their key columns."""
+    """Snapshots of the served tables with their key columns."""
     return sinks.publish_all([
         (layers["gold"], ["unique_id"], target.facilities),
         (sig.latest_signals(signals), ["facility_id", "dimension"], target.trust_signals),
         (layers["quality_scores"], ["facility_id"], target.quality_scores),
-        (layers["outreach"], ["email", "list_part"], target.email_outreach),
+        (layers["outreach"], ["email"], target.email_outreach),
+        (layers["outreach_lists"], ["email", "list", "value"], target.email_outreach_lists),
     ])

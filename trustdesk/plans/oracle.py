@@ -60,8 +60,8 @@ part("signals", select(v.SIGNAL_EXPRESSIONS, "assessed CROSS JOIN (VALUES " + ",
 part("responses", select(v.RESPONSE_EXPRESSIONS, "assessed"), "assessed")
 part("overrides", select(v.OVERRIDE_EXPRESSIONS, "orders"))
 part("actions", select(v.ACTION_EXPRESSIONS, "events"))
-part("review_log", select(v.REVIEW_EXPRESSIONS, f"orders WHERE {v.REVIEW_FROM}"))
-part("suggestions", select(v.SUGGESTION_EXPRESSIONS, f"lineitem WHERE {v.SUGGESTIONS_FROM}"))
+part("review_log", select(v.REVIEW_EXPRESSIONS, "orders"))
+part("suggestions", select(v.SUGGESTION_EXPRESSIONS, "lineitem"))
 part("postal", select(v.POSTAL_EXPRESSIONS, "part"))
 part("indicators", select(v.INDICATOR_EXPRESSIONS,
                           "(SELECT s_suppkey % 50 AS g, count(*) AS suppliers FROM supplier GROUP BY 1)"))
@@ -339,14 +339,13 @@ counted AS (SELECT match, value, count(DISTINCT unique_id) AS duplicate_count FR
              'unique_id, match, value, duplicate_count, "check", issue_summary'), "silver")
 oracle("fuzzy_identity", f"""
 , named AS (SELECT unique_id, {key('name')} AS norm, address_state_or_region AS place FROM silver),
-blocked AS (SELECT *, substr(norm, 1, 4) AS block FROM named WHERE length(norm) >= 4 AND place IS NOT NULL),
-names AS (SELECT DISTINCT place, block, norm FROM blocked),
-near AS (SELECT DISTINCT a.place, a.norm FROM names a JOIN names b ON a.place = b.place AND a.block = b.block
-  AND a.norm <> b.norm
+placed AS (SELECT * FROM named WHERE norm <> '' AND place IS NOT NULL),
+names AS (SELECT DISTINCT place, norm FROM placed),
+near AS (SELECT DISTINCT a.place, a.norm FROM names a JOIN names b ON a.place = b.place AND a.norm <> b.norm
   AND levenshtein(a.norm, b.norm) * 100 <= 15 * greatest(length(a.norm), length(b.norm)))
 SELECT unique_id, 'similar_identity' AS "check", 'medium' AS severity, 15 AS penalty_points,
   'Name is close to another record in the same area' AS issue_summary
-FROM blocked JOIN near ON blocked.place = near.place AND blocked.norm = near.norm""", "silver")
+FROM placed JOIN near ON placed.place = near.place AND placed.norm = near.norm""", "silver")
 oracle("missing_core", rule_rows([
     ("core_name", missing("name"), 50, "Facility name is missing"),
     ("core_state", missing("address_stateOrRegion"), 30, "State or region is missing"),
@@ -577,17 +576,15 @@ part("raw", """SELECT unique_id AS facility_id, name AS facility_name, organizat
   address_stateOrRegion AS state, description, capability, procedure, equipment, capacity,
   yearEstablished AS year_established FROM src WHERE unique_id IS NOT NULL""", "src")
 oracle("worklist", """SELECT facility_id, facility_name FROM raw
-  WHERE facility_id NOT IN (SELECT DISTINCT facility_id FROM signals)
-  ORDER BY (CASE WHEN description IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN capability IS NOT NULL THEN 1 ELSE 0 END) DESC,
-    facility_id LIMIT 10000""", "raw", "signals")
+  WHERE facility_id NOT IN (SELECT DISTINCT facility_id FROM signals)""", "raw", "signals")
 oracle("prompt", """SELECT facility_id, 'Judge how well the texts of this record support what it claims, for the dimensions '
   || 'capability, equipment, procedure, completeness. Quote evidence word for word. Answer with one JSON object '
   || '{"dimensions": [...]} whose items have the keys dimension, trust_score, confidence_tier, evidence_text, '
   || 'source_field, contradiction, contradiction_detail.' || """ + " || ".join(
     [f"chr(10) || '{c}: ' || coalesce({c}, 'N/A')" for c in ("facility_id", "facility_type", "state")]
     + [f"chr(10) || '{c}: ' || coalesce({c}, 'NOT PROVIDED')" for c in ("capacity", "year_established")]
-    + [f"chr(10) || '{c}: ' || coalesce(substr({c}, 1, {n}), '')" for c, n in (
-        ("description", 1500), ("capability", 800), ("procedure", 800), ("equipment", 800))]) + " AS prompt FROM raw", "raw")
+    + [f"chr(10) || '{c}: ' || coalesce({c}, '')" for c in ("description", "capability", "procedure", "equipment")])
+    + " AS prompt FROM raw", "raw")
 
 
 def ruled(c):
@@ -608,7 +605,9 @@ part("judged", """SELECT *, CASE WHEN raw_response IS NULL THEN 'no response'
     WHEN len(list_filter(items, lambda i: i->>'dimension' IS NULL OR i->>'confidence_tier' IS NULL)) > 0
       THEN 'dimension or confidence_tier is missing'
     WHEN len(list_filter(items, lambda i: i->>'trust_score' IS NOT NULL AND TRY_CAST(i->>'trust_score' AS DOUBLE) IS NULL)) > 0
-      THEN 'trust_score is not a number' END AS problem
+      THEN 'trust_score is not a number'
+    WHEN len(list_filter(items, lambda i: i->>'dimension' IN ('capability', 'equipment', 'procedure', 'completeness'))) = 0
+      THEN 'no usable dimension' END AS problem
   FROM (SELECT *, CASE WHEN json_valid(raw_response) AND json_exists(CASE WHEN json_valid(raw_response) THEN raw_response END, '$.dimensions')
     THEN CAST(json_extract(CASE WHEN json_valid(raw_response) THEN raw_response END, '$.dimensions') AS JSON[]) END AS items
   FROM responses)""", "responses")
@@ -773,10 +772,9 @@ part("cards", """SELECT r.facility_id, coalesce(g.name, r.facility_id) AS facili
   address_state_or_region AS state, status, parked_reason, assigned_to, notes, updated_by
   FROM review r LEFT JOIN gold g ON g.unique_id = r.facility_id""", "review", "gold")
 part("waiting", "SELECT * FROM gold WHERE unique_id NOT IN (SELECT facility_id FROM review)", "gold", "review")
-oracle("board_columns", """SELECT * FROM cards UNION ALL SELECT * FROM (SELECT unique_id, name, facility_type_id, address_state_or_region,
-  'not_started', NULL, NULL, NULL, NULL FROM waiting ORDER BY name NULLS FIRST, unique_id LIMIT 2000)""", "cards", "waiting")
-oracle("board_unstarted_all", """SELECT unique_id AS facility_id, name AS facility_name, 'not_started' AS status FROM gold
-  ORDER BY name NULLS FIRST, unique_id LIMIT 500""", "gold")
+oracle("board_columns", """SELECT * FROM cards UNION ALL SELECT unique_id, name, facility_type_id, address_state_or_region,
+  'not_started', NULL, NULL, NULL, NULL FROM waiting""", "cards", "waiting")
+oracle("board_unstarted_all", """SELECT unique_id AS facility_id, name AS facility_name, 'not_started' AS status FROM gold""", "gold")
 oracle("board_assignee", "SELECT * FROM cards WHERE status = 'parked' AND assigned_to = 'analyst-2'", "cards")
 oracle("board_counts", """SELECT position, s.status, CASE WHEN s.status = 'not_started' THEN (SELECT count(*) FROM waiting)
     + (SELECT count(*) FROM review r WHERE r.status = s.status)
@@ -807,29 +805,28 @@ part("reachable", f"""SELECT b.*, q.quality_score, q.issues FROM (SELECT unique_
   LEFT JOIN scores q ON q.facility_id = trim(b.unique_id)""", "src", "scores")
 
 
-def joined_set(c, rows="reachable"):
-    return f"coalesce(string_agg(DISTINCT {c}, '|' ORDER BY {c}), '')"
-
-
-part("rollup", f"""SELECT r.email, CAST(0 AS BIGINT) AS list_part, count(DISTINCT unique_id) AS facility_count,
-  {joined_set('unique_id')} AS facility_ids, {joined_set('name')} AS facility_names,
-  {joined_set('address_stateOrRegion')} AS states, {joined_set('address_city')} AS cities,
-  count(DISTINCT unique_id) > 1 AS is_shared, min(quality_score) AS min_quality_score,
-  CAST(round(avg(quality_score)) AS INTEGER) AS avg_quality_score, coalesce(any_value(i.issues), '') AS issues
+part("rollup", """SELECT r.email, count(DISTINCT unique_id) AS facility_count, min(name) AS first_name,
+  min(nullif(address_stateOrRegion, '')) AS first_state, count(DISTINCT unique_id) > 1 AS is_shared,
+  min(quality_score) AS min_quality_score, CAST(round(avg(quality_score)) AS INTEGER) AS avg_quality_score,
+  coalesce(any_value(i.issues), '') AS issues
   FROM reachable r LEFT JOIN (SELECT email, string_agg(DISTINCT issue, '|' ORDER BY issue) AS issues
     FROM (SELECT email, unnest(string_split(issues, '|')) AS issue FROM reachable) GROUP BY 1) i ON i.email = r.email
   GROUP BY 1""", "reachable")
 oracle("outreach_rollup", "SELECT * FROM rollup", "rollup")
+oracle("outreach_lists", " UNION ".join(
+    f"SELECT email, '{name}' AS list, {c} AS value FROM reachable WHERE {c} IS NOT NULL" for name, c in (
+        ("facility_ids", "unique_id"), ("facility_names", "name"), ("states", "address_stateOrRegion"), ("cities", "address_city")))
+    + """ UNION SELECT email, 'issues', issue FROM (SELECT email, unnest(string_split(issues, '|')) AS issue FROM reachable)
+  WHERE issue IS NOT NULL""", "reachable")
 oracle("outreach_draft", """
-, lists AS (SELECT email, list_part, CASE WHEN facility_names = '' THEN [] ELSE string_split(facility_names, '|') END AS names,
-  list_filter(string_split(states, '|'), lambda s: s <> '') AS states, issues FROM rollup)
-SELECT email, list_part, 'Hello,' || chr(10) || chr(10) || 'my name is Maya and I help the directory team keep its directory of health facilities correct.'
-  || chr(10) || chr(10) || 'This address is listed for ' || CASE WHEN len(names) = 0 THEN 'your facility' WHEN len(names) = 1 THEN names[1]
-    ELSE len(names) || ' facilities including ' || names[1] END || CASE WHEN len(states) > 0 THEN ' in ' || states[1] ELSE '' END
+SELECT email, 'Hello,' || chr(10) || chr(10) || 'my name is Maya and I help the directory team keep its directory of health facilities correct.'
+  || chr(10) || chr(10) || 'This address is listed for ' || CASE WHEN first_name IS NULL THEN 'your facility' WHEN facility_count <= 1
+    THEN first_name ELSE facility_count || ' facilities including ' || first_name END
+  || coalesce(' in ' || first_state, '')
   || '. Could you confirm or correct a few details?' || CASE WHEN issues = '' THEN '' ELSE chr(10) || chr(10)
     || 'These points need a look:' || chr(10) || '  - ' || replace(issues, '|', chr(10) || '  - ') END
   || chr(10) || chr(10) || 'A short reply is enough. Thank you for your help.' || chr(10) || chr(10) || 'Kind regards,' || chr(10)
-  || 'Maya' || chr(10) || 'the directory team' AS draft FROM lists""", "rollup")
+  || 'Maya' || chr(10) || 'the directory team' AS draft FROM rollup""", "rollup")
 
 # --- geography ----------------------------------------------------------------------------------------
 oracle("pin_enrich", f"""
@@ -868,8 +865,10 @@ part("history", """SELECT user_id, ts, event_id, value, CASE event_type WHEN 'si
 oracle("cdc_current", """SELECT user_id, event_id, value, op FROM (SELECT * FROM history QUALIFY row_number() OVER (
   PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) WHERE op <> 'delete'""", "history")
 oracle("scd2", """SELECT user_id, event_id, CAST(ts AS VARCHAR) AS valid_from,
-  CAST(lead(ts) OVER w AS VARCHAR) AS valid_to, lead(ts) OVER w IS NULL AS is_current FROM history
-  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""", "history")
+  CAST(lead(ts) OVER w AS VARCHAR) AS valid_to, lead(true) OVER w IS NULL AS is_current
+  FROM (SELECT * REPLACE (CASE WHEN event_id % 97 = 5 THEN NULL ELSE user_id END AS user_id,
+    CASE WHEN event_id % 101 = 7 THEN NULL ELSE ts END AS ts) FROM history)
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id)""", "history")
 oracle("cosine_topk", """
 SELECT query_id, match_id, round(similarity, 5) AS similarity, CAST(rank AS INTEGER) AS rank FROM (
   SELECT q.vec_id AS query_id, e.vec_id AS match_id,
@@ -896,3 +895,22 @@ SELECT l_suppkey, round(s_acctbal / 100, 6) AS on_hand, round(s_acctbal / 100 /
 FROM supplier JOIN now ON l_suppkey = s_suppkey WHERE s_acctbal / 100 / nullif(velocity, 0) < 14""", "speed")
 oracle("moderation_metrics", """SELECT source, count(*) AS submissions, round(avg(CASE WHEN toxic = 0 THEN 1.0 ELSE 0.0 END), 6) AS approval_rate,
   round(avg(quality), 6) AS avg_score FROM documents JOIN labels ON labels.doc_id = documents.doc_id GROUP BY 1""")
+
+# --- checks registered from outside, and tables written and read back ------------------------------------
+oracle("registered_checks", """
+, outer_checks AS (SELECT trim(unique_id) AS facility_id, 'short_name' AS "check", 7 AS points FROM src
+    WHERE unique_id IS NOT NULL AND length(name) < 24
+  UNION ALL SELECT trim(unique_id), 'same_name', 3 FROM src WHERE unique_id IS NOT NULL AND name IN (
+    SELECT name FROM src WHERE name IS NOT NULL GROUP BY 1 HAVING count(DISTINCT unique_id) > 1)),
+extra AS (SELECT facility_id, sum(points) AS points FROM (SELECT facility_id, "check", max(points) AS points FROM outer_checks GROUP BY 1, 2)
+  GROUP BY 1)
+SELECT coalesce(s.facility_id, e.facility_id) AS facility_id,
+  CAST(coalesce(s.total_penalty_points, 0) + coalesce(e.points, 0) AS INTEGER) AS total_penalty_points,
+  'no_such_column' AS skipped
+FROM scores s FULL JOIN extra e ON s.facility_id = e.facility_id""", "src", "scores")
+oracle("signals_append", """SELECT facility_id, dimension, CAST(i->>'trust_score' AS DOUBLE) AS trust_score, i->>'confidence_tier' AS confidence_tier
+  FROM (SELECT facility_id, i->>'dimension' AS dimension, i FROM (SELECT facility_id, unnest(items) AS i FROM judged WHERE problem IS NULL))
+  WHERE dimension IN ('capability', 'equipment', 'procedure', 'completeness')""", "judged")
+oracle("errors_append", "SELECT facility_id, problem AS error_message FROM judged WHERE problem IS NOT NULL", "judged")
+oracle("publish_snapshot", "SELECT facility_id, quality_score FROM scores", "scores")
+oracle("csv_scan", "SELECT doc_id, text, lang, source, n_chars FROM documents")

@@ -8,12 +8,12 @@ from trustdesk.operators import (
     clean, curate, documented_checks as extra, enrich, quality, search as find, signals as sig, starters, trust,
     workbench as desk,
 )
-from trustdesk.operators.outreach import outreach, outreach_draft
+from trustdesk.operators.outreach import contacts, outreach, outreach_draft, outreach_lists
 from trustdesk.operators.similarity import fuzzy_identity
 from trustdesk.plans.layers import shared_folder, stored_once, stored_path
-from trustdesk.schemas import SOURCE_COLUMNS
-from trustdesk.sources import driver_views as views
-from trustdesk.sources.readers import run_sql
+from trustdesk.schemas import EXTRACTION_ERRORS, SOURCE_COLUMNS, TRUST_SIGNALS
+from trustdesk.sources import driver_views as views, sinks
+from trustdesk.sources.readers import read_csv, run_sql
 from trustdesk.streaming import latest
 
 AS_OF = "2024-06-30"
@@ -131,7 +131,7 @@ add("document_text_quality")(lambda d: extra.text_quality(d.table("documents"),
 add("trust_quality_matrix")(lambda d: extra.trust_quality_matrix(d.fs, d.quality_scores))
 
 # --- signals ------------------------------------------------------------------------------------------
-add("worklist")(lambda d: sig.worklist(d.raw, d.signals, 10_000).select("facility_id", "facility_name"))
+add("worklist")(lambda d: sig.worklist(d.raw, d.signals).select("facility_id", "facility_name"))
 add("prompt")(lambda d: sig.render_prompt(d.raw).select("facility_id", "prompt"))
 
 
@@ -222,8 +222,6 @@ def _(d):
     path, schema = stored_path(d.spark, (d.dir, "actions_log"), lambda: d.actions)
     columns = ["facility_id", "analyst_id", "action_type", "content", "seq"]
     keys = ["facility_id", "analyst_id", "action_type"]
-    if path is None:
-        return curate.latest_by(d.actions, keys).select(columns)
     state = f"{shared_folder(d.spark)}/trustdesk/{uuid.uuid4().hex}"
     latest.stream_latest(d.spark, path, schema, keys, f"{state}/state", f"{state}/checkpoint").awaitTermination()
     return latest.read_latest(d.spark, f"{state}/state", schema, keys).select(columns)
@@ -235,8 +233,8 @@ add("review_queue")(lambda d: desk.review_queue(d.actions, d.fs))
 add("search_state")(lambda d: desk.search_state(d.fs, d.actions).select(
     "facility_id", "shortlisted", "flagged", "has_note"))
 add("board_columns")(lambda d: desk.board(d.gold, d.review).drop("updated_at").unionByName(
-    desk.unstarted(d.gold, d.review, limit=2000).drop("updated_at")))
-add("board_unstarted_all")(lambda d: desk.unstarted(d.gold, limit=500).select("facility_id", "facility_name", "status"))
+    desk.unstarted(d.gold, d.review).drop("updated_at")))
+add("board_unstarted_all")(lambda d: desk.unstarted(d.gold).select("facility_id", "facility_name", "status"))
 add("board_assignee")(lambda d: desk.board(d.gold, d.review, status="parked", assigned_to="analyst-2").drop("updated_at"))
 add("board_counts")(lambda d: desk.board_counts(d.gold, d.review))
 add("move_validation")(lambda d: desk.validate_moves(d.review_log).select("seq", "status", "parked_reason", "error"))
@@ -262,12 +260,11 @@ add("score_overrides")(lambda d: desk.apply_score_overrides(d.signals, d.actions
 
 @add("outreach_rollup")
 def _(d):
-    lists = ["facility_ids", "facility_names", "states", "cities", "issues"]
-    rollup = outreach(d.source, d.quality_scores)
-    return rollup.select(*(F.array_join(c, "|").alias(c) if c in lists else c for c in rollup.columns))
+    return outreach(contacts(d.source, d.quality_scores)).withColumn("issues", F.array_join("issues", "|"))
 
 
-add("outreach_draft")(lambda d: outreach_draft(outreach(d.source, d.quality_scores), "Maya"))
+add("outreach_lists")(lambda d: outreach_lists(contacts(d.source, d.quality_scores)))
+add("outreach_draft")(lambda d: outreach_draft(outreach(contacts(d.source, d.quality_scores)), "Maya"))
 
 # --- geography ----------------------------------------------------------------------------------------
 add("pin_enrich")(lambda d: enrich.enrich_postal(
@@ -290,7 +287,13 @@ def history(d):
 
 add("cdc_current")(lambda d: starters.cdc_current(history(d), ["user_id"], ["ts", "event_id"]).select(
     "user_id", "event_id", "value", "op"))
-add("scd2")(lambda d: starters.scd2(history(d), ["user_id"], "ts", "event_id").select(
+def incomplete_history(d):
+    """The history with some keys and times missing."""
+    return history(d).selectExpr("CASE WHEN event_id % 97 = 5 THEN NULL ELSE user_id END AS user_id",
+                                 "CASE WHEN event_id % 101 = 7 THEN NULL ELSE ts END AS ts", "event_id", "value", "op")
+
+
+add("scd2")(lambda d: starters.scd2(incomplete_history(d), ["user_id"], "ts", "event_id").select(
     "user_id", "event_id", F.col("valid_from").cast("string").alias("valid_from"),
     F.col("valid_to").cast("string").alias("valid_to"), "is_current"))
 
@@ -327,3 +330,61 @@ def _(d):
 add("moderation_metrics")(lambda d: starters.moderation_metrics(
     d.table("documents").join(d.table("labels"), "doc_id"), "source", F.col("toxic") == 0, "quality").select(
     "source", "submissions", F.round("approval_rate", 6).alias("approval_rate"), F.round("avg_score", 6).alias("avg_score")))
+
+
+# --- checks registered from outside, and tables written and read back ------------------------------------
+
+
+def same_names(src):
+    """Names that several records carry, as a check of its own."""
+    shared = (src.where("name IS NOT NULL").groupBy("name").agg(F.count_distinct("unique_id").alias("n")).where("n > 1")
+              .select("name"))
+    return src.join(shared, "name", "left_semi").select(
+        "unique_id", F.lit("same_name").alias("check"), F.lit(3).alias("penalty_points"), F.lit("Name occurs twice").alias("issue_summary"))
+
+
+def extra_checks():
+    return [quality.Rule("short_name", F.length("name") < 24, 7, "Name is short"), ("same_name", same_names)]
+
+
+@add("registered_checks")
+def _(d):
+    broken = quality.Rule("no_such_column", F.col("no_such_column").isNull(), 5, "never seen")
+    checks, names, skipped = quality.core_checks(d.source, [*extra_checks(), broken])
+    return quality.quality_scores(checks, names).select(
+        "facility_id", "total_penalty_points", F.lit(", ".join(skipped)).alias("skipped"))
+
+
+def folder(d, name):
+    return f"{shared_folder(d.spark)}/trustdesk/{uuid.uuid4().hex}/{name}"
+
+
+@add("signals_append")
+def _(d):
+    path = folder(d, "signals")
+    sinks.ensure_table(d.spark, path, TRUST_SIGNALS)
+    sinks.append_signals(sig.parse_signals(d.responses)[0], path)
+    return sinks.read_pinned(d.spark, path, TRUST_SIGNALS).select("facility_id", "dimension", "trust_score", "confidence_tier")
+
+
+@add("errors_append")
+def _(d):
+    path = folder(d, "errors")
+    sinks.ensure_table(d.spark, path, EXTRACTION_ERRORS)
+    sinks.append_errors(sig.parse_signals(d.responses)[1], path)
+    return sinks.read_pinned(d.spark, path, EXTRACTION_ERRORS).select("facility_id", "error_message")
+
+
+@add("publish_snapshot")
+def _(d):
+    done = sinks.publish_snapshot(d.quality_scores, ["facility_id"], folder(d, "quality_scores"))
+    if not done.ok:
+        raise ValueError(done.error)
+    return d.spark.read.schema(d.quality_scores.schema).parquet(done.target).select("facility_id", "quality_score")
+
+
+@add("csv_scan")
+def _(d):
+    docs, path = d.table("documents"), folder(d, "documents.csv")
+    docs.write.option("header", True).option("quote", '"').option("escape", '"').option("quoteAll", True).csv(path)
+    return read_csv(d.spark, path, docs.schema, docs.columns)

@@ -81,12 +81,12 @@ QUALITY_SCORES = _schema(
     ("total_penalty_points", I, False), ("issues", T.ArrayType(S), True), ("computed_at", TS, False),
 )
 OUTREACH = _schema(
-    ("email", S, False), ("list_part", L, True), ("facility_count", L, True),
-    ("facility_ids", T.ArrayType(S), True), ("facility_names", T.ArrayType(S), True),
-    ("states", T.ArrayType(S), True), ("cities", T.ArrayType(S), True), ("is_shared", B, True),
+    ("email", S, False), ("facility_count", L, True), ("first_name", S, True), ("first_state", S, True),
+    ("is_shared", B, True),
     ("min_quality_score", I, True), ("avg_quality_score", I, True), ("issues", T.ArrayType(S), True),
     ("computed_at", TS, True),
 )
+OUTREACH_LISTS = _schema(("email", S, False), ("list", S, False), ("value", S, False))
 OVERRIDES_LOG = _schema(
     ("facility_id", S, False), ("field_name", S, False), ("new_value", S, True),
     ("analyst_id", S, True), ("reason", S, True), ("updated_at", TS, False),

@@ -169,7 +169,7 @@ SIGNAL_EXPRESSIONS = {
     "confidence_tier": f"CASE WHEN NOT {SCORED} THEN 'insufficient_data' WHEN {N} >= 70 THEN 'high' "
                        f"WHEN {N} >= 40 THEN 'medium' ELSE 'low' END",
     "evidence_text": f"CASE WHEN (k + d) % 5 = 0 THEN 'Sentence from somewhere else' WHEN (k + d) % 5 = 1 THEN NULL "
-                     f"ELSE substr({FIELD_TEXT}, 1, 20) END",
+                     f"WHEN (k + d) % 5 = 2 THEN ({FIELD_TEXT}) ELSE substr({FIELD_TEXT}, 1, 20) END",
     "source_field": "CASE WHEN d < 3 THEN dim WHEN k % 2 = 0 THEN 'capacity' WHEN k % 7 = 1 THEN 'year_established' END",
     "contradiction": CONTRADICTS,
     "contradiction_detail": f"CASE WHEN NOT {CONTRADICTS} OR k % 3 = 0 THEN NULL WHEN k % 3 = 1 THEN "
@@ -220,7 +220,10 @@ ANSWER = ("'{\"dimensions\": [' || " + " || ', ' || ".join(_answer_item(d, dim)
 RESPONSE_EXPRESSIONS = {
     "facility_id": "trim(unique_id)",
     "raw_response": f"CASE WHEN k % 71 = 1 THEN 'not json' WHEN k % 71 = 2 THEN '{{\"dims\": []}}' "
-                    f"WHEN k % 71 = 5 THEN NULL WHEN k % 71 = 7 THEN substr({ANSWER}, 1, 60) ELSE {ANSWER} END",
+                    f"WHEN k % 71 = 5 THEN NULL WHEN k % 71 = 7 THEN substr({ANSWER}, 1, 60) "
+                    f"WHEN k % 71 = 9 THEN {ANSWER} || chr(10) || ' ' WHEN k % 71 = 10 THEN '{{\"dimensions\": []}}' "
+                    f"WHEN k % 71 = 11 THEN '{{\"dimensions\": [{{\"dimension\": \"staffing\", \"confidence_tier\": "
+                    f"\"low\"}}]}}' ELSE {ANSWER} END",
     "extraction_model": "'rules'",
 }
 
@@ -274,7 +277,6 @@ def actions(spark, sf_dir) -> DataFrame:
     return _project(table(spark, sf_dir, "events"), ACTION_EXPRESSIONS)
 
 
-REVIEW_FROM = "o_orderpriority = '1-URGENT'"
 REVIEW_EXPRESSIONS = {
     "facility_id": uuid_of("o_custkey"),
     "status": "CASE o_orderstatus WHEN 'F' THEN 'validation_complete' WHEN 'P' THEN (CASE WHEN o_orderkey % 3 = 0 THEN "
@@ -290,11 +292,10 @@ REVIEW_EXPRESSIONS = {
 
 
 def review_log(spark, sf_dir) -> DataFrame:
-    return _project(table(spark, sf_dir, "orders").where(REVIEW_FROM), REVIEW_EXPRESSIONS)
+    return _project(table(spark, sf_dir, "orders"), REVIEW_EXPRESSIONS)
 
 
-# --- cleanup suggestions a reviewer accepted, one per order line with a returned item ----------------
-SUGGESTIONS_FROM = "l_returnflag = 'R'"
+# --- cleanup suggestions a reviewer accepted, one per order line ----------------
 SUGGESTION_EXPRESSIONS = {
     "facility_id": uuid_of("l_orderkey"),
     "field_name": cycle("l_linenumber", "'name'", "'address_city'", "'official_phone'"),
@@ -306,7 +307,7 @@ SUGGESTION_EXPRESSIONS = {
 
 
 def suggestions(spark, sf_dir) -> DataFrame:
-    return _project(table(spark, sf_dir, "lineitem").where(SUGGESTIONS_FROM), SUGGESTION_EXPRESSIONS)
+    return _project(table(spark, sf_dir, "lineitem"), SUGGESTION_EXPRESSIONS)
 
 
 # --- geography ---------------------------------------------------------------------------------------

@@ -9,16 +9,10 @@ from trustdesk.operators.signals import valid_dimensions
 from trustdesk.schemas import EXTRACTION_ERRORS, TRUST_SIGNALS
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
-
-
 def ensure_table(spark: SparkSession, path: str, schema: StructType) -> None:
     """Create an empty table once; later calls leave it alone."""
-    if not path_exists(spark, path):
-        # an unpartitioned empty write leaves a file that carries the schema
-        spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+    # an unpartitioned empty write leaves a file that carries the schema; an existing table is not touched
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
 
 
 def read_pinned(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
