@@ -167,10 +167,9 @@ def test_ambiguous_pins_are_marked(spark):
         [("1", "D", "S", "10", "20"), ("1", "D", "S", "NA", "NA"), ("2", "D", "S", "1", "1"), ("2", "E", "S", "1", "1")],
         "pincode string, district string, statename string, latitude string, longitude string")
     records = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "9"), ("d", None)], "unique_id string, address_zip_or_postcode string")
-    for hot_rows in (None, 1):
-        got = {r.unique_id: r for r in enrich.enrich_postal(records, offices, hot_rows=hot_rows).collect()}
-        assert len(got) == 4 and got["a"].pin_district == "D" and got["a"].pin_latitude == 10.0
-        assert got["b"].is_ambiguous and got["b"].pin_district is None and got["c"].office_count is None
+    got = {r.unique_id: r for r in enrich.enrich_postal(records, offices).collect()}
+    assert len(got) == 4 and got["a"].pin_district == "D" and got["a"].pin_latitude == 10.0
+    assert got["b"].is_ambiguous and got["b"].pin_district is None and got["c"].office_count is None
 
 
 @pytest.mark.parametrize("hot_rows", [None, 1])

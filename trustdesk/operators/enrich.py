@@ -21,10 +21,13 @@ def one_row_per_pin(offices: DataFrame) -> DataFrame:
                           F.when(clear, F.col("_state")).alias("pin_state"), "pin_latitude", "pin_longitude")
 
 
-def enrich_postal(records: DataFrame, offices: DataFrame, pin="address_zip_or_postcode", hot_rows=None) -> DataFrame:
-    """Records with district and state of their postal code; row count unchanged."""
-    pins = one_row_per_pin(offices).withColumnRenamed("pincode", pin)
-    return hot_split_join(records, pins, pin, how="left", hot_rows=hot_rows)
+def enrich_postal(records: DataFrame, offices: DataFrame, pin="address_zip_or_postcode") -> DataFrame:
+    """Records with district and state of their postal code; row count unchanged.
+
+    One row a code on the right: adaptive execution sends a small list to all tasks and splits a code of very many
+    records, or the records without one, when it is not small.
+    """
+    return records.join(one_row_per_pin(offices).withColumnRenamed("pincode", pin), pin, "left")
 
 
 def clean_indicators(indicators: DataFrame, cols, district="district_name") -> DataFrame:
@@ -38,11 +41,10 @@ def clean_indicators(indicators: DataFrame, cols, district="district_name") -> D
 
 
 def enrich_indicators(records: DataFrame, indicators: DataFrame, cols, district="address_city",
-                      name="district_name", hot_rows=None) -> DataFrame:
+                      name="district_name") -> DataFrame:
     """Records with the figures of their district, matched on normalised names."""
     figures = clean_indicators(indicators, cols, name).drop(name)
-    keyed = records.withColumn("district_key", matching_key(district))
-    return hot_split_join(keyed, figures, "district_key", how="left", hot_rows=hot_rows)
+    return records.withColumn("district_key", matching_key(district)).join(figures, "district_key", "left")
 
 
 def unmatched_districts(records: DataFrame, indicators: DataFrame, district="address_city",

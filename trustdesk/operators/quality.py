@@ -52,7 +52,8 @@ def row_checks(df: DataFrame, rules, id_col="unique_id", keep=()) -> DataFrame:
             F.lit(r.check).alias("check"), _lit(r.points).cast("int").alias("penalty_points"),
             _lit(r.issue).alias("issue_summary"), F.lit(r.severity).alias("severity")))
         for r in rules)))
-    out = df.select(F.col(id_col).alias("unique_id"), *keep, F.inline(fired))
+    # the plain generator would get a filter with a second copy of all the conditions
+    out = df.select(F.col(id_col).alias("unique_id"), *keep, F.inline_outer(fired)).where(F.col("check").isNotNull())
     return out if any(r.severity for r in rules) else out.drop("severity")
 
 
@@ -250,16 +251,17 @@ def quality_scores(checks: DataFrame, names, computed_at=None) -> DataFrame:
 
 def worst_records(checks: DataFrame, names, records: DataFrame, n=100) -> DataFrame:
     """The ``n`` lowest scores with issue counts by severity and the record's identity fields."""
-    counts = (checks.where(F.col("unique_id").isNotNull())
+    order = [F.col("quality_score"), F.desc("total_penalty_points"), F.col("facility_id")]
+    worst = quality_scores(checks, names).orderBy(*order).limit(n)
+    # issues are counted for the chosen ids alone; n ids are few enough to go to every task
+    counts = (checks.withColumn("facility_id", F.trim("unique_id"))
+              .join(F.broadcast(worst.select("facility_id")), "facility_id", "left_semi")
               .withColumn("_severity", severity_of_points())
-              .groupBy(F.trim("unique_id").alias("facility_id"))
+              .groupBy("facility_id")
               .agg(*(F.count_distinct(F.when(F.col("_severity") == s, F.col("issue_summary"))).alias(f"{s}_issues")
                      for s in ("critical", "high", "medium", "low"))))
-    worst = (quality_scores(checks, names).join(counts, "facility_id")
-             .orderBy(F.col("quality_score"), F.desc("total_penalty_points"), "facility_id").limit(n))
     identity = records.select(
         F.col("unique_id").alias("facility_id"), F.col("name").alias("facility_name"),
         F.col("facility_type_id").alias("facility_type"), F.col("address_city").alias("city"),
         F.col("address_state_or_region").alias("state"))
-    return (worst.join(identity, "facility_id", "left")
-            .orderBy("quality_score", F.desc("total_penalty_points"), "facility_id"))
+    return worst.join(counts, "facility_id").join(identity, "facility_id", "left").orderBy(*order)

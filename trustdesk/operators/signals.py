@@ -350,13 +350,10 @@ def segments(marks: DataFrame) -> DataFrame:
     A match that starts inside an earlier one is skipped. Equal matches are merged first, so the list kept
     per field is bounded by the distinct quotes in that field.
     """
-    spots = (marks.where(F.col("match") != "")
-             .groupBy("facility_id", "field_name", "match").agg(F.first("text").alias("text"))
-             .withColumn("at", F.expr("locate(match, text)"))
-             .where(F.col("at") > 0))
+    spots = marks.withColumn("at", F.expr("locate(match, text)")).where((F.col("match") != "") & (F.col("at") > 0))
     ordered = spots.groupBy("facility_id", "field_name").agg(
         F.first("text").alias("text"),
-        F.sort_array(F.collect_list(F.struct(
+        F.sort_array(F.collect_set(F.struct(
             F.col("at"), (-F.length("match")).alias("order"), F.length("match").alias("size")))).alias("spots"))
     kept = F.expr("""
         aggregate(spots, named_struct('end', 1, 'spans', CAST(array() AS array<struct<at:int, size:int>>)),
