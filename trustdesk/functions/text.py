@@ -4,7 +4,7 @@ from pyspark.sql import Column, functions as F
 
 from trustdesk.schemas import EMAIL_PATTERN, PLACEHOLDERS, UUID_PATTERN
 
-# NUL..BS, VT, FF, SO..US, DEL and the Unicode replacement character; tab, LF and CR survive
+# fixed value: NUL..BS, VT, FF, SO..US, DEL and the Unicode replacement character; tab, LF and CR survive
 CONTROL_CHARS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F�]"
 
 

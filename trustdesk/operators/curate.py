@@ -82,6 +82,7 @@ def issue_rules():
     """(condition, field, issue type, severity, raw value column, suggestion, rule name)."""
     valid = is_uuid("unique_id")
     kind, code = F.col("facility_type_id"), F.col("address_country_code")
+    # fixed values: issue types, severities, suggestions and rule names
     return [
         (~valid, "unique_id", "invalid_facility_id", "critical", None, "unique_id_uuid_validation"),
         (valid & (F.col("_copies") > 1), "unique_id", "duplicate_facility_id", "medium",

@@ -62,6 +62,7 @@ def row_checks(df: DataFrame, rules, id_col="unique_id", keep=()) -> DataFrame:
 def missing_rules():
     """Missing name, description, type, phone, email and website."""
     allowed = F.col("facilityTypeId").isin(RECORD_TYPES)
+    # fixed values: names, points and texts of the checks
     return [
         Rule("missing_name", is_missing("name"), 60, "Facility name is missing"),
         Rule("missing_description", is_missing("description"), 30, "Description is missing"),
@@ -93,6 +94,7 @@ def location_parts(missing_coordinate_points=5, country=HOME_COUNTRY):
         value = F.col(c).try_cast("double")
         return (value < low) | (value > high)
 
+    # fixed values: codes, texts and points of the location problems
     return [
         ("bad_city", "City missing or invalid", 10, blank("address_city")),
         ("bad_state_or_region", "State/region missing or invalid", 25, blank("address_stateOrRegion")),

@@ -206,8 +206,8 @@ def coverage_guard(signals: DataFrame, coverage: DataFrame, threshold=0.5) -> Da
     joined = signals.join(F.broadcast(low), "source_field", "left")
     guarded = F.col("coverage").isNotNull()
     percent = F.round(F.col("coverage") * 100).cast("int").cast("string")
-    note = F.concat(F.lit("Field '"), F.col("source_field"), F.lit("' has "), percent,
-                    F.lit("% dataset coverage — not reliable as evidence"))
+    note = F.concat(F.lit("Only "), percent, F.lit("% of the records fill in "), F.col("source_field"),
+                    F.lit("; too few to rest on"))
     changed = {
         "confidence_tier": F.when(guarded, "insufficient_data").otherwise(F.col("confidence_tier")),
         "trust_score": F.when(~guarded, F.col("trust_score")),

@@ -204,8 +204,3 @@ def stats_top_type(fs: DataFrame, more_than=2) -> DataFrame:
              .agg(_n().alias("total"), F.sum("has_contradiction").cast("int").alias("contradictions"))
              .where(F.col("total") > more_than))
     return kinds.orderBy((F.col("contradictions") / F.col("total")).desc(), "facility_type").limit(1)
-
-
-def stats(fs: DataFrame, signals: DataFrame):
-    return {"totals": stats_totals(fs), "tiers": tier_percentages(fs), "dims": stats_dimensions(signals),
-            "dim_range": stats_dimension_range(signals), "top_type": stats_top_type(fs)}

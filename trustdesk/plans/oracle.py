@@ -629,8 +629,8 @@ part("cover", " UNION ALL ".join(
 oracle("coverage", "SELECT * FROM cover", "cover")
 oracle("coverage_guard", """SELECT facility_id, dimension, CASE WHEN field IS NULL THEN trust_score END AS trust_score,
   CASE WHEN field IS NULL THEN confidence_tier ELSE 'insufficient_data' END AS confidence_tier,
-  CASE WHEN field IS NULL THEN evidence_text ELSE 'Field ''' || field || ''' has ' || CAST(round(coverage * 100) AS INTEGER)
-    || '% dataset coverage — not reliable as evidence' END AS evidence_text,
+  CASE WHEN field IS NULL THEN evidence_text ELSE 'Only ' || CAST(round(coverage * 100) AS INTEGER)
+    || '% of the records fill in ' || field || '; too few to rest on' END AS evidence_text,
   source_field, contradiction, contradiction_detail, extraction_model
   FROM signals LEFT JOIN cover ON field = source_field AND coverage < 0.5""", "signals", "cover")
 NAMED_FIELD = "CASE source_field " + " ".join(f"WHEN '{c}' THEN CAST({c} AS VARCHAR)" for c in (

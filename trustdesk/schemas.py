@@ -29,42 +29,50 @@ SCORE_BUCKETS = [
     ("80-89", 80, 89, "high"), ("90-100", 90, 100, "high"),
 ]
 SEVERITY_POINTS = {"critical": 50, "high": 30, "medium": 15, "low": 5}
-# -------------------------------------------------------------------------------------------
-
 # columns landed from the source, in table order
-SOURCE_COLUMNS = """
-unique_id name organization_type content_table_id officialPhone email officialWebsite yearEstablished
-acceptsVolunteers facebookLink address_line1 address_line2 address_line3 address_city
-address_stateOrRegion address_zipOrPostcode address_country address_countryCode countries
-facilityTypeId operatorTypeId affiliationTypeIds description capability procedure equipment area
-numberDoctors capacity recency_of_page_update distinct_social_media_presence_count
-affiliated_staff_presence custom_logo_presence number_of_facts_about_the_organization
-post_metrics_most_recent_social_media_post_date post_metrics_post_count
-engagement_metrics_n_followers engagement_metrics_n_likes engagement_metrics_n_engagements source
-latitude longitude
-""".split()
-
+SOURCE_COLUMNS = [
+    "unique_id", "name", "organization_type", "content_table_id", "officialPhone", "email", "officialWebsite",
+    "yearEstablished", "acceptsVolunteers", "facebookLink", "address_line1", "address_line2", "address_line3",
+    "address_city", "address_stateOrRegion", "address_zipOrPostcode", "address_country", "address_countryCode",
+    "countries", "facilityTypeId", "operatorTypeId", "affiliationTypeIds", "description", "capability",
+    "procedure", "equipment", "area", "numberDoctors", "capacity", "recency_of_page_update",
+    "distinct_social_media_presence_count", "affiliated_staff_presence", "custom_logo_presence",
+    "number_of_facts_about_the_organization", "post_metrics_most_recent_social_media_post_date",
+    "post_metrics_post_count", "engagement_metrics_n_followers", "engagement_metrics_n_likes",
+    "engagement_metrics_n_engagements", "source", "latitude", "longitude",
+]
 # columns an analyst may correct, with the type the text value is cast back to
 OVERRIDE_FIELDS = {
-    **dict.fromkeys(
-        "name official_phone email official_website address_line1 address_line2 address_line3 "
-        "address_city address_state_or_region address_zip_or_postcode address_country "
-        "address_country_code facility_type_id operator_type_id description capability procedure "
-        "equipment".split(),
-        "string",
-    ),
+    "name": "string",
+    "official_phone": "string",
+    "email": "string",
+    "official_website": "string",
+    "address_line1": "string",
+    "address_line2": "string",
+    "address_line3": "string",
+    "address_city": "string",
+    "address_state_or_region": "string",
+    "address_zip_or_postcode": "string",
+    "address_country": "string",
+    "address_country_code": "string",
+    "facility_type_id": "string",
+    "operator_type_id": "string",
+    "description": "string",
+    "capability": "string",
+    "procedure": "string",
+    "equipment": "string",
     "year_established": "int",
     "number_doctors": "int",
     "capacity": "int",
     "latitude": "double",
     "longitude": "double",
 }
-
-# the twelve columns that count towards completeness when picking the best copy of a record
-COMPLETENESS_FIELDS = (
-    "name official_phone email official_website address_city address_state_or_region "
-    "description capability procedure equipment".split()
-)
+# the columns that count towards completeness when picking the best copy of a record
+COMPLETENESS_FIELDS = [
+    "name", "official_phone", "email", "official_website", "address_city", "address_state_or_region",
+    "description", "capability", "procedure", "equipment",
+]
+# -------------------------------------------------------------------------------------------
 
 TRUST_SIGNALS = _schema(
     ("facility_id", S, False), ("dimension", S, False), ("trust_score", D, True),
