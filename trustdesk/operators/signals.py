@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from trustdesk.functions.score import confidence_rank, score_to_int
-from trustdesk.functions.text import display_text
+from trustdesk.functions.text import display_items, display_text
 from trustdesk.operators.curate import first_by
 from trustdesk.schemas import CONFIDENCE_TIERS, DIMENSIONS, MODEL_ANSWER
 
@@ -312,6 +312,13 @@ def field_profile(records: DataFrame, signals: DataFrame) -> DataFrame:
     return wide.join(_evidence_by_dimension(signals), "facility_id", "left").select("facility_id", rows)
 
 
+def field_items(records: DataFrame) -> DataFrame:
+    """Items of the clinical fields that hold a JSON list, one row per item in order; plain text has none."""
+    lists = F.inline(F.array(*(F.struct(F.lit(c).alias("field_name"), display_items(c).alias("items")) for c in CLINICAL)))
+    return (records.select(F.col("unique_id").alias("facility_id"), lists)
+            .select("facility_id", "field_name", F.posexplode("items").alias("position", "item")))
+
+
 def highlights(records: DataFrame, signals: DataFrame) -> DataFrame:
     """What to mark in which field for every signal: (record, field, dimension, type, match, bubble, score)."""
     shown = records.select(

@@ -58,6 +58,19 @@ def moving_average(daily: DataFrame, keys, weights) -> DataFrame:
     return daily.withColumn("forecast", total / used)
 
 
+def unit_forecast(daily: DataFrame, keys, weights, days=30) -> DataFrame:
+    """Units expected in the ``days`` days after the last day of the table, per key.
+
+    A weighted moving average over as many windows of ``days`` days as there are weights, the newest first. A window
+    without sales counts as none, a key without sales in all of them is expected to sell nothing. One sum per key, with
+    partial sums in each task.
+    """
+    last = daily.agg(F.max("day")).scalar()
+    window = F.floor(F.date_diff(last, "day") / days)
+    share = F.coalesce(F.get(F.array(*(F.lit(float(w)) for w in weights)), window.cast("int")), F.lit(0.0))
+    return daily.groupBy(*keys).agg((F.sum(F.col("units") * share) / sum(weights)).alias("forecast"))
+
+
 def low_stock(stock: DataFrame, speed: DataFrame, keys, on_hand="on_hand", days_left=14) -> DataFrame:
     """Items whose stock lasts fewer than ``days_left`` days at their current speed."""
     lasts = F.col(on_hand) / F.nullif(F.col("velocity"), F.lit(0.0))

@@ -914,3 +914,10 @@ oracle("signals_append", """SELECT facility_id, dimension, CAST(i->>'trust_score
 oracle("errors_append", "SELECT facility_id, problem AS error_message FROM judged WHERE problem IS NOT NULL", "judged")
 oracle("publish_snapshot", "SELECT facility_id, quality_score FROM scores", "scores")
 oracle("csv_scan", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+oracle("unit_forecast", """SELECT l_suppkey, round(sum(units * CASE CAST(floor(age / 30) AS INTEGER) WHEN 0 THEN 0.5 WHEN 1 THEN 0.3
+    WHEN 2 THEN 0.2 ELSE 0 END), 6) AS forecast
+  FROM (SELECT l_suppkey, units, (SELECT max(day) FROM daily) - day AS age FROM daily) GROUP BY 1""", "daily")
+oracle("field_items", " UNION ALL ".join(
+    f"""SELECT facility_id, '{c}' AS field_name, CAST(generate_subscripts(items, 1) - 1 AS INTEGER) AS position, unnest(items) AS item
+  FROM (SELECT unique_id AS facility_id, list_filter(list_transform({json_list(c)}, lambda x: coalesce(x, 'null')), lambda x: x <> '') AS items
+    FROM gold WHERE starts_with(ltrim({c}), '['))""" for c in ("capability", "equipment", "procedure")), "gold")

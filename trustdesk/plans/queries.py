@@ -155,6 +155,7 @@ add("highlights")(lambda d: sig.highlights(d.gold, d.signals))
 add("segments")(lambda d: sig.segments(sig.highlights(d.gold, d.signals)))
 add("score_bands")(lambda d: sig.score_bands(d.signals))
 add("field_profile")(lambda d: sig.field_profile(d.gold, d.signals))
+add("field_items")(lambda d: sig.field_items(d.gold))
 add("lowest_tier")(lambda d: sig.lowest_tier(d.signals))
 add("extraction_report")(lambda d: sig.extraction_report(
     d.raw, d.signals, sig.parse_signals(d.responses)[1]))
@@ -319,6 +320,10 @@ add("moving_avg")(lambda d: starters.moving_average(daily_sales(d), ["l_suppkey"
     "l_suppkey", F.col("day").cast("string").alias("day"), F.round("forecast", 6).alias("forecast")))
 
 
+add("unit_forecast")(lambda d: starters.unit_forecast(daily_sales(d), ["l_suppkey"], [0.5, 0.3, 0.2]).select(
+    "l_suppkey", F.round("forecast", 6).alias("forecast")))
+
+
 @add("low_stock")
 def _(d):
     speed = curate.first_by(starters.velocity(daily_sales(d), ["l_suppkey"]), ["l_suppkey"], [F.desc("day")])
