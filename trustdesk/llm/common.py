@@ -23,6 +23,14 @@ def kept_columns(df: DataFrame, keep, new):
     return [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
 
 
+def parts_of(batches):
+    """Slices of about PART_BYTES of the batches of a task."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * PART_BYTES // max(1, batch.nbytes))
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def map_arrow(df: DataFrame, inputs, outputs: StructType, start, keep=None) -> DataFrame:
     """Add ``outputs`` to the rows of ``df``, computed from the ``inputs`` columns batch by batch.
 
@@ -37,13 +45,10 @@ def map_arrow(df: DataFrame, inputs, outputs: StructType, start, keep=None) -> D
 
     def run(batches):
         step = None
-        for batch in batches:
-            rows = max(1, batch.num_rows * PART_BYTES // max(1, batch.nbytes))
-            for begin in range(0, batch.num_rows, rows):
-                part = batch.slice(begin, rows)
-                step = step or start()
-                made = step(*[part.column(i + 1) for i in range(n)])
-                yield pa.RecordBatch.from_arrays([part.column(0), *made], names=names)
+        for part in parts_of(batches):
+            step = step or start()
+            made = step(*[part.column(i + 1) for i in range(n)])
+            yield pa.RecordBatch.from_arrays([part.column(0), *made], names=names)
 
     done = source.mapInArrow(run, schema)
     return done.select(*[F.col("row").getField(c).alias(c) for c in stay],

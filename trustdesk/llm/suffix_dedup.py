@@ -26,13 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from trustdesk.llm.common import column, kept_columns, map_arrow, stored, utf8
+from trustdesk.llm.common import column, kept_columns, map_arrow, parts_of, stored, utf8
 
 LENGTH, GRAM = 100, 32
 #: Text bytes that are hashed together, and bytes of text for one range of gram hashes or of suffixes.
 CHUNK, RANGE = 1 << 20, 32 << 20
-#: Suffixes of a sorted run, and of a batch of groups that is compared together.
-RUN, BATCH = 150_000, 20_000
+#: Anchors whose grams are sent together, suffixes of a sorted run, suffixes of a batch of groups compared together.
+GRAMS = 400_000
+RUN, BATCH = 100_000, 5_000
 #: Documents whose anchors give the splitters; they decide how evenly suffixes are dealt and nothing else.
 SPLITTER_DOCS, SPLITTER_PLACES = 2000, 32
 BASE = 0x9E3779B97F4A7C15
@@ -183,7 +184,7 @@ def send_grams(parts, length, gram):
 
     def run(batches):
         waiting, rows, size = ([], [], [], []), 0, 0
-        for batch in batches:
+        for batch in parts_of(batches):
             ids, ties = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             texts = batch.column(2).to_pylist()
             waiting[0].append(np.stack((ids, ties), 1))
@@ -192,7 +193,7 @@ def send_grams(parts, length, gram):
                     column.append(values)
                 size += len(text)
             rows += len(texts)
-            if size >= 1_000_000:
+            if size >= GRAMS:
                 yield from flush(*waiting)
                 waiting, rows, size = ([], [], [], []), 0, 0
         if size:
@@ -306,7 +307,7 @@ def send_runs(cuts, torn, length, gram):
     """Map side of step 2."""
     def run(batches):
         contexts, keys, places, size = [], [], [], 0
-        for batch in batches:
+        for batch in parts_of(batches):
             for doc, tie, text, lists in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
                 at = np.unique(np.concatenate([unpack(x, "<i8")[0] for x in lists]))
                 for begin in range(0, len(at), RUN):
@@ -409,13 +410,17 @@ def equal_strings(group, context, keys, places, length, gram):
     first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
     later = ~new
     i, j = order[later], first[later]
-    offsets = np.arange(length)
-    good = np.empty(len(i), bool)
-    for a in range(0, len(i), 1 << 16):
-        b = slice(a, a + (1 << 16))
-        good[b] = ((context[which[i[b], None], column[i[b], None] + offsets] ==
-                    context[which[j[b], None], column[j[b], None] + offsets]).all(1)
-                   & (group[which[i[b]]] == group[which[j[b]]]) & (column[i[b]] == column[j[b]]))
+    # compare the bytes: once for each two contexts that meet, over all strings around their anchors
+    pairs, of = np.unique(which[i] * len(context) + which[j], return_inverse=True)
+    good = (group[which[i]] == group[which[j]]) & (column[i] == column[j])
+    for a in range(0, len(pairs), 1 << 16):
+        some = pairs[a:a + (1 << 16)]
+        differ = context[some // len(context)] != context[some % len(context)]
+        before_it = np.zeros((len(some), before + length + 1), np.int16)
+        np.cumsum(differ, 1, out=before_it[:, 1:])
+        mine = np.flatnonzero((of >= a) & (of < a + len(some)))
+        row, begin = of[mine] - a, column[i[mine]]
+        good[mine] &= before_it[row, begin + length] == before_it[row, begin]
     found = i[good]
     if not good.all():  # two strings of one hash: settle all strings of such hashes by their bytes
         seen, more = {}, []

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType, MapType, StringType, StructField, StructType
 
-from trustdesk.llm.common import PART_BYTES, column, utf8
+from trustdesk.llm.common import column, parts_of, utf8
 
 TEXT = StringType()
 RECORD = StructType([StructField(n, TEXT) for n in ("record_id", "record_type", "target_uri", "date", "content_type")]
@@ -119,13 +119,9 @@ def derive(records: DataFrame) -> DataFrame:
         "record_id", "target_uri", "date", "headers", F.coalesce("block", F.lit(b"")).alias("block"))
 
     def run(batches):
-        for batch in batches:
-            rows = max(1, batch.num_rows * PART_BYTES // max(1, batch.nbytes))
-            for begin in range(0, batch.num_rows, rows):
-                part = batch.slice(begin, rows).to_pylist()
-                out = [r for x in part for r in derive_one(x["record_id"], x["target_uri"], x["date"],
-                                                           dict(x["headers"] or ()), x["block"])]
-                yield to_batch(out)
+        for part in parts_of(batches):
+            yield to_batch([r for x in part.to_pylist() for r in derive_one(
+                x["record_id"], x["target_uri"], x["date"], dict(x["headers"] or ()), x["block"])])
 
     return responses.mapInArrow(run, RECORD)
 
