@@ -111,3 +111,14 @@ def test_token_query(spark, sf_dir, shared):
 def test_one_document_is_read_by_two_selects(spark, shared):
     shard = token_file.Shard(token_file.shard_bytes([4, 9], [np.array([1, 2]), np.array([7])], 2))
     assert shard.document(0).tolist() == [1, 2] and shard.document(1).tolist() == [7] and shard.doc_ids() == [4, 9]
+
+
+def test_stretches_encode_as_whole_texts_do():
+    rng = np.random.default_rng(11)
+    bits = ["a", "B", "é", "É", "ß", "×", "÷", "ÿ", "'s", "'", "1", "٣", ".", ",", "!?", "-", " ", "  ", "\n", "́", " ", "\x1c",
+            "the", "tion", "Σ", "ς", "İ", "<|endoftext|>", "漢", "😀", "_", " ", "ﬁ", "ŉ"]
+    texts = ["".join(rng.choice(bits, 12)) for _ in range(3000)]
+    tokenizer = Tokenizer.from_file(WORDS)
+    got = token_file.encoder(WORDS)([t.encode() for t in texts])
+    for t, g, e in zip(texts, got, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(g, "<u4").tolist() == e.ids, t

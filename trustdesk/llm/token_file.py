@@ -8,14 +8,16 @@ table of 64-bit offsets. Files are written and read by Spark, so any shared stor
 feed that the writer adds.
 """
 
+import re
 import struct
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from trustdesk.llm.common import column, shared_path
+from trustdesk.llm.common import column, parts_of, shared_path
 
 #: Mark and layout of the header (mark, id width, null ids, documents, ids, smallest document id, two lengths).
 MARK = b"EFTOKEN1"
@@ -25,7 +27,12 @@ MONOTONE = "<QQB"
 SAMPLE = 256
 #: Text bytes aimed at in a shard; a longer document still goes whole into one.
 SHARD_BYTES = 8 << 20
-CACHE = 300_000
+#: Stretches that a task looks up when seen again; a full table starts anew, results do not depend on it.
+CACHE = 100_000
+#: A word of Latin letters with common marks behind it: its letters may be lowered and encoded apart from the marks.
+PLAIN = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+#: These tables, by tokenizer file; a Python worker keeps them from task to task.
+TABLES = {}
 
 
 class EliasFano:
@@ -127,25 +134,38 @@ def encoder(path):
     """A function from texts to their ids as 32-bit bytes, by the tokenizers library.
 
     The tokenizer of these files drops white space before its merges and composes no character across it, so a text
-    is encoded stretch by stretch between ASCII white space, and stretches seen before are looked up.
+    is encoded stretch by stretch between ASCII white space. Stretches, and lowered words of them, that were seen
+    before are looked up.
     """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
+    if path not in TABLES:
+        TABLES[path] = {}, {}
+    seen, known = TABLES[path]
     tokenizer = Tokenizer.from_file(path)
-    known = {}
+    plain = re.compile(PLAIN)
+
+    def cut(stretch):
+        word = stretch.rstrip(b".,;:!?")
+        if not word.isalpha() and not plain.fullmatch(word):
+            return stretch.decode("utf-8", "replace"), ""
+        return word.decode().lower(), stretch[len(word):].decode()
 
     def ids(texts):
-        nonlocal known
         parts = [t.split() for t in texts]
-        if len(known) > CACHE:
-            known = {}
-        new = list({p for found in parts for p in found if p not in known})
-        for p, e in zip(new, tokenizer.encode_batch([p.decode() for p in new], add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[p] for p in found]) for found in parts]
+        for table, most in ((seen, CACHE), (known, 2 * CACHE)):
+            if len(table) > most:
+                table.clear()
+        made = {p: cut(p) for p in set().union(*parts).difference(seen)}
+        new = list({w for words in made.values() for w in words if w not in known})
+        for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+            known[w] = array("I", e.ids).tobytes()
+        for p, (word, marks) in made.items():
+            seen[p] = known[word] + known[marks]
+        return [b"".join(map(seen.__getitem__, found)) for found in parts]
 
     return ids
 
@@ -165,7 +185,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id="doc_i
     def run(batches):
         encode, ids, arrays, size = None, [], [], 0
         end = np.array([end_id], np.uint32)
-        for batch in batches:
+        for batch in parts_of(batches):
             encode = encode or encoder(tokenizer)
             texts = batch.column(1).to_pylist()
             for begin in range(0, len(texts), 256):
@@ -185,7 +205,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id="doc_i
 
     total = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     parts = max(1, -(-total // (4 * shard)))
-    ordered = rows.repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     made = ordered.mapInArrow(run, StructType([StructField("value", BinaryType())]))
     # the text writer puts out a row's bytes as they are; one row a file makes each file a shard
     made.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
