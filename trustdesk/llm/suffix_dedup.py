@@ -36,6 +36,8 @@ GRAMS = 400_000
 RUN, BATCH = 100_000, 5_000
 #: Documents whose anchors give the splitters; they decide how evenly suffixes are dealt and nothing else.
 SPLITTER_DOCS, SPLITTER_PLACES = 2000, 32
+#: Compression of texts on their way between tasks.
+LEVEL = 5
 BASE = 0x9E3779B97F4A7C15
 KEY = ["doc", "tie"]
 SPAN = StructType([StructField("begin", LongType()), StructField("end", LongType())])
@@ -55,6 +57,17 @@ def unpack(data: bytes, *types) -> list:
     return [np.frombuffer(raw[a:b], t) for a, b, t in zip(ends, ends[1:], types, strict=False)]
 
 
+def squeezed(text: bytes) -> bytes:
+    """A text as it travels: its length and its zstd form."""
+    return struct.pack("<Q", len(text)) + pa.Codec("zstd", compression_level=LEVEL).compress(text, asbytes=True) if text else b""
+
+
+def restored(data: bytes) -> bytes:
+    if not data:
+        return b""
+    return pa.decompress(data[8:], struct.unpack_from("<Q", data)[0], codec="zstd", asbytes=True)
+
+
 # --- anchors ----------------------------------------------------------------------------------------------
 def powers(n):
     up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
@@ -309,7 +322,7 @@ def send_runs(cuts, torn, length, gram):
         contexts, keys, places, size = [], [], [], 0
         for batch in parts_of(batches):
             for doc, tie, text, lists in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-                at = np.unique(np.concatenate([unpack(x, "<i8")[0] for x in lists]))
+                text, at = restored(text), np.unique(np.concatenate([unpack(x, "<i8")[0] for x in lists]))
                 for begin in range(0, len(at), RUN):
                     some = at[begin:begin + RUN]
                     contexts.append(surroundings(text, some, length, gram))
@@ -509,6 +522,14 @@ def splitters(rows: DataFrame, share: float, ranges: int, length, gram):
 SPANS = StructType([StructField("spans", ArrayType(SPAN))])
 
 
+def travelling(df: DataFrame, keep, text) -> DataFrame:
+    """Columns ``keep`` and a text as ``_text``, compressed for a shuffle; null stays null."""
+    def start():
+        return lambda texts: [pa.array([t if t is None else squeezed(t) for t in texts.to_pylist()], pa.binary())]
+
+    return map_arrow(df, [text], StructType([StructField("_text", BinaryType())]), start, keep)
+
+
 def find(docs: DataFrame, length=LENGTH, gram=GRAM, doc_id="doc_id", text="text", keep=None) -> DataFrame:
     """``docs`` with ``spans``, the byte ranges to remove, merged and in order.
 
@@ -529,7 +550,7 @@ def find(docs: DataFrame, length=LENGTH, gram=GRAM, doc_id="doc_id", text="text"
     grams = dealt(rows.mapInArrow(send_grams(ranges, length, gram), SENT)).mapInArrow(meet_grams, SENT)
     places = grams.groupBy(*KEY).agg(F.collect_list("data").alias("places"))
     cuts, torn = splitters(rows, min(1.0, SPLITTER_DOCS / max(size["n"], 1)), ranges, length, gram)
-    texts = rows.join(places, KEY).select(*KEY, "text", "places").dropDuplicates(KEY)
+    texts = travelling(rows, [*KEY], F.col("text")).join(places, KEY).select(*KEY, "_text", "places").dropDuplicates(KEY)
     runs = dealt(texts.mapInArrow(send_runs(cuts, torn, length, gram), SENT))
     found = runs.mapInArrow(merge_runs(len(cuts) + 1, length, gram), SENT)
     found = stored(found.groupBy(*KEY).agg(F.collect_list("data").alias("marks")), "marks")
@@ -545,20 +566,27 @@ def find(docs: DataFrame, length=LENGTH, gram=GRAM, doc_id="doc_id", text="text"
             new = np.concatenate(([True], begin[1:] > reach[:-1]))
             return np.stack((begin[new], reach[np.concatenate((new[1:], [True]))]), 1)
 
-        def step(blobs):
+        def step(blobs, *texts):
             spans = [one(b) for b in blobs.to_pylist()]
             ends = pa.array(np.cumsum([0, *map(len, spans)]), pa.int32())
             flat = np.concatenate(spans)
             pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["begin", "end"])
-            return [pa.ListArray.from_arrays(ends, pairs)]
+            back = [pa.array([t if t is None else restored(t) for t in x.to_pylist()], pa.binary()) for x in texts]
+            return [pa.ListArray.from_arrays(ends, pairs), *back]
 
         return step
 
     stay = kept_columns(docs, keep, SPANS.names)
-    own = docs.select(F.struct(*[column(c) for c in stay]).alias("row"), *key)
-    marked = own.join(found, KEY, "left").select("row", "marks")
-    done = map_arrow(marked, [F.col("marks")], SPANS, start, keep=["row"])
-    return done.select(*[F.col("row").getField(c).alias(c) for c in stay], "spans")
+    others = [c for c in stay if c != text]
+    row = F.struct(*[column(c) for c in others]) if others else F.struct(F.lit(0).alias("_none"))
+    own = docs.select(row.alias("row"), *key, column(text).cast("binary").alias("text"))
+    if text in stay:
+        marked = travelling(own, ["row", *KEY], F.col("text")).join(found, KEY, "left")
+        made = StructType([*SPANS, StructField("text", BinaryType())])
+        done = map_arrow(marked, [F.col("marks"), F.col("_text")], made, start, keep=["row"])
+    else:
+        done = map_arrow(own.drop("text").join(found, KEY, "left"), [F.col("marks")], SPANS, start, keep=["row"])
+    return done.select(*[(F.col("text").cast("string") if c == text else F.col("row").getField(c)).alias(c) for c in stay], "spans")
 
 
 def kept_bytes(spans, raw: bytes) -> bytes:
