@@ -32,8 +32,8 @@ LENGTH, GRAM = 100, 32
 #: Text bytes that are hashed together, and bytes of text for one range of gram hashes or of suffixes.
 CHUNK, RANGE = 1 << 20, 32 << 20
 #: Anchors whose grams are sent together, suffixes of a sorted run, suffixes of a batch of groups compared together.
-GRAMS = 400_000
-RUN, BATCH = 100_000, 5_000
+GRAMS = 300_000
+RUN, BATCH = 80_000, 5_000
 #: Documents whose anchors give the splitters; they decide how evenly suffixes are dealt and nothing else.
 SPLITTER_DOCS, SPLITTER_PLACES = 2000, 32
 #: Compression of texts on their way between tasks.
