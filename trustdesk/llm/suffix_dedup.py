@@ -31,6 +31,8 @@ from trustdesk.llm.common import column, kept_columns, map_arrow, parts_of, stor
 LENGTH, GRAM = 100, 32
 #: Text bytes that are hashed together, and bytes of text for one range of gram hashes or of suffixes.
 CHUNK, RANGE = 1 << 20, 32 << 20
+#: Ranges at least, so that small tables are dealt like large ones.
+RANGES = 32
 #: Anchors whose grams are sent together, suffixes of a sorted run, suffixes of a batch of groups compared together.
 GRAMS = 300_000
 RUN, BATCH = 80_000, 5_000
@@ -542,7 +544,7 @@ def find(docs: DataFrame, length=LENGTH, gram=GRAM, doc_id="doc_id", text="text"
     key = [F.coalesce(column(doc_id).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64(utf8(text)).alias("tie")]
     rows = docs.select(*key, utf8(text).alias("text"))
     size = rows.agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("bytes")).first()
-    ranges = max(1, -(-(size["bytes"] or 0) // RANGE))
+    ranges = max(RANGES, -(-(size["bytes"] or 0) // RANGE))
 
     def dealt(df):
         return df.repartition(ranges, "part").sortWithinPartitions("part")
