@@ -52,7 +52,7 @@ def test_query(spark, sf_dir, monkeypatch, rows):
 
 def test_lexicon_keeps_the_band(docs_of):
     df = docs_of(["common rare" if i < 2 else "common mid" if i < 6 else f"common only{i}" for i in range(20)])
-    assert imatch.lexicon(df, least=0.0, most=0.2).count() == 1
+    assert imatch.lexicon(df, least=0.0, most=0.2).count() == 2
     assert imatch.lexicon(df, least=0.2, most=0.2).count() == 1
     assert imatch.lexicon(df, least=0.0, most=1.0).count() == 3
 
