@@ -105,6 +105,15 @@ def test_repeated_and_missing_ids(spark, shared):
     assert (1, "a b") in kept and (2, "quite other words") in kept and len([k for k in kept if k[1] == "a b"]) == 1
 
 
+def test_clean_rows_of_repeated_and_missing_ids_stay(spark, shared):
+    rows = [(1, "a b"), (None, "a b"), (None, "third text here"), (None, "fourth text of its own"), (5, "a b"),
+            (5, "fifth text is no copy"), (6, "one of two texts"), (6, "quite another sixth"), (7, "same row"), (7, "same row")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(df).collect()))
+    assert got == [(0, "fourth text of its own"), (0, "third text here"), (1, "a b"), (5, "fifth text is no copy"),
+                   (6, "one of two texts"), (6, "quite another sixth"), (7, "same row")]
+
+
 def test_empty(spark, empty, shared):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 

@@ -184,6 +184,13 @@ def links(distinct: DataFrame, distance: int, crowd=CROWD) -> DataFrame:
     return first.unionByName(rest.select(F.col("lx").alias("u"), F.col("ly").alias("v")).distinct())
 
 
+def owners(marked: DataFrame, distance: int, crowd=CROWD) -> DataFrame:
+    """For each distinct ``fp`` of ``marked`` its smallest ``doc_id``, ``least``, and ``root``, which names its component."""
+    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    root = components(links(distinct, distance, crowd)).withColumnRenamed("node", "fp")
+    return stored(distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "owner")
+
+
 def near_duplicates(docs: DataFrame, distance=4, shingle=4, doc_id="doc_id", text="text", crowd=CROWD) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``fp`` and ``component_id``, the smallest id of its component.
 
@@ -191,22 +198,44 @@ def near_duplicates(docs: DataFrame, distance=4, shingle=4, doc_id="doc_id", tex
     component; a component of such rows only has a null one. Equal fingerprints are one node, so copies cost a sum.
     """
     marked = stored(fingerprints(docs.withColumnRenamed(doc_id, "doc_id"), shingle, text, keep=["doc_id"]), "fingerprints")
-    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    root = components(links(distinct, distance, crowd)).withColumnRenamed("node", "fp")
-    owner = distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    owner = stored(owner, "owner")
+    owner = owners(marked, distance, crowd)
     named = owner.groupBy("root").agg(F.min("least").alias("component_id"))
     of = owner.join(named, "root").select("fp", "component_id")
     return marked.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id="doc_id", text="text", **more) -> DataFrame:
-    """The document of smallest id of each component, with all its columns; one row of an id that is repeated."""
-    found = stored(near_duplicates(docs, doc_id=doc_id, text=text, **more), "components")
-    copies = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(doc_id)).distinct()
-    kept = docs.join(copies.where(column(doc_id).isNotNull()), doc_id, "left_anti")
-    if copies.where(column(doc_id).isNull()).limit(1).count():
-        kept = kept.where(column(doc_id).isNotNull())
-    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([doc_id])
-    return kept.select(*[column(c) for c in docs.columns])
+def row_hash(docs: DataFrame):
+    """A hash of all columns but maps, which tells rows of one id, or of none, apart."""
+    return F.xxhash64(*[column(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+
+
+def rows_of(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
+    """``doc_id``, ``text`` and ``row``, the hash of the row."""
+    return docs.select(column(doc_id).alias("doc_id"), row_hash(docs).alias("row"), column(text).alias("text"))
+
+
+def one_row_each(docs: DataFrame, found: DataFrame, doc_id="doc_id") -> DataFrame:
+    """The row of smallest id of each ``root`` of ``found``, which has ``doc_id`` and ``row`` of each row and is stored.
+
+    Rows without an id come last, rows of one id follow each other by their hash; of rows that are the same in all
+    columns one stays. The least is taken in each task before the shuffle.
+    """
+    rank = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")
+    chosen = found.groupBy("root").agg(F.min(rank).alias("least")).select(
+        F.col("least.doc_id").alias("_chosen_id"), F.col("least.row").alias("_chosen_row"))
+    whole = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("_whole"),
+                        column(doc_id).alias("_id"), row_hash(docs).alias("_row"))
+    kept = whole.join(chosen, (F.col("_row") == F.col("_chosen_row")) & F.col("_id").eqNullSafe(F.col("_chosen_id")), "left_semi")
+    if found.groupBy("doc_id", "row").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["_id", "_row"])
+    return kept.select(*[F.col("_whole").getField(c).alias(c) for c in docs.columns])
+
+
+def keep_one(docs: DataFrame, distance=4, shingle=4, doc_id="doc_id", text="text", crowd=CROWD) -> DataFrame:
+    """One row of each component, with all its columns: that of smallest id, a row without an id if there is no other.
+
+    Rows are chosen one by one, so that a repeated or missing id removes no row whose text is not a copy.
+    """
+    marked = stored(fingerprints(rows_of(docs, doc_id, text), shingle, keep=["doc_id", "row"]), "fingerprints")
+    found = marked.join(owners(marked, distance, crowd).select("fp", "root"), "fp").select("doc_id", "row", "root")
+    return one_row_each(docs, stored(found, "components"), doc_id)
