@@ -74,6 +74,23 @@ def test_repeated_and_missing_ids(spark):
     assert got == [(0, "ccd"), (1, "aab"), (1, "bbc"), (7, "dda"), (7, "ddd")]
 
 
+def test_a_third_of_copies(spark):
+    """Copies push no terms out of the lexicon, and texts without its terms are told apart by all their terms."""
+    usual = [" ".join(f"w{(i * 7 + k * k) % 220}" for k in range(14)) + f" own{i}" for i in range(40)]
+    copy = " ".join(f"w{k * 8}" for k in range(26)) + " end"
+    odd = [" ".join(f"odd{j}x{k}" for k in range(30)) for j in range(2)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*usual, *odd, *[copy] * 20])], "doc_id long, text string")
+    found = {r["term"] for r in imatch.lexicon(df.dropDuplicates(["text"])).collect()}
+    every = [r["t"] for r in df.where(df.text == copy).limit(1).select(imatch.terms(df.text).alias("t")).collect()][0]
+    assert len(found & set(every)) >= 10
+    got = {r["doc_id"]: r for r in imatch.against_edits(df).collect()}
+    copies = [got[i] for i in range(42, 62)]
+    assert len({r["fingerprint"] for r in copies}) == 1
+    assert len(copies[0]["fingerprint"].split(".")) >= len(found & set(every)) - 2
+    assert got[41]["near_next"] < 0.2                                       # two texts of words of their own
+    assert got[41]["fingerprint"] and got[40]["near_edited"] > 0.3          # the head of the next text brings lexicon terms
+
+
 def test_plan_is_native(spark, sf_dir):
     plan = imatch.against_edits(table(spark, sf_dir, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "SinglePartition" not in plan

@@ -4,7 +4,8 @@ The lexicon holds the terms whose share of documents lies in a band: rarer terms
 say little. Each term of the lexicon belongs to one of ``SUBSETS`` random sub-lexicons, drawn by bits of its hash. For
 each of those the sorted distinct terms of a document are hashed into one signature. A fingerprint lists the signatures
 of the sub-lexicons that the document has terms in; two documents are as alike as the share of signatures that agree,
-among the sub-lexicons that either has. Two documents without any term of the lexicon are alike.
+among the sub-lexicons that either has. A document with fewer than FEW terms of the lexicon is signed by all its terms.
+Two documents without any word are alike.
 """
 
 import json
@@ -17,6 +18,8 @@ from trustdesk.llm.common import column, kept_columns
 #: a document) / LEAST such terms, however many documents there are, so that all tasks can have it.
 LEAST, MOST = 0.005, 0.1
 SUBSETS = 256
+#: A text with fewer terms of the lexicon is signed by all its terms.
+FEW = 8
 #: Slots of the table that the lexicon is looked up in.
 SLOTS = 1 << 14
 #: Documents of one range of ids when each meets its next one.
@@ -44,7 +47,12 @@ def in_lexicon(found: Column, table: Column) -> Column:
     return F.filter(found, lambda t: F.array_contains(F.get(table, F.pmod(t, F.lit(SLOTS)).cast("int")), t))
 
 
-def signatures(text: Column, table: Column) -> Column:
+def by_lexicon(text: Column, table: Column) -> Column:
+    """Whether a text is signed by its terms of the lexicon; else by all its terms."""
+    return F.size(in_lexicon(terms(text), table)) >= FEW
+
+
+def signatures(text: Column, table: Column, lexical: Column) -> Column:
     """Number of the sub-lexicon and signature, packed, for each sub-lexicon that the text has terms of, in order."""
     def subset(t):
         return F.shiftrightunsigned(t, 40).bitwiseAND(F.lit(SUBSETS - 1))
@@ -59,7 +67,8 @@ def signatures(text: Column, table: Column) -> Column:
             x["subset"].alias("subset"),
             F.when(own, F.xxhash64(state["sign"], x["term"])).otherwise(F.xxhash64(x["term"])).alias("sign"))
 
-    kept = F.array_sort(F.transform(in_lexicon(terms(text), table), lambda t: F.struct(subset(t).alias("subset"), t.alias("term"))))
+    used = F.when(lexical, in_lexicon(terms(text), table)).otherwise(terms(text))
+    kept = F.array_sort(F.transform(used, lambda t: F.struct(subset(t).alias("subset"), t.alias("term"))))
     start = F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(-1).cast("long").alias("subset"),
                      F.lit(0).cast("long").alias("sign"))
     return F.aggregate(kept, start, add, lambda s: F.when(s["subset"] < 0, s["done"]).otherwise(
@@ -80,19 +89,22 @@ def as_text(signs: Column) -> Column:
 
 
 def with_signatures(docs: DataFrame, text="text", name="signatures", **band) -> DataFrame:
-    """``docs`` with the signatures of each text; a null text counts as empty. Nothing is shuffled but term counts."""
+    """``docs`` with the signatures of each text; a null text counts as empty."""
     table = lookup(docs, text, **band)
     stay = kept_columns(docs, None, [name])
-    return docs.select(*[column(c) for c in stay], signatures(F.coalesce(column(text), F.lit("")), table).alias(name))
+    whole = F.coalesce(column(text), F.lit(""))
+    return docs.select(*[column(c) for c in stay], signatures(whole, table, by_lexicon(whole, table)).alias(name))
 
 
 def lookup(docs: DataFrame, text="text", least=LEAST, most=MOST) -> Column:
     """The table of the lexicon as a constant: in each slot the terms with its low bits.
 
-    The band bounds its size (see LEAST), a few terms for each one that a document holds; it is folded once a query.
+    Terms are counted over the distinct texts, so that copies push none out of the band. The band bounds its size (see
+    LEAST), a few terms for each one that a document holds; it is folded once a query.
     """
+    texts = docs.select(column(text).alias("text"), F.xxhash64(column(text)).alias("same")).dropDuplicates(["same"])
     table = [[] for _ in range(SLOTS)]
-    for r in lexicon(docs, text, least, most).sort("term").collect():
+    for r in lexicon(texts, "text", least, most).sort("term").collect():
         table[r["term"] % SLOTS].append(r["term"])
     return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<array<bigint>>")
 
@@ -126,18 +138,20 @@ def with_next(docs: DataFrame, order: Column, tie, wanted: dict, rows=NEAR_ROWS)
 def against_edits(docs: DataFrame, doc_id="doc_id", text="text", **band) -> DataFrame:
     """Fingerprints of each document and of its text with the last third replaced by the head of the next document's.
 
-    Rows without an id come last; rows of one id follow each other by text. A null text is empty.
+    Rows without an id come last; rows of one id follow each other by text. A null text is empty. An edited text is signed
+    by the lexicon, or by all its terms, as its original is.
     """
     rows = docs.select(column(doc_id).alias("doc_id"), F.coalesce(column(text), F.lit("")).alias("text"))
     table = lookup(rows, "text", **band)
-    signed = rows.withColumn("signs", signatures(F.col("text"), table))
+    signed = rows.withColumn("lexical", by_lexicon(F.col("text"), table)).withColumn(
+        "signs", signatures(F.col("text"), table, F.col("lexical")))
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     met = with_next(signed, order, ["text"], {"next_text": F.col("text"), "next_signs": F.col("signs")})
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.left("text", n - third), F.left("next_text", third))
-    out = met.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "signs", "next_signs")
-    out = out.withColumn("edited_signs", signatures(F.col("edited"), table))
+    out = met.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "lexical", "signs", "next_signs")
+    out = out.withColumn("edited_signs", signatures(F.col("edited"), table, F.col("lexical")))
     return out.select("doc_id", "n_chars", "edited", as_text(F.col("signs")).alias("fingerprint"),
                       as_text(F.col("edited_signs")).alias("edited_fingerprint"),
                       likeness(F.col("signs"), F.col("edited_signs")).alias("near_edited"),
