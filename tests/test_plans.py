@@ -162,6 +162,16 @@ def test_nearest_vectors_in_blocks(spark):
     assert starters.cosine_topk(df, []).isEmpty()
 
 
+def test_query_vectors_stay_on_spark(spark, monkeypatch):
+    df = spark.range(300).selectExpr("id AS vec_id", "array(cos(id), sin(id * 3), 1.0D) AS embedding")
+    with monkeypatch.context() as m:
+        for name in ("collect", "toLocalIterator", "toPandas"):
+            m.setattr(type(df), name, lambda *a, **b: pytest.fail("query vectors came to the driver"))
+        found = starters.cosine_topk(df, starters.query_vectors(df.where("vec_id % 50 = 0"), "vec_id", "embedding"), block=4)
+    first = [(r.query_id, r.match_id) for r in found.where("rank = 1").collect()]
+    assert sorted(first) == [(i, i) for i in range(0, 300, 50)] and found.count() == 30
+
+
 def test_ambiguous_pins_are_marked(spark):
     offices = spark.createDataFrame(
         [("1", "D", "S", "10", "20"), ("1", "D", "S", "NA", "NA"), ("2", "D", "S", "1", "1"), ("2", "E", "S", "1", "1")],

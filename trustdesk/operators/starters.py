@@ -84,49 +84,71 @@ def moderation_metrics(reviews: DataFrame, target, approved, score) -> DataFrame
         F.avg(score).alias("avg_score"))
 
 
-#: Query vectors that are compared together.
-BLOCK = 1_000
+#: Vectors that are compared together, and parts that the stored ones are dealt into.
+BLOCK, PARTS = 1_000, 32
 
 
 def query_vectors(df: DataFrame, id_col, vector):
-    """Query vectors as a list, for ``cosine_topk``; they come to the driver, partition by partition."""
-    return [(r[0], r[1] and list(r[1])) for r in df.select(id_col, vector).toLocalIterator()]
+    """Query vectors for ``cosine_topk``; they stay on Spark."""
+    return df.select(id_col, vector)
+
+
+def vector_blocks(df: DataFrame, id_col, vector, size) -> DataFrame:
+    """``block`` (a number), ``ids`` and ``units`` (bytes): at most ``size`` vectors a row, scaled to length one."""
+    def pack(batches):
+        for batch in batches:
+            batch = batch[batch["vector"].map(lambda v: v is not None and any(v))]
+            for at in range(0, len(batch), size):
+                part = batch[at:at + size]
+                units = np.array(part["vector"].tolist(), dtype="float64")
+                units /= np.linalg.norm(units, axis=1, keepdims=True)
+                yield pd.DataFrame({"ids": [part["id"].to_numpy(dtype="int64").tobytes()], "units": [units.tobytes()]})
+
+    named = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("vector"))
+    return named.mapInPandas(pack, "ids binary, units binary").withColumn("block", F.monotonically_increasing_id())
 
 
 def cosine_topk(vectors: DataFrame, queries, k=5, id_col="vec_id", vector="embedding", block=BLOCK) -> DataFrame:
     """The ``k`` most similar stored vectors of each query vector.
 
-    ``queries`` is a list of (query id, vector) pairs that travels with the tasks. A task compares it with its stored
-    vectors in blocks of ``block`` and keeps its own best ``k`` per query before the shuffle. A vector of length zero,
-    or a missing one, is similar to nothing and has no row.
+    ``queries`` is a table of query ids and vectors, or a list of such pairs. Both sides are packed into blocks of at most
+    ``block`` vectors; stored blocks are dealt into PARTS parts and every query block goes to each part, so that a task
+    holds a block of each side at a time. It keeps the best ``k`` per query of a block until the next query block comes;
+    these meet by query id. A vector of length zero, or a missing one, is similar to nothing and has no row.
     """
-    queries = [(q, v) for q, v in queries if v is not None and any(v)]
-    ids = np.array([q for q, _ in queries], dtype="int64")
-    wanted = np.array([v for _, v in queries], dtype="float64")
-    if len(ids):
-        wanted /= np.linalg.norm(wanted, axis=1, keepdims=True)
+    if not isinstance(queries, DataFrame):
+        queries = vectors.sparkSession.createDataFrame(
+            [(q, None if v is None else [float(x) for x in v]) for q, v in queries], "query_id long, vector array<double>")
+    asked = vector_blocks(queries, *queries.columns[:2], block).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    stored = vector_blocks(vectors, id_col, vector, block).select(
+        F.pmod(F.xxhash64("block"), F.lit(PARTS)).cast("int").alias("part"), F.col("ids").alias("match_ids"), F.col("units").alias("match_units"))
+    pairs = asked.hint("merge").join(stored, "part").select("part", "block", "ids", "units", "match_ids", "match_units")
 
     def best(batches):
-        kept = {}
+        at, kept = None, None
+
+        def done():
+            ids, matches, values = kept
+            return pd.DataFrame({"query_id": np.repeat(ids, values.shape[1]), "match_id": matches.ravel(), "similarity": values.ravel()})
+
         for batch in batches:
-            batch = batch[batch[vector].map(lambda v: v is not None and any(v))]
-            if batch.empty or not len(ids):
-                continue
-            stored = np.array(batch[vector].tolist(), dtype="float64")
-            stored /= np.linalg.norm(stored, axis=1, keepdims=True)
-            for at in range(0, len(ids), block):
-                asked = wanted[at:at + block]
-                matches, values = kept.get(at, (np.empty((len(asked), 0), dtype="int64"), np.empty((len(asked), 0))))
-                new = np.broadcast_to(batch[id_col].to_numpy(), (len(asked), len(batch)))
-                matches = np.concatenate([matches, new], axis=1)
-                values = np.concatenate([values, np.round(asked @ stored.T, 9)], axis=1)
+            for row in batch.itertuples(index=False):
+                if at != (row.part, row.block):
+                    if kept:
+                        yield done()
+                    ids = np.frombuffer(row.ids, dtype="int64")
+                    at, kept = (row.part, row.block), (ids, np.empty((len(ids), 0), dtype="int64"), np.empty((len(ids), 0)))
+                ids, matches, values = kept
+                found = np.frombuffer(row.match_ids, dtype="int64")
+                similar = np.frombuffer(row.units).reshape(len(ids), -1) @ np.frombuffer(row.match_units).reshape(len(found), -1).T
+                matches = np.concatenate([matches, np.broadcast_to(found, similar.shape)], axis=1)
+                values = np.concatenate([values, np.round(similar, 9)], axis=1)
                 order = np.lexsort((matches, -values), axis=1)[:, :k]
-                kept[at] = np.take_along_axis(matches, order, axis=1), np.take_along_axis(values, order, axis=1)
-        for at, (matches, values) in kept.items():
-            yield pd.DataFrame({"query_id": np.repeat(ids[at:at + block], values.shape[1]), "match_id": matches.ravel(),
-                                "similarity": values.ravel()})
+                kept = ids, np.take_along_axis(matches, order, axis=1), np.take_along_axis(values, order, axis=1)
+        if kept:
+            yield done()
 
-    partial = vectors.select(id_col, vector).mapInPandas(best, "query_id long, match_id long, similarity double")
+    partial = pairs.mapInPandas(best, "query_id long, match_id long, similarity double")
     w = W.partitionBy("query_id").orderBy(F.desc("similarity"), "match_id")
     return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -877,6 +877,13 @@ SELECT query_id, match_id, round(similarity, 5) AS similarity, CAST(rank AS INTE
       round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) DESC, e.vec_id) AS rank
   FROM (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) q, embeddings e)
 WHERE rank <= 5""")
+oracle("cosine_topk_by_id", """
+SELECT query_id, match_id, round(similarity, 5) AS similarity, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, match_id) AS rank FROM (
+    SELECT q.vec_id AS query_id, e.vec_id AS match_id,
+      round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) AS similarity
+    FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0))
+WHERE rank <= 5""")
 oracle("chunk_paragraphs", """
 SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS chunk, unnest(parts) AS paragraph FROM (
   SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n+'), lambda p: trim(p)), lambda p: p <> '') AS parts

@@ -307,6 +307,14 @@ def _(d):
     return found.withColumn("similarity", F.round("similarity", 5))
 
 
+@add("cosine_topk_by_id")
+def _(d):
+    """Every vector whose id is divisible by 50 as query."""
+    vectors = d.table("embeddings")
+    found = starters.cosine_topk(vectors, starters.query_vectors(vectors.where("vec_id % 50 = 0"), "vec_id", "embedding"))
+    return found.withColumn("similarity", F.round("similarity", 5))
+
+
 add("chunk_paragraphs")(lambda d: starters.chunk_paragraphs(d.table("documents"), blank=r"\n+"))
 
 
