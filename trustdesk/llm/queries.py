@@ -3,7 +3,8 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from trustdesk.llm import crf_extract, decontam, imatch, langid, simhash, spm_bpe, suffix_dedup, token_file, url_rules, warc
+from trustdesk.llm import (crf_extract, decontam, imatch, langid, quality_rules, simhash, spm_bpe, suffix_dedup, token_file,
+                           url_rules, warc)
 from trustdesk.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -92,3 +93,10 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     return crf_extract.extract(pages, crf_extract.fit(pages), keep=["page_id", "url"])
+
+
+@query("op11_quality_rules")
+def op11(spark, sf_dir):
+    found = quality_rules.judge(table(spark, sf_dir, "documents"), keep=["doc_id", "lang"])
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                        "lang", "bits", "perplexity", "lower", "upper")
