@@ -3,8 +3,8 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from trustdesk.llm import (crf_extract, decontam, imatch, langid, quality_rules, simhash, spm_bpe, suffix_dedup, token_file,
-                           url_rules, warc)
+from trustdesk.llm import (crf_extract, decontam, imatch, langid, quality_rules, simhash, spm_bpe, suffix_dedup, token_align,
+                           token_file, url_rules, warc)
 from trustdesk.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -100,3 +100,11 @@ def op11(spark, sf_dir):
     found = quality_rules.judge(table(spark, sf_dir, "documents"), keep=["doc_id", "lang"])
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
                         "lang", "bits", "perplexity", "lower", "upper")
+
+
+@query("op12_token_align")
+def op12(spark, sf_dir):
+    found = token_align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                              public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                        F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
