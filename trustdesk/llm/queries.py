@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from trustdesk.llm import (crf_extract, decontam, imatch, langid, quality_rules, simhash, spm_bpe, suffix_dedup, token_align,
-                           token_file, url_rules, warc)
+                           token_file, turn_repair, url_rules, warc)
 from trustdesk.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -108,3 +108,8 @@ def op12(spark, sf_dir):
                               public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
                         F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
+
+
+@query("op13_turn_repair")
+def op13(spark, sf_dir):
+    return turn_repair.repair(table(spark, sf_dir, "conversations"))
