@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import Window as W, functions as F
 
 from trustdesk.operators import curate, documented_checks as extra, quality, skew
+from trustdesk.operators import similarity
 from trustdesk.operators.similarity import fuzzy_identity, near_names
 from trustdesk.plans.queries import AS_OF, Data
 
@@ -131,6 +132,50 @@ def test_random_names_equal_brute_force(spark):
     assert got == {a for a in names for b in names if a and b and a != b and distance(a, b) * 100 <= 15 * max(len(a), len(b))}
 
 
+def test_near_names_at_other_thresholds_equal_brute_force(spark):
+    rng = random.Random(6)
+    names = {"".join(rng.choice("abcd") for _ in range(rng.randint(2, 18))) for _ in range(120)} | {"ha ha ha ha ha", "ha ha ha ha hb", "aaaaaaa",
+                                                                                                 "aaaaaab", "bbbbbbb"}
+    names |= {n[:3] + "x" + n[4:] for n in list(names)[:40] if len(n) > 6}
+    df = spark.createDataFrame([("P", n) for n in names], "place string, norm string")
+    for percent in (8, 20, 40):
+        got = {r.norm for r in near_names(df, 1 - percent / 100).collect()}
+        assert got == {a for a in names for b in names if a != b and distance(a, b) * 100 <= percent * max(len(a), len(b))}
+
+
+def test_a_word_in_every_name_deals_no_pairs(spark):
+    """Each name has as many rare runs as its edits could touch, so that no two of them meet at all."""
+    rng = random.Random(7)
+    names = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(24)) + " health centre" for _ in range(2000)]
+    df = spark.createDataFrame([(n, len(n)) for n in names], "norm string, size int")
+    dealt = similarity.rare_runs(df, 15)
+    assert dealt.where("run in ('hea', 'eal', 'alt', 'lth', 'th ', 'h c', ' ce', 'cen', 'ent', 'ntr', 'tre', ' he')").count() == 0
+    pairs = dealt.groupBy("run").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0]
+    assert pairs < 2000 * 2000 / 2 / 100
+
+
+def test_names_nearby_equal_brute_force(spark):
+    """Spots across the date line, at the poles and at the edge of the distance."""
+    rng = random.Random(9)
+    words = ["lotus care hospital", "lotus cara hospital", "river side clinic", "river size clinic", "hill view pharmacy"]
+    spots = {(rng.choice(words), round(rng.uniform(-90, 90), 1), round(rng.choice([-179.9, 179.8, 0.0, 45.0]) + rng.uniform(-0.1, 0.1), 2))
+             for _ in range(150)}
+    spots |= {(rng.choice(words), rng.choice([89.9, -89.95, 90.0, 0.0, 0.4]), rng.choice([-180.0, 180.0, 0.0, 90.0, 0.5])) for _ in range(60)}
+
+    def km(a, b):
+        import math
+
+        la, oa, lb, ob = map(math.radians, (a[1], a[2], b[1], b[2]))
+        h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin((ob - oa) / 2) ** 2
+        return 2 * similarity.EARTH_KM * math.asin(min(1, math.sqrt(h)))
+
+    df = spark.createDataFrame(list(spots), "norm string, lat double, lon double")
+    for reach in (30.0, 300.0, 5000.0):
+        got = {tuple(r) for r in similarity.near_names_nearby(df, reach).collect()}
+        assert got == {a for a in spots for b in spots if a[0] != b[0] and km(a, b) <= reach
+                       and distance(a[0], b[0]) * 100 <= 15 * max(len(a[0]), len(b[0]))}
+
+
 def test_checks_from_outside(spark, sf_dir):
     d = Data(spark, sf_dir)
     bad = ("no_frame", lambda src: src.select(F.col("missing")))

@@ -1,73 +1,82 @@
-"""Names that are nearly the same within one place, without comparing all pairs.
+"""Names that are nearly the same in one place or near each other, without comparing all pairs.
 
-Two names match when they share the place and their edit distance is at most (1 - threshold) of the longer name. With
-E edits allowed, one of E + 1 even segments of the shorter name stands unchanged in the longer one, near where it stood:
-segment i moves by no more than the i - 1 edits before it, and the difference in length limits it from the other side.
-Segments and the fitting pieces of longer names meet by an ordinary join, two semi-joins verify the distance and stop
-at the first match of a name.
+Two names match when their edit distance is at most (1 - threshold) of the longer name. An edit touches at most Q of a name's
+runs of Q letters, so that of two names E edits apart the rarest run that both have is among the Q * E + 1 rarest of either,
+whatever the order of rarity, as long as both use the same. Pairs are therefore dealt by rare runs alone: a word that
+stands in every name deals none where names have rarer parts, and names without such parts are near each other, where a
+semi-join stops at the first.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from trustdesk.functions.text import matching_key
 
+#: A run that more than one in RARE names holds is common; at most RARE times the runs of an average name are.
+RARE = 1_000
+EARTH_KM = 6371.0088
+
+
+def _percent(threshold: float) -> int:
+    percent = 100 - round(threshold * 100)
+    if not 0 <= percent < 50:
+        raise ValueError("threshold lies above 0.5 and up to 1")
+    return percent
+
+
+def run_length(percent: int) -> int:
+    """Longest run of which a match is sure to leave one whole: at most half the letters per edit."""
+    return 3 if percent <= 16 else 2 if percent <= 25 else 1
+
 
 def _edits(longest: Column, percent: int) -> Column:
     """Edit budget of a pair whose longer name has ``longest`` letters; exact in integers."""
     return F.floor(longest * percent / 100).cast("int")
 
 
-def _segment(size: Column, edits: Column, number: Column):
-    """Start, from 1, and length of a segment, from 0, of a name cut into ``edits`` + 1 even ones."""
-    parts = edits + 1
-    base = F.floor(size / parts).cast("int")
-    short = parts - size % parts
-    start = number * base + F.greatest(F.lit(0), number - short) + 1
-    return start, base + F.when(number >= short, 1).otherwise(0)
+def rare_runs(names: DataFrame, percent: int) -> DataFrame:
+    """The rarest different runs of each distinct name, as many as no near name can lack, with their ``rank``.
 
-
-def segments(names: DataFrame, percent: int) -> DataFrame:
-    """Segments of each name for every edit budget that a longer partner may bring."""
+    Rarity is the number of names with the run if that is common, and a hash of the run otherwise: common runs are few, so
+    that their counts are a small table. A name that repeats itself may have no more runs than its edits can touch; all
+    such names also meet under one run of their own, the empty one.
+    """
+    q = run_length(percent)
     size = F.col("size")
-    longest = F.floor(size * 100 / (100 - percent)).cast("int")
-    budgets = names.select("place", "norm", "size", F.explode(F.sequence(_edits(size, percent), _edits(longest, percent))).alias("edits"))
-    numbered = (budgets.where((F.col("edits") > 0) & (F.col("edits") < size))
-                .select("*", F.explode(F.sequence(F.lit(0), F.col("edits"))).alias("number")))
-    start, length = _segment(size, F.col("edits"), F.col("number"))
-    return numbered.select("place", "size", "edits", "number", F.substring("norm", start, length).alias("piece"), F.col("norm").alias("shorter"))
-
-
-def pieces(names: DataFrame, percent: int) -> DataFrame:
-    """Pieces of each name that may be a segment of a shorter or equally long partner."""
-    edits, less, number = F.col("edits"), F.col("less"), F.col("number")
-    sized = names.select("place", "norm", F.col("size").alias("own"), _edits(F.col("size"), percent).alias("edits")).where("edits > 0")
-    numbered = (sized.select("*", F.explode(F.sequence(F.lit(0), edits)).alias("less"))
-                .withColumn("size", F.col("own") - less).where(F.col("size") > edits)
-                .select("*", F.explode(F.sequence(F.lit(0), edits)).alias("number")))
-    start, length = _segment(F.col("size"), edits, number)
-    low = F.greatest(F.lit(1), start - number, start + less - (edits - number))
-    high = F.least(F.col("own") - length + 1, start + number, start + less + (edits - number))
-    placed = numbered.withColumns({"low": low, "high": high, "length": length}).where("low <= high")
-    return placed.select("place", "size", "edits", "number", "norm", "length", F.explode(F.sequence("low", "high")).alias("at")).select(
-        "place", "size", "edits", "number", F.substring("norm", F.col("at"), F.col("length")).alias("piece"),
-        F.col("norm").alias("longer")).distinct()
+    own = _edits(F.floor(size * 100 / (100 - percent)).cast("int"), percent)
+    able = names.withColumn("most", own * q + 1).where((own > 0) & (size >= q))
+    letters = F.array_distinct(F.transform(F.sequence(F.lit(1), size - q + 1), lambda i: F.substring("norm", i, q)))
+    cut = able.select("norm", "size", "most", letters.alias("letters")).select(
+        "norm", "size", "most", F.explode(F.when(F.size("letters") < F.col("most"), F.concat("letters", F.array(F.lit(""))))
+                                          .otherwise(F.col("letters"))).alias("run"))
+    least = F.greatest(F.lit(1), F.floor(able.select(F.count("*")).scalar() / RARE))
+    common = cut.groupBy("run").agg(F.count("*").alias("held")).where(F.col("held") > least)
+    order = W.partitionBy("norm").orderBy(F.col("run") == "", F.coalesce("held", F.lit(0)), F.xxhash64("run"), "run")
+    ranked = cut.join(common, "run", "left").withColumn("rank", F.row_number().over(order))
+    first = F.when(F.col("run") == "", 0).otherwise(F.col("rank"))
+    return ranked.where(first <= F.col("most")).select("norm", "size", "run", first.alias("rank"))
+
+
+def near_pair(percent: int) -> Column:
+    """Whether the names of rows l and r that share a run differ by no more edits than the longer one allows.
+
+    A run that is not among the rarest for just these edits deals no pair.
+    """
+    edits = _edits(F.greatest("l.size", "r.size"), percent)
+    least = edits * run_length(percent) + 1
+    return ((F.abs(F.col("l.size") - F.col("r.size")) <= edits) & (F.col("l.rank") <= least) & (F.col("r.rank") <= least)
+            & (F.col("l.norm") != F.col("r.norm")) & (F.call_function("levenshtein", "l.norm", "r.norm", edits) >= 0))
 
 
 def near_names(names: DataFrame, threshold=0.85) -> DataFrame:
     """Those of the distinct ``names`` (place, norm) that have a near but different name in their place."""
-    percent = 100 - round(threshold * 100)
-    if not 0 <= percent < 50:
-        raise ValueError("threshold lies above 0.5 and up to 1")
-    sized = names.select("place", "norm", F.length("norm").alias("size"))
-    left, right = segments(sized, percent), pieces(sized, percent)
-    key = ["place", "size", "edits", "number", "piece"]
-    near = (F.col("shorter") != F.col("longer")) & (F.call_function("levenshtein", "shorter", "longer", "l.edits") >= 0)
-    on = near
-    for k in key:
-        on = on & (F.col(f"l.{k}") == F.col(f"r.{k}"))
-    first = left.alias("l").join(right.alias("r"), on, "left_semi").select("place", F.col("shorter").alias("norm"))
-    second = right.alias("l").join(left.alias("r"), on, "left_semi").select("place", F.col("longer").alias("norm"))
-    return first.unionByName(second).distinct()
+    percent = _percent(threshold)
+    rare = rare_runs(names.select("norm").distinct().withColumn("size", F.length("norm")), percent)
+    dealt = names.join(rare, "norm").select("place", "norm", "size", "run", "rank")
+    found = dealt.alias("l").join(dealt.alias("r"), (F.col("l.place") == F.col("r.place")) & (F.col("l.run") == F.col("r.run"))
+                                  & near_pair(percent), "left_semi")
+    return found.select("place", "norm").distinct()
 
 
 def fuzzy_identity(df: DataFrame, threshold=0.85, name="name", place="address_state_or_region", id_col="unique_id") -> DataFrame:
@@ -75,6 +84,74 @@ def fuzzy_identity(df: DataFrame, threshold=0.85, name="name", place="address_st
     keyed = (df.select(F.col(id_col).alias("unique_id"), matching_key(name).alias("norm"), F.col(place).alias("place"))
              .where((F.col("norm") != "") & F.col("place").isNotNull()))
     near = near_names(keyed.select("place", "norm").distinct(), threshold)
-    return keyed.join(near, ["place", "norm"], "left_semi").select(
-        "unique_id", F.lit("similar_identity").alias("check"), F.lit("medium").alias("severity"),
-        F.lit(15).alias("penalty_points"), F.lit("Name is close to another record in the same area").alias("issue_summary"))
+    return keyed.join(near, ["place", "norm"], "left_semi").select("unique_id", *_finding(
+        "similar_identity", "Name is close to another record in the same area"))
+
+
+def _finding(check, issue):
+    return (F.lit(check).alias("check"), F.lit("medium").alias("severity"), F.lit(15).alias("penalty_points"), F.lit(issue).alias("issue_summary"))
+
+
+# --- nearby ------------------------------------------------------------------------------------------
+
+def distance_km(lat1, lon1, lat2, lon2) -> Column:
+    """Great-circle distance."""
+    a, b, c, d = (F.radians(F.col(x)) for x in (lat1, lon1, lat2, lon2))
+    half = F.pow(F.sin((c - a) / 2), 2) + F.cos(a) * F.cos(c) * F.pow(F.sin((d - b) / 2), 2)
+    return 2 * EARTH_KM * F.asin(F.least(F.sqrt(half), F.lit(1.0)))
+
+
+def _band_height(km: float) -> float:
+    return math.degrees(km / EARTH_KM)
+
+
+def _cells_around(band: Column, km: float):
+    """Cells of a latitude band, and their width in degrees: points of this and the next bands within ``km`` of each other
+    differ in longitude by at most that width."""
+    height, half = _band_height(km), math.sin(km / EARTH_KM / 2)
+    edge = F.least(F.lit(90.0), F.greatest(F.abs(band - 1), F.abs(band + 2)) * height)
+    reach = F.degrees(2 * F.asin(F.least(F.lit(1.0), F.lit(half) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-9)))))
+    count = F.greatest(F.lit(1), F.floor(360 / (reach * (1 + 1e-9)))).cast("int")
+    return count, 360 / count
+
+
+def cell(lat, lon, km: float, steps=(0,)) -> Column:
+    """Cells of a point, or with ``steps`` of -1, 0 and 1 also those of all points within ``km``, as an array of structs."""
+    wide = F.pmod(F.col(lon) + 180, F.lit(360.0))
+    found = []
+    for up in steps:
+        band = F.floor(F.col(lat) / _band_height(km)) + up
+        count, width = _cells_around(band, km)
+        at = F.floor(wide / width).cast("int")
+        found += [F.struct(band.cast("int").alias("band"), F.pmod(at + side, count).alias("column")) for side in steps]
+    return F.array_distinct(F.array(*found))
+
+
+def near_names_nearby(spots: DataFrame, km: float, threshold=0.85) -> DataFrame:
+    """Those of the distinct ``spots`` (norm, lat, lon) that have a near but different name within ``km``.
+
+    The earth is cut into bands of ``km`` and each band into cells that are as wide as two points within ``km`` can differ; a
+    spot lies in one cell and looks into the nine around it. Rows meet by cell and rare run.
+    """
+    percent = _percent(threshold)
+    rare = rare_runs(spots.select("norm").distinct().withColumn("size", F.length("norm")), percent)
+    dealt = spots.join(rare, "norm")
+    lies = dealt.withColumn("cell", F.explode(cell("lat", "lon", km)))
+    looks = dealt.withColumn("cell", F.explode(cell("lat", "lon", km, (-1, 0, 1))))
+    close = distance_km("l.lat", "l.lon", "r.lat", "r.lon") <= km
+    found = looks.alias("l").join(lies.alias("r"), (F.col("l.cell.band") == F.col("r.cell.band")) & (
+        F.col("l.cell.column") == F.col("r.cell.column")) & (F.col("l.run") == F.col("r.run")) & close & near_pair(percent), "left_semi")
+    return found.select("norm", "lat", "lon").distinct()
+
+
+def fuzzy_nearby(df: DataFrame, km=25.0, threshold=0.85, name="name", lat="latitude", lon="longitude", id_col="unique_id") -> DataFrame:
+    """Records whose name is close to a different name within ``km``, as quality-check rows.
+
+    Records without a name or a point on the earth have no row.
+    """
+    keyed = df.select(F.col(id_col).alias("unique_id"), matching_key(name).alias("norm"), F.col(lat).cast("double").alias("lat"),
+                      F.col(lon).cast("double").alias("lon")).where(
+        (F.col("norm") != "") & F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180))
+    near = near_names_nearby(keyed.select("norm", "lat", "lon").distinct(), km, threshold)
+    return keyed.join(near, ["norm", "lat", "lon"], "left_semi").select("unique_id", *_finding(
+        "similar_nearby", "Name is close to another record nearby"))

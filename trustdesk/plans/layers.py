@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trustdesk.operators import clean, curate, quality, signals as sig
 from trustdesk.operators.outreach import contacts, outreach, outreach_lists
+from trustdesk.plans.check_runs import run_checks
 from trustdesk.schemas import EXTRACTION_ERRORS, RAW_RESPONSES, TRUST_SIGNALS
 from trustdesk.sources import sinks
 
@@ -71,20 +72,23 @@ def stored_once(spark: SparkSession, key, build, partition_by=()) -> DataFrame:
 
 
 def build_layers(spark: SparkSession, src: DataFrame, overrides: DataFrame, layout: Layout, at, as_of,
-                 tiebreak="seq") -> dict:
-    """Bronze, silver, gold, row-level issues, quality scores and outreach, in that order."""
+                 tiebreak="seq", extra=()) -> dict:
+    """Bronze, silver, gold, row-level issues, quality scores and outreach, in that order.
+
+    Checks, with those of ``extra``, are staged one by one; one that fails is named and the others score.
+    """
     clean.require_rows(src)
     bronze = stored(clean.to_bronze(src, at), layout.bronze)
     silver = stored(clean.to_silver(bronze, as_of, at), layout.silver)
     gold = stored(curate.to_gold(silver, overrides, at, tiebreak), layout.gold)
     issues = stored(curate.issue_rows(silver, detected_at=at), layout.issues)
-    checks, names, skipped = quality.core_checks(src)
-    scores = stored(quality.quality_scores(checks, names, at), layout.quality_scores)
+    run = run_checks(src, f"{layout.checks}/run={uuid.uuid4().hex}", extra)
+    scores = stored(quality.quality_scores(run.checks, run.names, at), layout.quality_scores)
     reached = contacts(src, scores)
     mails = stored(outreach(reached, at), layout.outreach)
     lists = stored(outreach_lists(reached), layout.outreach_lists)
     return {"bronze": bronze, "silver": silver, "gold": gold, "issues": issues, "quality_scores": scores,
-            "outreach": mails, "outreach_lists": lists, "skipped_checks": skipped}
+            "outreach": mails, "outreach_lists": lists, "skipped_checks": run.skipped, "failed_checks": run.failures}
 
 
 def extract_signals(spark: SparkSession, raw: DataFrame, layout: Layout, scorer, at, fallback=None, chunk=None,

@@ -346,6 +346,20 @@ near AS (SELECT DISTINCT a.place, a.norm FROM names a JOIN names b ON a.place =
 SELECT unique_id, 'similar_identity' AS "check", 'medium' AS severity, 15 AS penalty_points,
   'Name is close to another record in the same area' AS issue_summary
 FROM placed JOIN near ON placed.place = near.place AND placed.norm = near.norm""", "silver")
+KM = """2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2)
+  + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"""
+oracle("fuzzy_nearby", f"""
+, named AS (SELECT unique_id, {key('name')} AS norm, latitude AS lat, longitude AS lon FROM silver),
+placed AS (SELECT * FROM named WHERE norm <> '' AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180),
+spots AS (SELECT DISTINCT lat, lon FROM placed),
+near_spots AS (SELECT a.lat AS lat, a.lon AS lon, b.lat AS lat2, b.lon AS lon2 FROM spots a, spots b WHERE {KM} <= 900),
+names AS (SELECT DISTINCT norm, lat, lon FROM placed),
+near AS (SELECT DISTINCT a.norm, a.lat, a.lon FROM names a JOIN near_spots s ON s.lat = a.lat AND s.lon = a.lon
+  JOIN names b ON b.lat = s.lat2 AND b.lon = s.lon2 AND a.norm <> b.norm
+  AND levenshtein(a.norm, b.norm) * 100 <= 15 * greatest(length(a.norm), length(b.norm)))
+SELECT unique_id, 'similar_nearby' AS "check", 'medium' AS severity, 15 AS penalty_points,
+  'Name is close to another record nearby' AS issue_summary
+FROM placed p JOIN near n ON p.norm = n.norm AND p.lat = n.lat AND p.lon = n.lon""", "silver")
 oracle("missing_core", rule_rows([
     ("core_name", missing("name"), 50, "Facility name is missing"),
     ("core_state", missing("address_stateOrRegion"), 30, "State or region is missing"),
@@ -904,17 +918,24 @@ oracle("moderation_metrics", """SELECT source, count(*) AS submissions, round(av
   round(avg(quality), 6) AS avg_score FROM documents JOIN labels ON labels.doc_id = documents.doc_id GROUP BY 1""")
 
 # --- checks registered from outside, and tables written and read back ------------------------------------
-oracle("registered_checks", """
-, outer_checks AS (SELECT trim(unique_id) AS facility_id, 'short_name' AS "check", 7 AS points FROM src
+part("outer_checks", """SELECT trim(unique_id) AS facility_id, 'short_name' AS "check", 7 AS points FROM src
     WHERE unique_id IS NOT NULL AND length(name) < 24
   UNION ALL SELECT trim(unique_id), 'same_name', 3 FROM src WHERE unique_id IS NOT NULL AND name IN (
-    SELECT name FROM src WHERE name IS NOT NULL GROUP BY 1 HAVING count(DISTINCT unique_id) > 1)),
-extra AS (SELECT facility_id, sum(points) AS points FROM (SELECT facility_id, "check", max(points) AS points FROM outer_checks GROUP BY 1, 2)
+    SELECT name FROM src WHERE name IS NOT NULL GROUP BY 1 HAVING count(DISTINCT unique_id) > 1)""", "src")
+oracle("registered_checks", """
+, extra AS (SELECT facility_id, sum(points) AS points FROM (SELECT facility_id, "check", max(points) AS points FROM outer_checks GROUP BY 1, 2)
   GROUP BY 1)
 SELECT coalesce(s.facility_id, e.facility_id) AS facility_id,
   CAST(coalesce(s.total_penalty_points, 0) + coalesce(e.points, 0) AS INTEGER) AS total_penalty_points,
-  'no_such_column' AS skipped
-FROM scores s FULL JOIN extra e ON s.facility_id = e.facility_id""", "src", "scores")
+  'no_such_column, name_as_number, year_as_number, lost_column' AS skipped
+FROM scores s FULL JOIN extra e ON s.facility_id = e.facility_id""", "src", "scores", "outer_checks")
+oracle("staged_checks", """
+, every AS (SELECT facility_id, "check", penalty_points AS points FROM checks UNION ALL SELECT * FROM outer_checks),
+worst AS (SELECT facility_id, "check", max(points) AS points FROM every GROUP BY 1, 2)
+SELECT "check", count(*) AS records, CAST(sum(points) AS BIGINT) AS points, NULL AS failed FROM worst GROUP BY 1
+UNION ALL SELECT * FROM (VALUES ('no_such_column', 0, 0, 'plan UNRESOLVED_COLUMN.WITH_SUGGESTION'),
+  ('lost_column', 0, 0, 'plan UNRESOLVED_COLUMN.WITH_SUGGESTION'), ('name_as_number', 0, 0, 'run CAST_INVALID_INPUT'),
+  ('year_as_number', 0, 0, 'run CAST_INVALID_INPUT'))""", "checks", "outer_checks")
 oracle("signals_append", """SELECT facility_id, dimension, CAST(i->>'trust_score' AS DOUBLE) AS trust_score, i->>'confidence_tier' AS confidence_tier
   FROM (SELECT facility_id, i->>'dimension' AS dimension, i FROM (SELECT facility_id, unnest(items) AS i FROM judged WHERE problem IS NULL))
   WHERE dimension IN ('capability', 'equipment', 'procedure', 'completeness')""", "judged")

@@ -9,7 +9,8 @@ from trustdesk.operators import (
     workbench as desk,
 )
 from trustdesk.operators.outreach import contacts, outreach, outreach_draft, outreach_lists
-from trustdesk.operators.similarity import fuzzy_identity
+from trustdesk.operators.similarity import fuzzy_identity, fuzzy_nearby
+from trustdesk.plans.check_runs import run_checks
 from trustdesk.plans.layers import shared_folder, stored_once, stored_path
 from trustdesk.schemas import EXTRACTION_ERRORS, SOURCE_COLUMNS, TRUST_SIGNALS
 from trustdesk.sources import driver_views as views, sinks
@@ -118,6 +119,7 @@ add("dup_emails")(lambda d: extra.duplicate_emails(d.source))
 add("dup_phones_by_count")(lambda d: extra.duplicate_phones_by_count(d.source))
 add("dup_identity")(lambda d: extra.duplicate_identity(d.silver))
 add("fuzzy_identity")(lambda d: fuzzy_identity(d.silver))
+add("fuzzy_nearby")(lambda d: fuzzy_nearby(d.silver, km=900.0))
 add("missing_core")(lambda d: extra.missing_core(d.source))
 add("contact_formats")(lambda d: extra.contact_formats(d.source))
 add("field_conflicts")(lambda d: extra.field_conflicts(d.source, AS_OF))
@@ -360,12 +362,36 @@ def extra_checks():
     return [quality.Rule("short_name", F.length("name") < 24, 7, "Name is short"), ("same_name", same_names)]
 
 
+def failing_checks():
+    """Checks that cannot run: a column that is not there, a cast that fails on a row, a function that does either."""
+    return [quality.Rule("no_such_column", F.col("no_such_column").isNull(), 5, "never seen"),
+            quality.Rule("name_as_number", F.col("name").cast("int") > 0, 5, "never seen"),
+            ("year_as_number", lambda src: src.groupBy("unique_id").agg(F.max(F.col("yearEstablished").cast("int")).alias("y")).select(
+                "unique_id", F.lit("year_as_number").alias("check"), F.col("y").alias("penalty_points"), F.lit("x").alias("issue_summary"))),
+            ("lost_column", lambda src: src.select("nowhere"))]
+
+
+def checked(d):
+    return run_checks(d.source, folder(d, "checks"), [*extra_checks(), *failing_checks()])
+
+
 @add("registered_checks")
 def _(d):
-    broken = quality.Rule("no_such_column", F.col("no_such_column").isNull(), 5, "never seen")
-    checks, names, skipped = quality.core_checks(d.source, [*extra_checks(), broken])
-    return quality.quality_scores(checks, names).select(
-        "facility_id", "total_penalty_points", F.lit(", ".join(skipped)).alias("skipped"))
+    run = checked(d)
+    return quality.quality_scores(run.checks, run.names).select(
+        "facility_id", "total_penalty_points", F.lit(", ".join(run.skipped)).alias("skipped"))
+
+
+@add("staged_checks")
+def _(d):
+    """Findings of each check that ran, and the checks that failed with the phase they failed in."""
+    run = checked(d)
+    worst = (run.checks.where(F.col("unique_id").isNotNull()).groupBy(F.trim("unique_id").alias("facility_id"), "check")
+             .agg(F.max("penalty_points").alias("points")))
+    found = worst.groupBy("check").agg(F.count(F.lit(1)).alias("records"), F.sum("points").alias("points"))
+    return found.withColumn("failed", F.lit(None).cast("string")).unionByName(
+        run.failures.select("check", F.lit(0).cast("long").alias("records"), F.lit(0).cast("long").alias("points"),
+                            F.concat_ws(" ", "phase", "condition").alias("failed")))
 
 
 def folder(d, name):
