@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from trustdesk.llm import hash_arrays
-from trustdesk.llm.common import lists, map_arrow, utf8
+from trustdesk.llm.common import lists, map_arrow, parts_of, utf8
 
 #: Different stretches and links that a task remembers; results do not depend on it.
-REMEMBERED, LINKS = 200_000, 1 << 21
+REMEMBERED, LINKS = 500_000, 1 << 22
+#: Stretches that the second tokenizer, whose work grows faster than its text, gets together.
+IN_A_ROW = 24
 #: Sums of products that are expanded together.
 TOGETHER = 1 << 20
 #: Different pairs that a task holds before it sends their counts.
@@ -180,17 +182,20 @@ class Pieces:
 
 
 class Stretches:
-    """Aligned stretches of texts by number, with what is known of each."""
+    """Aligned stretches of texts by number, with what is known of each; ``named`` ones have their groups in words."""
 
-    def __init__(self, a: ByteLevel, b: Pieces):
-        self.a, self.b = a, b
+    def __init__(self, a: ByteLevel, b: Pieces, named=True):
+        self.a, self.b, self.named = a, b, named
         size = max(a.bytes_of) + 1, max(b.bytes_of) + 1
         self.a_size = np.array([len(a.bytes_of.get(i, b"")) for i in range(size[0])])
         self.b_size = np.array([len(b.bytes_of.get(i, b"")) for i in range(size[1])])
+        # ids in words with what follows: inside a group, at the end of its tokens of a, at its own end
+        self.words = [f"{i}{mark}" for n, marks in zip(size, (",|", ",;"), strict=True) for mark in marks for i in range(n)]
         self.clear()
 
     def clear(self):
-        self.number, self.valid, self.text = {}, [], []
+        self.number, self.text = {}, []
+        self.valid = np.empty(0, bool)
         self.sizes = np.empty((0, 3), np.int64)
         self.pairs, self.pair_begins = np.empty(0, np.int64), np.zeros(1, np.int64)
 
@@ -200,38 +205,61 @@ class Stretches:
         spaced = " " + text
         return [s[1:] for s in BETWEEN.split(spaced)] if ODD_SPACE.search(spaced) else text.split(" ")
 
+    def encode(self, stretches):
+        """Ids of both for all stretches in a row, the tokens of each, and which of them spell their bytes; others have none.
+
+        Stretches that end in a character which is no space are encoded as one text, since tokens start where they do.
+        """
+        raw = [len(s.encode()) + 1 for s in stretches]
+        if not self.b.whole and not any(s.endswith(" ") for s in stretches):
+            text = " ".join(stretches)
+            whole, ends = (" " + text).encode(), np.cumsum(raw)
+            rows = [" ".join(stretches[k:k + IN_A_ROW]) for k in range(0, len(stretches), IN_A_ROW)]
+            ids = [np.array(x, np.int64) for x in (self.a.encode([" " + text])[0], [i for x in self.b.encode(rows) for i in x])]
+            stops = [np.cumsum(size[x]) for x, size in zip(ids, (self.a_size, self.b_size), strict=True)]
+            at = [np.searchsorted(x, ends) for x in stops]
+            if all(len(x) and x[-1] == len(whole) and (x[i] == ends).all() for x, i in zip(stops, at, strict=True)) and all(
+                    b"".join(map(v.bytes_of.__getitem__, x.tolist())) == whole for v, x in zip((self.a, self.b), ids, strict=True)):
+                return ids, [np.diff(i, prepend=-1) for i in at], np.array(raw), np.ones(len(stretches), bool)
+        spaced = [" " + s for s in stretches]
+        found = self.a.encode(spaced), self.b.encode(stretches)
+        good = np.array([b"".join(map(self.a.bytes_of.__getitem__, x)) == s.encode() == b"".join(map(self.b.bytes_of.__getitem__, y))
+                         for x, y, s in zip(*found, spaced, strict=True)])
+        kept = [[x if g else [] for x, g in zip(ids, good, strict=True)] for ids in found]
+        return ([np.array([i for x in ids for i in x], np.int64) for ids in kept],
+                [np.array(list(map(len, ids)), np.int64) for ids in kept], np.where(good, raw, 0), good)
+
     def add(self, stretches):
         """Align new stretches in one go."""
-        spaced = [" " + s for s in stretches]
-        a_ids, b_ids = self.a.encode(spaced), self.b.encode(stretches)
-        joint_a, joint_b = self.a.bytes_of.__getitem__, self.b.bytes_of.__getitem__
-        raw = [s.encode() for s in spaced]
-        good = [b"".join(map(joint_a, x)) == r == b"".join(map(joint_b, y)) for x, y, r in zip(a_ids, b_ids, raw, strict=True)]
-        a_ids = [x if g else [] for x, g in zip(a_ids, good, strict=True)]
-        b_ids = [x if g else [] for x, g in zip(b_ids, good, strict=True)]
-        a, b = (np.array([i for x in ids for i in x], np.int64) for ids in (a_ids, b_ids))
+        (a, b), (a_n, b_n), sizes, good = self.encode(stretches)
         found = Alignment(self.a_size[a], self.b_size[b])
         i, j = found.together()
         # bytes of the valid stretches end where groups end, so that each has whole groups and links
-        ends = np.cumsum([len(r) if g else 0 for r, g in zip(raw, good, strict=True)])
-        group_at = np.searchsorted(found.group_ends, ends, "right")
+        ends = np.cumsum(sizes)
+        groups = np.diff(np.searchsorted(found.group_ends, ends, "right"), prepend=0)
         link_at = np.searchsorted(found.a_ends[i], ends, "right")
-        names = self.fragments(found, a, b)
-        for s, g, begin, end in zip(stretches, good, np.concatenate(([0], group_at[:-1])).tolist(), group_at.tolist(), strict=True):
-            self.number[s] = len(self.valid)
-            self.valid.append(g)
-            self.text.append(";".join(names[begin:end]))
-        n = np.stack([list(map(len, a_ids)), list(map(len, b_ids)), np.diff(group_at, prepend=0)], 1)
-        self.sizes = np.concatenate([self.sizes, n.astype(np.int64)])
+        if self.named:
+            self.text += self.groups_of(found, a, b, np.cumsum(a_n + b_n))
+        self.number.update(zip(stretches, range(len(self.valid), len(self.valid) + len(stretches)), strict=True))
+        self.valid = np.concatenate([self.valid, good])
+        self.sizes = np.concatenate([self.sizes, np.stack([a_n, b_n, groups], 1)])
         self.pairs = np.concatenate([self.pairs, a[i] << 32 | b[j]])
         self.pair_begins = np.concatenate([self.pair_begins, self.pair_begins[-1] + link_at])
 
-    def fragments(self, found, a, b):
-        """Each group as its ids in order."""
-        left, right = found.group_rows()
-        a_names, b_names = list(map(str, a[left.columns].tolist())), list(map(str, b[right.columns].tolist()))
-        x, y = left.begins.tolist(), right.begins.tolist()
-        return [f"{','.join(a_names[x[k]:x[k + 1]])}|{','.join(b_names[y[k]:y[k + 1]])}" for k in range(len(x) - 1)]
+    def groups_of(self, found, a, b, ends):
+        """The groups of each stretch in words, by the rows of both group incidences."""
+        words, codes, at = self.words, [], []
+        first = 0
+        for ids, rows, n in zip((a, b), found.group_rows(), (len(self.a_size), len(self.b_size)), strict=True):
+            last = np.zeros(len(ids), np.int64)
+            last[rows.begins[1:] - 1] = n
+            codes.append(ids[rows.columns] + last + first)
+            at.append(rows.rows() * 2 + len(at))
+            first += 2 * n
+        order = np.argsort(np.concatenate(at), kind="stable")
+        made = list(map(words.__getitem__, np.concatenate(codes)[order].tolist()))
+        ends = ends.tolist()
+        return ["".join(made[x:y])[:-1] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
 
     def numbers(self, texts):
         """Numbers of each text's stretches, and whether the text has tokens."""
@@ -243,8 +271,7 @@ class Stretches:
             self.add(new)
         number = self.number.__getitem__
         found = [np.fromiter(map(number, c), np.int64, len(c)) for c in cut]
-        good = np.array([*self.valid, True])
-        known = [bool(len(x)) and bool(good[x].all()) for x in found]
+        known = [bool(len(x)) and bool(self.valid[x].all()) for x in found]
         return found, known
 
 
@@ -299,17 +326,17 @@ def taken(s: Stretches, numbers):
     return s.pairs[first + np.arange(len(first))] if len(first) else np.empty(0, np.int64)
 
 
-def tokenizers_of(docs: DataFrame, a_path: str, b_path: str):
+def tokenizers_of(docs: DataFrame, a_path: str, b_path: str, named=True):
     """Both tokenizer files, a few megabytes whatever the input, for every task."""
     with open(a_path) as a, open(b_path, "rb") as b:
         sent = docs.sparkSession.sparkContext.broadcast((a.read(), b.read()))
-    return lambda: Stretches(ByteLevel(sent.value[0]), Pieces(sent.value[1]))
+    return lambda: Stretches(ByteLevel(sent.value[0]), Pieces(sent.value[1]), named)
 
 
 def pair_counts(docs: DataFrame, a_path, b_path, text="text") -> DataFrame:
     """``pair`` (id of a and of b in one number), ``n``, the links that hold it in all documents, and ``best``, 1 where no
     other pair of its b id has more."""
-    start = tokenizers_of(docs, a_path, b_path)
+    start = tokenizers_of(docs, a_path, b_path, named=False)
 
     def run(batches):
         stretches, pairs, counts, size = None, [], [], 0
@@ -321,14 +348,15 @@ def pair_counts(docs: DataFrame, a_path, b_path, text="text") -> DataFrame:
 
         for batch in batches:
             stretches = stretches or start()
-            for begin in range(0, batch.num_rows, 1000):
-                found, known = stretches.numbers(decoded(batch.column(0).slice(begin, 1000)))
+            for part in parts_of([batch]):
+                found, known = stretches.numbers(decoded(part.column(0)))
                 mine = [x for x, k in zip(found, known, strict=True) if k]
                 if not mine:
                     continue
-                used, times = np.unique(np.concatenate(mine), return_counts=True)
+                times = np.bincount(np.concatenate(mine))
+                used = np.flatnonzero(times)
                 keys, which = np.unique(taken(stretches, used), return_inverse=True)
-                n = np.bincount(which, np.repeat(times, np.diff(stretches.pair_begins)[used]), len(keys))
+                n = np.bincount(which, np.repeat(times[used], np.diff(stretches.pair_begins)[used]), len(keys))
                 pairs.append(keys)
                 counts.append(n)
                 size += len(keys)
