@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from trustdesk.llm import hash_arrays
-from trustdesk.llm.common import lists, map_arrow, parts_of, utf8
+from trustdesk.llm.common import lists, map_arrow, parts_of, stored, utf8
 
 #: Different stretches and links that a task remembers; results do not depend on it.
 REMEMBERED, LINKS = 500_000, 1 << 22
@@ -366,7 +366,7 @@ def pair_counts(docs: DataFrame, a_path, b_path, text="text") -> DataFrame:
         if pairs:
             yield sums()
 
-    n = docs.select(utf8(text)).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    n = stored(docs.select(utf8(text)).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
     b = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
     most = n.groupBy(b.alias("b")).agg(F.max("n").alias("most"))
     return n.withColumn("b", b).join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
