@@ -66,6 +66,7 @@ def store(entries: DataFrame, dtype: str, bucket=BUCKET):
     Each value becomes a ``dtype``. Keys must be distinct. Buckets are even, since hashes are.
     """
     key, *names = entries.columns
+    entries = stored(entries, "entries")
     n = entries.count()
     bits = (n // bucket).bit_length()
 

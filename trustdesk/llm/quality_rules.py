@@ -183,7 +183,8 @@ def model(grams: DataFrame) -> DataFrame:
     levels = {ORDER: grams}
     for k in range(ORDER - 1, 0, -1):
         shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")
-        levels[k] = levels[k + 1].groupBy(shorter).agg(*[F.sum((F.col(f"n{f}") > 0).cast("long")).alias(f"n{f}") for f in (0, 1)])
+        level = levels[k + 1].groupBy(shorter).agg(*[F.sum((F.col(f"n{f}") > 0).cast("long")).alias(f"n{f}") for f in (0, 1)])
+        levels[k] = stored(level, "level")
     off = discounts(levels)
     known = None
     for k in range(1, ORDER + 1):
