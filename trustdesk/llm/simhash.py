@@ -214,28 +214,23 @@ def rows_of(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     return docs.select(column(doc_id).alias("doc_id"), row_hash(docs).alias("row"), column(text).alias("text"))
 
 
-def one_row_each(docs: DataFrame, found: DataFrame, doc_id="doc_id") -> DataFrame:
-    """The row of smallest id of each ``root`` of ``found``, which has ``doc_id`` and ``row`` of each row and is stored.
+def keep_one(docs: DataFrame, distance=4, shingle=4, doc_id="doc_id", text="text", crowd=CROWD) -> DataFrame:
+    """One row of each component, with all its columns: that of smallest id, a row without an id if there is no other.
 
-    Rows without an id come last, rows of one id follow each other by their hash; of rows that are the same in all
-    columns one stays. The least is taken in each task before the shuffle.
+    Rows are chosen one by one, so that a repeated or missing id removes no row whose text is not a copy. Rows without an id
+    come last, rows of one id follow each other by their hash; of rows that are the same in all columns one stays. The
+    least row of a fingerprint is taken in each task before any shuffle, so that copies cost a minimum and no join.
     """
+    marked = stored(fingerprints(rows_of(docs, doc_id, text), shingle, keep=["doc_id", "row"]), "fingerprints")
     rank = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")
-    chosen = found.groupBy("root").agg(F.min(rank).alias("least")).select(
+    distinct = stored(marked.groupBy("fp").agg(F.min(rank).alias("least")), "distinct")
+    root = components(links(distinct.select("fp"), distance, crowd)).withColumnRenamed("node", "fp")
+    named = distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    chosen = named.groupBy("root").agg(F.min("least").alias("least")).select(
         F.col("least.doc_id").alias("_chosen_id"), F.col("least.row").alias("_chosen_row"))
     whole = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("_whole"),
                         column(doc_id).alias("_id"), row_hash(docs).alias("_row"))
     kept = whole.join(chosen, (F.col("_row") == F.col("_chosen_row")) & F.col("_id").eqNullSafe(F.col("_chosen_id")), "left_semi")
-    if found.groupBy("doc_id", "row").count().where("count > 1").limit(1).count():
+    if marked.groupBy("doc_id", "row").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["_id", "_row"])
     return kept.select(*[F.col("_whole").getField(c).alias(c) for c in docs.columns])
-
-
-def keep_one(docs: DataFrame, distance=4, shingle=4, doc_id="doc_id", text="text", crowd=CROWD) -> DataFrame:
-    """One row of each component, with all its columns: that of smallest id, a row without an id if there is no other.
-
-    Rows are chosen one by one, so that a repeated or missing id removes no row whose text is not a copy.
-    """
-    marked = stored(fingerprints(rows_of(docs, doc_id, text), shingle, keep=["doc_id", "row"]), "fingerprints")
-    found = marked.join(owners(marked, distance, crowd).select("fp", "root"), "fp").select("doc_id", "row", "root")
-    return one_row_each(docs, stored(found, "components"), doc_id)
