@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trustdesk.llm import decontam, langid, near_copies as near, spm_bpe, suffix_dedup
+from trustdesk.llm import decontam, langid, simhash, spm_bpe, suffix_dedup
 from trustdesk.llm.common import column, stored, table
 
 #: Predictions of lower score are rejected; 0 shares no n-gram with any language.
@@ -24,8 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that pairs of documents alike in 0.8 of their five-word shingles connect."""
-    return near.keep_one(docs)
+    """One document of each group that fingerprints of four-word shingles at four bits or fewer connect."""
+    return simhash.keep_one(docs)
 
 
 def apart(docs: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                        same.alias("round_trip"), F.sha2(F.col("decoded"), 256).alias("text_sha256"))
 
 
-STAGES = [("language id", language), ("shingle near-dedup", near_copies), ("suffix-array dedup", passages),
+STAGES = [("language id", language), ("simhash near-dedup", near_copies), ("suffix-array dedup", passages),
           ("benchmark decontamination", test_data), ("byte-level bpe", token_ids)]
 #: SQL can express neither language profiles nor xxHash shingles; tests compare with brute force instead.
 ORACLE_SQL = None
