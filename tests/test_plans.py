@@ -87,8 +87,6 @@ def test_stream_keeps_the_latest_version(spark, tmp_path):
     state = latest.read_latest(spark, target, schema, keys)
     whole = curate.latest_by(spark.read.schema(schema).parquet(source), keys)
     assert state.count() == 2 and whole.exceptAll(state).isEmpty()
-    latest.compact(spark, target, schema, keys, f"{target}-compact")
-    assert latest.read_latest(spark, f"{target}-compact", schema, keys).exceptAll(state).isEmpty()
 
 
 def test_one_letter_for_a_very_large_address(spark):

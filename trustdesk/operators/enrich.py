@@ -1,8 +1,9 @@
 """Geography: postal codes, district indicators, point in polygon, district ranking."""
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from trustdesk.functions.text import matching_key
+from trustdesk.operators.ranking import with_rank
 from trustdesk.operators.skew import hot_split_join, salted_join
 
 
@@ -59,14 +60,14 @@ def district_rank(records: DataFrame, indicators: DataFrame, burden="burden", di
                   name="district_name") -> DataFrame:
     """Districts by burden (high first), then by record count (few first): the underserved come first.
 
-    Records are counted per district before the join, so the ranked table has one row per district.
+    Records are counted per district before the join, so the ranked table has one row per district. Ranks come from counts of
+    ranges, so that no task sees all districts.
     """
     counts = records.groupBy(matching_key(district).alias("district_key")).agg(F.count(F.lit(1)).alias("facilities"))
     figures = clean_indicators(indicators, [burden], name).select("district_key", burden, f"{burden}_low_sample")
     ranked = figures.join(counts, "district_key", "left").withColumn(
         "facilities", F.coalesce("facilities", F.lit(0)))
-    order = W.partitionBy(F.lit(1)).orderBy(F.desc_nulls_last(burden), "facilities")
-    return ranked.withColumn("rank", F.rank().over(order))
+    return with_rank(ranked, (burden, True), ("facilities", False))
 
 
 def grid_cells(low, high, size):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from trustdesk.functions.score import trust_tier
 from trustdesk.functions.text import contains_pattern
+from trustdesk.operators import ranking
 from trustdesk.operators.curate import completeness_points
 from trustdesk.operators.trust import facility_scores
 
@@ -41,17 +42,19 @@ def matching(gold: DataFrame, q="", state="", facility_type="", columns=SEARCH_C
     return gold
 
 
-def search(gold: DataFrame, signals: DataFrame, scores: DataFrame, q="", state="", facility_type="", min_score=0,
-           contradictions_only=False, page=1, limit=25, sort="score", tier=None, columns=SEARCH_COLUMNS) -> DataFrame:
-    """One page of records, best score first.
+#: How each sort orders records: column and whether it descends; the id tells equal ones apart.
+SORTS = {"score": ("score", True), "completeness": ("completeness", True), "name": ("facility_name", False)}
+
+
+def found_records(gold: DataFrame, signals: DataFrame, scores: DataFrame, q="", state="", facility_type="", min_score=0,
+                  contradictions_only=False, sort="score", tier=None, columns=SEARCH_COLUMNS):
+    """All matching records with their scores, and the key that ``sort`` orders them by.
 
     ``min_score`` is 0..100 and counts a record without score as 0. ``sort`` is score, completeness or name.
     Records are filtered before they meet their signals.
     """
-    order = {"score": F.desc_nulls_last("score"), "completeness": F.desc("completeness"),
-             "name": F.asc_nulls_last("facility_name")}
-    if sort not in order:
-        raise ValueError(f"sort must be one of {sorted(order)}")
+    if sort not in SORTS:
+        raise ValueError(f"sort must be one of {sorted(SORTS)}")
     found = matching(gold, q, state, facility_type, columns)
     if sort == "completeness":
         found = found.withColumn("completeness", completeness_points())
@@ -62,9 +65,26 @@ def search(gold: DataFrame, signals: DataFrame, scores: DataFrame, q="", state="
         rows = rows.where(F.col("has_contradiction") == 1)
     if tier:
         rows = rows.where(trust_tier("score") == tier)
+    return rows, ranking.sort_key(SORTS[sort], ("facility_id", False))
+
+
+def search(gold: DataFrame, signals: DataFrame, scores: DataFrame, page=1, limit=25, shallow=ranking.SHALLOW, **filters) -> DataFrame:
+    """One page of records, best score first; ``filters`` are those of ``found_records``.
+
+    Pages that end within ``shallow`` rows are a top list; deeper ones sort the range they lie in only.
+    """
+    rows, key = found_records(gold, signals, scores, **filters)
     size, offset = page_bounds(page, limit)
-    return (rows.orderBy(order[sort], "facility_id").offset(offset).limit(size)
-            .withColumnRenamed("score", "overall_trust_score"))
+    return ranking.page(rows, key, offset, size, shallow).withColumnRenamed("score", "overall_trust_score")
+
+
+def search_after(gold: DataFrame, signals: DataFrame, scores: DataFrame, cursor, limit=25, **filters) -> DataFrame:
+    """The page behind a record, given by the value of its sort column and its id, at the cost of the first page."""
+    rows, key = found_records(gold, signals, scores, **filters)
+    value, last_id = cursor
+    if value is not None and SORTS[filters.get("sort", "score")][1]:
+        value = -value
+    return ranking.after(rows, key, (value, last_id), limit).drop("_cursor").withColumnRenamed("score", "overall_trust_score")
 
 
 DETAIL_COLUMNS = ["address_city", "description", "capability", "procedure", "equipment", "capacity",

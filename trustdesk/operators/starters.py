@@ -84,8 +84,8 @@ def moderation_metrics(reviews: DataFrame, target, approved, score) -> DataFrame
         F.avg(score).alias("avg_score"))
 
 
-#: Vectors that are compared together, and parts that the stored ones are dealt into.
-BLOCK, PARTS = 1_000, 32
+#: Vectors that are compared together, and stored ones of a part; small tables are dealt into LEAST_PARTS.
+BLOCK, PART_ROWS, LEAST_PARTS = 1_000, 50_000, 32
 
 
 def query_vectors(df: DataFrame, id_col, vector):
@@ -93,6 +93,11 @@ def query_vectors(df: DataFrame, id_col, vector):
     return df.select(id_col, vector)
 
 
+def parts_for(rows: int) -> int:
+    """Parts that grow with the stored vectors, so that a task's share does not."""
+    return max(LEAST_PARTS, -(-rows // PART_ROWS))
+
+
 def vector_blocks(df: DataFrame, id_col, vector, size) -> DataFrame:
     """``block`` (a number), ``ids`` and ``units`` (bytes): at most ``size`` vectors a row, scaled to length one."""
     def pack(batches):
@@ -112,16 +117,17 @@ def cosine_topk(vectors: DataFrame, queries, k=5, id_col="vec_id", vector="embed
     """The ``k`` most similar stored vectors of each query vector.
 
     ``queries`` is a table of query ids and vectors, or a list of such pairs. Both sides are packed into blocks of at most
-    ``block`` vectors; stored blocks are dealt into PARTS parts and every query block goes to each part, so that a task
+    ``block`` vectors; stored blocks are dealt into parts of some PART_ROWS vectors and every query block goes to each part, so that a task
     holds a block of each side at a time. It keeps the best ``k`` per query of a block until the next query block comes;
     these meet by query id. A vector of length zero, or a missing one, is similar to nothing and has no row.
     """
     if not isinstance(queries, DataFrame):
         queries = vectors.sparkSession.createDataFrame(
             [(q, None if v is None else [float(x) for x in v]) for q, v in queries], "query_id long, vector array<double>")
-    asked = vector_blocks(queries, *queries.columns[:2], block).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    parts = parts_for(vectors.count())
+    asked = vector_blocks(queries, *queries.columns[:2], block).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     stored = vector_blocks(vectors, id_col, vector, block).select(
-        F.pmod(F.xxhash64("block"), F.lit(PARTS)).cast("int").alias("part"), F.col("ids").alias("match_ids"), F.col("units").alias("match_units"))
+        F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int").alias("part"), F.col("ids").alias("match_ids"), F.col("units").alias("match_units"))
     pairs = asked.hint("merge").join(stored, "part").select("part", "block", "ids", "units", "match_ids", "match_units")
 
     def best(batches):

@@ -578,6 +578,12 @@ oracle("search_filtered", f"""SELECT {FOUND} FROM fs JOIN gold ON unique_id = fa
 oracle("search_contradictions", f"""SELECT {FOUND}, {POINTS} AS completeness FROM fs JOIN gold ON unique_id = facility_id
   WHERE state = 'NATION_1' AND has_contradiction = 1 AND score < 0.4
   ORDER BY completeness DESC, facility_id LIMIT 25""", "fs", "gold")
+oracle("search_deep", f"SELECT {FOUND} FROM fs ORDER BY score DESC NULLS LAST, facility_id LIMIT 20 OFFSET 40", "fs")
+oracle("search_after", f"""SELECT {FOUND} FROM fs WHERE score IS NULL OR score < 0.6
+  OR score = 0.6 AND facility_id > '80000000-0000-0000-0000-000000000000'
+  ORDER BY score DESC NULLS LAST, facility_id LIMIT 25""", "fs")
+oracle("search_stored_order", """SELECT facility_id, facility_name, score AS overall_trust_score FROM fs
+  ORDER BY facility_name NULLS LAST, facility_id LIMIT 30 OFFSET (SELECT count(*) // 2 FROM fs)""", "fs")
 oracle("search_bound_sql", "SELECT unique_id, name FROM gold WHERE address_state_or_region = 'NATION_3'", "gold")
 SAMPLE_ID = "'c4ca4238-a0b9-2382-0dcc-509a6f75849b'"
 oracle("detail", f"""SELECT {FOUND}, address_city AS district, description, capability, procedure, equipment, capacity,
@@ -883,21 +889,15 @@ oracle("scd2", """SELECT user_id, event_id, CAST(ts AS VARCHAR) AS valid_from,
   FROM (SELECT * REPLACE (CASE WHEN event_id % 97 = 5 THEN NULL ELSE user_id END AS user_id,
     CASE WHEN event_id % 101 = 7 THEN NULL ELSE ts END AS ts) FROM history)
   WINDOW w AS (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id)""", "history")
-oracle("cosine_topk", """
-SELECT query_id, match_id, round(similarity, 5) AS similarity, CAST(rank AS INTEGER) AS rank FROM (
-  SELECT q.vec_id AS query_id, e.vec_id AS match_id,
-    round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) AS similarity,
-    row_number() OVER (PARTITION BY q.vec_id ORDER BY
-      round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) DESC, e.vec_id) AS rank
-  FROM (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) q, embeddings e)
-WHERE rank <= 5""")
-oracle("cosine_topk_by_id", """
+TOPK = """
 SELECT query_id, match_id, round(similarity, 5) AS similarity, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, match_id) AS rank FROM (
     SELECT q.vec_id AS query_id, e.vec_id AS match_id,
       round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) AS similarity
     FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0))
-WHERE rank <= 5""")
+WHERE rank <= 5"""
+oracle("cosine_topk", TOPK)
+oracle("cosine_topk_by_id", TOPK)
 oracle("chunk_paragraphs", """
 SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS chunk, unnest(parts) AS paragraph FROM (
   SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n+'), lambda p: trim(p)), lambda p: p <> '') AS parts
@@ -941,6 +941,7 @@ oracle("signals_append", """SELECT facility_id, dimension, CAST(i->>'trust_score
   WHERE dimension IN ('capability', 'equipment', 'procedure', 'completeness')""", "judged")
 oracle("errors_append", "SELECT facility_id, problem AS error_message FROM judged WHERE problem IS NOT NULL", "judged")
 oracle("publish_snapshot", "SELECT facility_id, quality_score FROM scores", "scores")
+oracle("publish_again", "SELECT facility_id, quality_score, true AS kept_old FROM scores WHERE quality_score >= 50", "scores")
 oracle("csv_scan", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 oracle("unit_forecast", """SELECT l_suppkey, round(sum(units * CASE CAST(floor(age / 30) AS INTEGER) WHEN 0 THEN 0.5 WHEN 1 THEN 0.3
     WHEN 2 THEN 0.2 ELSE 0 END), 6) AS forecast

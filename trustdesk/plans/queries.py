@@ -5,8 +5,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from trustdesk.operators import (
-    clean, curate, documented_checks as extra, enrich, quality, search as find, signals as sig, starters, trust,
-    workbench as desk,
+    clean, curate, documented_checks as extra, enrich, quality, ranking, search as find, signals as sig, starters, trust,
+    vector_index, workbench as desk,
 )
 from trustdesk.operators.outreach import contacts, outreach, outreach_draft, outreach_lists
 from trustdesk.operators.similarity import fuzzy_identity, fuzzy_nearby
@@ -206,6 +206,19 @@ add("search_filtered")(lambda d: find.search(
     columns=find.WIDER_SEARCH_COLUMNS))
 add("search_contradictions")(lambda d: find.search(
     d.gold, d.signals, d.quality_scores, state="NATION_1", contradictions_only=True, tier="low", sort="completeness"))
+add("search_deep")(lambda d: find.search(d.gold, d.signals, d.quality_scores, page=3, limit=20, shallow=10))
+SAMPLE_CURSOR = (0.6, "80000000-0000-0000-0000-000000000000")
+add("search_after")(lambda d: find.search_after(d.gold, d.signals, d.quality_scores, SAMPLE_CURSOR))
+
+
+@add("search_stored_order")
+def _(d):
+    """A page from the middle of the whole result, stored in order by name."""
+    rows, key = find.found_records(d.gold, d.signals, d.quality_scores, sort="name")
+    kept = ranking.store_in_order(rows.select("facility_id", "facility_name", "score"), key, folder(d, "found"), range_rows=100)
+    return kept.page(d.spark, kept.rows // 2, 30).withColumnRenamed("score", "overall_trust_score")
+
+
 add("search_bound_sql")(lambda d: (d.gold.createOrReplaceTempView("trustdesk_gold"), run_sql(
     d.spark, "SELECT unique_id, name FROM trustdesk_gold WHERE (:state = '' OR address_state_or_region = :state)",
     state="NATION_3"))[1])
@@ -303,18 +316,19 @@ add("scd2")(lambda d: starters.scd2(incomplete_history(d), ["user_id"], "ts", "e
 
 @add("cosine_topk")
 def _(d):
+    """Every vector whose id is divisible by 50 as query, compared with all vectors."""
     vectors = d.table("embeddings")
-    firsts = vectors.groupBy("label").agg(F.min("vec_id").alias("vec_id"), F.min_by("embedding", "vec_id").alias("embedding"))
-    found = starters.cosine_topk(vectors, starters.query_vectors(firsts, "vec_id", "embedding"))
+    found = starters.cosine_topk(vectors, starters.query_vectors(vectors.where("vec_id % 50 = 0"), "vec_id", "embedding"))
     return found.withColumn("similarity", F.round("similarity", 5))
 
 
 @add("cosine_topk_by_id")
 def _(d):
-    """Every vector whose id is divisible by 50 as query."""
+    """The same through the index."""
     vectors = d.table("embeddings")
-    found = starters.cosine_topk(vectors, starters.query_vectors(vectors.where("vec_id % 50 = 0"), "vec_id", "embedding"))
-    return found.withColumn("similarity", F.round("similarity", 5))
+    index = vector_index.build(vectors, folder(d, "vectors"))
+    found = vector_index.search(index, vectors.where("vec_id % 50 = 0"))
+    return found.drop("compared").withColumn("similarity", F.round("similarity", 5))
 
 
 add("chunk_paragraphs")(lambda d: starters.chunk_paragraphs(d.table("documents"), blank=r"\n+"))
@@ -419,7 +433,17 @@ def _(d):
     done = sinks.publish_snapshot(d.quality_scores, ["facility_id"], folder(d, "quality_scores"))
     if not done.ok:
         raise ValueError(done.error)
-    return d.spark.read.schema(d.quality_scores.schema).parquet(done.target).select("facility_id", "quality_score")
+    return sinks.read_snapshot(d.spark, done.target, d.quality_scores.schema).select("facility_id", "quality_score")
+
+
+@add("publish_again")
+def _(d):
+    """Two versions of a snapshot, then one whose keys repeat, which fails: readers keep the second."""
+    path, keys = folder(d, "served"), ["facility_id"]
+    sinks.publish_snapshot(d.quality_scores.where("quality_score < 50"), keys, path)
+    second = sinks.publish_snapshot(d.quality_scores.where("quality_score >= 50"), keys, path)
+    third = sinks.publish_snapshot(d.quality_scores.unionByName(d.quality_scores), keys, path)
+    return sinks.read_snapshot(d.spark, path).select("facility_id", "quality_score", F.lit(second.ok and not third.ok).alias("kept_old"))
 
 
 @add("csv_scan")
