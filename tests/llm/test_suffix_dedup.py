@@ -143,3 +143,55 @@ def test_query(spark, sf_dir, shared):
         mask = want[d]
         kept = np.frombuffer(t, np.uint8)[~mask].tobytes()
         assert tuple(got[d]) == (d, len(t), int(mask.sum()), len(spans_of(mask)), hashlib.sha256(kept).hexdigest())
+
+
+def gram_group(n, seed=2):
+    """Contexts of one gram, some with strings that repeat, in any order."""
+    rng = np.random.default_rng(seed)
+    before = 68
+    context = rng.integers(1, 5, (n, 168)).astype(np.uint8)
+    context[:, before:before + 32] = 7
+    again = rng.integers(0, n // 2, n // 3)
+    shift = rng.integers(0, before + 1, n // 3)
+    for row, (other, c) in enumerate(zip(again.tolist(), shift.tolist()), n - n // 3):
+        context[row, c:c + 100] = context[other, c:c + 100]
+    context[::11, :rng.integers(1, 60)] = 0
+    context[5::13, 110:] = 0
+    keys = np.stack((rng.permutation(n), np.zeros(n, np.int64)), 1)
+    return np.zeros(n, np.int64), context, keys, rng.integers(100, 1000, n)
+
+
+def test_large_groups_by_distance(monkeypatch):
+    made = gram_group(3000)
+    small = sd.equal_strings(*made, 100, 32)
+    monkeypatch.setattr(sd, "BATCH", 100)
+    large = sd.equal_strings(*made, 100, 32)
+    assert len(small[0]) > 500
+    assert all((np.concatenate([x[0], x[1][:, None], x[2][:, None]], 1) == np.concatenate([y[0], y[1][:, None], y[2][:, None]], 1)).all()
+               for x, y in [(small, large)])
+    monkeypatch.setattr(sd, "mixed", lambda x: x & np.uint64(0x3F))
+    odd = sd.equal_strings(*made, 100, 32)
+    assert (odd[0] == small[0]).all() and (odd[1] == small[1]).all() and (odd[2] == small[2]).all()
+
+
+def test_memory_of_one_gram_in_very_many_contexts():
+    import tracemalloc
+
+    made = gram_group(200_000)
+    tracemalloc.start()
+    found = sd.equal_strings(*made, 100, 32)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found[0]) > 40_000 and peak < 6 * made[1].nbytes
+
+
+def test_memory_of_surroundings():
+    import tracemalloc
+
+    text = bytes(range(97, 122)) * 20_000
+    places = np.arange(0, 400_000, 5)
+    tracemalloc.start()
+    got = sd.surroundings(text, places, 100, 32)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.shape == (80_000, 168) and peak < 2 * got.nbytes

@@ -239,7 +239,7 @@ def surroundings(text, places, length, gram):
     before = length - gram
     data = np.concatenate((np.zeros(before, np.uint8), np.frombuffer(text, np.uint8) + np.uint8(1),
                            np.zeros(length, np.uint8)))
-    return data[places[:, None] + np.arange(before + length)]
+    return np.lib.stride_tricks.sliding_window_view(data, before + length)[places]
 
 
 def prefix_lengths(rows):
@@ -409,10 +409,17 @@ def merge(runs):
 
 
 def equal_strings(group, context, keys, places, length, gram):
-    """Spans of strings around anchors of one group that also start earlier, one span an anchor."""
+    """Spans of strings around anchors of one group that also start earlier, one span an anchor.
+
+    Small groups are looked at over all distances from the anchor at once, large ones distance by distance.
+    """
     before = length - gram
     rank = np.lexsort((places, keys[:, 1], keys[:, 0]))
     group, context, keys, places = group[rank], context[rank], keys[rank], places[rank]
+    if len(context) > 2 * BATCH:
+        lowest, highest = by_distance(group, context, length, before)
+        hit = highest >= 0
+        return (keys[hit], places[hit] - before + lowest[hit], places[hit] - before + highest[hit] + length) if hit.any() else None
     up, down = powers(before + length)
     sums = np.concatenate((np.zeros((len(context), 1), np.uint64), np.cumsum(context.astype(np.uint64) * up, 1)), 1)
     begins = np.arange(before + 1)
@@ -456,35 +463,75 @@ def equal_strings(group, context, keys, places, length, gram):
     return keys[hit], places[hit] - before + lowest[hit], places[hit] - before + highest[hit] + length
 
 
+def by_distance(group, context, length, before):
+    """Lowest and highest distance at which a row has a string that an earlier row has; a few numbers a row are held."""
+    up, down = powers(before + length)
+    left, right = before - (context[:, :before] != 0).sum(1), before + (context[:, before:] != 0).sum(1)
+    lowest, highest = np.full(len(context), before + 1), np.full(len(context), -1)
+    total = np.zeros(len(context), np.uint64)
+    for k in range(length - 1):
+        total += context[:, k].astype(np.uint64) * up[k]
+    for c in range(before + 1):
+        total += context[:, c + length - 1].astype(np.uint64) * up[c + length - 1]
+        if c:
+            total -= context[:, c - 1].astype(np.uint64) * up[c - 1]
+        rows = np.flatnonzero((c >= left) & (c + length <= right))
+        value = mixed(mixed(total[rows] * down[c]) ^ mixed(group[rows].astype(np.uint64)))
+        order = np.argsort(value, kind="stable")
+        new = np.concatenate(([True], value[order][1:] != value[order][:-1])) if len(rows) else np.empty(0, bool)
+        later = rows[order[~new]]
+        first = rows[order[np.flatnonzero(new)[np.cumsum(new) - 1]]][~new] if len(rows) else later
+        good = group[later] == group[first]
+        for a in range(0, len(later), 1 << 16):
+            some = slice(a, a + (1 << 16))
+            good[some] &= (context[later[some], c:c + length] == context[first[some], c:c + length]).all(1)
+        hit = later[good]
+        if not good.all():  # two strings of one hash: settle all strings of such hashes by their bytes
+            odd, seen, more = np.isin(value, value[np.searchsorted(rows, later[~good])]), set(), []
+            hit = np.setdiff1d(hit, rows[odd])
+            for r in rows[odd].tolist():
+                string = int(group[r]), context[r, c:c + length].tobytes()
+                more += [r] if string in seen else []
+                seen.add(string)
+            hit = np.concatenate((hit, np.array(more, np.int64)))
+        lowest[hit] = np.minimum(lowest[hit], c)
+        highest[hit] = c
+    return lowest, highest
+
+
 def merge_runs(parts, length, gram):
     """Reduce side of steps 2 and 3."""
     before = length - gram
 
-    def settle(waiting):
-        group = np.array([w[0] for w in waiting])
+    def as_arrays(waiting):
         raw = b"".join(w[2].rjust(before, b"\0") + w[1].ljust(length, b"\0") for w in waiting)
-        context = np.frombuffer(raw, np.uint8).reshape(-1, before + length)
-        keys = np.array([w[3:5] for w in waiting], np.int64)
-        found = equal_strings(group, context, keys, np.array([w[5] for w in waiting], np.int64), length, gram)
+        return (np.array([w[0] for w in waiting], np.int64), np.frombuffer(raw, np.uint8).reshape(-1, before + length),
+                np.array([w[3:5] for w in waiting], np.int64).reshape(-1, 2), np.array([w[5] for w in waiting], np.int64))
+
+    def settle(waiting, packed):
+        found = equal_strings(*map(np.concatenate, zip(*packed, as_arrays(waiting), strict=True)), length, gram)
         if found:
             yield from by_document(*found)
 
     def merged(blobs):
-        waiting, group, alone, held = [], 0, True, None
+        waiting, packed, group, alone, held = [], [], 0, True, None
         for n, *rest in merge([read_run(b) for b in blobs]):
             if n < gram:
                 group, alone = group + 1, True
-                if len(waiting) >= BATCH:
-                    yield from settle(waiting)
-                    waiting = []
+                if packed or len(waiting) >= BATCH:
+                    yield from settle(waiting, packed)
+                    waiting, packed = [], []
             elif alone:
                 waiting.append((group, *held))
                 alone = False
             held = rest
             if not alone:
                 waiting.append((group, *rest))
-        if waiting:
-            yield from settle(waiting)
+                if len(waiting) >= 2 * BATCH:  # a large group waits as plain bytes
+                    packed.append(as_arrays(waiting))
+                    waiting = []
+        if waiting or packed:
+            yield from settle(waiting, packed)
 
     def run(batches):
         for part, blobs in ranges_of(batches):
