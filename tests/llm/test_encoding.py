@@ -70,7 +70,7 @@ def test_ranks_with_gaps_are_refused(ranks):
                                     np.cumsum(np.random.default_rng(1).integers(0, 5000, 3000)).tolist()])
 def test_elias_fano(values):
     ef = token_file.EliasFano.from_bytes(token_file.EliasFano.of(values).to_bytes())
-    assert ef.values().tolist() == values
+    assert list(ef.each()) == values
     assert [ef.select(i) for i in range(len(values))] == values
     if len(values) > 100:
         assert len(ef.to_bytes()) * 8 / len(values) < 3 + np.log2(values[-1] / len(values) + 1) + 2
@@ -113,6 +113,23 @@ def test_one_document_is_read_by_two_selects(spark, shared):
     assert shard.document(0).tolist() == [1, 2] and shard.document(1).tolist() == [7] and shard.doc_ids() == [4, 9]
 
 
+def test_words_of_plain_letters_encode_as_the_library_does():
+    """Every word of the vocabulary, random words, and words that end in each letter."""
+    import json
+
+    rng = np.random.default_rng(5)
+    tokenizer = Tokenizer.from_file(WORDS)
+    with open(WORDS) as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    letters = list("abcdefghijklmnopqrstuvwxyzßàâäçèéêëîïñôöùûüþ")
+    words = [w.removesuffix("</w>") for w in vocabulary if w.removesuffix("</w>").isascii() and w.removesuffix("</w>").isalpha()]
+    words += ["".join(rng.choice(letters, rng.integers(1, 14))) for _ in range(20000)]
+    words += [w + x for w in ("", "a", "stra", "é") for x in [*letters, "ÿ", "Z", "É", "S!"]]
+    got = token_file.encoder(WORDS)([w.encode() for w in words])
+    for w, g, e in zip(words, got, tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
+        assert np.frombuffer(g, "<u4").tolist() == e.ids, w
+
+
 def test_stretches_encode_as_whole_texts_do():
     rng = np.random.default_rng(11)
     bits = ["a", "B", "é", "É", "ß", "×", "÷", "ÿ", "'s", "'", "1", "٣", ".", ",", "!?", "-", " ", "  ", "\n", "́", " ", "\x1c",

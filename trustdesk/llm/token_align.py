@@ -20,6 +20,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from trustdesk.llm import hash_arrays
 from trustdesk.llm.common import lists, map_arrow, parts_of, stored, utf8
+from trustdesk.llm.token_file import byte_letters
 
 #: Different stretches and links that a task remembers; results do not depend on it.
 REMEMBERED, LINKS = 500_000, 1 << 22
@@ -123,13 +124,6 @@ def joined(chunks):
     return tuple(np.concatenate([c[k] for c in found]) if found else np.empty(0, np.int64) for k in range(3))
 
 
-def byte_letters() -> dict:
-    """The letter of each byte in byte-level vocabularies: printable ones stand for themselves, others follow U+0100."""
-    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
-
-
 class ByteLevel:
     """Byte-level BPE from a tokenizer file, without special tokens.
 

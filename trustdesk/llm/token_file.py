@@ -28,7 +28,7 @@ SAMPLE = 256
 #: Text bytes aimed at in a shard; a longer document still goes whole into one.
 SHARD_BYTES = 8 << 20
 #: Stretches that a task looks up when seen again; a full table starts anew, results do not depend on it.
-CACHE = 100_000
+CACHE = 500_000
 #: A word of Latin letters with common marks behind it: its letters may be lowered and encoded apart from the marks.
 PLAIN = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
 #: These tables, by tokenizer file; a Python worker keeps them from task to task.
@@ -88,14 +88,21 @@ class EliasFano:
                 return (at * 8 + bit - i) << self.low_bits | self._low(i)
         raise IndexError(i)
 
-    def values(self):
-        """All values at once."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:self.n]
-        out = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        if self.low_bits:
-            bits = np.unpackbits(self.low, bitorder="little")[:self.n * self.low_bits].reshape(self.n, -1)
-            out |= (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
-        return out
+    def each(self):
+        """All values in order, by selects from sample to sample; no more than SAMPLE of them are unpacked at a time."""
+        for first in range(0, self.n, SAMPLE):
+            k, last = first // SAMPLE, min(first + SAMPLE, self.n)
+            begin = int(self.at[k])
+            end = int(self.at[k + 1]) + 1 if k + 1 < len(self.at) else len(self.high)
+            skip = first - int(self.before[k])
+            ones = np.flatnonzero(np.unpackbits(self.high[begin:end], bitorder="little"))[skip:skip + last - first]
+            out = (ones + 8 * begin - np.arange(first, last)).astype(np.uint64) << np.uint64(self.low_bits)
+            if self.low_bits:
+                at = first * self.low_bits
+                bits = np.unpackbits(self.low[at >> 3:(last * self.low_bits + 7) >> 3], bitorder="little")[at & 7:]
+                low = bits[:(last - first) * self.low_bits].reshape(last - first, -1)
+                out |= (low.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
+            yield from out.tolist()
 
 
 def shard_bytes(doc_ids, arrays, width) -> bytes:
@@ -127,15 +134,64 @@ class Shard:
         return self.ids[self.ends.select(i - 1) if i else 0:self.ends.select(i)]
 
     def doc_ids(self):
-        return [None] * self.nulls + (self.names.values().astype(np.int64) + self.least).tolist()
+        return [None] * self.nulls + [n + self.least for n in self.names.each()]
+
+
+#: Letters that a word may end in, and the letter that marks each there: capitals, which lowered words do not have.
+LAST = {chr(c): chr(c - 0x20) for c in (*range(0x61, 0x7B), *range(0xE0, 0xF7), *range(0xF8, 0xFF))} | {"ß": "×"}
+WORD_END = "</w>"
+
+
+def ranked(path):
+    """A rank encoder for words of plain letters, one a line, and which ids end a word; None for other vocabularies.
+
+    The vocabulary has letters and letters at the end of a word. A last letter is marked by its capital, so that both are
+    plain bytes and merges are those of the file as long as ids follow the order of the merges.
+    """
+    import json
+
+    import tiktoken
+
+    with open(path) as f:
+        model = json.load(f)["model"]
+    letters, size = byte_letters(), len(model["vocab"])
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    if model.get("end_of_word_suffix") != WORD_END or [model["vocab"].get(a + b) for a, b in merges] != list(range(512, 512 + len(merges))):
+        return None
+    last = {ord(k): ord(v) for k, v in LAST.items() if k.isascii()} | {k.encode()[1]: v.encode()[1] for k, v in LAST.items() if not k.isascii()}
+    allowed = {*range(0x61, 0x7B), 0xC3, *range(0x9F, 0xC0)}
+    ranks, ends = {}, np.zeros(size, bool)
+    for token, i in model["vocab"].items():
+        body = token.removesuffix(WORD_END)
+        if not body or any(c not in letters for c in body):
+            continue
+        raw = bytes(letters[c] for c in body)
+        if token.endswith(WORD_END):
+            ends[i] = True
+            if raw[-1] not in last or not allowed.issuperset(raw[:-1]):
+                continue
+            raw = raw[:-1] + bytes([last[raw[-1]]])
+        elif not allowed.issuperset(raw):
+            continue
+        ranks[raw] = i
+    # bytes that words of plain letters never have are tokens only for the library's sake
+    ranks |= {bytes([b]): size + b for b in range(256) if bytes([b]) not in ranks}
+    return tiktoken.Encoding("words", pat_str=r"[^\n]+", mergeable_ranks=ranks, special_tokens={}), ends
+
+
+def byte_letters() -> dict:
+    """The byte of each letter of a byte-level vocabulary: printable ones stand for themselves, others follow U+0100."""
+    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
 def encoder(path):
-    """A function from texts to their ids as 32-bit bytes, by the tokenizers library.
+    """A function from texts to their ids as 32-bit bytes, as the tokenizers library gives them.
 
     The tokenizer of these files drops white space before its merges and composes no character across it, so a text
-    is encoded stretch by stretch between ASCII white space. Stretches, and lowered words of them, that were seen
-    before are looked up.
+    is encoded stretch by stretch between ASCII white space, and each different one once as long as it is remembered. Words of
+    plain letters are encoded by ranks, all new ones in one call, everything else by the library.
     """
     import os
 
@@ -143,28 +199,50 @@ def encoder(path):
     from tokenizers import Tokenizer
 
     if path not in TABLES:
-        TABLES[path] = {}, {}
-    seen, known = TABLES[path]
-    tokenizer = Tokenizer.from_file(path)
+        TABLES[path] = {}, {"": b""}, Tokenizer.from_file(path), ranked(path)
+    seen, known, tokenizer, by_rank = TABLES[path]
     plain = re.compile(PLAIN)
 
-    def cut(stretch):
-        word = stretch.rstrip(b".,;:!?")
-        if not word.isalpha() and not plain.fullmatch(word):
-            return stretch.decode("utf-8", "replace"), ""
-        return word.decode().lower(), stretch[len(word):].decode()
+    def library(new):
+        for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+            known[w] = array("I", e.ids).tobytes()
+
+    def words(new):
+        """Ids of words of plain letters that end in a letter of LAST."""
+        encoding, ends = by_rank
+        ids = np.array(encoding.encode_ordinary("\n".join([w[:-1] + LAST[w[-1]] for w in new])), np.uint32)
+        stops = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+        raw = ids.astype("<u4").tobytes()
+        return [raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+
+    def fill(new):
+        """Encode stretches that are not known yet."""
+        bare, marks, rest = [], [], []
+        for p in new:
+            word = p.rstrip(b".,;:!?")
+            if by_rank and (word.isalpha() or plain.fullmatch(word)):
+                lowered = word.decode().lower()
+                if lowered[-1] in LAST:
+                    bare.append((p, lowered))
+                    marks.append(p[len(word):].decode())
+                    continue
+            rest.append(p)
+        odd = [p.decode("utf-8", "replace") for p in rest]
+        library(list({w for w in (*marks, *odd) if w not in known}))
+        if bare:
+            for (p, _), ids, mark in zip(bare, words([w for _, w in bare]), marks, strict=True):
+                seen[p] = ids + known[mark]
+        for p, w in zip(rest, odd, strict=True):
+            seen[p] = known[w]
 
     def ids(texts):
         parts = [t.split() for t in texts]
-        for table, most in ((seen, CACHE), (known, 2 * CACHE)):
-            if len(table) > most:
-                table.clear()
-        made = {p: cut(p) for p in set().union(*parts).difference(seen)}
-        new = list({w for words in made.values() for w in words if w not in known})
-        for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[w] = array("I", e.ids).tobytes()
-        for p, (word, marks) in made.items():
-            seen[p] = known[word] + known[marks]
+        if len(seen) > CACHE:
+            seen.clear()
+        if len(known) > CACHE:
+            known.clear()
+            known[""] = b""
+        fill(list(set().union(*parts).difference(seen)))
         return [b"".join(map(seen.__getitem__, found)) for found in parts]
 
     return ids
@@ -188,8 +266,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id="doc_i
         for batch in parts_of(batches):
             encode = encode or encoder(tokenizer)
             texts = batch.column(1).to_pylist()
-            for begin in range(0, len(texts), 256):
-                part = texts[begin:begin + 256]
+            for begin in range(0, len(texts), 1024):
+                part = texts[begin:begin + 1024]
                 for k, raw in enumerate(encode(part)):
                     if size and size + len(part[k]) > shard:
                         yield one(ids, arrays)
@@ -242,13 +320,13 @@ def read(spark, path: str) -> DataFrame:
         for batch in batches:
             for data, base in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 s = Shard(data.as_py())
-                ends = s.ends.values().astype(np.int64)
-                begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-                ids = s.ids.astype("<u4")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(s.doc_ids(), pa.int64()), pa.array(begins + base),
-                     pa.array([ids[a:b].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary())],
-                    names=["doc_id", "start", "ids"])
+                begin, begins, arrays = 0, [], []
+                for end in s.ends.each():
+                    begins.append(begin + base)
+                    arrays.append(s.ids[begin:end].astype("<u4").tobytes())
+                    begin = end
+                yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids(), pa.int64()), pa.array(begins, pa.int64()),
+                                                  pa.array(arrays, pa.binary())], names=["doc_id", "start", "ids"])
 
     content = spark.read.format("binaryFile").load(path).select("path", "content")
     return content.join(starts, "path").select("content", "base").mapInArrow(
