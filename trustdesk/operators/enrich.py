@@ -70,38 +70,103 @@ def district_rank(records: DataFrame, indicators: DataFrame, burden="burden", di
     return with_rank(ranked, (burden, True), ("facilities", False))
 
 
+#: Edges that a band of a polygon should meet, and bands and columns of one polygon at most.
+BAND_EDGES, MOST_BANDS, MOST_COLUMNS = 64, 2048, 64
+
+
 def grid_cells(low, high, size):
     """Cell numbers a closed interval touches."""
     return F.sequence(F.floor(low / size), F.floor(high / size))
 
 
-def inside(ring, x, y):
-    """Even-odd test of a point against a ring of (x, y) corners."""
-    corners = F.size(ring)
-    crossings = F.transform(ring, lambda p, i: F.struct(
-        p.alias("a"), F.get(ring, (i + 1) % corners).alias("b")))
-
+def crossings(edges, x, y):
+    """How many edges a ray to the right of a point crosses."""
     def crosses(e):
-        a, b = e["a"], e["b"]
-        at = (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"]
-        return ((a["y"] > y) != (b["y"] > y)) & (x < at)
+        at = (e["bx"] - e["ax"]) * (y - e["ay"]) / (e["by"] - e["ay"]) + e["ax"]
+        return ((e["ay"] > y) != (e["by"] > y)) & (x < at)
+
+    return F.size(F.filter(edges, crosses))
 
-    return F.size(F.filter(crossings, crosses)) % 2 == 1
 
+def polygon_edges(polygons: DataFrame, rings: str) -> DataFrame:
+    """One row per edge of each ring; a polygon is named by a hash of its district and corners."""
+    ring = F.col("_ring")
+    shapes = polygons.select(F.xxhash64("district", rings).alias("polygon"), "district", F.col(rings).alias("rings")).dropDuplicates(["polygon"])
+    corners = shapes.select("polygon", "district", F.explode("rings").alias("_ring"))
+    after = F.transform(ring, lambda p, i: F.struct(p["x"].cast("double").alias("ax"), p["y"].cast("double").alias("ay"),
+                                                    F.get(ring, (i + 1) % F.size(ring))["x"].cast("double").alias("bx"),
+                                                    F.get(ring, (i + 1) % F.size(ring))["y"].cast("double").alias("by")))
+    return corners.select("polygon", "district", F.inline(after))
 
-def point_in_polygon(points: DataFrame, polygons: DataFrame, x="longitude", y="latitude", cell=1.0,
+
+def polygon_cells(edges: DataFrame):
+    """Frames of the polygons, and their cells: inner ones, where no edge passes, and border ones with the edges to test.
+
+    A polygon is cut into bands, more of them the more corners it has, and each band into columns. An edge meets the
+    bands between its ends and in each the columns that it passes, with one more on either side for the rounding of
+    numbers. All other cells of a band lie inside or outside as a whole, which a ray from their middle tells.
+    """
+    frames = edges.groupBy("polygon", "district").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ax").alias("x0"), F.max("ax").alias("x1"), F.min("ay").alias("y0"), F.max("ay").alias("y1"))
+    bands = F.least(F.lit(MOST_BANDS), F.greatest(F.lit(1), F.floor(F.col("n") / (BAND_EDGES / 4)))).cast("int")
+    frames = frames.withColumn("bands", bands).withColumn("columns", F.least("bands", F.lit(MOST_COLUMNS))).withColumns({
+        "height": F.greatest((F.col("y1") - F.col("y0")) / F.col("bands"), F.lit(1e-12)),
+        "width": F.greatest((F.col("x1") - F.col("x0")) / F.col("columns"), F.lit(1e-12))}).drop("n")
+
+    def band_of(y):
+        return F.floor((y - F.col("y0")) / F.col("height")).cast("int")
+
+    def column_of(x):
+        return F.floor((x - F.col("x0")) / F.col("width")).cast("int")
+
+    low, high = F.least("ay", "by"), F.greatest("ay", "by")
+    met = edges.join(frames.drop("district"), "polygon").withColumn("band", F.explode(F.sequence(band_of(low), band_of(high))))
+    # where the edge enters and leaves the band
+    bottom = F.greatest(low, F.col("y0") + F.col("band") * F.col("height"))
+    top = F.least(high, F.col("y0") + (F.col("band") + 1) * F.col("height"))
+
+    def at(y):
+        return F.when(F.col("ay") == F.col("by"), F.col("ax")).otherwise(
+            (F.col("bx") - F.col("ax")) * (y - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax"))
+
+    flat = F.col("ay") == F.col("by")
+    left = F.when(flat, F.least("ax", "bx")).otherwise(F.least(at(bottom), at(top)))
+    right = F.when(flat, F.greatest("ax", "bx")).otherwise(F.greatest(at(bottom), at(top)))
+    edge = F.struct("ax", "ay", "bx", "by")
+    rows = met.groupBy("polygon", "band").agg(
+        F.collect_list(edge).alias("edges"), F.array_distinct(F.flatten(F.collect_list(F.sequence(
+            column_of(left) - 1, column_of(right) + 1)))).alias("border"))
+    placed = rows.join(frames, "polygon").withColumn("column", F.explode(F.sequence(F.lit(0), F.col("columns"))))
+    is_border = F.array_contains("border", F.col("column"))
+    middle_x = F.col("x0") + (F.col("column") + 0.5) * F.col("width")
+    middle_y = F.col("y0") + (F.col("band") + 0.5) * F.col("height")
+    inner = ~is_border & (crossings(F.col("edges"), middle_x, middle_y) % 2 == 1)
+    kept = placed.withColumn("inner", inner).where(is_border | F.col("inner"))
+    own = F.when(~F.col("inner"), F.filter("edges", lambda e: F.greatest(e["ax"], e["bx"]) >= F.col("x0") + (F.col("column") - 1) * F.col("width")))
+    return frames, kept.select("polygon", "band", "column", "inner", own.alias("edges"))
+
+
+def point_in_polygon(points: DataFrame, polygons: DataFrame, x="longitude", y="latitude", cell=1.0, rings=None,
                      hot_rows=None) -> DataFrame:
     """Points with the polygon (``district``) they lie in; points outside all polygons are left out.
 
-    Points at the same coordinates are located once. Each polygon is listed under the grid cells its bounding
-    box touches and each coordinate falls in exactly one cell, so candidates meet by an equi-join on the cell.
+    A polygon is one ``ring`` or, under the column named by ``rings``, several: parts and holes, inside by the even-odd rule.
+    Points at the same coordinates are located once. They meet polygons whose box touches their coarse cell, rows of a
+    few numbers, and then one cell of the polygon's own grid: inner cells need no test, border cells test the edges of their
+    band. No row carries a whole ring.
     """
-    px, py = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    cells = (polygons.withColumn("cx", F.explode(grid_cells(F.array_min(px), F.array_max(px), cell)))
-             .withColumn("cy", F.explode(grid_cells(F.array_min(py), F.array_max(py), cell))))
+    shapes = polygons.withColumn("_rings", F.col(rings) if rings else F.array(F.col("ring")))
+    edges = polygon_edges(shapes, "_rings")
+    frames, cells = polygon_cells(edges)
+    boxes = (frames.withColumn("cx", F.explode(grid_cells(F.col("x0"), F.col("x1"), cell)))
+             .withColumn("cy", F.explode(grid_cells(F.col("y0"), F.col("y1"), cell))))
     spots = (points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
              .groupBy(x, y).agg(F.count(F.lit(1)).alias("n")))
     located = spots.select(x, y, F.floor(F.col(x) / cell).alias("cx"), F.floor(F.col(y) / cell).alias("cy"))
-    found = (salted_join(located, cells, ["cx", "cy"], spread_on=[x, y], hot_rows=hot_rows)
-             .where(inside(F.col("ring"), F.col(x), F.col(y))).select(x, y, "district"))
+    near = (salted_join(located, boxes, ["cx", "cy"], spread_on=[x, y], hot_rows=hot_rows)
+            .where(F.col(x).between(F.col("x0"), F.col("x1")) & F.col(y).between(F.col("y0"), F.col("y1")))
+            .select(x, y, "polygon", "district", F.floor((F.col(y) - F.col("y0")) / F.col("height")).cast("int").alias("band"),
+                    F.floor((F.col(x) - F.col("x0")) / F.col("width")).cast("int").alias("column")))
+    found = (salted_join(near, cells, ["polygon", "band", "column"], spread_on=[x, y], hot_rows=hot_rows)
+             .where(F.col("inner") | (crossings(F.col("edges"), F.col(x), F.col(y)) % 2 == 1)).select(x, y, "district"))
     return hot_split_join(points, found, [x, y], counts=spots, hot_rows=hot_rows)

@@ -578,6 +578,9 @@ oracle("search_filtered", f"""SELECT {FOUND} FROM fs JOIN gold ON unique_id = fa
 oracle("search_contradictions", f"""SELECT {FOUND}, {POINTS} AS completeness FROM fs JOIN gold ON unique_id = facility_id
   WHERE state = 'NATION_1' AND has_contradiction = 1 AND score < 0.4
   ORDER BY completeness DESC, facility_id LIMIT 25""", "fs", "gold")
+HAS = "(" + " OR ".join(f"lower({c}) LIKE '%l%side_c%'" for c in ("name", "description", "address_state_or_region", "capability")) + ")"
+oracle("search_indexed", f"""SELECT 'wild' AS term, unique_id, name FROM gold WHERE {HAS}
+  UNION ALL SELECT 'short', unique_id, name FROM gold WHERE lower(name) LIKE '%_9%'""", "gold")
 oracle("search_deep", f"SELECT {FOUND} FROM fs ORDER BY score DESC NULLS LAST, facility_id LIMIT 20 OFFSET 40", "fs")
 oracle("search_after", f"""SELECT {FOUND} FROM fs WHERE score IS NULL OR score < 0.6
   OR score = 0.6 AND facility_id > '80000000-0000-0000-0000-000000000000'
@@ -813,6 +816,7 @@ oracle("suggestions_apply", """SELECT facility_id, field_name, suggested_value A
 oracle("changed_ids", "SELECT DISTINCT facility_id FROM overrides WHERE updated_at > TIMESTAMP '2001-01-01'", "overrides")
 # recomputing the changed records from the full log gives the scores over the full log
 oracle("rescore", "SELECT * FROM fs", "fs")
+oracle("rescore_stored", "SELECT * FROM fs", "fs")
 oracle("score_overrides", f"""
 , fixes AS ({newest_actions("facility_id, dimension", f"(SELECT * FROM actions WHERE action_type = 'override' AND ({ACTION_ERROR}) IS NULL)")})
 SELECT s.facility_id, s.dimension, coalesce(f.override_score / 100, s.trust_score) AS trust_score,
@@ -879,6 +883,20 @@ hits AS (SELECT p.latitude, p.longitude, district FROM points p, edges
 SELECT unique_id, g.latitude, g.longitude, district FROM gold g JOIN hits h ON h.latitude = g.latitude AND h.longitude = g.longitude""",
        "gold")
 
+SCALED = [("0", "0", "1"), ("4", "1", "0.25"), ("4", "7", "0.125")]
+HOLED = " UNION ALL ".join(
+    "SELECT n_name AS district, " + ", ".join(
+        f"CAST({v.X0 if axis == 0 else v.Y0} + {v.CORNERS[(i + k) % len(v.CORNERS)][axis]} * {size} + {(dx, dy)[axis]} AS DOUBLE) AS {name}"
+        for k, axis, name in ((0, 0, "x1"), (0, 1, "y1"), (1, 0, "x2"), (1, 1, "y2"))) + " FROM nation"
+    for dx, dy, size in SCALED for i in range(len(v.CORNERS)))
+oracle("point_in_holes", f"""
+, edges AS ({HOLED}), points AS (SELECT DISTINCT latitude, longitude FROM gold),
+hits AS (SELECT p.latitude, p.longitude, district FROM points p, edges
+  WHERE (y1 > p.latitude) <> (y2 > p.latitude) AND p.longitude < (x2 - x1) * (p.latitude - y1) / (y2 - y1) + x1
+  GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1)
+SELECT unique_id, g.latitude, g.longitude, district FROM gold g JOIN hits h ON h.latitude = g.latitude AND h.longitude = g.longitude""",
+       "gold")
+
 # --- operators of the starter texts -------------------------------------------------------------------
 part("history", """SELECT user_id, ts, event_id, value, CASE event_type WHEN 'signup' THEN 'insert' WHEN 'error' THEN 'delete'
   ELSE 'update' END AS op FROM events""")

@@ -5,8 +5,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from trustdesk.operators import (
-    clean, curate, documented_checks as extra, enrich, quality, ranking, search as find, signals as sig, starters, trust,
-    vector_index, workbench as desk,
+    clean, curate, documented_checks as extra, enrich, quality, ranking, score_store, search as find, signals as sig,
+    starters, text_index, trust, vector_index, workbench as desk,
 )
 from trustdesk.operators.outreach import contacts, outreach, outreach_draft, outreach_lists
 from trustdesk.operators.similarity import fuzzy_identity, fuzzy_nearby
@@ -207,6 +207,17 @@ add("search_filtered")(lambda d: find.search(
 add("search_contradictions")(lambda d: find.search(
     d.gold, d.signals, d.quality_scores, state="NATION_1", contradictions_only=True, tier="low", sort="completeness"))
 add("search_deep")(lambda d: find.search(d.gold, d.signals, d.quality_scores, page=3, limit=20, shallow=10))
+
+
+@add("search_indexed")
+def _(d):
+    """Records that hold a term with wildcards, by the index of letter triples."""
+    index = text_index.build(d.gold, folder(d, "text_index"), find.WIDER_SEARCH_COLUMNS)
+    found = text_index.matching(d.gold, index, "l%side_c", find.WIDER_SEARCH_COLUMNS).withColumn("term", F.lit("wild"))
+    short = text_index.matching(d.gold, index, "_9", ["name"]).withColumn("term", F.lit("short"))
+    return found.unionByName(short).select("term", "unique_id", "name")
+
+
 SAMPLE_CURSOR = (0.6, "80000000-0000-0000-0000-000000000000")
 add("search_after")(lambda d: find.search_after(d.gold, d.signals, d.quality_scores, SAMPLE_CURSOR))
 
@@ -268,6 +279,17 @@ def _(d):
     return desk.rescore(previous, d.gold, desk.changed_since(d.overrides, "2001-01-01 00:00:00"), score)
 
 
+@add("rescore_stored")
+def _(d):
+    """The same in a table stored in buckets, of which the touched ones are rewritten."""
+    since, path = "2001-01-01 00:00:00", folder(d, "score_buckets")
+    score = lambda gold: trust.facility_scores(gold, d.signals, d.quality_scores)
+    previous = score(curate.to_gold(d.silver, d.overrides.where("updated_at <= '2001-01-01'")))
+    score_store.store(previous, path)
+    score_store.rescore(path, d.gold, desk.changed_since(d.overrides, since), score, previous.schema)
+    return score_store.read(d.spark, path, previous.schema)
+
+
 add("score_overrides")(lambda d: desk.apply_score_overrides(d.signals, d.actions).select(
     "facility_id", "dimension", "trust_score", "overridden", "confidence_tier", "evidence_text"))
 
@@ -292,6 +314,17 @@ add("district_rank")(lambda d: enrich.district_rank(d.gold, d.view("district_ind
 add("point_in_polygon")(lambda d: enrich.point_in_polygon(
     d.gold.select("unique_id", "latitude", "longitude"), d.view("polygons")))
 
+
+
+@add("point_in_holes")
+def _(d):
+    """Polygons of two parts and a hole."""
+    shapes = d.view("polygons").selectExpr("district", """array(ring,
+        transform(ring, p -> struct(ring[0].x + (p.x - ring[0].x) * 0.25D + 4D AS x, ring[0].y + (p.y - ring[0].y) * 0.25D + 1D AS y)),
+        transform(ring, p -> struct(ring[0].x + (p.x - ring[0].x) * 0.125D + 4D AS x, ring[0].y + (p.y - ring[0].y) * 0.125D + 7D AS y))) AS rings""")
+    return enrich.point_in_polygon(d.gold.select("unique_id", "latitude", "longitude"), shapes, rings="rings")
+
+
 # --- operators of the starter texts -------------------------------------------------------------------
 
 
