@@ -1,5 +1,7 @@
 """Helpers shared by the operators: Arrow maps that keep columns, shared storage, byte views of texts."""
 
+import ctypes
+import gc
 import uuid
 
 import numpy as np
@@ -31,6 +33,16 @@ def parts_of(batches):
             yield batch.slice(begin, rows)
 
 
+def give_back():
+    """Return the freed memory of a finished task to the machine: the worker process stays for the next one."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def map_arrow(df: DataFrame, inputs, outputs: StructType, start, keep=None) -> DataFrame:
     """Add ``outputs`` to the rows of ``df``, computed from the ``inputs`` columns batch by batch.
 
@@ -49,6 +61,8 @@ def map_arrow(df: DataFrame, inputs, outputs: StructType, start, keep=None) -> D
             step = step or start()
             made = step(*[part.column(i + 1) for i in range(n)])
             yield pa.RecordBatch.from_arrays([part.column(0), *made], names=names)
+        step = part = made = None
+        give_back()
 
     done = source.mapInArrow(run, schema)
     return done.select(*[F.col("row").getField(c).alias(c) for c in stay],

@@ -21,7 +21,7 @@ from trustdesk.llm.common import column, lists, map_arrow, utf8
 #: Character of byte b is chr(BASE + b): letters without case or width rules, none of them white space.
 BASE = 0x100
 #: Entries that a task keeps of each of its two caches; full caches start anew, results do not depend on it.
-CACHE = 100_000
+CACHE = 60_000
 #: White space beyond ASCII: texts that hold it are cut by the pattern alone.
 OTHER_SPACE = "[\x1c-\x1f\x85\xa0  -     　]"
 #: Field numbers and kinds of the public model format.
