@@ -180,6 +180,14 @@ def test_a_third_of_copies(spark):
     assert got[41]["near_next"] < 0.2                                       # two texts of words of their own
 
 
+def test_many_repeated_texts_are_joined(spark, monkeypatch):
+    texts = [f"word{i % 7} other{i % 5} more{i % 3}" for i in range(60)] + [f"word{i % 7} own{i}" for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for bound in (imatch.REPEATED, 0):
+        monkeypatch.setattr(imatch, "REPEATED", bound)
+        assert {r["term"] for r in imatch.lexicon(df, most=0.5).collect()} == brute_lexicon(texts, most=0.5)
+
+
 def test_sub_lexicons_overlap():
     rng = random.Random(1)
     terms = [rng.getrandbits(64) for _ in range(4000)]

@@ -12,13 +12,15 @@ import json
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from trustdesk.llm.common import column, kept_columns
+from trustdesk.llm.common import column, kept_columns, stored
 
 #: Band of the share of documents that hold a term. Its lower end bounds the lexicon: there are at most (distinct terms
 #: a document) / LEAST such terms, however many documents there are, so that all tasks can have it.
 LEAST, MOST = 0.005, 0.1
 #: Sub-lexicons, and those that a term is in: each is a random share of EACH / SUBSETS of the lexicon.
 SUBSETS, EACH = 128, 2
+#: Repeated texts whose hashes, 16 bytes each, may go to every task.
+REPEATED = 1 << 20
 #: Slots of the table that the lexicon is looked up in.
 SLOTS = 1 << 14
 #: Documents of one range of ids when each meets its next one, and ranges at most, which bounds what the driver holds.
@@ -40,9 +42,10 @@ def lexicon(docs: DataFrame, text="text", least=LEAST, most=MOST) -> DataFrame:
     Texts are told apart by a 64-bit hash.
     """
     rows = docs.select(column(text).alias("text"), F.xxhash64(column(text)).alias("same"))
-    copies = rows.groupBy("same").agg(F.count("*").alias("copies"))
-    total = copies.count()
-    again = copies.where(F.col("copies") > 1)
+    copies = stored(rows.groupBy("same").agg(F.count("*").alias("copies")), "copies")
+    total, again = copies.count(), copies.where(F.col("copies") > 1)
+    # a list of that size goes to every task, so that texts that occur once stay where they are; a longer one is joined
+    again = F.broadcast(again) if again.count() <= REPEATED else again
     repeated = rows.join(again, "same").dropDuplicates(["same"])
     counted = rows.select("text", F.lit(1).cast("long").alias("weight")).unionByName(
         repeated.select("text", (1 - F.col("copies")).alias("weight")))
