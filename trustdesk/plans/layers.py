@@ -35,8 +35,11 @@ def stored(df: DataFrame, path: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for tables that cut a plan: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    """Folder for tables that cut a plan: ``spark.checkpoint.dir``. A session on one machine may use the warehouse instead."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def state_of(spark: SparkSession, path: str) -> tuple:
@@ -49,13 +52,13 @@ def state_of(spark: SparkSession, path: str) -> tuple:
 _KEPT = {}
 
 
-def stored_path(spark: SparkSession, key, build, partition_by=()):
+def stored_path(spark: SparkSession, key, build, partition_by=(), now=None):
     """(path, schema) of the table for ``key``, (folder of inputs, name), written on first use in this application.
 
-    A table is written anew when the files of its inputs have changed.
+    A table is written anew when the files of its inputs have changed; ``now`` is their state if it is known already.
     """
     folder, name = key
-    now = state_of(spark, folder)
+    now = now or state_of(spark, folder)
     key = (spark.sparkContext.applicationId, folder, name)
     if key not in _KEPT or _KEPT[key][0] != now:
         df = build()
@@ -65,9 +68,9 @@ def stored_path(spark: SparkSession, key, build, partition_by=()):
     return _KEPT[key][1:]
 
 
-def stored_once(spark: SparkSession, key, build, partition_by=()) -> DataFrame:
+def stored_once(spark: SparkSession, key, build, partition_by=(), now=None) -> DataFrame:
     """The table for ``key``, read from its stored copy."""
-    path, schema = stored_path(spark, key, build, partition_by)
+    path, schema = stored_path(spark, key, build, partition_by, now)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -11,7 +11,7 @@ from trustdesk.operators import (
 from trustdesk.operators.outreach import contacts, outreach, outreach_draft, outreach_lists
 from trustdesk.operators.similarity import fuzzy_identity, fuzzy_nearby
 from trustdesk.plans.check_runs import run_checks
-from trustdesk.plans.layers import shared_folder, stored_once, stored_path
+from trustdesk.plans.layers import shared_folder, state_of, stored_once, stored_path
 from trustdesk.schemas import EXTRACTION_ERRORS, SOURCE_COLUMNS, TRUST_SIGNALS
 from trustdesk.sources import driver_views as views, sinks
 from trustdesk.sources.readers import read_csv, run_sql
@@ -28,7 +28,13 @@ class Data:
     """The views and layers one query needs, built lazily over one set of tables."""
 
     def __init__(self, spark, sf_dir):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self._state = spark, sf_dir, None
+
+    @property
+    def state(self):
+        """State of the input files, looked up once."""
+        self._state = self._state or state_of(self.spark, self.dir)
+        return self._state
 
     def table(self, name):
         return views.table(self.spark, self.dir, name)
@@ -38,7 +44,7 @@ class Data:
 
     def kept(self, name, build, partition_by=()):
         """A stored layer: written by the first query that needs it, read by the others."""
-        return stored_once(self.spark, (self.dir, name), build, partition_by)
+        return stored_once(self.spark, (self.dir, name), build, partition_by, self.state)
 
     source = property(lambda s: s.kept("source", lambda: s.view("source").drop("balance", "record_key")))
     signals = property(lambda s: s.kept("signals", lambda: s.view("signals"), ["dimension"]))
