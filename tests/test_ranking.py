@@ -127,9 +127,9 @@ def test_index_finds_what_comparing_all_finds_with_fewer_comparisons(spark, requ
 
 
 @pytest.mark.parametrize("cells", [1, 7, 500])
-def test_index_is_exact_whatever_the_centroids(spark, sf_dir, request, cells):
+def test_index_is_exact_whatever_the_centroids(spark, sf_dir, cells):
     df = Data(spark, sf_dir).table("embeddings")
-    index = vector_index.build(df, f"{shared_folder(spark)}/trustdesk-tests/{request.node.name}", cells=cells)
+    index = vector_index.build(df, f"{shared_folder(spark)}/trustdesk-tests/exact-{cells}", cells=cells)
     asked = df.where("vec_id % 10 = 0")
     want = starters.cosine_topk(df, starters.query_vectors(asked, "vec_id", "embedding"))
     columns = ["query_id", "match_id", "similarity", "rank"]
