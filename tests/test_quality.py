@@ -228,3 +228,29 @@ def test_row_rules_scan_once(spark, sf_dir):
 def test_year_rules_use_the_given_day(spark, sf_dir):
     checks = extra.field_conflicts(Data(spark, sf_dir).source, AS_OF)
     assert checks.where("check = 'year_in_future'").count() > 0
+
+
+def test_names_in_one_stretch_are_near_names(spark):
+    """Every name found by grouping is near, and most names of a list that differ in a number are found without pairs."""
+    rng = random.Random(11)
+    names = sorted({"".join(rng.choice("abc ") for _ in range(rng.randrange(1, 24))).strip() for _ in range(300)} - {""}
+                   | {f"lotus {kind} {n}" for kind in ("care clinic", "nursing home") for n in rng.sample(range(1, 977), 60)})
+    df = spark.createDataFrame([("p", n) for n in names], "place string, norm string")
+    for percent in (10, 15, 30):
+        near = {r.norm for r in near_names(df, 1 - percent / 100).collect()}
+        found = {r.norm for r in similarity.in_one_stretch(df, ["place"], percent).collect()}
+        assert found <= near
+        if percent == 15:
+            assert len([n for n in found if n.startswith("lotus")]) > 100
+
+
+def test_points_of_a_small_cell_are_near(spark):
+    rng = random.Random(12)
+    for km in (1.0, 50.0, 900.0, 9000.0):
+        spots = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(300)]
+        step = km / 111
+        spots = [(max(-90.0, min(90.0, a + rng.uniform(-step, step))), max(-180.0, min(180.0, b + rng.uniform(-step, step))))
+                 for a, b in spots + [(0.0, 0.0), (89.9, 5.0), (-89.9, 5.0)] for _ in range(4)]
+        df = spark.createDataFrame(spots, "lat double, lon double").withColumn("box", similarity.small_cell("lat", "lon", km))
+        far = df.alias("l").join(df.alias("r"), "box").where(similarity.distance_km("l.lat", "l.lon", "r.lat", "r.lon") > km)
+        assert far.isEmpty()

@@ -5,6 +5,10 @@ runs of Q letters, so that of two names E edits apart the rarest run that both h
 whatever the order of rarity, as long as both use the same. Pairs are therefore dealt by rare runs alone: a word that
 stands in every name deals none where names have rarer parts, and names without such parts are near each other, where a
 semi-join stops at the first.
+
+Before that, names that differ in one stretch only are found by grouping: what is left of a name without a stretch as long as its
+edits is a key, and two names with one key are near whatever they have in the stretch. Only names without such a partner look
+for one among the pairs.
 """
 
 import math
@@ -16,6 +20,8 @@ from trustdesk.functions.text import matching_key
 #: A run that more than one in RARE names holds is common; at most RARE times the runs of an average name are.
 RARE = 1_000
 EARTH_KM = 6371.0088
+#: Places of a name, less one, at which a stretch is left out.
+STRETCHES = 4
 
 
 def _percent(threshold: float) -> int:
@@ -69,14 +75,37 @@ def near_pair(percent: int) -> Column:
             & (F.col("l.norm") != F.col("r.norm")) & (F.call_function("levenshtein", "l.norm", "r.norm", edits) >= 0))
 
 
+def in_one_stretch(names: DataFrame, by, percent: int) -> DataFrame:
+    """Those of the distinct ``names`` (norm and other columns) that differ in one stretch from another name with equal ``by``.
+
+    A name of n letters and e edits keeps n - e letters, or one more, the first and the last ones around the stretch. Names that
+    keep the same letters around the same place differ by at most what the longer one left out, which are its edits or
+    less. Not all near names are found, but all found are near.
+    """
+    size = F.length("norm")
+    edits = _edits(size, percent)
+
+    def around(head, left_out):
+        return F.struct(head.alias("head"), F.concat(F.substring("norm", 1, head), F.substring(
+            F.col("norm"), head + left_out + 1, size - left_out - head)).alias("letters"))
+
+    keys = [around(F.floor((size - out) * i / STRETCHES).cast("int"), out) for out in (edits, edits - 1) for i in range(STRETCHES + 1)]
+    cut = names.where(edits > 0).select(*names.columns, F.explode(F.array_distinct(F.array(*keys))).alias("around"))
+    shared = cut.groupBy(*by, "around").agg(F.min("norm").alias("low"), F.max("norm").alias("high")).where(
+        F.col("low") != F.col("high")).select(*by, "around")
+    return cut.join(shared, [*by, "around"], "left_semi").select(*names.columns).distinct()
+
+
 def near_names(names: DataFrame, threshold=0.85) -> DataFrame:
     """Those of the distinct ``names`` (place, norm) that have a near but different name in their place."""
     percent = _percent(threshold)
+    sure = in_one_stretch(names, ["place"], percent).select("place", "norm")
     rare = rare_runs(names.select("norm").distinct().withColumn("size", F.length("norm")), percent)
     dealt = names.join(rare, "norm").select("place", "norm", "size", "run", "rank")
-    found = dealt.alias("l").join(dealt.alias("r"), (F.col("l.place") == F.col("r.place")) & (F.col("l.run") == F.col("r.run"))
-                                  & near_pair(percent), "left_semi")
-    return found.select("place", "norm").distinct()
+    open_names = names.join(sure, ["place", "norm"], "left_anti").join(rare, "norm")
+    found = open_names.alias("l").join(dealt.alias("r"), (F.col("l.place") == F.col("r.place")) & (F.col("l.run") == F.col("r.run"))
+                                       & near_pair(percent), "left_semi")
+    return sure.unionByName(found.select("place", "norm").distinct())
 
 
 def fuzzy_identity(df: DataFrame, threshold=0.85, name="name", place="address_state_or_region", id_col="unique_id") -> DataFrame:
@@ -127,6 +156,16 @@ def cell(lat, lon, km: float, steps=(0,)) -> Column:
     return F.array_distinct(F.array(*found))
 
 
+def small_cell(lat, lon, km: float) -> Column:
+    """A cell whose points all lie within ``km`` of each other: no way along its sides is longer, with room for rounding."""
+    height = _band_height(km) * 0.49
+    band = F.floor(F.col(lat) / height)
+    # a band is widest at its edge towards the equator
+    edge = F.least(F.lit(90.0), F.least(F.abs(band), F.abs(band + 1)) * height)
+    width = F.lit(height) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-9))
+    return F.struct(band.alias("band"), F.floor(F.col(lon) / width).alias("column"))
+
+
 def near_names_nearby(spots: DataFrame, km: float, threshold=0.85) -> DataFrame:
     """Those of the distinct ``spots`` (norm, lat, lon) that have a near but different name within ``km``.
 
@@ -134,14 +173,16 @@ def near_names_nearby(spots: DataFrame, km: float, threshold=0.85) -> DataFrame:
     spot lies in one cell and looks into the nine around it. Rows meet by cell and rare run.
     """
     percent = _percent(threshold)
+    columns = ["norm", "lat", "lon"]
+    sure = in_one_stretch(spots.select(*columns, small_cell("lat", "lon", km).alias("box")), ["box"], percent).select(*columns)
     rare = rare_runs(spots.select("norm").distinct().withColumn("size", F.length("norm")), percent)
-    dealt = spots.join(rare, "norm")
-    lies = dealt.withColumn("cell", F.explode(cell("lat", "lon", km)))
-    looks = dealt.withColumn("cell", F.explode(cell("lat", "lon", km, (-1, 0, 1))))
+    lies = spots.join(rare, "norm").withColumn("cell", F.explode(cell("lat", "lon", km)))
+    looks = spots.join(sure, columns, "left_anti").join(rare, "norm").withColumn(
+        "cell", F.explode(cell("lat", "lon", km, (-1, 0, 1))))
     close = distance_km("l.lat", "l.lon", "r.lat", "r.lon") <= km
     found = looks.alias("l").join(lies.alias("r"), (F.col("l.cell.band") == F.col("r.cell.band")) & (
         F.col("l.cell.column") == F.col("r.cell.column")) & (F.col("l.run") == F.col("r.run")) & close & near_pair(percent), "left_semi")
-    return found.select("norm", "lat", "lon").distinct()
+    return sure.unionByName(found.select(*columns).distinct())
 
 
 def fuzzy_nearby(df: DataFrame, km=25.0, threshold=0.85, name="name", lat="latitude", lon="longitude", id_col="unique_id") -> DataFrame:
