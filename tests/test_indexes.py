@@ -151,3 +151,23 @@ def test_a_country_of_very_many_corners(spark):
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "id int, longitude double, latitude double")
     got = sorted(r.id for r in enrich.point_in_polygon(df, table).collect())
     assert got == [i for i, (x, y) in enumerate(points) if even_odd([ring], x, y)]
+
+
+# the work of building ------------------------------------------------------------------------------------------------
+
+
+def test_triples_of_a_long_text_take_one_pass(spark):
+    """A text of very many letters: counting each triple's place from the start took minutes."""
+    text = "".join(random.Random(5).choice("abcdé日") for _ in range(400_000))
+    long = spark.createDataFrame([(text,), ("ab",), ("",), ("a\nb😀c",)], "t string")
+    got = [r[0] for r in long.select(text_index.triples_of(F.col("t"))).collect()]
+    assert set(got[0]) == {text[i:i + 3] for i in range(len(text) - 2)} and len(got[0]) == len(set(got[0]))
+    assert got[1:3] == [[], []] and {"a\nb", "\nb😀", "b😀c"} <= set(got[3])
+
+
+def test_postings_are_narrow(spark, folder):
+    """A posting leads back by a hash; ids and field names are not repeated for every triple."""
+    df = spark.createDataFrame([("id1", "care home"), ("id2", "day care")], "unique_id string, name string")
+    index = text_index.build(df, folder, ["name"])
+    assert "id" not in index.postings().columns and dict(index.postings().dtypes)["at"] == "int"
+    assert rows(text_index.matching_ids(index, "e ho", ["name"])) == [("id1",)]

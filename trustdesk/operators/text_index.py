@@ -1,8 +1,9 @@
 """Substring search through an index of letter triples.
 
 Each text field of a record is stored lower-cased, and each different triple of its letters is a posting that leads back
-to the record and field. A pattern's literal parts have triples too: a field that matches has all of them, so that
-postings of those triples give the candidates and the stored fields of the candidates alone are compared with the pattern.
+to the record and field by a short hash of both, which may lead to others as well. A pattern's literal parts have triples
+too: a field that matches has all of them, so that postings of those triples give the candidates and the stored fields of
+the candidates alone are compared with the pattern.
 Postings are dealt into slots by triple and sorted, so that a search reads the row groups of its triples. A pattern
 without a part of three letters is compared with all stored fields, still without the records themselves.
 """
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from trustdesk.functions.text import contains_pattern
 
 TRIPLE, SLOTS = 3, 64
-POSTINGS = "triple string, field string, id string, slot int"
+POSTINGS = "triple string, at int, slot int"
 FIELDS = "field string, id string, text string, part int"
 
 
@@ -37,9 +38,13 @@ def slot_of(c):
 
 
 def triples_of(text):
-    """Different triples of a text; none where it is shorter."""
-    starts = F.when(F.length(text) >= TRIPLE, F.sequence(F.lit(1), F.length(text) - (TRIPLE - 1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, TRIPLE)))
+    """Different triples of a text, found in one pass over it; none where it is shorter."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{TRIPLE}}}))"), F.lit(1)))
+
+
+def _at():
+    """Where a posting leads: a hash of the field and the id. Another one with the same hash is one more candidate."""
+    return F.hash("field", "id")
 
 
 def build(records: DataFrame, path: str, columns, id_col="unique_id") -> TextIndex:
@@ -54,9 +59,9 @@ def build(records: DataFrame, path: str, columns, id_col="unique_id") -> TextInd
     (rows.select("field", "id", "text", part).repartition("part").sortWithinPartitions("part", "field", "id")
      .write.mode("overwrite").partitionBy("part").parquet(f"{path}/fields"))
     stored = TextIndex(records.sparkSession, path).fields()
-    postings = stored.select(F.explode(triples_of(F.col("text"))).alias("triple"), "field", "id").withColumn("slot", slot_of("triple"))
-    (postings.repartition("slot", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("slot", "triple", "field", "id")
-     .write.mode("overwrite").partitionBy("slot").parquet(f"{path}/postings"))
+    postings = stored.select(_at().alias("at"), F.explode(triples_of(F.col("text"))).alias("triple"))
+    (postings.repartition(slot_of("triple"), F.pmod("at", F.lit(8))).select("triple", "at", slot_of("triple").alias("slot"))
+     .sortWithinPartitions("slot", "triple", "at").write.mode("overwrite").partitionBy("slot").parquet(f"{path}/postings"))
     return TextIndex(records.sparkSession, path)
 
 
@@ -72,10 +77,9 @@ def matching_ids(index: TextIndex, term: str, columns) -> DataFrame:
     fields = index.fields().where(F.col("field").isin(*columns))
     if triples:
         slots = [r[0] for r in index.spark.createDataFrame([(t,) for t in triples], "t string").select(slot_of("t")).distinct().collect()]
-        held = index.postings().where(F.col("slot").isin(*slots) & F.col("triple").isin(*triples) & F.col("field").isin(*columns))
-        all_of = held.groupBy("field", "id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(triples)).select(
-            "field", "id", slot_of("id").alias("part"))
-        fields = fields.join(all_of, ["part", "field", "id"], "left_semi")
+        held = index.postings().where(F.col("slot").isin(*slots) & F.col("triple").isin(*triples))
+        all_of = held.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= len(triples)).select("at")
+        fields = fields.withColumn("at", _at()).join(all_of, "at", "left_semi")
     return fields.where(F.col("text").like(contains_pattern(term))).select("id").distinct()
 
 
