@@ -199,3 +199,17 @@ def test_validity_ranges_cross_buckets(spark):
     ends = {r.n: (str(r.valid_to) if r.valid_to else None, r.is_current) for r in starters.scd2(lost, ["k"], "ts", "n").collect()}
     assert ends == {1: ("2024-01-01 10:00:00", False), 2: (None, True), 3: (None, True)}
     assert got == {1: ("2024-01-01 11:00:00", False), 2: ("2024-01-05 09:00:00", False), 3: (None, True), 4: (None, True)}
+
+
+def test_appended_signals_are_dealt_by_size(spark, tmp_path):
+    """One stored file of many answers is not sorted by one task."""
+    path = str(tmp_path / "signals")
+    rows = spark.range(0, 100_000, 1, 1).selectExpr(
+        "'f' || id AS facility_id", "CASE WHEN id % 2 = 0 THEN 'capability' ELSE 'equipment' END AS dimension", "md5(CAST(id AS STRING)) AS evidence_text")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        assert sinks.append_signals(rows, path) == {"written": 100_000, "dropped": 0}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    stored = spark.read.schema(TRUST_SIGNALS).parquet(path)
+    assert len(stored.inputFiles()) > 4 and stored.select("facility_id").distinct().count() == 100_000
