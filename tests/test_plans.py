@@ -213,3 +213,7 @@ def test_appended_signals_are_dealt_by_size(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     stored = spark.read.schema(TRUST_SIGNALS).parquet(path)
     assert len(stored.inputFiles()) > 4 and stored.select("facility_id").distinct().count() == 100_000
+
+
+def test_answers_are_stored_for_all_cores(spark, sf_dir):
+    assert len(Data(spark, sf_dir).responses.inputFiles()) >= spark.sparkContext.defaultParallelism

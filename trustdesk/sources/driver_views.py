@@ -230,6 +230,8 @@ RESPONSE_EXPRESSIONS = {
 
 def responses(spark, sf_dir) -> DataFrame:
     df = source(spark, sf_dir).withColumnRenamed("record_key", "k").where(SIGNALS_FROM)
+    # answers are long to write and to parse but small as stored: sizes alone would leave them to very few tasks
+    df = df.repartition(spark.sparkContext.defaultParallelism * 4, "k")
     return _project(df, RESPONSE_EXPRESSIONS).selectExpr(
         "*", "CAST(NULL AS STRING) AS error_message", "TIMESTAMP '2024-02-01 00:00:00' AS responded_at")
 
