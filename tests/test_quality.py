@@ -219,6 +219,34 @@ def test_scores_read_only_needed_columns(spark, sf_dir):
     assert "evidence_text" not in plan.split("== Physical Plan ==")[1].split("ReadSchema")[1]
 
 
+def plan_by_shuffle(spark, build):
+    """Physical plan of ``build()`` without broadcasts, as for tables of any size."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return build()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_scores_move_no_text(spark, sf_dir):
+    from trustdesk.operators import trust
+    d = Data(spark, sf_dir)
+    plan = plan_by_shuffle(spark, lambda: trust.facility_scores(d.gold, d.signals, d.quality_scores))
+    assert plan.index("isnull(description") > plan.index("Exchange")  # below it: texts are not shuffled
+
+
+def test_empty_fields_are_counted_once_per_record(spark):
+    from trustdesk.operators import trust
+    fields = ", ".join(f"{c} string" for c in ("unique_id", "name", "address_state_or_region", "facility_type_id", *trust.CHECKED_FIELDS))
+    gold = spark.createDataFrame([("a", "A", None, None, *["x"] * 7), ("b", "B", None, None, *[None] * 7), (None, "C", None, None, *["x"] * 7)], fields)
+    signals = spark.createDataFrame([(i, 0.5, False, str(n)) for i in "ab" for n in range(3)],
+                                    "facility_id string, trust_score double, contradiction boolean, dimension string")
+    scores = spark.createDataFrame([("a", 60)], "facility_id string, quality_score int")
+    found = {r.facility_name: r.score for r in trust.facility_scores(gold, signals, scores).collect()}
+    assert found == {"A": 0.4, "B": 0.29, "C": None}
+
+
 def test_row_rules_scan_once(spark, sf_dir):
     d = Data(spark, sf_dir)
     plan = quality.row_checks(d.source, quality.missing_rules())._jdf.queryExecution().executedPlan().toString()

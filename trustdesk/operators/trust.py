@@ -30,16 +30,18 @@ def facility_scores(gold: DataFrame, signals: DataFrame, scores: DataFrame, keep
 
     The mean signal score loses points for few signals, empty fields and low record quality and is capped.
     Records that passed every quality check have no quality row and count as 100. ``digits`` rounds away
-    floating-point noise of the mean, which depends on the order rows are added up in.
+    floating-point noise of the mean, which depends on the order rows are added up in. Empty fields are counted before
+    the joins, so that no text is carried through them.
     """
     empty = reduce(lambda a, b: a + b, (F.when(F.col(c).isNull(), 1).otherwise(0) for c in CHECKED_FIELDS))
     scored = F.coalesce("_scored", F.lit(0))
     blended = (F.col("_mean") - F.greatest(F.lit(0), 3 - scored) * FEW_SIGNALS_PENALTY
-               - empty * MISSING_FIELD_PENALTY
+               - F.col("_empty") * MISSING_FIELD_PENALTY
                - (100 - F.coalesce("quality_score", F.lit(100))) / QUALITY_DIVISOR)
     inside = F.least(F.greatest(F.lit(0.0), F.least(F.lit(1.0), blended)), F.lit(HIGHEST_SCORE))
-    return (gold.withColumnRenamed("unique_id", "facility_id")
-            .join(signal_summary(signals), "facility_id", "left")
+    records = gold.select(F.col("unique_id").alias("facility_id"), "name", "address_state_or_region", "facility_type_id",
+                          empty.alias("_empty"), *keep)
+    return (records.join(signal_summary(signals), "facility_id", "left")
             .join(scores.select("facility_id", "quality_score"), "facility_id", "left")
             .select("facility_id", F.col("name").alias("facility_name"),
                     F.col("address_state_or_region").alias("state"), F.col("facility_type_id").alias("facility_type"),
