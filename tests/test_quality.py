@@ -247,6 +247,19 @@ def test_empty_fields_are_counted_once_per_record(spark):
     assert found == {"A": 0.4, "B": 0.29, "C": None}
 
 
+def test_texts_of_records_are_joined_unsorted(spark, sf_dir):
+    from trustdesk.sources import driver_views
+    plan = plan_by_shuffle(spark, lambda: driver_views.source(spark, sf_dir).select("record_key", "description"))
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert "ShuffledHashJoin" in joins[0] and "BuildLeft" in joins[0]
+
+
+def test_signals_move_no_more_text_than_they_quote(spark, sf_dir):
+    from trustdesk.sources import driver_views
+    plan = plan_by_shuffle(spark, lambda: driver_views.signals(spark, sf_dir))
+    assert "substr(text#" in plan[plan.index("Exchange"):]
+
+
 def test_row_rules_scan_once(spark, sf_dir):
     d = Data(spark, sf_dir)
     plan = quality.row_checks(d.source, quality.missing_rules())._jdf.queryExecution().executedPlan().toString()

@@ -139,28 +139,31 @@ SOURCE_EXPRESSIONS = {
 }
 
 
-def _entities(spark, sf_dir):
+def _entities(spark, sf_dir, doc_text="text"):
     customer = table(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS k", "c_nationkey AS nation_key", "c_mktsegment AS segment", "c_acctbal AS balance")
     nation = table(spark, sf_dir, "nation").selectExpr(
         "n_nationkey AS nation_key", "n_name AS state_name", "n_regionkey AS region_key")
     region = table(spark, sf_dir, "region").selectExpr("r_regionkey AS region_key", "r_name AS region_name")
-    documents = table(spark, sf_dir, "documents").selectExpr("doc_id AS k", "text AS doc_text")
-    return (customer.join(nation, "nation_key").join(region, "region_key").join(documents, "k", "left"))
+    documents = table(spark, sf_dir, "documents").selectExpr("doc_id AS k", f"{doc_text} AS doc_text")
+    people = customer.join(nation, "nation_key").join(region, "region_key")
+    # the short rows are looked up by hash, so that texts pass by unsorted
+    return people.hint("shuffle_hash").join(documents, "k", "left")
 
 
 def _project(df, expressions):
     return df.selectExpr(*(f"{e} AS {name}" for name, e in expressions.items()))
 
 
-def source(spark, sf_dir) -> DataFrame:
-    return _project(_entities(spark, sf_dir), SOURCE_EXPRESSIONS)
+def source(spark, sf_dir, doc_text="text") -> DataFrame:
+    return _project(_entities(spark, sf_dir, doc_text), SOURCE_EXPRESSIONS)
 
 
 # --- one row per (record, dimension): signal columns over source columns plus d and dim ------------
 N = "((k * 7 + d * 13) % 101)"
 SCORED = "(d < 3 AND (k + d) % 9 <> 0)"
 CONTRADICTS = "((k + d) % 17 = 0)"
+QUOTED = 12  # characters that a signal takes of a description
 FIELD_TEXT = "CASE d WHEN 0 THEN capability WHEN 1 THEN equipment WHEN 2 THEN procedure END"
 SIGNAL_EXPRESSIONS = {
     "facility_id": "trim(unique_id)",
@@ -173,7 +176,7 @@ SIGNAL_EXPRESSIONS = {
     "source_field": "CASE WHEN d < 3 THEN dim WHEN k % 2 = 0 THEN 'capacity' WHEN k % 7 = 1 THEN 'year_established' END",
     "contradiction": CONTRADICTS,
     "contradiction_detail": f"CASE WHEN NOT {CONTRADICTS} OR k % 3 = 0 THEN NULL WHEN k % 3 = 1 THEN "
-                            "'Says \"' || substr(description, 1, 12) || '\" elsewhere' "
+                            f"'Says \"' || substr(description, 1, {QUOTED}) || '\" elsewhere' "
                             "ELSE 'No ''beds'' listed although inpatients are claimed' END",
     "extraction_model": "'rules'",
     "extracted_day": "k % 28",
@@ -184,7 +187,9 @@ DIMENSION_ROWS = [(0, "capability"), (1, "equipment"), (2, "procedure"), (3, "co
 
 
 def signals(spark, sf_dir) -> DataFrame:
-    per_dimension = source(spark, sf_dir).withColumnRenamed("record_key", "k").where(SIGNALS_FROM).selectExpr(
+    # no more of a document than a signal quotes moves to its record
+    quoted = source(spark, sf_dir, f"substr(text, 1, {QUOTED})")
+    per_dimension = quoted.withColumnRenamed("record_key", "k").where(SIGNALS_FROM).selectExpr(
         "*", "inline(array(" + ", ".join(f"struct({d} AS d, '{dim}' AS dim)" for d, dim in DIMENSION_ROWS) + "))")
     return _project(per_dimension, SIGNAL_EXPRESSIONS).selectExpr(
         "* except (extracted_day)",
