@@ -1,11 +1,13 @@
 import math
 import random
 import re
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trustdesk.operators import enrich, score_store, search, text_index
+from trustdesk.operators import enrich, score_store, search, text_index, vector_index
 from trustdesk.plans.layers import shared_folder
 from trustdesk.plans.queries import Data
 
@@ -171,3 +173,26 @@ def test_postings_are_narrow(spark, folder):
     index = text_index.build(df, folder, ["name"])
     assert "id" not in index.postings().columns and dict(index.postings().dtypes)["at"] == "int"
     assert rows(text_index.matching_ids(index, "e ho", ["name"])) == [("id1",)]
+
+
+def test_memory_of_a_batch_does_not_follow_the_cells():
+    rng = np.random.default_rng(5)
+    units, centroids = (vector_index.unit_rows(rng.normal(size=(n, 16))) for n in (6000, 1024))
+    tracemalloc.start()
+    cell, angle = vector_index.nearest_cells(units, centroids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16e6  # 6000 x 1024 angles are 49 MB
+    away = vector_index.angles(units, centroids)
+    assert (cell == away.argmin(axis=1)).all() and np.allclose(angle, away.min(axis=1))
+
+
+def test_more_queries_than_a_step_find_what_brute_force_finds(spark, folder):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1300, 4))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    index = vector_index.build(df, folder)
+    got = {(r.query_id, r["rank"]): r.similarity for r in vector_index.search(index, df, k=3).collect()}
+    units = vector_index.unit_rows(x)
+    want = -np.sort(-np.round(units @ units.T, vector_index.DIGITS), axis=1)[:, :3]
+    assert len(got) == want.size and all(abs(got[i, k + 1] - want[i, k]) < 1e-8 for i in range(len(x)) for k in range(3))

@@ -18,6 +18,8 @@ SAMPLE, CELLS = 1 << 16, 1 << 10
 #: Vectors of a block, and of a share of a cell that one task files.
 BLOCK, SHARE = 256, 1 << 18
 ROUNDS = 10
+#: Vectors that are compared with all centroids, or with a block, at once.
+STEP = 512
 #: Similarities are rounded to DIGITS; bounds leave room for that and for the rounding of angles.
 DIGITS, SLACK = 9, 1e-7
 FILED = "cell int, low double, high double, ids binary, units binary"
@@ -63,6 +65,20 @@ def angles(units, centroids):
     return np.arccos(np.clip(units @ centroids.T, -1.0, 1.0))
 
 
+def steps(n: int) -> list:
+    return [slice(i, i + STEP) for i in range(0, n, STEP)]
+
+
+def nearest_cells(units, centroids):
+    """Number of the nearest centroid of each vector and the angle to it, step by step: memory does not follow the cells."""
+    cell, angle = np.empty(len(units), "int64"), np.empty(len(units))
+    for at in steps(len(units)):
+        away = angles(units[at], centroids)
+        cell[at] = away.argmin(axis=1)
+        angle[at] = np.take_along_axis(away, cell[at, None], axis=1)[:, 0]
+    return cell, angle
+
+
 def build(vectors: DataFrame, path: str, id_col="vec_id", vector="embedding", cells=None) -> VectorIndex:
     """File all ``vectors`` under ``path``. Vectors that are missing or of length zero are similar to nothing and left out.
 
@@ -82,10 +98,8 @@ def build(vectors: DataFrame, path: str, id_col="vec_id", vector="embedding", ce
             batch = batch[batch["vector"].map(usable)]
             if len(batch) and len(sent.value):
                 units = unit_rows(batch["vector"])
-                away = angles(units, sent.value)
-                cell = away.argmin(axis=1)
-                yield pd.DataFrame({"cell": cell.astype("int32"), "angle": away[np.arange(len(cell)), cell],
-                                    "id": batch["id"].to_numpy(), "unit": [u.tobytes() for u in units]})
+                cell, angle = nearest_cells(units, sent.value)
+                yield pd.DataFrame({"cell": cell.astype("int32"), "angle": angle, "id": batch["id"].to_numpy(), "unit": [u.tobytes() for u in units]})
 
     def file(batches):
         held, now = [], None
@@ -131,19 +145,21 @@ def asked(index: VectorIndex, queries: DataFrame, id_col, vector, reached: DataF
             if not len(batch) or not len(centroids):
                 continue
             units, ids, least = unit_rows(batch["vector"]), batch["query_id"].to_numpy("int64"), batch["least"].to_numpy("float64")
-            away = angles(units, centroids)
+            inside = np.zeros((len(ids), len(centroids)), bool)
             if first:
-                inside = np.zeros(away.shape, bool)
                 filled = np.array(sorted(ring.value))
-                inside[np.arange(len(ids)), filled[away[:, filled].argmin(axis=1)] if len(filled) else 0] = True
+                inside[np.arange(len(ids)), filled[nearest_cells(units, centroids[filled])[0]] if len(filled) else 0] = True
             else:
                 low, high = (np.array([ring.value.get(c, (9.0, -9.0))[i] for c in range(len(centroids))]) for i in (0, 1))
-                gap = np.maximum(0, np.maximum(away - high, low - away))
-                inside = (np.cos(np.minimum(gap, np.pi)) + SLACK >= least[:, None]) & (high >= 0)
+                for at in steps(len(ids)):
+                    away = angles(units[at], centroids)
+                    gap = np.maximum(0, np.maximum(away - high, low - away))
+                    inside[at] = (np.cos(np.minimum(gap, np.pi)) + SLACK >= least[at, None]) & (high >= 0)
             for cell in np.flatnonzero(inside.any(axis=0)):
                 at = np.flatnonzero(inside[:, cell])
+                away = angles(units[at], centroids[[cell]])[:, 0]
                 yield pd.DataFrame({"cell": np.array([cell], "int32"), "query_ids": [ids[at].tobytes()], "query_units": [units[at].tobytes()],
-                                    "query_angles": [away[at, cell].tobytes()], "query_least": [least[at].tobytes()]})
+                                    "query_angles": [away.tobytes()], "query_least": [least[at].tobytes()]})
 
     return rows.mapInPandas(look, "cell int, query_ids binary, query_units binary, query_angles binary, query_least binary")
 
@@ -157,17 +173,16 @@ def compare(index: VectorIndex, looks: DataFrame, k: int) -> DataFrame:
                 units, least = np.frombuffer(row.query_units).reshape(len(ids), -1), np.frombuffer(row.query_least)
                 gap = np.maximum(0, np.maximum(away - row.high, row.low - away))
                 at = np.flatnonzero(np.cos(np.minimum(gap, np.pi)) + SLACK >= least)
-                if not len(at):
-                    continue
-                found = np.frombuffer(row.ids, "int64")
-                similar = np.round(units[at] @ np.frombuffer(row.units).reshape(len(found), -1).T, DIGITS)
-                matches = np.broadcast_to(found, similar.shape)
-                order = np.lexsort((matches, -similar), axis=1)[:, :k]
-                n = order.shape[1]
-                compared = np.zeros((len(at), n), "int64")
-                compared[:, 0] = len(found)
-                yield pd.DataFrame({"query_id": np.repeat(ids[at], n), "match_id": np.take_along_axis(matches, order, axis=1).ravel(),
-                                    "similarity": np.take_along_axis(similar, order, axis=1).ravel(), "compared": compared.ravel()})
+                found, block = np.frombuffer(row.ids, "int64"), np.frombuffer(row.units).reshape(len(row.ids) // 8, -1).T
+                for some in (at[part] for part in steps(len(at))):
+                    similar = np.round(units[some] @ block, DIGITS)
+                    matches = np.broadcast_to(found, similar.shape)
+                    order = np.lexsort((matches, -similar), axis=1)[:, :k]
+                    n = order.shape[1]
+                    compared = np.zeros((len(some), n), "int64")
+                    compared[:, 0] = len(found)
+                    yield pd.DataFrame({"query_id": np.repeat(ids[some], n), "match_id": np.take_along_axis(matches, order, axis=1).ravel(),
+                                        "similarity": np.take_along_axis(similar, order, axis=1).ravel(), "compared": compared.ravel()})
 
     pairs = looks.join(index.blocks(), "cell").select(
         "query_ids", "query_units", "query_angles", "query_least", "ids", "units", "low", "high")
