@@ -139,3 +139,29 @@ def test_stretches_encode_as_whole_texts_do():
     got = token_file.encoder(WORDS)([t.encode() for t in texts])
     for t, g, e in zip(texts, got, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(g, "<u4").tolist() == e.ids, t
+
+
+def test_a_worker_remembers_short_odd_stretches_only():
+    """Its table once held every word, up to half a million of any length."""
+    rng = np.random.default_rng(12)
+    encode = token_file.encoder(WORDS)
+    remembered = token_file.TABLES[WORDS][0]
+    plain = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzé"), 9)) + m for m in (".", ",", "") for _ in range(3000)]
+    encode([" ".join(plain).encode()])
+    assert not {w.encode() for w in plain} & set(remembered)
+    odd = ["漢" * 5 + "x7", "1234-" * 1000]
+    tokenizer = Tokenizer.from_file(WORDS)
+    for _ in range(2):
+        got = encode([" ".join(odd).encode()])[0]
+        assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(" ".join(odd), add_special_tokens=False).ids
+    assert odd[0].encode() in remembered and max(map(len, remembered)) <= token_file.REMEMBERED
+
+
+def test_bytes_that_are_no_text_encode_as_replaced_ones():
+    rng = np.random.default_rng(13)
+    alphabet = np.frombuffer("abcXYZÀ×ßàÿŸ.,;:!? \n\0".encode() + b"\xff\x80", np.uint8)
+    texts = [rng.choice(alphabet, 12).tobytes() for _ in range(3000)]
+    tokenizer = Tokenizer.from_file(WORDS)
+    for t, g in zip(texts, token_file.encoder(WORDS)(texts), strict=True):
+        want = [i for w in t.split() for i in tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids]
+        assert np.frombuffer(g, "<u4").tolist() == want, t

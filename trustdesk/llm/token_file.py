@@ -8,16 +8,16 @@ table of 64-bit offsets. Files are written and read by Spark, so any shared stor
 feed that the writer adds.
 """
 
-import re
 import struct
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from trustdesk.llm.common import column, parts_of, shared_path
+from trustdesk.llm.common import column, give_back, parts_of, shared_path
 
 #: Mark and layout of the header (mark, id width, null ids, documents, ids, smallest document id, two lengths).
 MARK = b"EFTOKEN1"
@@ -27,10 +27,10 @@ MONOTONE = "<QQB"
 SAMPLE = 256
 #: Text bytes aimed at in a shard; a longer document still goes whole into one.
 SHARD_BYTES = 8 << 20
-#: Stretches that a task looks up when seen again; a full table starts anew, results do not depend on it.
-CACHE = 500_000
+#: Stretches that a worker remembers, and bytes of the longest of them; a full table starts anew, results do not depend on it.
+CACHE, REMEMBERED = 200_000, 48
 #: A word of Latin letters with common marks behind it: its letters may be lowered and encoded apart from the marks.
-PLAIN = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]*[A-Za-zÀ-ÖØ-öø-þ][.,;:!?]*$"
 #: These tables, by tokenizer file; a Python worker keeps them from task to task.
 TABLES = {}
 
@@ -186,12 +186,35 @@ def byte_letters() -> dict:
     return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
+def byte_table(*pairs):
+    """All byte values, with others in the place of some."""
+    table = np.arange(256, dtype=np.uint8)
+    for values, others in pairs:
+        table[list(values)] = list(others)
+    return table
+
+
+#: Bytes of plain words in lower case, and last bytes of lowered words as LAST marks them.
+LOWER = byte_table((range(0x41, 0x5B), range(0x61, 0x7B)), (range(0x80, 0x9F), range(0xA0, 0xBF)))
+MARKED = byte_table((range(0x61, 0x7B), range(0x41, 0x5B)), (range(0xA0, 0xBF), range(0x80, 0x9F)), ([0x9F], [0x97]))
+IS_MARK = np.isin(np.arange(256), list(b".,;:!?"))
+
+
+def cut_at(ends, values, kind):
+    """An Arrow array of stretches of flat values that end at ``ends``."""
+    ends = pa.array(np.concatenate(([0], ends)), pa.int32())
+    if pa.types.is_list(kind):
+        return pa.ListArray.from_arrays(ends, pa.array(values))
+    return pa.Array.from_buffers(kind, len(ends) - 1, [None, ends.buffers()[1], pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def encoder(path):
     """A function from texts to their ids as 32-bit bytes, as the tokenizers library gives them.
 
     The tokenizer of these files drops white space before its merges and composes no character across it, so a text
-    is encoded stretch by stretch between ASCII white space, and each different one once as long as it is remembered. Words of
-    plain letters are encoded by ranks, all new ones in one call, everything else by the library.
+    is encoded stretch by stretch between ASCII white space. Arrow splits the texts of a call and numbers the different
+    stretches; these are encoded once and their ids taken for every place. Words of plain letters are encoded by ranks,
+    all of a call at once and without a table of known ones; everything else by the library, and short ones are remembered.
     """
     import os
 
@@ -199,51 +222,65 @@ def encoder(path):
     from tokenizers import Tokenizer
 
     if path not in TABLES:
-        TABLES[path] = {}, {"": b""}, Tokenizer.from_file(path), ranked(path)
-    seen, known, tokenizer, by_rank = TABLES[path]
-    plain = re.compile(PLAIN)
+        TABLES[path] = {}, Tokenizer.from_file(path), ranked(path)
+    seen, tokenizer, by_rank = TABLES[path]
+    ragged = pa.list_(pa.uint32())
 
-    def library(new):
-        for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[w] = array("I", e.ids).tobytes()
-
-    def words(new):
-        """Ids of words of plain letters that end in a letter of LAST."""
+    def library(stretches):
+        """Ids of any stretches."""
+        if len(seen) > CACHE:
+            seen.clear()
+        new = [w for w in stretches if w not in seen]
+        texts = [w.decode("utf-8", "replace") for w in new]
+        made = {w: array("I", e.ids) for w, e in zip(new, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True)}
+        each = [made[w] if w in made else seen[w] for w in stretches]
+        seen.update((w, i) for w, i in made.items() if len(w) <= REMEMBERED)
+        return cut_at(np.cumsum([len(i) for i in each]), np.frombuffer(b"".join(each), np.uint32), ragged)
+
+    def words(plain):
+        """Ids of words of plain letters without the marks behind them, and these marks."""
         encoding, ends = by_rank
-        ids = np.array(encoding.encode_ordinary("\n".join([w[:-1] + LAST[w[-1]] for w in new])), np.uint32)
-        stops = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
-        raw = ids.astype("<u4").tobytes()
-        return [raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
-
-    def fill(new):
-        """Encode stretches that are not known yet."""
-        bare, marks, rest = [], [], []
-        for p in new:
-            word = p.rstrip(b".,;:!?")
-            if by_rank and (word.isalpha() or plain.fullmatch(word)):
-                lowered = word.decode().lower()
-                if lowered[-1] in LAST:
-                    bare.append((p, lowered))
-                    marks.append(p[len(word):].decode())
-                    continue
-            rest.append(p)
-        odd = [p.decode("utf-8", "replace") for p in rest]
-        library(list({w for w in (*marks, *odd) if w not in known}))
-        if bare:
-            for (p, _), ids, mark in zip(bare, words([w for _, w in bare]), marks, strict=True):
-                seen[p] = ids + known[mark]
-        for p, w in zip(rest, odd, strict=True):
-            seen[p] = known[w]
+        sizes = pc.binary_length(plain).to_numpy()
+        at = np.frombuffer(plain.buffers()[1], np.int32, len(plain) + 1, 4 * plain.offset)
+        data = np.frombuffer(plain.buffers()[2], np.uint8, at[-1])[at[0]:]
+        mark = IS_MARK[data]
+        marks = np.diff(np.cumsum(np.concatenate(([False], mark)), dtype=np.int32)[at - at[0]])
+        stops = np.cumsum(sizes - marks)
+        letters = LOWER[data[~mark]]
+        letters[stops - 1] = MARKED[letters[stops - 1]]
+        lines = np.zeros(len(letters) + len(stops), np.uint8)
+        lines[stops + np.arange(len(stops))] = 0x0A
+        lines[lines == 0] = letters
+        ids = np.array(encoding.encode_ordinary(lines.tobytes().decode()), np.uint32)
+        found = cut_at(np.flatnonzero(ends[ids]) + 1, ids, ragged)
+        if len(found) != len(plain):
+            raise ValueError("a word without an end")
+        return found, cut_at(np.cumsum(marks), data[mark], pa.binary())
+
+    def encoded(distinct):
+        """Ids of different stretches."""
+        is_plain = pc.match_substring_regex(distinct, PLAIN) if by_rank else pa.array(np.zeros(len(distinct), bool))
+        plain, rest = distinct.filter(is_plain), distinct.filter(pc.invert(is_plain)).view(pa.binary()).to_pylist()
+        if not len(plain):
+            return library(rest)
+        found, marks = words(plain)
+        marks = marks.dictionary_encode()
+        # each stretch is a word and its marks, or a stretch of the library and nothing: marks have their empty one
+        behind = [*marks.dictionary.to_pylist(), b""]
+        all_ids = pa.concat_arrays([found, library([*behind, *rest])])
+        of = np.empty((len(distinct), 2), np.int64)
+        here = is_plain.to_numpy(zero_copy_only=False)
+        of[here, 0], of[here, 1] = np.arange(len(found)), len(found) + marks.indices.to_numpy()
+        of[~here, 0], of[~here, 1] = len(found) + len(behind) + np.arange(len(rest)), len(found) + len(behind) - 1
+        taken = all_ids.take(pa.array(of.ravel()))
+        return pa.ListArray.from_arrays(pa.array(taken.offsets.to_numpy()[::2]), taken.values)
 
     def ids(texts):
-        parts = [t.split() for t in texts]
-        if len(seen) > CACHE:
-            seen.clear()
-        if len(known) > CACHE:
-            known.clear()
-            known[""] = b""
-        fill(list(set().union(*parts).difference(seen)))
-        return [b"".join(map(seen.__getitem__, found)) for found in parts]
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+        numbered = split.flatten().dictionary_encode()
+        taken = encoded(numbered.dictionary).take(numbered.indices)
+        flat, ends = taken.values.to_numpy(), taken.offsets.to_numpy()[split.offsets.to_numpy()]
+        return [flat[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
 
     return ids
 
@@ -265,18 +302,18 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id="doc_i
         end = np.array([end_id], np.uint32)
         for batch in parts_of(batches):
             encode = encode or encoder(tokenizer)
-            texts = batch.column(1).to_pylist()
-            for begin in range(0, len(texts), 1024):
-                part = texts[begin:begin + 1024]
-                for k, raw in enumerate(encode(part)):
-                    if size and size + len(part[k]) > shard:
-                        yield one(ids, arrays)
-                        ids, arrays, size = [], [], 0
-                    ids.append(batch.column(0)[begin + k].as_py())
-                    arrays.append(np.concatenate((np.frombuffer(raw, "<u4"), end)).astype(f"<u{width}"))
-                    size += len(part[k]) + 1
+            lengths = pc.binary_length(batch.column(1)).to_pylist()
+            for doc, length, raw in zip(batch.column(0).to_pylist(), lengths, encode(batch.column(1)), strict=True):
+                if size and size + length > shard:
+                    yield one(ids, arrays)
+                    ids, arrays, size = [], [], 0
+                ids.append(doc)
+                arrays.append(np.concatenate((np.frombuffer(raw, "<u4"), end)).astype(f"<u{width}"))
+                size += length + 1
         if ids:
             yield one(ids, arrays)
+        ids = arrays = batch = raw = None
+        give_back()
 
     def one(ids, arrays):
         return pa.RecordBatch.from_arrays([pa.array([shard_bytes(ids, arrays, width)], pa.binary())], names=["value"])
