@@ -195,3 +195,55 @@ def test_memory_of_surroundings():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert got.shape == (80_000, 168) and peak < 2 * got.nbytes
+
+
+def sized_groups(sizes, seed=4):
+    """Rows of groups of given sizes, mixed, each group with strings that repeat and texts that end."""
+    made = [gram_group(n, seed + k) for k, n in enumerate(sizes)]
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    context = np.concatenate([m[1] for m in made])
+    order = np.random.default_rng(seed).permutation(len(group))
+    return group[order], context[order], np.stack((np.arange(len(group)), np.zeros(len(group), np.int64)), 1)
+
+
+def first_and_last(group, context, length=100, before=68):
+    """By brute force: lowest and highest distance of a string that an earlier row of the group has."""
+    seen, out = set(), []
+    for g, row in zip(group.tolist(), context, strict=True):
+        strings = [(g, c, row[c:c + length].tobytes()) for c in range(before + 1) if row[c:c + length].all()]
+        hit = [c for s in strings for c in [s[1]] if s in seen]
+        out.append((min(hit), max(hit)) if hit else (before + 1, -1))
+        seen.update(strings)
+    return out
+
+
+@pytest.mark.parametrize("settle", ["by_pairs", "by_hash", "by_distance"])
+@pytest.mark.parametrize("bits", [64, 5])
+def test_each_way_finds_the_same_strings(monkeypatch, settle, bits):
+    monkeypatch.setattr(sd, "BATCH", 50)
+    if bits < 64:  # many strings of one hash
+        monkeypatch.setattr(sd, "mixed", lambda x: x & np.uint64(2**bits - 1))
+    group, context, _ = sized_groups([2, 2, 3, 5, 16, 17, 60, 120])
+    lowest, highest = getattr(sd, settle)(group, context, 100, 68)
+    want = first_and_last(group, context)
+    assert list(zip(lowest.tolist(), highest.tolist(), strict=True)) == want and sum(h >= 0 for _, h in want) > 40
+
+
+def test_small_groups_need_no_hashes(monkeypatch):
+    """Every row was once hashed at each of its 69 distances, though most groups have two rows."""
+    group, context, keys = sized_groups([2, 3, sd.PAIRED] * 5)
+    want = [w for w in first_and_last(group, context) if w[1] >= 0]
+    monkeypatch.setattr(sd, "mixed", None)
+    _, begin, end = sd.equal_strings(group, context, keys, np.full(len(keys), 500), 100, 32)
+    assert [(b - 500 + 68, e - 500 + 68 - 100) for b, e in zip(begin.tolist(), end.tolist(), strict=True)] == want
+
+
+def test_common_prefix_of_any_strings():
+    rng = np.random.default_rng(6)
+    for _ in range(3000):
+        a, b = (bytes(rng.integers(0, 2, rng.integers(0, 100), dtype=np.uint8)) for _ in "ab")
+        k = int(rng.integers(0, len(a) + 1))
+        b = a[:k] + b
+        want = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        begin = int(rng.integers(0, want + 1))
+        assert sd.common(a, b, begin) == sd.common(b, a, begin) == want

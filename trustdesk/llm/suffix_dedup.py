@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from trustdesk.llm.common import column, kept_columns, map_arrow, parts_of, stored, utf8
+from trustdesk.llm.common import column, give_back, kept_columns, map_arrow, parts_of, stored, utf8
 
 LENGTH, GRAM = 100, 32
 #: Text bytes that are hashed together, and bytes of text for one range of gram hashes or of suffixes.
@@ -36,6 +36,8 @@ RANGES = 32
 #: Anchors whose grams are sent together, suffixes of a sorted run, suffixes of a batch of groups compared together.
 GRAMS = 300_000
 RUN, BATCH = 80_000, 5_000
+#: Bytes of two suffixes that are compared as one number, rows of a group whose contexts are compared two by two.
+WORD, PAIRED = 32, 16
 #: Documents whose anchors give the splitters; they decide how evenly suffixes are dealt and nothing else.
 SPLITTER_DOCS, SPLITTER_PLACES = 2000, 32
 #: Compression of texts on their way between tasks.
@@ -213,6 +215,8 @@ def send_grams(parts, length, gram):
                 waiting, rows, size = ([], [], [], []), 0, 0
         if size:
             yield from flush(*waiting)
+        waiting = batch = None
+        give_back()
 
     return run
 
@@ -239,7 +243,8 @@ def surroundings(text, places, length, gram):
     before = length - gram
     data = np.concatenate((np.zeros(before, np.uint8), np.frombuffer(text, np.uint8) + np.uint8(1),
                            np.zeros(length, np.uint8)))
-    return np.lib.stride_tricks.sliding_window_view(data, before + length)[places]
+    # all windows as a view, made for every document and so without numpy's helper
+    return np.ndarray((len(text) + 1, before + length), np.uint8, data, 0, (1, 1))[places]
 
 
 def prefix_lengths(rows):
@@ -328,7 +333,7 @@ def send_runs(cuts, torn, length, gram):
                 for begin in range(0, len(at), RUN):
                     some = at[begin:begin + RUN]
                     contexts.append(surroundings(text, some, length, gram))
-                    keys.append(np.tile(np.array([doc, tie], np.int64), (len(some), 1)))
+                    keys.append(np.repeat(np.array([[doc, tie]], np.int64), len(some), 0))
                     places.append(some)
                     size += len(some)
                     if size >= RUN:
@@ -336,6 +341,8 @@ def send_runs(cuts, torn, length, gram):
                         contexts, keys, places, size = [], [], [], 0
         if size:
             yield from sort_run(*map(np.concatenate, (contexts, keys, places)), cuts, torn, length, gram)
+        contexts = keys = places = None
+        give_back()
 
     return run
 
@@ -357,10 +364,15 @@ def read_run(data):
 
 def common(a, b, begin):
     """Length of the common prefix of two strings that agree up to ``begin``."""
-    for i, (x, y) in enumerate(zip(a[begin:], b[begin:], strict=False), begin):
+    while True:
+        x, y = a[begin:begin + WORD], b[begin:begin + WORD]
         if x != y:
-            return i
-    return min(len(a), len(b))
+            n = min(len(x), len(y))
+            differ = int.from_bytes(x[:n]) ^ int.from_bytes(y[:n])
+            return begin + n - (differ.bit_length() + 7) // 8
+        if len(x) < WORD:
+            return begin + len(x)
+        begin += WORD
 
 
 def merge(runs):
@@ -374,17 +386,16 @@ def merge(runs):
     while size < len(streams):
         size *= 2
     heads = [next(s, None) for s in streams] + [None] * (size - len(streams))
-    prefix, losers = [0] * size, [0] * size
+    # a run at its end has a prefix below all others
+    prefix, losers = [0 if h else -1 for h in heads], [0] * size
 
     def play(a, b):
         """Winner and loser; the loser's prefix becomes the one with the winner if bytes were compared."""
-        x, y = heads[a], heads[b]
-        if x is None or y is None:
-            return (b, a) if x is None else (a, b)
-        if prefix[a] != prefix[b]:
-            return (a, b) if prefix[a] > prefix[b] else (b, a)
-        n = common(x[1], y[1], prefix[a])
-        first, second = (a, b) if x[1][n:n + 1] <= y[1][n:n + 1] else (b, a)
+        if prefix[a] != prefix[b] or prefix[a] < 0:
+            return (a, b) if prefix[a] >= prefix[b] else (b, a)
+        x, y = heads[a][1], heads[b][1]
+        n = common(x, y, prefix[a])
+        first, second = (a, b) if x[n:n + 1] <= y[n:n + 1] else (b, a)
         prefix[second] = n
         return first, second
 
@@ -399,38 +410,80 @@ def merge(runs):
     while heads[winner] is not None:
         _, suffix, before, doc, tie, place = heads[winner]
         yield prefix[winner], suffix, before, doc, tie, place
-        heads[winner] = next(streams[winner], None)
-        if heads[winner] is not None:
-            prefix[winner] = heads[winner][0]
+        heads[winner] = head = next(streams[winner], None)
+        prefix[winner] = now = head[0] if head else -1
         node = (winner + size) // 2
         while node:
-            winner, losers[node] = play(winner, losers[node])
+            other = losers[node]
+            if now < prefix[other]:
+                winner, losers[node] = other, winner
+                now = prefix[other]
+            elif now == prefix[other] >= 0:
+                winner, losers[node] = play(winner, other)
+                now = prefix[winner]
             node //= 2
 
 
 def equal_strings(group, context, keys, places, length, gram):
     """Spans of strings around anchors of one group that also start earlier, one span an anchor.
 
-    Small groups are looked at over all distances from the anchor at once, large ones distance by distance.
+    Rows of small groups are compared two by two, those of others over all distances from the anchor at once, and very
+    large ones distance by distance.
     """
     before = length - gram
     rank = np.lexsort((places, keys[:, 1], keys[:, 0]))
     group, context, keys, places = group[rank], context[rank], keys[rank], places[rank]
     if len(context) > 2 * BATCH:
         lowest, highest = by_distance(group, context, length, before)
-        hit = highest >= 0
-        return (keys[hit], places[hit] - before + lowest[hit], places[hit] - before + highest[hit] + length) if hit.any() else None
+    else:
+        _, of, sizes = np.unique(group, return_inverse=True, return_counts=True)
+        small = sizes[of] <= PAIRED
+        lowest, highest = np.empty((2, len(context)), np.int64)
+        for some, settle in ((small, by_pairs), (~small, by_hash)):
+            if some.any():
+                lowest[some], highest[some] = settle(group[some], context[some], length, before)
+    hit = highest >= 0
+    return (keys[hit], places[hit] - before + lowest[hit], places[hit] - before + highest[hit] + length) if hit.any() else None
+
+
+def by_pairs(group, context, length, before):
+    """Lowest and highest distance at which a row has a string that an earlier row has, from what each two rows share."""
+    lowest, highest = np.full(len(context), before + 1), np.full(len(context), -1)
+    order = np.argsort(group, kind="stable")
+    group, rows = group[order], context[order]
+    number = np.arange(len(group))
+    first = np.maximum.accumulate(np.where(np.concatenate(([True], group[1:] != group[:-1])), number, 0))
+    step = 1
+    while len(at := np.flatnonzero(number - first >= step)):
+        for a in range(0, len(at), BATCH):
+            some = at[a:a + BATCH]
+            differ = (rows[some] != rows[some - step]) | (rows[some] == 0)
+            left, right = differ[:, before - 1::-1] if before else differ[:, :0], differ[:, before:]
+            shared = [np.where(x.any(1), x.argmax(1), x.shape[1]) if x.shape[1] else np.zeros(len(some), np.int64) for x in (left, right)]
+            least, most = before - shared[0], before + shared[1] - length
+            good, mine = least <= most, order[some]
+            lowest[mine[good]] = np.minimum(lowest[mine], least)[good]
+            highest[mine[good]] = np.maximum(highest[mine], most)[good]
+        step += 1
+    return lowest, highest
+
+
+def by_hash(group, context, length, before):
+    """The same from hashes of all strings around the anchors, which meet first and are compared then."""
     up, down = powers(before + length)
     sums = np.concatenate((np.zeros((len(context), 1), np.uint64), np.cumsum(context.astype(np.uint64) * up, 1)), 1)
     begins = np.arange(before + 1)
     hashes = mixed((sums[:, begins + length] - sums[:, begins]) * down[begins])
     left, right = before - (context[:, :before] != 0).sum(1), before + (context[:, before:] != 0).sum(1)
     which, column = np.nonzero((begins >= left[:, None]) & (begins + length <= right[:, None]))
+    lowest, highest = np.full(len(context), before + 1), np.full(len(context), -1)
+    if not len(which):
+        return lowest, highest
     value = mixed(hashes[which, column] ^ mixed(group[which].astype(np.uint64) * np.uint64(before + 1) + column.astype(np.uint64)))
-    order = np.argsort(value, kind="stable")
+    order = np.argsort(value)
     new = np.concatenate(([True], value[order][1:] != value[order][:-1]))
-    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    later = ~new
+    first = np.minimum.reduceat(order, np.flatnonzero(new))[np.cumsum(new) - 1]
+    later = order != first
     i, j = order[later], first[later]
     # compare the bytes: once for each two contexts that meet, over all strings around their anchors
     pairs, of = np.unique(which[i] * len(context) + which[j], return_inverse=True)
@@ -454,13 +507,9 @@ def equal_strings(group, context, keys, places, length, gram):
             more += [e] if key in seen else []
             seen.setdefault(key, e)
         found = np.concatenate((found, np.array(more, np.int64)))
-    if not len(found):
-        return None
-    lowest, highest = np.full(len(context), before + 1), np.full(len(context), -1)
     np.minimum.at(lowest, which[found], column[found])
     np.maximum.at(highest, which[found], column[found])
-    hit = highest >= 0
-    return keys[hit], places[hit] - before + lowest[hit], places[hit] - before + highest[hit] + length
+    return lowest, highest
 
 
 def by_distance(group, context, length, before):
@@ -541,6 +590,7 @@ def merge_runs(parts, length, gram):
                 yield from merged(blobs)
             else:
                 yield from meet_digests(blobs, length)
+        give_back()
 
     return run
 
