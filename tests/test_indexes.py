@@ -1,12 +1,15 @@
 import math
 import random
 import re
+import time
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from trustdesk.functions.text import contains_pattern
 from trustdesk.operators import enrich, score_store, search, text_index, vector_index
 from trustdesk.plans.layers import shared_folder
 from trustdesk.plans.queries import Data
@@ -175,6 +178,110 @@ def test_postings_are_narrow(spark, folder):
     assert rows(text_index.matching_ids(index, "e ho", ["name"])) == [("id1",)]
 
 
+def some_texts(rng, n):
+    words = ["care", "Clinic", "CAFÉ", "日本語テキスト", "a\nb", "x\0yz", "😀c😀d", "", "ab", "naïve", "l", "side c"]
+    return [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 6))) for _ in range(n)]
+
+
+def stored_fields(texts, parts):
+    return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(parts, pa.int32()), pa.array(range(len(texts)), pa.int32())],
+                                      ["text", "part", "at"])
+
+
+@pytest.mark.parametrize("step", [1, 2, 7, 1 << 16])
+def test_blocks_hold_the_triples_of_their_texts(monkeypatch, step):
+    """Whatever the block and however few letters are sorted at once, each pair of triple and field comes once."""
+    monkeypatch.setattr(text_index, "STEP", step)
+    monkeypatch.setattr(text_index, "BLOCK", 64)
+    texts = some_texts(random.Random(step), 300) + ["", "ab", "x" * 500]
+    parts = [i // 70 for i in range(len(texts))]
+    batches = [stored_fields(texts, parts).slice(a, 60) for a in range(0, len(texts), 60)]
+    got = []
+    for batch in text_index._packed(iter(batches)):
+        at, counts = text_index.list_fields(batch["ats"], batch["base"].to_numpy())
+        rows = np.repeat(np.arange(batch.num_rows), counts)
+        assert {parts[a] for a in at} <= set(batch["part"].to_pylist())
+        got += [(batch["triple"][r].as_py(), a) for r, a in zip(rows, at)]
+    assert len(got) == len(set(got)) and set(got) == {(t[i:i + 3], a) for a, t in enumerate(texts) for i in range(len(t) - 2)}
+
+
+def test_blocks_of_all_letters():
+    """Triples and fields that do not fit one number."""
+    rng = random.Random(8)
+    letters = np.array(rng.sample([c for c in range(text_index.LETTERS) if not 0xD800 <= c < 0xE000], 100_000) * 2, dtype="<u4")
+    counts = np.array([100_000, 0, 2, 99_998])
+    known, triples, begins, field = text_index.block_postings(letters, counts, np.array([0, 9, 900, 70_000]))
+    assert len(known) ** 3 << 17 > 1 << 64 and len(triples) == len(begins)
+    size = len(known)
+    spelled = np.stack([known[(triples // d % np.uint64(size)).astype(int)] for d in (size * size, size, 1)], axis=1)
+    got = set(map(tuple, np.concatenate([spelled.repeat(np.diff(begins, append=len(field)), axis=0), field[:, None]], axis=1).tolist()))
+    want = {(*letters[i:i + 3].tolist(), at) for a, b, at in ((0, 100_000, 0), (100_002, 200_000, 70_000)) for i in range(a, b - 2)}
+    assert got == want and len(field) == len(want)
+
+
+def test_packed_numbers_come_back():
+    numbers = np.array([0, 1, 127, 128, 16383, 16384, 2**21 - 1, 2**21, 2**28, 2**31 - 1, 5], "int64")
+    data, ends = text_index.pack(numbers)
+    back, at = text_index.unpack(data)
+    assert (back == numbers).all() and (at == ends).all() and len(data) == 1 + 1 + 1 + 2 + 2 + 3 + 3 + 4 + 5 + 5 + 1
+    assert len(text_index.pack(numbers[:0])[0]) == len(text_index.unpack(data[:0])[0]) == 0
+
+
+def test_postings_are_stored_as_lists(spark, folder):
+    """A triple of many fields is one short row, not a row for each of them."""
+    df = spark.range(4000).selectExpr("CAST(id AS STRING) AS unique_id", "'Riverside care ' || id % 10 AS name").coalesce(1)
+    index = text_index.build(df, folder, ["name"])
+    stored = index.lists().agg(F.count(F.lit(1)), F.sum(F.length("ats"))).first()
+    assert index.postings().count() == 4000 * 14 and stored[0] == 13 + 10 and stored[1] < 4000 * 14 * 1.1
+    assert text_index.matching_ids(index, "side%_re 7", ["name"]).count() == 400
+
+
+def test_odd_records_in_the_index(spark, folder):
+    """Repeated ids, texts of one letter or none, bytes that are no text, no records at all."""
+    texts = some_texts(random.Random(3), 80)
+    df = spark.createDataFrame([(f"id{i % 50}", t, None) for i, t in enumerate(texts)] + [(None, "care", "care")],
+                               "unique_id string, name string, none string")
+    df = df.unionByName(spark.sql("SELECT 'bad' AS unique_id, CAST(X'63617265FF80E0A063617265' AS STRING) AS name, CAST(NULL AS STRING) AS none"))
+    for source, where in ((df, "all"), (df.where("false"), "nothing"), (df.where("length(name) < 3"), "short")):
+        index = text_index.build(source, f"{folder}/{where}", ["name", "none"])
+        for term in ("care", "日本語", "x\0y", "😀c", "a\nb", "l%side_c", "ab", "", "care%care", "é"):
+            scan = text_index.matching_by_scan(source.where("unique_id IS NOT NULL"), term, ["name", "none"])
+            assert rows(text_index.matching_ids(index, term, ["name", "none"])) == rows(scan.select("unique_id").distinct()), (where, term)
+
+
+def test_only_candidates_are_compared(spark, folder):
+    """The pattern is not moved to the scan of all stored texts."""
+    df = spark.createDataFrame([("id1", "Lakeside Care"), ("id2", "day care")], "unique_id string, name string")
+    found = text_index.matching_ids(text_index.build(df, folder, ["name"]), "l%side_c", ["name"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    compared, joined, scanned = (next(i for i, line in enumerate(plan.splitlines()) if re.search(s, line)) for s in (
+        "LIKE|side.*c", "Join", "Relation .*text"))
+    assert compared <= joined < scanned and "side" not in "".join(plan.splitlines()[joined + 1:])
+    assert rows(found) == [("id1",)]
+
+
+def test_a_long_text_is_compared_in_one_pass(spark, folder):
+    """Seeking the second part anew behind every place of the first took a time that grew with the square of the text."""
+    long = "l " * 500_000 + "side d, desideratum"
+    df = spark.createDataFrame([(f"id{i}", long + end) for i, end in enumerate(["", " lakeside c", "side"])], "unique_id string, name string")
+    index = text_index.build(df, folder, ["name"])
+    start = time.monotonic()
+    assert rows(text_index.matching_ids(index, "l%side_c", ["name"])) == [("id1",)]
+    assert rows(text_index.matching_ids(index, "l%l%d,%_c", ["name"])) == [("id1",)]
+    assert time.monotonic() - start < 60
+
+
+def test_patterns_mean_what_like_means(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab.\nÉ%_\\😀") for _ in range(rng.randrange(0, 9))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    terms = ["", "%", "_", "a%b", "a_b", "%%a_%_b%", ".", "a.", "\n", "É%a", "😀", "_😀_", "(?", "[a", "a$", "E\\\\Q", "\\%", "\\_a"]
+    terms += ["".join(rng.choice("ab%_.") for _ in range(rng.randrange(1, 6))) for _ in range(60)]
+    for term in terms:
+        got = df.select(text_index.contains(F.col("t"), term), F.col("t").like(contains_pattern(term))).collect()
+        assert all(a == b for a, b in got), term
+
+
 def test_memory_of_a_batch_does_not_follow_the_cells():
     rng = np.random.default_rng(5)
     units, centroids = (vector_index.unit_rows(rng.normal(size=(n, 16))) for n in (6000, 1024))
