@@ -133,6 +133,14 @@ def test_extraction_goes_on_past_failing_records(spark, tmp_path):
     assert again == {"written": 0, "dropped": 0, "rounds": 0}
 
 
+def test_an_append_that_writes_nothing_is_counted(spark, tmp_path):
+    made = spark.createDataFrame([("a", "staffing"), ("b", "capability"), ("c", None)], "facility_id string, dimension string")
+    for where, counts in (("true", (1, 2)), ("dimension = 'staffing'", (0, 1)), ("dimension IS NULL", (0, 1)), ("false", (0, 0))):
+        done = sinks.append_signals(made.where(where).repartition(3), str(tmp_path / "s"))
+        assert (done["written"], done["dropped"]) == counts, where
+    assert sinks.read_pinned(spark, str(tmp_path / "s"), TRUST_SIGNALS).count() == 1
+
+
 def test_stored_layers_follow_their_inputs(spark, tmp_path):
     spark.range(3).write.parquet(f"{tmp_path}/in/t.parquet")
     read = lambda: layers.stored_once(spark, (f"{tmp_path}/in", "copy"), lambda: spark.read.parquet(f"{tmp_path}/in/t.parquet"))

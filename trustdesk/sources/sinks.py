@@ -31,11 +31,13 @@ def append_signals(signals: DataFrame, path: str) -> dict:
     """Append signals partitioned by dimension, dropping unknown dimensions.
 
     Written and dropped rows are observed during the write itself, so nothing is counted twice. Answers are small as stored and
-    large as rows: the rows are dealt anew by size, so that what a writing task sorts does not follow the stored files.
+    large as rows: the rows are dealt anew by size, so that what a writing task sorts does not follow the stored files. They
+    are observed behind that, as an exchange without rows is taken out of a plan with all that was observed before it.
     """
     dropped, written = Observation(), Observation()
-    rows = valid_dimensions(conform(signals, TRUST_SIGNALS), dropped).observe(written, F.count(F.lit(1)).alias("rows"))
-    rows.hint("rebalance", "facility_id", "dimension").write.mode("append").partitionBy("dimension").parquet(path)
+    dealt = conform(signals, TRUST_SIGNALS).hint("rebalance", "facility_id", "dimension")
+    rows = valid_dimensions(dealt, dropped).observe(written, F.count(F.lit(1)).alias("rows"))
+    rows.write.mode("append").partitionBy("dimension").parquet(path)
     return {"written": written.get["rows"], "dropped": dropped.get["dropped"] or 0}
 
 
